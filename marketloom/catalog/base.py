@@ -57,7 +57,7 @@ _hosts = "[" + ", ".join(f"'{s}'" for s in SOURCE_HOSTS) + "]"
 _epoch = "TIMESTAMP '2024-01-01' + to_seconds({}::BIGINT * 7919 % 172800)"
 
 BASE_SQL = {
-    "ticks": """SELECT event_id, ts, user_id, event_type AS symbol, 100 + value / 50 AS price,
+    "ticks": """SELECT event_id, ts, user_id, upper(event_type) AS symbol, 100 + value / 50 AS price,
         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty FROM events""",
     "bars": """SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(price, ts) AS open, max(price) AS high,
         min(price) AS low, arg_max(price, ts) AS "close", sum(qty) AS volume, sum(price * qty) / sum(qty) AS vwap,
@@ -66,7 +66,7 @@ BASE_SQL = {
         "close" / lag("close") OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars) WHERE ret IS NOT NULL""",
     "positions": """SELECT portfolio_id, symbol, q / sum(q) OVER (PARTITION BY portfolio_id) AS weight
         FROM (SELECT user_id % 10 AS portfolio_id, symbol, sum(qty) AS q FROM ticks GROUP BY 1, 2)""",
-    "sent": f"""SELECT event_type AS symbol, ts, event_id, ({_sources})[user_id % 4 + 1] AS source,
+    "sent": f"""SELECT upper(event_type) AS symbol, ts, event_id, ({_sources})[user_id % 4 + 1] AS source,
         least(greatest((value - 50) / 50, -1), 1) AS score, k / 100 AS confidence, k AS mentions, k % 7 AS bullish,
         k % 5 AS bearish, value * k AS engagement, user_id
         FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)""",

@@ -33,7 +33,7 @@ class Market:
     def ticks(self, events: DataFrame | None = None) -> DataFrame:
         e = self.raw("events") if events is None else events
         return e.select(
-            "event_id", "ts", "user_id", F.col("event_type").alias("symbol"),
+            "event_id", "ts", "user_id", F.upper("event_type").alias("symbol"),
             (100 + F.col("value") / 50).alias("price"),
             F.get_json_object("props", "$.k").cast("double").alias("qty"),
         )
@@ -60,7 +60,7 @@ class Market:
         k = F.get_json_object("props", "$.k").cast("double")
         names = F.array(*[F.lit(s) for s in SOURCES])
         return e.select(
-            F.col("event_type").alias("symbol"), "ts", "event_id",
+            F.upper("event_type").alias("symbol"), "ts", "event_id",
             F.get(names, (F.col("user_id") % 4).cast("int")).alias("source"),
             clip((F.col("value") - 50) / 50, -1, 1).alias("score"),
             (k / 100).alias("confidence"), k.alias("mentions"),
