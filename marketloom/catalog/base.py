@@ -107,12 +107,14 @@ def add_base(name: str, sql: str) -> None:
     BASE_SQL[name] = sql
 
 
-def _needed(sql: str, seen: dict[str, None]) -> dict[str, None]:
+def _needed(sql: str, done: dict[str, None], open_: frozenset[str] = frozenset()) -> dict[str, None]:
     for name, body in BASE_SQL.items():
-        if name not in seen and re.search(rf"\b{name}\b", sql):
-            _needed(body, seen)
-            seen[name] = None
-    return seen
+        if name in done or name in open_:
+            continue
+        if re.search(rf"(?:\bFROM|\bJOIN|,)\s+{name}\b", sql):
+            _needed(body, done, open_ | {name})
+            done[name] = None
+    return done
 
 
 def oracle(cols: str, sql: str) -> str:
