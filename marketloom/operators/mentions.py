@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -173,7 +173,7 @@ def model_sentiment(df: DataFrame, make_scorer, text: str = "text") -> DataFrame
     The model gets whole texts, Arrow batch by batch; the signed score is +score, -score or 0.
     """
     @F.pandas_udf("label string, score double")
-    def run(batches: Iterable[pd.Series]) -> Iterable[pd.DataFrame]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for b in batches:
             yield pd.DataFrame(scorer(b.fillna("").tolist()), columns=["label", "score"])

@@ -95,7 +95,10 @@ def parse_date(c, as_of) -> Column:
              "d MMMM yyyy": r"^\d{1,2} [A-Za-z]{4,} \d{4}$"}
     out = F.when(F.lit(False), F.lit(None).cast("date"))
     for fmt in DATE_FORMATS:
-        out = out.when(t.rlike(shape[fmt]), F.to_date(F.try_to_timestamp(t, F.lit(fmt))))
+        day = F.to_date(F.try_to_timestamp(t, F.lit(fmt)))
+        if fmt == "M/d/yy":  # two-digit years from 69 on belong to the 1900s
+            day = F.when(F.year(day) > 2068, F.add_months(day, -1200)).otherwise(day)
+        out = out.when(t.rlike(shape[fmt]), day)
     n = F.regexp_extract(t, r"(\d+)", 1).try_cast("int")
     unit = F.when(F.lower(t).contains("day"), 1).when(F.lower(t).contains("week"), 7).when(
         F.lower(t).contains("month"), 30)
