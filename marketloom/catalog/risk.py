@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import col
 from ..operators import machines as mc
 from ..operators import risk as rk
+from . import technical as _technical  # noqa: F401  (defines shared tables)
 from .base import add_base, query
 
 W = "PARTITION BY portfolio_id ORDER BY ts"
@@ -256,7 +257,7 @@ def _apply(m):
     return rk.apply_penalties(p, rk.sector_concentration(p, sectors(m)))
 
 
-@query("risk_correlation_alerts", "portfolio_id:i type severity value:d", """SELECT NULL AS portfolio_id, 'HIGH_CORRELATION' AS
+@query("risk_correlation_alerts", "portfolio_id:i type severity value:d", """SELECT CAST(NULL AS BIGINT) AS portfolio_id, 'HIGH_CORRELATION' AS
     type, 'HIGH' AS severity, max(abs(corr)) AS value FROM pairs WHERE a < b HAVING max(abs(corr)) > 0.01 UNION ALL
     SELECT portfolio_id, 'SECTOR_CONCENTRATION', 'MEDIUM', max(sector_weight) FROM sector_pos GROUP BY 1
     HAVING max(sector_weight) > 0.4""")
