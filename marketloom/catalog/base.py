@@ -82,7 +82,7 @@ BASE_SQL = {
         CASE WHEN slot % 2 = 0 THEN 'buy' ELSE 'sell' END AS side, slot
         FROM (SELECT *, epoch_us(ts) // 21600000000 AS slot FROM ticks)""",
     "parents": """SELECT order_id, symbol, side, algorithm, slot, min(ts) AS start_ts, max(ts) AS end_ts,
-        arg_min(price, ts) AS arrival_price, sum(qty) * 1.1 AS order_qty,
+        arg_min(price, ts) AS arrival_price, sum(qty) * (1 + max(slot) % 5 * 0.02) AS order_qty,
         (['low', 'normal', 'high'])[slot % 3 + 1] AS urgency FROM trades GROUP BY ALL""",
     "fills": """SELECT l_orderkey AS order_id, l_partkey AS symbol, 'V' || (l_suppkey % 4) AS venue,
         l_quantity AS qty, l_extendedprice / l_quantity AS price,

@@ -57,7 +57,7 @@ def _liquidity(m):
     return bk.liquidity(m.books())
 
 
-@query("book_sweep_cost", "event_id:i feasible:b avg_fill:d levels_used:i impact_bps:d shortage:d", """
+@query("book_sweep_cost", "event_id:i feasible:b avg_fill:d8 levels_used:i impact_bps:d shortage:d", """
     WITH w AS (SELECT l.*, 120 + qty AS want, sum(size) OVER (PARTITION BY event_id ORDER BY i) - size AS before FROM levels l
       WHERE l.side = CASE WHEN event_id % 2 = 0 THEN 'ask' ELSE 'bid' END),
     q AS (SELECT event_id, any_value(want) AS want, sum(least(size, greatest(want - before, 0))) AS f,
@@ -85,7 +85,7 @@ _w = "PARTITION BY symbol ORDER BY ts, event_id"
         sum(CAST(da < 0 AS INT)) OVER f11) / 11 AS step FROM a
       WINDOW f20 AS ({_w} ROWS 19 PRECEDING), f15 AS ({_w} ROWS 14 PRECEDING), f9 AS ({_w} ROWS 8 PRECEDING),
         f3 AS ({_w} ROWS 2 PRECEDING), f11 AS ({_w} ROWS 10 PRECEDING)),
-    c AS (SELECT event_id, CASE WHEN seen >= 10 AND abs(slope) / (sd + 1e-6) > 0.5 THEN (CASE WHEN slope < 0 THEN
+    c AS (SELECT event_id, CASE WHEN seen >= 10 AND abs(slope) / (sd + 1e-6) > 0.1 THEN (CASE WHEN slope < 0 THEN
         'spread_tightening' ELSE 'spread_widening' END) END AS spread_pattern,
       CASE WHEN seen < 8 OR (abs(cb) <= 0.2 AND abs(ca) <= 0.2) THEN NULL WHEN cb > 0.2 AND ca > 0.2 THEN 'liquidity_buildup'
         WHEN cb < -0.2 AND ca < -0.2 THEN 'liquidity_depletion' WHEN cb > 0.2 THEN 'bid_buildup' WHEN ca > 0.2 THEN
@@ -95,7 +95,7 @@ _w = "PARTITION BY symbol ORDER BY ts, event_id"
     SELECT *, CAST(spread_pattern IS NOT NULL AS INT) + CAST(liquidity_pattern IS NOT NULL AS INT) + CAST(momentum_pattern IS
       NOT NULL AS INT) + CAST(stepping_share IS NOT NULL AS INT) AS patterns FROM c""")
 def _patterns(m):
-    return chunked(m, bk.book_patterns, 32)
+    return chunked(m, lambda d, s: bk.book_patterns(d, s, trend_threshold=0.1), 32)
 
 
 @query("book_signals", "event_id:i sig_imbalance:b sig_spread sig_size book_sentiment", f"""SELECT *, CASE WHEN bull > bear *

@@ -84,7 +84,7 @@ def sweep_cost(b: DataFrame, size: str = "order_size", side: str = "side") -> Da
         "shortage": F.greatest(F.col(size) - F.col("_s.f"), F.lit(0.0))}).drop("_s")
 
 
-def book_patterns(b: DataFrame, s: Ordered, momentum_threshold: float = 0.5) -> DataFrame:
+def book_patterns(b: DataFrame, s: Ordered, momentum_threshold: float = 0.5, trend_threshold: float = 0.5) -> DataFrame:
     """Spread trend (20), liquidity change (15), momentum (10) and stepping (12) over summarised snapshots."""
     b = book_summary(b).withColumns({"_b3": _sum_size("bids", 3), "_a3": _sum_size("asks", 3),
                                      "_b2": _sum_size("bids", 2), "_a2": _sum_size("asks", 2)})
@@ -108,7 +108,7 @@ def book_patterns(b: DataFrame, s: Ordered, momentum_threshold: float = 0.5) ->
     mom = F.abs("_m3") / (F.col("_msd") + 1e-6)
     step = F.greatest("_bu", "_bd", "_au", "_ad")
     b = b.withColumns({
-        "spread_pattern": F.when((F.col("_seen") >= 10) & (sig > 0.5), F.when(F.col("_slope") < 0, "spread_tightening")
+        "spread_pattern": F.when((F.col("_seen") >= 10) & (sig > trend_threshold), F.when(F.col("_slope") < 0, "spread_tightening")
                                  .otherwise("spread_widening")),
         "liquidity_pattern": F.when((F.col("_seen") >= 8) & ((F.abs(cb) > t) | (F.abs(ca) > t)),
                                     F.when((cb > t) & (ca > t), "liquidity_buildup").when((cb < -t) & (ca < -t),

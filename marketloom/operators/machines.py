@@ -62,34 +62,36 @@ def cooldown_step(last, row, minutes=15.0):
     return last, {"emitted": False}
 
 
-def alert_cooldown(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, tie: Sequence[str] = ()) -> DataFrame:
-    """Candidates of one key are thinned to the first per (key, minute) before the fold: the fold input is bounded
-    by the time span however many alerts a hot key raises, and a later alert of the same minute can never be emitted
-    when the cooldown is at least a minute."""
-    if minutes < 1:
-        raise ValueError("the cooldown must be at least one minute")
+def alert_cooldown(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, tie: Sequence[str] = (),
+                   clock: str | None = "second") -> DataFrame:
+    """Suppress repeats by key relative to the last emitted alert.
+
+    The cooldown clock ticks in ``clock`` units: candidates of one key and tick are first reduced map-side to the
+    earliest, so a key's fold is bounded by the time span however many alerts it raises.  ``clock=None`` compares
+    exact timestamps and is for sources with a bounded rate, such as account snapshots.
+    """
     keys = list(keys)
-    rest = [c for c in alerts.columns if c not in keys]
-    slim = alerts.groupBy(*keys, F.date_trunc("minute", "ts").alias("_m")).agg(
-        F.min_by(F.struct(*rest), F.struct("ts", *tie)).alias("_r"))
-    slim = slim.select(*keys, *[F.col(f"_r.{c}").alias(c) for c in rest])
-    run = run_machine(slim, keys, ["ts", *tie], lambda s, r: cooldown_step(s, r, minutes), lambda: None,
+    d = alerts.withColumn("_at", F.date_trunc(clock, "ts").cast("timestamp_ntz") if clock else F.col("ts"))
+    if clock:
+        rest = [c for c in d.columns if c not in (*keys, "_at")]
+        d = d.groupBy(*keys, "_at").agg(F.min_by(F.struct(*rest), F.struct("ts", *tie)).alias("_r"))
+        d = d.select(*keys, "_at", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    run = run_machine(d, keys, ["ts", *tie], lambda s, r: cooldown_step(s, {"ts": r["_at"]}, minutes), lambda: None,
                       {"emitted": "boolean"})
-    return run.filter("emitted").drop("emitted")
+    return run.filter("emitted").drop("emitted", "_at")
 
 
 # ------------------------------------------------------------------ regime persistence
 
-def persistence_step(state, row, min_bars=5, floor=0.7):
-    """state: (regime in force, bars in force).  A change needs confidence and a minimum stay."""
+def persistence_step(state, row, min_bars=5, floor=0.7, damping=0.8):
+    """state: (regime in force, bars in force).  A young regime resists change; low confidence means normal."""
     now, bars = state
     new, conf = row["regime"], row["confidence"]
-    if now is None:
+    if now is not None and new != now and bars < min_bars and conf * (1 - damping) < floor:
+        kept = now
+    else:
         kept = new if conf >= floor else "normal"
-        return (kept, 1), {"regime_kept": kept}
-    if new != now and conf >= floor and bars >= min_bars:
-        return (new, 1), {"regime_kept": new}
-    return (now, bars + 1), {"regime_kept": now}
+    return (kept, bars + 1 if kept == now else 1), {"regime_kept": kept}
 
 
 def regime_persistence(df: DataFrame, min_bars: int = 5, floor: float = 0.7) -> DataFrame:

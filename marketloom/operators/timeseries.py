@@ -208,47 +208,56 @@ def chunk_with_halo(df: DataFrame, halo: int, rows: int = 65536, index: str = "_
 
 
 def affine_scan(df: DataFrame, keys, a: str, b: str, out: str, prev: str, index: str = "_i",
-                rows: int = 4096, levels: int = 2) -> DataFrame:
-    """y = a*y_prev + b with per-row coefficients over an unbounded key.
+                rows: int = 64, levels: int = 3) -> DataFrame:
+    """y = a*y_prev + b with per-row coefficients (a >= 0) over an unbounded key.
 
-    Affine maps compose, so each (key, chunk) is reduced to one (A, B), the chunk table is scanned the same way,
-    and each chunk replays from its carry.  No task ever holds more than ``rows`` rows of a key at one level.
+    Inside a chunk of ``rows`` rows, y is a running product times a running sum, restarted where a is 0; affine maps
+    compose, so each chunk leaves one (A, B) and the table of chunks is scanned the same way.  Only keys with more
+    than one chunk reach the next level; what is left at the top, rows / 64^(levels+1) per key, is folded in a task.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-
-    def replay(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        y = float(pdf["_carry"].iloc[0])
-        ys, ps = [], []
-        for ca, cb in zip(pdf[a].to_numpy(), pdf[b].to_numpy()):
-            ps.append(y)
-            y = ca * y + cb
-            ys.append(y)
-        return pdf.drop(columns=["_carry", "_chunk"]).assign(**{out: ys, prev: ps})
-
-    spec = ", ".join(f"`{n}` {t}" for n, t in fields.items()) + f", `{out}` double, `{prev}` double"
-    if levels == 0:
-        return df.withColumn("_carry", F.lit(0.0)).withColumn("_chunk", F.lit(0)).groupBy(*keys).applyInPandas(
-            replay, spec)
-
-    d = df.withColumn("_chunk", F.floor((F.col(index) - 1) / rows).cast("long"))
-
-    def compose(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(index)
-        ca, cb = 1.0, 0.0
-        for xa, xb in zip(pdf[a].to_numpy(), pdf[b].to_numpy()):
-            ca, cb = xa * ca, xa * cb + xb
-        head = pdf[[*keys, "_chunk"]].iloc[:1]
-        return head.assign(_A=ca, _B=cb)
-
-    key_spec = ", ".join(f"`{k}` {fields[k]}" for k in keys)
-    small = d.select(*keys, "_chunk", index, a, b).groupBy(*keys, "_chunk").applyInPandas(
-        compose, f"{key_spec}, _chunk long, _A double, _B double")
-    small = small.withColumn("_ci", F.col("_chunk") + 1)
-    scanned = affine_scan(small, keys, "_A", "_B", "_y", "_carry", "_ci", rows, levels - 1)
-    d = d.join(scanned.select(*keys, "_chunk", "_carry"), [*keys, "_chunk"])
-    return d.groupBy(*keys, "_chunk").applyInPandas(replay, spec)
+    d = df.withColumn("_ck", F.floor((F.col(index) - 1) / rows).cast("long"))
+    wc = Window.partitionBy(*keys, "_ck").orderBy(index)
+    d = d.withColumn("_seg", F.sum(F.when(F.col(a) == 0, 1).otherwise(0)).over(wc))
+    ws = Window.partitionBy(*keys, "_ck", "_seg").orderBy(index).rowsBetween(BIG, 0)
+    d = d.withColumn("_p", F.product(F.when(F.col(a) == 0, 1.0).otherwise(F.col(a))).over(ws))
+    d = d.withColumn("_y", F.col("_p") * F.sum(F.col(b) / F.col("_p")).over(ws))
+    d = d.withColumn("_m", F.when(F.col("_seg") == 0, F.col("_p")).otherwise(0.0))
+
+    ends = d.groupBy(*keys, "_ck").agg(F.max_by(F.struct("_m", "_y"), index).alias("_e"))
+    ends = ends.select(*keys, "_ck", F.col("_e._m").alias("_A"), F.col("_e._y").alias("_B"), (F.col("_ck") + 1).alias("_ci"))
+    home = f"_home{levels}"
+    multi = ends.withColumn("_top", F.max("_ck").over(Window.partitionBy(*keys))).filter("_top > 0").drop("_top")
+    multi = multi.withColumnRenamed("_ck", home)
+    if levels > 0:
+        scanned = affine_scan(multi, keys, "_A", "_B", "_Y", "_Yp", "_ci", rows, levels - 1)
+    else:
+        def replay(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("_ci")
+            y, ys = 0.0, []
+            for ca, cb in zip(pdf["_A"], pdf["_B"]):
+                y = ca * y + cb
+                ys.append(y)
+            return pdf[[*keys, home]].assign(_Y=ys)
+
+        spec = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+        scanned = multi.groupBy(*keys).applyInPandas(replay, f"{spec}, {home} long, _Y double")
+    carry = scanned.select(*keys, (F.col(home) + 1).alias("_ck"), F.col("_Y").alias("_carry"))
+    d = d.join(carry, [*keys, "_ck"], "left").withColumn("_carry", F.coalesce("_carry", F.lit(0.0)))
+    d = d.withColumn(out, F.col("_y") + F.col("_m") * F.col("_carry"))
+    d = d.withColumn(prev, F.coalesce(F.lag(out).over(wc), F.col("_carry")))
+    return d.drop("_ck", "_seg", "_p", "_y", "_m", "_carry")
+
+
+def running_total(df: DataFrame, keys, value: str, out: str, index: str = "_i", rows: int = 65536) -> DataFrame:
+    """Running sum over an indexed, unbounded key: sums inside row chunks plus the running chunk totals."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    d = df.withColumn("_ck", F.floor((F.col(index) - 1) / rows).cast("long"))
+    tot = d.groupBy(*keys, "_ck").agg(F.sum(value).alias("_t"))
+    wk = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(BIG, -1)
+    tot = tot.select(*keys, "_ck", F.coalesce(F.sum("_t").over(wk), F.lit(0.0)).alias("_off"))
+    wc = Window.partitionBy(*keys, "_ck").orderBy(index).rowsBetween(BIG, 0)
+    return d.join(tot, [*keys, "_ck"]).withColumn(out, F.sum(value).over(wc) + F.col("_off")).drop("_ck", "_off")
 
 
 # --------------------------------------------------------------------------- joins on time

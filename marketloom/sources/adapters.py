@@ -122,7 +122,7 @@ class Market:
         g = self.trades().groupBy("order_id", "symbol", "side", "algorithm", "slot").agg(
             F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"),
             F.min_by("price", F.struct("ts", "trade_id")).alias("arrival_price"),
-            (F.sum("qty") * 1.1).alias("order_qty"))
+            (F.sum("qty") * (1 + F.max("slot") % 5 * 0.02)).alias("order_qty"))
         return g.withColumn("urgency", F.get(F.array(F.lit("low"), F.lit("normal"), F.lit("high")),
                                               F.pmod("slot", F.lit(3)).cast("int")))
 
