@@ -230,7 +230,7 @@ def affine_scan(df: DataFrame, keys, a: str, b: str, out: str, prev: str, index:
     multi = ends.withColumn("_top", F.max("_ck").over(Window.partitionBy(*keys))).filter("_top > 0").drop("_top")
     multi = multi.withColumnRenamed("_ck", home)
     if levels > 0:
-        scanned = affine_scan(multi, keys, "_A", "_B", "_Y", "_Yp", "_ci", rows, levels - 1)
+        scanned = affine_scan(multi, keys, "_A", "_B", "_end", "_end_prev", "_ci", rows, levels - 1)
     else:
         def replay(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("_ci")
@@ -238,11 +238,11 @@ def affine_scan(df: DataFrame, keys, a: str, b: str, out: str, prev: str, index:
             for ca, cb in zip(pdf["_A"], pdf["_B"]):
                 y = ca * y + cb
                 ys.append(y)
-            return pdf[[*keys, home]].assign(_Y=ys)
+            return pdf[[*keys, home]].assign(_end=ys)
 
         spec = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-        scanned = multi.groupBy(*keys).applyInPandas(replay, f"{spec}, {home} long, _Y double")
-    carry = scanned.select(*keys, (F.col(home) + 1).alias("_ck"), F.col("_Y").alias("_carry"))
+        scanned = multi.groupBy(*keys).applyInPandas(replay, f"{spec}, {home} long, _end double")
+    carry = scanned.select(*keys, (F.col(home) + 1).alias("_ck"), F.col("_end").alias("_carry"))
     d = d.join(carry, [*keys, "_ck"], "left").withColumn("_carry", F.coalesce("_carry", F.lit(0.0)))
     d = d.withColumn(out, F.col("_y") + F.col("_m") * F.col("_carry"))
     d = d.withColumn(prev, F.coalesce(F.lag(out).over(wc), F.col("_carry")))
