@@ -48,7 +48,7 @@ def _ledger(m):
     return ledger(m)
 
 
-_sum = "symbol{} qty:d avg_price:d realized_pnl:d2 commission:d2 max_qty:d fills:i"
+_sum = "symbol{} qty:d avg_price:d realized_pnl:d4 commission:d4 max_qty:d fills:i"
 _sum_sql = """SELECT symbol, arg_max(position, rn) AS qty, arg_max(CASE WHEN position = 0 THEN 0 ELSE avg_price END, rn) AS avg_price,
     sum(realized) AS realized_pnl, sum(commission) AS commission, max(abs(position)) AS max_qty, count(*) AS fills FROM {} GROUP BY 1"""
 
@@ -70,7 +70,7 @@ add_base("mtm", """SELECT *, max(u) OVER w AS hw, min(u) OVER w AS lw FROM (SELE
     (PARTITION BY symbol ORDER BY ts)""")
 
 
-@query("ledger_mark_to_market", "symbol ts position:d unrealized:d high_water:d low_water:d drawdown:d run_up:d", """SELECT *, u AS unrealized,
+@query("ledger_mark_to_market", "symbol ts position:d unrealized:d4 high_water:d4 low_water:d4 drawdown:d4 run_up:d4", """SELECT *, u AS unrealized,
     hw AS high_water, lw AS low_water, hw - u AS drawdown, u - lw AS run_up FROM mtm""")
 def _mtm(m):
     return lg.mark_to_market(ledger(m), m.bars(), ["trade_id"])

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div
-from .timeseries import Ordered, affine_scan, asof_join, index_rows, running_total
+from ..session import cut_lineage
+from .timeseries import Ordered, affine_scan, asof_join, index_rows
 
 
 def reconcile(ledger: DataFrame, broker: DataFrame, tol: float = 1e-6) -> DataFrame:
@@ -27,8 +28,7 @@ def build_positions(fills: DataFrame, order: list[str], block, key: str = "symbo
     scanned in chunks, so a symbol with a third of all fills is spread over many tasks.
     """
     d = index_rows(fills.withColumn("dq", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))),
-                   key, order, block)
-    d = running_total(d, key, "dq", "_q")
+                   key, order, block, totals={"_q": "dq"})
     d = d.withColumn("position", F.when(F.abs("_q") < 1e-8, 0.0).otherwise(F.col("_q")))
     d = d.withColumn("_qp", F.when(F.abs(F.col("_q") - F.col("dq")) < 1e-8, 0.0).otherwise(F.col("_q") - F.col("dq")))
     same = F.col("_qp") * F.col("dq") >= 0
@@ -38,7 +38,7 @@ def build_positions(fills: DataFrame, order: list[str], block, key: str = "symbo
         "_a": F.when(F.col("_qp") == 0, 0.0).when(same, 1.0).when(reduce_, F.col("position") / F.nullif("_qp", F.lit(0.0)))
         .otherwise(0.0),
         "_b": F.when(same, F.col("price") * F.col("dq")).when(flip, F.col("price") * F.col("position")).otherwise(0.0)})
-    d = affine_scan(d, key, "_a", "_b", "cost_basis", "_cp")
+    d = affine_scan(cut_lineage(d), key, "_a", "_b", "cost_basis", "_cp")
     avg_prev = div("_cp", "_qp")
     closed = F.when(~same, F.least(F.abs("dq"), F.abs("_qp"))).otherwise(0.0)
     return d.withColumns({

@@ -48,7 +48,7 @@ def walk_forward_folds(df: DataFrame, ts: str = "ts", train: int = 24, val: int
     t1 = (F.lit(train) + col("fold") * step) * month_days
     d = d.withColumns({"train_end": t1, "val_end": t1 + val * month_days, "test_end": t1 + (val + test) * month_days,
                        "train_start": F.lit(0) if expanding else col("fold") * step * month_days}).filter(col("test_end") <= col("span"))
-    slots = d.withColumn("day", F.explode(F.sequence(col("train_start"), col("test_end") - 1)).cast("long"))
+    slots = d.withColumn("day", F.explode(F.sequence(col("train_start").cast("long"), (col("test_end") - 1).cast("long"))))
     x = col("day")
     g = slots.join(days, "day").groupBy("fold", "train_start", "train_end", "val_end", "test_end").agg(
         F.sum(F.when(x < col("train_end"), col("n")).otherwise(0)).alias("train_rows"),

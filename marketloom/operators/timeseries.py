@@ -170,25 +170,27 @@ def ewm_scan(df: DataFrame, terms: Sequence[Ewm], s: Ordered) -> DataFrame:
 
 # --------------------------------------------------------------------------- unbounded keys: index, chunks, halo
 
-def index_rows(df: DataFrame, keys, order, block: Column, out: str = "_i") -> DataFrame:
+def index_rows(df: DataFrame, keys, order, block: Column, out: str = "_i",
+               totals: dict[str, str] | None = None) -> DataFrame:
     """Exact 1-based row index per key without sorting a whole key in one task.
 
     ``block`` must be monotone in the leading order column (for instance the day); rows are numbered inside
-    (key, block) and shifted by the running block counts, a table of one row per key and block.
+    (key, block) and shifted by the running block counts, a table of one row per key and block.  ``totals`` maps
+    new columns to value columns and adds their running sums the same way.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
+    sums = {"_n": F.lit(1), **{f"_t_{o}": F.col(v) for o, v in (totals or {}).items()}}
     d = df.withColumn("_b", block)
-    blocks = d.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = d.groupBy(*keys, "_b").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(BIG, -1)
-    blocks = blocks.select(*keys, "_b", F.coalesce(F.sum("_n").over(wk), F.lit(0)).alias("_off"))
-    wb = Window.partitionBy(*keys, "_b").orderBy(*order)
-    return (
-        d.withColumn("_rn", F.row_number().over(wb))
-        .join(blocks, [*keys, "_b"])
-        .withColumn(out, F.col("_rn") + F.col("_off"))
-        .drop("_rn", "_off", "_b")
-    )
+    blocks = blocks.select(*keys, "_b", *[F.coalesce(F.sum(n).over(wk), F.lit(0)).alias(n) for n in sums])
+    wb = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(BIG, 0)
+    inner = d.withColumns({"_rn": F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)),
+                           **{o: F.sum(v).over(wb) for o, v in (totals or {}).items()}})
+    j = inner.join(blocks, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_n"))
+    j = j.withColumns({o: F.col(o) + F.col(f"_t_{o}") for o in (totals or {})}) if totals else j
+    return j.drop("_rn", "_b", *sums)
 
 
 def chunk_with_halo(df: DataFrame, halo: int, rows: int = 65536, index: str = "_i") -> DataFrame:
@@ -208,12 +210,13 @@ def chunk_with_halo(df: DataFrame, halo: int, rows: int = 65536, index: str = "_
 
 
 def affine_scan(df: DataFrame, keys, a: str, b: str, out: str, prev: str, index: str = "_i",
-                rows: int = 64, levels: int = 3) -> DataFrame:
+                rows: int = 128, levels: int = 1) -> DataFrame:
     """y = a*y_prev + b with per-row coefficients (a >= 0) over an unbounded key.
 
     Inside a chunk of ``rows`` rows, y is a running product times a running sum, restarted where a is 0; affine maps
     compose, so each chunk leaves one (A, B) and the table of chunks is scanned the same way.  Only keys with more
-    than one chunk reach the next level; what is left at the top, rows / 64^(levels+1) per key, is folded in a task.
+    than one chunk reach the next level; what is left at the top, n / rows^(levels+1) per key (a billion rows leave about
+    sixty thousand), is folded in a task.  The input is read once per level and side: cut its lineage first.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     d = df.withColumn("_ck", F.floor((F.col(index) - 1) / rows).cast("long"))
@@ -249,17 +252,6 @@ def affine_scan(df: DataFrame, keys, a: str, b: str, out: str, prev: str, index:
     return d.drop("_ck", "_seg", "_p", "_y", "_m", "_carry")
 
 
-def running_total(df: DataFrame, keys, value: str, out: str, index: str = "_i", rows: int = 65536) -> DataFrame:
-    """Running sum over an indexed, unbounded key: sums inside row chunks plus the running chunk totals."""
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    d = df.withColumn("_ck", F.floor((F.col(index) - 1) / rows).cast("long"))
-    tot = d.groupBy(*keys, "_ck").agg(F.sum(value).alias("_t"))
-    wk = Window.partitionBy(*keys).orderBy("_ck").rowsBetween(BIG, -1)
-    tot = tot.select(*keys, "_ck", F.coalesce(F.sum("_t").over(wk), F.lit(0.0)).alias("_off"))
-    wc = Window.partitionBy(*keys, "_ck").orderBy(index).rowsBetween(BIG, 0)
-    return d.join(tot, [*keys, "_ck"]).withColumn(out, F.sum(value).over(wc) + F.col("_off")).drop("_ck", "_off")
-
-
 # --------------------------------------------------------------------------- joins on time
 
 def asof_join(left: DataFrame, right: DataFrame, keys, cols: Sequence[str], left_ts: str = "ts",
