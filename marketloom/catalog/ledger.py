@@ -48,7 +48,7 @@ def _ledger(m):
     return ledger(m)
 
 
-_sum = "symbol{} qty:d avg_price:d realized_pnl:d4 commission:d4 max_qty:d fills:i"
+_sum = "symbol{} qty:d avg_price:d8 realized_pnl:d commission:d max_qty:d fills:i"
 _sum_sql = """SELECT symbol, arg_max(position, rn) AS qty, arg_max(CASE WHEN position = 0 THEN 0 ELSE avg_price END, rn) AS avg_price,
     sum(realized) AS realized_pnl, sum(commission) AS commission, max(abs(position)) AS max_qty, count(*) AS fills FROM {} GROUP BY 1"""
 
