@@ -9,6 +9,7 @@ from ..operators import book as bk
 from ..operators import impact as im
 from ..operators import tca
 from ..operators.timeseries import Ordered, asof_join, chunk_with_halo, index_rows
+from ..session import cut_lineage
 from ..sources.bars import ohlcv_bars
 from . import technical as _technical  # noqa: F401  (defines shared tables)
 from .base import add_base, query
@@ -301,7 +302,7 @@ add_base("venue_book", """SELECT symbol, venue, stddev_pop(price) AS cost, sum(q
       size * 0.01 THEN a ELSE 0 END FROM (SELECT w.order_id, w.symbol, w.size, w.rest, v.k, v.venue, least(v.capacity, w.rest * 0.5)
       AS a FROM w JOIN v ON v.symbol = w.symbol AND v.k = w.k + 1)),
     u AS (SELECT order_id, size, venue, q FROM w WHERE q > 0 UNION ALL SELECT order_id, size, (SELECT any_value(big) FROM v WHERE
-      v.symbol = f.symbol), rest FROM w f WHERE k = 4)
+      v.symbol = f.symbol), rest FROM w f WHERE k = (SELECT max(k) FROM v WHERE v.symbol = f.symbol) AND rest > 0)
     SELECT order_id, venue, sum(q) AS qty, sum(q) / any_value(size) AS share FROM u GROUP BY 1, 2""")
 def _alloc(m):
     o = m.parents().select("order_id", "symbol", col("order_qty").alias("size"))
@@ -364,8 +365,9 @@ def _shortfall(m):
 
 
 def venue_ex(m):
-    c = costed(m).select("order_id", "venue", "qty", "impact_bps", "slippage_bps")
-    return c.join(rolled(m).select("order_id", "fill_rate", "duration_s"), "order_id")
+    c = cut_lineage(costed(m))
+    r = tca.order_rollup(c, m.parents()).select("order_id", "fill_rate", "duration_s")
+    return c.select("order_id", "venue", "qty", "impact_bps", "slippage_bps").join(r, "order_id")
 
 
 add_base("venue_ex", """SELECT c.order_id, venue, c.qty, c.impact_bps, c.slippage_bps, fill_rate, duration_s FROM costed c JOIN rolled

@@ -271,7 +271,7 @@ def threshold_alerts(m: DataFrame, accuracy: float = 0.5, sharpe: float = 0.5, d
 
 def ensemble_vote(p: DataFrame, weights: DataFrame, row: str = "event_id") -> DataFrame:
     """Long predictions (row, model, score, pred) to soft, hard and weighted votes; a row has one entry per model."""
-    j = p.join(F.broadcast(weights.select("model", "w")), "model")
+    j = p.join(weights.select("model", "w"), "model")
     g = j.groupBy(row).agg(F.avg("score").alias("soft"), div(F.sum(col("score") * col("w")), F.sum("w")).alias("weighted"),
                            F.sum(F.when(col("pred") == 1, 1).otherwise(-1)).alias("_v"))
     return g.withColumn("hard", F.when(col("_v") > 0, 1).otherwise(0)).drop("_v")

@@ -81,7 +81,7 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (classes * n_class)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     one = c.agg(F.struct(F.sum("_n").alias("n"), F.count(F.lit(1)).alias("k"))).scalar()
-    return df.join(F.broadcast(c.select(label, (one["n"] / (one["k"] * col("_n"))).alias("class_weight"))), label)
+    return df.join(c.select(label, (one["n"] / (one["k"] * col("_n"))).alias("class_weight")), label)
 
 
 def regime_classifier(df: DataFrame, features: Sequence[str], split_ts, label: str = "regime", trees: int = 20, seed: int = 7):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip
@@ -29,6 +29,12 @@ class Market:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """Text tables are CPU-bound: spread them when there are fewer files than cores, never on a large table."""
+        df = self.raw(name)
+        cores = self.spark.sparkContext.defaultParallelism
+        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
     # -- market data
     def ticks(self, events: DataFrame | None = None) -> DataFrame:
         e = self.raw("events") if events is None else events
@@ -50,7 +56,6 @@ class Market:
     def positions(self) -> DataFrame:
         t = self.ticks()
         g = t.groupBy((F.col("user_id") % 10).alias("portfolio_id"), "symbol").agg(F.sum("qty").alias("q"))
-        from pyspark.sql import Window
         w = Window.partitionBy("portfolio_id")
         return g.select("portfolio_id", "symbol", (F.col("q") / F.sum("q").over(w)).alias("weight"))
 
@@ -70,7 +75,7 @@ class Market:
 
     # -- text
     def posts(self) -> DataFrame:
-        d = self.raw("documents")
+        d = self.texts("documents")
         swaps = F.create_map(*[F.lit(x) for kv in STAND_INS.items() for x in kv])
         words = F.transform(F.split("text", " "), lambda w: F.coalesce(swaps[F.lower(w)], w))
         i = F.col("doc_id")
@@ -90,7 +95,7 @@ class Market:
                         "momentum")
 
     def articles(self) -> DataFrame:
-        d = self.raw("pages")
+        d = self.texts("pages")
         i = F.col("page_id")
         swaps = F.create_map(*[F.lit(x) for kv in STAND_INS.items() for x in kv])
         def swapped(c):

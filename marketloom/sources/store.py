@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import col
 from ..operators.timeseries import latest
+from ..session import cut_lineage
 
 
 def _window(df: DataFrame, ts: str, start, end, limit, newest_tie: Sequence[str]) -> DataFrame:
@@ -64,8 +65,7 @@ def upsert_partitions(target_path: str, batch: DataFrame, keys: Sequence[str], o
     """Merge a batch into a partitioned table, rewriting only the partitions the batch touches."""
     spark = batch.sparkSession
     existing = spark.read.parquet(target_path)
-    touched = existing.join(F.broadcast(batch.select(partition).distinct()), partition, "left_semi")
-    from ..session import cut_lineage
+    touched = existing.join(batch.select(partition).distinct(), partition, "left_semi")
     merged = cut_lineage(upsert(touched, batch, keys, order))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(
         target_path)
