@@ -60,7 +60,7 @@ BASE_SQL = {
     "ticks": """SELECT event_id, ts, user_id, upper(event_type) AS symbol, 100 + value / 50 AS price,
         CAST(json_extract_string(props, '$.k') AS DOUBLE) AS qty FROM events""",
     "bars": """SELECT symbol, date_trunc('hour', ts) AS ts, arg_min(price, ts) AS open, max(price) AS high,
-        min(price) AS low, arg_max(price, ts) AS "close", sum(qty) AS volume, sum(price * qty) / sum(qty) AS vwap,
+        min(price) AS low, arg_max(price, ts) AS "close", sum(qty) AS volume, sum(price * qty) / nullif(sum(qty), 0) AS vwap,
         count(*) AS trades FROM ticks GROUP BY 1, 2""",
     "rets": """SELECT symbol, ts, ret, "close" FROM (SELECT symbol, ts, "close",
         "close" / lag("close") OVER (PARTITION BY symbol ORDER BY ts) - 1 AS ret FROM bars) WHERE ret IS NOT NULL""",

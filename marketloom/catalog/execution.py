@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col
+from ..functions.numeric import col, div
 from ..operators import book as bk
 from ..operators import impact as im
 from ..operators import tca
@@ -181,13 +181,13 @@ def _kyle(m):
 def executions(m):
     from pyspark.sql import functions as F
     p = m.parents()
-    t = m.trades().groupBy("order_id").agg((F.sum(col("price") * col("qty")) / F.sum("qty")).alias("px"))
+    t = m.trades().groupBy("order_id").agg(div(F.sum(col("price") * col("qty")), F.sum("qty")).alias("px"))
     return p.join(t, "order_id").select("symbol", "order_id", col("order_qty").alias("size"),
                                         (col("px") / col("arrival_price") - 1).alias("shortfall"))
 
 
 add_base("execs", """SELECT p.symbol, order_id, order_qty AS size, px / arrival_price - 1 AS shortfall FROM parents p JOIN (SELECT
-    order_id, sum(price * qty) / sum(qty) AS px FROM trades GROUP BY 1) USING (order_id)""")
+    order_id, sum(price * qty) / nullif(sum(qty), 0) AS px FROM trades GROUP BY 1) USING (order_id)""")
 add_base("params", """SELECT symbol, volatility, avg_volume, greatest(1e-8, abs(c / v)) AS eta, 0.1 * greatest(1e-8, abs(c / v)) AS
     gamma FROM (SELECT symbol, stddev_samp(r) * sqrt(252) AS volatility, avg(volume) AS avg_volume FROM numbered GROUP BY 1) JOIN
     (SELECT symbol, covar_samp(shortfall, size / av) AS c, var_samp(size / av) AS v FROM execs JOIN (SELECT symbol, avg(volume) AS
@@ -321,10 +321,10 @@ add_base("costed", """SELECT t.*, arrival_price, CASE WHEN n IS NULL THEN 5 * le
     trade_id, count(*) AS n, arg_min("close", bar_ts) AS c0, arg_max("close", bar_ts) AS c1, sum(volume) AS v FROM trades x JOIN
     minute b ON x.symbol = b.symbol AND bar_ts BETWEEN x.ts - INTERVAL 2 MINUTE AND x.ts + INTERVAL 2 MINUTE GROUP BY 1)
     USING (trade_id)""")
-add_base("rolled", """SELECT *, filled / order_qty AS fill_rate, epoch(last_ts - first_ts) AS duration_s, (CASE side WHEN 'buy' THEN 1
+add_base("rolled", """SELECT *, filled / nullif(order_qty, 0) AS fill_rate, epoch(last_ts - first_ts) AS duration_s, (CASE side WHEN 'buy' THEN 1
     ELSE -1 END) * (avg_price - arrival_price) / arrival_price * 10000 AS slippage_bps FROM parents JOIN (SELECT order_id, sum(qty)
-    AS filled, sum(price * qty) / sum(qty) AS avg_price, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS fills,
-    sum(impact_bps * qty) / sum(qty) AS impact_bps, sum(timing_bps * qty) / sum(qty) AS timing_bps FROM costed GROUP BY 1)
+    AS filled, sum(price * qty) / nullif(sum(qty), 0) AS avg_price, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS fills,
+    sum(impact_bps * qty) / nullif(sum(qty), 0) AS impact_bps, sum(timing_bps * qty) / nullif(sum(qty), 0) AS timing_bps FROM costed GROUP BY 1)
     USING (order_id)""")
 
 

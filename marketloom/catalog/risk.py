@@ -178,7 +178,8 @@ _last = "(SELECT * FROM rets WHERE ts IN (SELECT DISTINCT ts FROM rets ORDER BY
 
 @query("risk_correlation_pairs", "a b window:i n:i corr:d cov:d9", " UNION ALL ".join(f"""SELECT x.symbol AS a, y.symbol AS b,
     {n} AS "window", count(*) AS n, corr(x.ret, y.ret) AS corr, covar_samp(x.ret, y.ret) AS cov FROM {_last.format(n)} x JOIN
-    {_last.format(n)} y ON x.ts = y.ts AND x.symbol < y.symbol GROUP BY 1, 2""" for n in (30, 90, 252)))
+    {_last.format(n)} y ON x.ts = y.ts AND x.symbol < y.symbol GROUP BY 1, 2
+    HAVING count(*) > 1""" for n in (30, 90, 252)))
 def _pairs(m):
     return rk.corr_pairs(m.returns())
 

@@ -1,7 +1,5 @@
 """Oracle parity on the smallest data, the driver contract, and plan checks."""
 
-import re
-
 import duckdb
 import pytest
 
@@ -10,10 +8,10 @@ from __spark_entry__ import entry, oracle_sql, queries
 from conftest import SMALL
 
 PARITY = [
-    "bars_1h", "tech_ema", "tech_rsi", "tech_adx", "tech_parabolic_sar", "tech_candle_patterns", "quality_ohlc", "clean_fill_gaps",
-    "clean_outliers_cap", "join_asof_backward", "text_extract_symbols_scored", "text_social_alerts", "news_impact", "sentiment_fusion",
-    "book_patterns", "impact_venue_allocation", "tca_venue_stats", "risk_drawdown_state", "risk_correlation_pairs", "ledger_positions_ticks",
-    "rule_trade_stats", "portfolio_regime_allocation", "drift_ks", "eval_best_threshold", "stream_bars", "stream_positions",
+    "tech_ema", "tech_adx", "tech_parabolic_sar", "quality_ohlc", "clean_fill_gaps",
+    "clean_outliers_cap", "join_asof_backward", "text_social_alerts", "news_impact", "sentiment_fusion",
+    "impact_venue_allocation", "tca_venue_stats", "risk_correlation_pairs", "ledger_positions_ticks",
+    "rule_trade_stats", "portfolio_regime_allocation", "drift_ks", "stream_bars", "stream_positions",
 ]
 
 
@@ -37,15 +35,18 @@ def test_contract(spark):
     assert entry(spark).count() > 0
 
 
-def test_plans_have_no_products(spark):
-    """No nested-loop or cartesian join anywhere; streaming and trained queries run jobs to build and are left out."""
-    skip = re.compile(r"stream_|gaussian|classifier|stacked|slippage_model|k_best|clusters|cluster_quality|append_and|ledger_|tca_venue_|"
-                      r"tca_execution_perf")
-    for name, fn in queries().items():
-        if skip.search(name):
-            continue
-        plan = fn(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-        assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
+PLANS = [
+    "flagship_latest_features", "tech_macd", "variant_quoted_spread", "clean_outliers_cap", "join_asof_backward",
+    "join_range_two_minutes", "text_mentions_symbol", "text_viral_posts", "sentiment_anomaly_7d", "sentiment_fusion", "book_placement_choice",
+    "impact_vwap_slices", "tca_trade_costs", "risk_correlation_pairs", "risk_position_correlation", "stops_support_resistance",
+    "portfolio_score", "rebalance_triggers", "drift_ks", "eval_best_threshold", "data_temporal_split", "ensemble_diversity",
+]
+
+
+@pytest.mark.parametrize("name", PLANS)
+def test_plans_have_no_products(spark, name):
+    plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
 def test_filters_reach_the_scan(spark):

@@ -18,7 +18,7 @@ BAR = "symbol string, ts timestamp_ntz, open double, high double, low double, cl
 
 
 def bars(spark, closes, symbol="A"):
-    rows = [(symbol, T0 + dt.timedelta(hours=i), c - 0.5, c + 1.0, c - 1.0, c, 10.0 + i % 3) for i, c in enumerate(closes)]
+    rows = [(symbol, T0 + dt.timedelta(hours=i), c - 0.5, c + 1.0, c - 1.0, float(c), 10.0 + i % 3) for i, c in enumerate(closes)]
     return spark.createDataFrame(rows, BAR)
 
 
@@ -29,7 +29,7 @@ def test_unknown_timeframe(spark):
 
 def test_constant_prices_have_no_z_score(spark):
     b = bars(spark, [100.0] * 60)
-    d = technical.bollinger(technical.price_z(b)).filter("ts = (SELECT max(ts) FROM VALUES(1) t(ts))" if False else "z_10 IS NOT NULL")
+    d = technical.bollinger(technical.price_z(b)).filter("z_10 IS NOT NULL")
     assert d.count() == 0
     r = technical.rsi(b).orderBy(F.desc("ts")).first()
     assert r.rsi_14 is None  # no gain and no loss
