@@ -48,7 +48,7 @@ def _sessions(m):
     return ntz(sj.run_to_table(sj.stream_sessions(events(m), "user_id"), "sessions"), "start_ts", "end_ts")
 
 
-@query("stream_sentiment_24h", "symbol source ts sentiment:d9 mentions:i", """SELECT symbol, source, t AS ts, sum(score *
+@query("stream_sentiment_24h", "symbol source ts sentiment:d3 mentions:i", """SELECT symbol, source, t AS ts, sum(score *
     confidence) / nullif(sum(confidence), 0) AS sentiment, sum(mentions) AS mentions FROM (SELECT *, date_trunc('hour', ts) + to_hours(k) AS t FROM sent,
     (SELECT unnest(range(1, 25)) AS k)) WHERE t <= (SELECT wm FROM mark) GROUP BY 1, 2, 3""")
 def _sentiment(m):
