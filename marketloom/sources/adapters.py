@@ -80,7 +80,8 @@ class Market:
         words = F.transform(F.split("text", " "), lambda w: F.coalesce(swaps[F.lower(w)], w))
         i = F.col("doc_id")
         return d.select(
-            i.alias("id"), F.array_join(words, " ").alias("text"), F.col("source").alias("subreddit"),
+            # explode keeps the text from being inlined (and recomputed) in every expression that reads it
+            i.alias("id"), F.explode(F.array(F.array_join(words, " "))).alias("text"), F.col("source").alias("subreddit"),
             F.concat(F.lit("u"), (i % 97).cast("string")).alias("author"),
             (F.col("n_chars") % 2000).alias("score"), ((i * 7) % 300).alias("comments"), "lang",
             F.timestamp_micros(F.lit(1704067200000000) + (i * 7919 % 172800) * 1000000).cast("timestamp_ntz")
@@ -103,8 +104,9 @@ class Market:
         hosts = F.array(*[F.lit(s) for s in SOURCE_HOSTS])
         plain = F.regexp_replace(F.col("html"), r"<[^>]*>", " ")
         return d.select(
-            i.alias("id"), swapped(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"),
-            swapped(plain).alias("summary"), F.get(hosts, (i % 4).cast("int")).alias("source"),
+            i.alias("id"), F.inline(F.array(F.struct(
+                swapped(F.regexp_extract("html", r"<title>([^<]*)</title>", 1)).alias("title"),
+                swapped(plain).alias("summary")))), F.get(hosts, (i % 4).cast("int")).alias("source"),
             F.timestamp_micros(F.lit(1704067200000000) + (i * 7919 % 172800) * 1000000).cast("timestamp_ntz")
             .alias("ts"),
             ((i * 13) % 201 / 100.0 - 1).alias("score"), ((i % 10) / 10.0).alias("confidence"),
