@@ -1,13 +1,16 @@
-"""Session set-up and the places where lineage may be cut or streams may write."""
+"""Session set-up, the shared folder where lineage may be cut or streams may write, and shipping of this package."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_shipped: set[str] = set()
+
 
 def build_session(app: str = "marketloom", master: str | None = None, **conf: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -28,9 +31,15 @@ def build_session(app: str = "marketloom", master: str | None = None, **conf: st
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder named by the cluster; a local one only where none is set (tests)."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Where none is named, a session in one process (``local[n]``, as in tests) gets a folder of its own; on a cluster
+    that is an error, because executors would not see each other's files.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(root)
     return root
@@ -40,8 +49,37 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return os.path.join(shared_dir(spark), f"{label}-{uuid.uuid4().hex}")
 
 
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a stage folder through Spark's own file system layer."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def written(df: DataFrame, label: str = "stage") -> tuple[DataFrame, str]:
+    """Write to the shared folder and read back with the same schema; also returns the folder."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: survives executor loss, unlike a local checkpoint."""
-    path = scratch_path(df.sparkSession, "stage")
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return written(df)[0]
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors' Python this package, once per Spark application: closures name its modules."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="spark-"), "marketloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    sc.addPyFile(path)
+    _shipped.add(sc.applicationId)
