@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import arrow_output, packing, sharding
-from .common import table
+from . import arrow_output, decontaminate, langid, linededup, neardup_vectors, packing, sharding, toxicity
+from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,17 +32,69 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+@query("op1_line_dedup", linededup.duckdb_sql())
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query("op3_arrow_sequences")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2).select(
         "doc_id", "start", "n_tokens", "ids_crc32", "shard")
 
 
+@query("op4_kernel_langid")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, ~held_out(3, 1))
+    return langid.predict(docs.select("doc_id", "text"), model).select(
+        "doc_id", held_out(3, 1).alias("held_out"), "lang_pred", "score")
+
+
+DECONTAMINATION_SQL = r"""WITH
+    low AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+    items AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+    windows AS (SELECT DISTINCT item_id, len(k) AS size, array_to_string(k, ' ') AS k FROM (SELECT item_id,
+        w[s:s + 12] AS k FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS s FROM items WHERE len(w) > 0))),
+    sizes AS (SELECT DISTINCT size FROM windows),
+    places AS (SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS k FROM (SELECT doc_id, w, size,
+        unnest(range(1, len(w) - size + 2)) AS s FROM low, sizes WHERE len(w) >= size)),
+    hits AS (SELECT doc_id, item_id, s, p.size FROM places p JOIN windows USING (k)),
+    words AS (SELECT doc_id, count(DISTINCT i) AS n FROM (SELECT doc_id, unnest(range(s, s + size)) AS i FROM hits) GROUP BY doc_id),
+    found AS (SELECT doc_id, count(*) AS n, string_agg(id, ',' ORDER BY id) AS ids
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS id FROM hits) GROUP BY doc_id)
+    SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+        sha256(coalesce(ids, '')) AS items_sha256,
+        coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
+    FROM low LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""".replace("\\\\", "\\")
+
+
+@query("op5_prefix_decontamination", DECONTAMINATION_SQL)
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
+
+
 @query("op6_jump_shards")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
+@query("op7_cross_polytope")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_vectors.link_vectors(table(spark, sf_dir, "embeddings"), 0.98)
+
+
+@query("op9_clause_grammar")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), ~held_out(5, 0))
+    return toxicity.score(docs, model).select("doc_id", held_out(5, 0).alias("held_out"), "score", "predicted")
+
+
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=2048)
