@@ -27,9 +27,11 @@ from .common import slices
 
 #: Rows of each label that may be used for fitting; least distinct contexts and log-odds of a learned beginning;
 #: beginnings kept at most (the best supported ones).
-PER_LABEL, CONTEXTS, LOG_ODDS, ENTRIES = 10_000, 12, 2.5, 4096
+PER_LABEL, CONTEXTS, LOG_ODDS, ENTRIES = 10_000, 12, 4.5, 4096
 #: Lengths of a word beginning, in characters; reach of a transducer, in words.
 SHORTEST, LONGEST, REACH = 3, 7, 6
+#: Weight of a seed word that no labelled row supports.
+SEED_WEIGHT = 2.5
 
 #: Fixed word lists of the grammar.
 SEED_INSULTS = ("bastard", "creep", "cretin", "dumb", "fool", "idiot", "imbecile", "jerk", "loser", "moron", "pathetic",
@@ -59,8 +61,11 @@ class Grammar:
         words: dict[str, tuple[int, float]] = {}
         for kind, names in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
             words |= {w: (kind, 1.0) for w in names}
-        words |= {w: (INSULT, max(beginnings.get(w + "$", 0.0), LOG_ODDS)) for w in SEED_INSULTS}
-        return cls(beginnings, words)
+        grammar = cls(beginnings, words)
+        seeds = {w: grammar.classify(w) or (INSULT, SEED_WEIGHT) for w in SEED_INSULTS}
+        grammar.words |= seeds
+        grammar.memory.clear()
+        return grammar
 
     def classify(self, word: str) -> tuple[int, float] | None:
         found = self.words.get(word)
@@ -195,7 +200,7 @@ def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: floa
                     if word not in _ends and len(word) >= SHORTEST:
                         bit = 1 << (crc32(before.encode()) & 63) if toxic else 0
                         for key in beginnings_of(word):
-                            seen[key] = seen.get(key, 0) | bit
+                            seen.setdefault(key, bit)  # one context of each text
                     before = word
                 for key, mask in seen.items():
                     v = n.setdefault(key, [0, 0, 0])
@@ -210,10 +215,18 @@ def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: floa
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = rows.mapInArrow(count, "key string, toxic long, clean long, mask long").groupBy("key").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("mask").alias("mask"))
-    odds = (F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("clean") + 0.5) / (sizes.get(0, 0) + 1)))
+    odds = (F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("clean") + 1.5) / (sizes.get(0, 0) + 1)))
     best = (counts.withColumn("odds", odds).filter((F.bit_count("mask") >= contexts) & (F.col("odds") >= log_odds))
             .orderBy(F.desc("toxic"), "key").limit(entries).collect())
-    return {r["key"]: r["odds"] for r in best}
+    return most_specific([(r["key"], r["toxic"], r["odds"]) for r in best])
+
+
+def most_specific(found: list[tuple[str, int, float]], share: float = 0.9) -> dict[str, float]:
+    """Without the beginnings of which one longer beginning explains nearly all toxic rows (``mor`` beside ``moron$``)."""
+    support = {key: toxic for key, toxic, _ in found}
+    explained = {key[:n] for key, toxic, _ in found for n in range(SHORTEST, len(key))
+                 if toxic >= share * support.get(key[:n], float("inf"))}
+    return {key: odds for key, _, odds in found if key not in explained}
 
 
 EMITTED = "doc_id long, " + ", ".join(f"`{f}` double" for f in FEATURES)
