@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_output, decontaminate, langid, linededup, neardup_vectors, packing, sharding, toxicity
+from . import arrow_output, decontaminate, langid, language_model, linededup, neardup_text, neardup_vectors, packing, sharding, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,13 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query("op2_gated_lm")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_model.score_documents(docs, ~held_out(5, 1)).select(
+        "doc_id", held_out(5, 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("op3_arrow_sequences")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return arrow_output.token_files(table(spark, sf_dir, "documents"), vocabulary(), end_id=2).select(
@@ -88,6 +95,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
+@query("op8_fast_minhash")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_clause_grammar")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
