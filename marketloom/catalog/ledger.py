@@ -27,14 +27,14 @@ def walk(src: str, key: str, order: str) -> str:
 
 
 # Trades with sides changing every trade, so that positions grow, shrink and flip.
-add_base("moves_t", """SELECT trade_id, symbol, ts, price, CASE WHEN qty = 0 THEN 1 ELSE qty END AS qty, CASE WHEN trade_id % 7 < 4 THEN
+add_base("moves_t", """SELECT trade_id, symbol, ts, price, qty, CASE WHEN trade_id % 7 < 4 THEN
     'buy' ELSE 'sell' END AS side, price * qty * 0.001 AS commission FROM trades""")
 add_base("ledger_t", "SELECT * FROM " + walk("moves_t", "symbol", "ts, trade_id"))
 add_base("ledger_f", "SELECT * FROM " + walk("fills", "symbol", "ts, order_id, line, supp, qty, price, side, commission"))
 
 
 def trades(m):
-    return m.trades().select("trade_id", "symbol", "ts", "price", F.when(col("qty") == 0, 1.0).otherwise(col("qty")).alias("qty"),
+    return m.trades().select("trade_id", "symbol", "ts", "price", "qty",
                              F.when(col("trade_id") % 7 < 4, "buy").otherwise("sell").alias("side"),
                              (col("price") * col("qty") * 0.001).alias("commission"))
 
@@ -187,9 +187,8 @@ def _alerts(m):
 
 @query("account_alert_cooldown", "symbol event_id:i ts", """WITH RECURSIVE c AS (SELECT symbol, ts, event_id, row_number() OVER (PARTITION BY
     symbol ORDER BY ts, event_id) AS rn FROM ticks WHERE qty > 60), w AS (SELECT symbol, rn, ts, event_id, ts AS last_ts, true AS emitted FROM c
-    WHERE rn = 1 UNION ALL SELECT c.symbol, c.rn, c.ts, c.event_id, CASE WHEN date_trunc('second', c.ts) -
-    date_trunc('second', w.last_ts) >= INTERVAL 60 MINUTE THEN c.ts ELSE w.last_ts END, date_trunc('second', c.ts) - date_trunc('second',
-    w.last_ts) >= INTERVAL 60 MINUTE FROM w JOIN c ON c.symbol = w.symbol AND c.rn = w.rn + 1) SELECT * FROM w WHERE emitted""")
+    WHERE rn = 1 UNION ALL SELECT c.symbol, c.rn, c.ts, c.event_id, CASE WHEN c.ts - w.last_ts >= INTERVAL 60 MINUTE THEN c.ts
+    ELSE w.last_ts END, c.ts - w.last_ts >= INTERVAL 60 MINUTE FROM w JOIN c ON c.symbol = w.symbol AND c.rn = w.rn + 1) SELECT * FROM w WHERE emitted""")
 def _cooldown(m):
     a = m.ticks().filter("qty > 60").select("symbol", "ts", "event_id")
     return mc.alert_cooldown(a, ["symbol"], 60, ["event_id"])

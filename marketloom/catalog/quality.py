@@ -163,10 +163,9 @@ _ROW = """(SELECT event_id, avg(value) AS mu, stddev_pop(value) AS sd, count(*)
 
 @query("quality_feature_outliers", "event_id:i name value:d z:d", f"""
     SELECT event_id, name, value, (value - mu) / sd AS z FROM feature_long JOIN {_ROW} USING (event_id)
-    WHERE n > 10 AND sd > 0 AND isfinite(value) AND abs((value - mu) / sd) > 3""")
+    WHERE n > 10 AND sd > 0 AND abs((value - mu) / sd) > 3""")
 def _outlying(m):
-    d = q.feature_outliers(feature_rows(m), z=3.0)
-    return d.filter(F.abs("value") != float("inf")).filter(~F.isnan("value"))
+    return q.feature_outliers(feature_rows(m), z=3.0)
 
 
 _score = """SELECT b.symbol, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings,
@@ -222,7 +221,7 @@ def _repair(m):
     SELECT symbol, ts, CASE WHEN open >= 0.001 THEN open END AS open, greatest(volume, 0) AS volume FROM faulty
     WHERE volume <> 0""")
 def _low(m):
-    return cl.repair_low_values(faulty(m).filter("volume <> 0"), drop_zero_volume=False)
+    return cl.repair_low_values(faulty(m), drop_zero_volume=True)
 
 
 @query("clean_sentiment_fields", "event_id:i score:d confidence:d mentions:i source", """
@@ -294,12 +293,11 @@ for _method, _sql in {
 @query("clean_feature_outliers_clip", "event_id:i name value:d2", f"""
     SELECT event_id, name, CASE WHEN value IS NULL OR isnan(value) THEN NULL WHEN n > 10 AND sd > 0 THEN
     least(greatest(value, mu - 3 * sd), mu + 3 * sd) ELSE value END AS value
-    FROM feature_long JOIN {_ROW} USING (event_id) WHERE NOT (isinf(value) AND n <= 10) OR value IS NULL""")
+    FROM feature_long JOIN {_ROW} USING (event_id)""")
 def _feature_clip(m):
     d = cl.clip_feature_outliers(feature_rows(m), z=3.0)
     d = d.select("event_id", F.explode("features").alias("name", "value"))
-    return d.withColumn("value", F.when(~F.isnan("value"), col("value"))).filter(
-        col("value").isNull() | (F.abs("value") != float("inf")))
+    return d.withColumn("value", F.when(~F.isnan("value"), col("value")))
 
 
 @query("clean_fill_gaps", "symbol ts close:d volume:d filled:b", f"""

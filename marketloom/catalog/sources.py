@@ -311,11 +311,11 @@ def _union(m):
 
 
 @query("set_universe_union_distinct", "symbol:i", """SELECT symbol FROM (SELECT l_partkey AS symbol FROM lineitem
-    WHERE l_quantity = 50 UNION SELECT p_partkey FROM part WHERE p_size > 45) ORDER BY symbol LIMIT 50""")
+    WHERE l_quantity = 50 UNION SELECT p_partkey FROM part WHERE p_size > 45)""")
 def _universe(m):
     a = m.raw("lineitem").filter("l_quantity = 50").select(col("l_partkey").alias("symbol"))
     b = m.raw("part").filter("p_size > 45").select(col("p_partkey").alias("symbol"))
-    return a.union(b).distinct().orderBy("symbol").limit(50)
+    return a.union(b).distinct()
 
 
 @query("set_except_intersect", "id:i extra:i shared:i", """SELECT conv_id AS id,

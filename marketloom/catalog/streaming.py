@@ -59,7 +59,7 @@ def _sentiment(m):
        "SELECT trade_id, position, CASE WHEN position = 0 THEN 0 ELSE avg_price END AS avg_price, realized FROM ledger_t")
 def _positions(m):
     t = m.ticks(events(m)).select(
-        col("event_id").alias("trade_id"), "symbol", "ts", "price", F.when(col("qty") == 0, 1.0).otherwise(col("qty")).alias("qty"),
+        col("event_id").alias("trade_id"), "symbol", "ts", "price", "qty",
         F.when(col("event_id") % 7 < 4, "buy").otherwise("sell").alias("side"))
     return sj.run_to_table(sj.stream_positions(t), "positions")
 

@@ -439,7 +439,7 @@ add_base("filed", f"""SELECT k AS id, c, CASE WHEN k % 8 = 7 THEN DATE '2001-09-
 
 
 def trades(m):
-    return nw.normalize_trades(filings(m), "2001-09-01", 0.0, 36500)
+    return nw.normalize_trades(filings(m), "2001-09-01")
 
 
 @query("political_normalize_trades", "id:i trade_date value:d symbol party influence:i trade_type",

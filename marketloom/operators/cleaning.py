@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, col, let
 from .quality import MAX_FEATURE, OUTLIER_Z, row_z_stats
-from .timeseries import BIG, Ordered, exact_percentiles, ordered_running, time_grid
+from .timeseries import BIG, Ordered, exact_percentiles, join_on, ordered_running, time_grid
 
 # Spellings of a source and its canonical name.
 SOURCE_SYNONYMS = {
@@ -69,7 +69,7 @@ def impute(df: DataFrame, cols: Sequence[str], strategy: str, s: Ordered = Order
     if strategy == "median":
         for c in cols:
             med = exact_percentiles(df, s.keys, c, {"_med": 0.5})
-            df = df.join(med, s.keys, "left").withColumn(c, F.coalesce(c, "_med")).drop("_med")
+            df = join_on(df, med, s.keys, "left").withColumn(c, F.coalesce(c, "_med")).drop("_med")
         return df
     if strategy != "interpolate":
         raise ValueError(f"unknown strategy {strategy!r}")
@@ -105,15 +105,15 @@ def outliers(df: DataFrame, c: str, method: str, keys=("symbol",), z: float = OU
     worst = F.greatest(F.col("_hi") - m, m - F.col("_lo")) / F.nullif(sd, F.lit(0.0))
     st = st.withColumn("_act", F.coalesce((F.col("_n") >= min_n) & (worst > z), F.lit(False)))
     if method == "remove":
-        d = df.join(st, keys)
+        d = join_on(df, st, keys)
         far = F.coalesce(F.col("_act") & (F.abs(F.col(c) - m) / F.nullif(sd, F.lit(0.0)) > z), F.lit(False))
         d = d.filter(~far)
     elif method == "clip":
-        d = df.join(st, keys).withColumn(c, F.when(F.col("_act") & F.col(c).isNotNull(), F.least(F.greatest(
+        d = join_on(df, st, keys).withColumn(c, F.when(F.col("_act") & F.col(c).isNotNull(), F.least(F.greatest(
             F.col(c), m - z * sd), m + z * sd)).otherwise(F.col(c)))
     elif method == "cap":
         lim = exact_percentiles(df, keys, c, {"_p1": 0.01, "_p99": 0.99}, resolution)
-        d = df.join(st.join(lim, keys, "left"), keys).withColumn(
+        d = join_on(df, join_on(st, lim, keys, "left"), keys).withColumn(
             c, F.when(F.col("_act") & F.col(c).isNotNull(), F.least(F.greatest(F.col(c), "_p1"), "_p99"))
             .otherwise(F.col(c))).drop("_p1", "_p99")
     elif method == "winsorize":
@@ -122,7 +122,7 @@ def outliers(df: DataFrame, c: str, method: str, keys=("symbol",), z: float = OU
         low = F.min(F.when(F.col("cum__k") > cut, F.col(c)))
         high = F.max(F.when(F.col("all__k") - F.col("cum__k") + F.col("_k") > cut, F.col(c)))
         lim = run.groupBy(*keys).agg(low.alias("_wl"), high.alias("_wh"))
-        d = df.join(st.join(lim, keys, "left"), keys).withColumn(
+        d = join_on(df, join_on(st, lim, keys, "left"), keys).withColumn(
             c, F.when(F.col("_act") & F.col(c).isNotNull(), F.least(F.greatest(F.col(c), "_wl"), "_wh"))
             .otherwise(F.col(c))).drop("_wl", "_wh")
     else:

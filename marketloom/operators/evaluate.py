@@ -7,6 +7,7 @@ Row-level inputs are reduced by aggregation; anything that needs an order over u
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import col, div, normal_cdf
 from .risk import YEAR, P
-from .timeseries import Ordered, exact_percentiles, ordered_running
+from .timeseries import Ordered, exact_percentiles, join_on, ordered_running
 
 
 
@@ -34,14 +35,14 @@ def return_metrics(dd: DataFrame, periods: DataFrame) -> DataFrame:
     g = g.withColumns({"sharpe": col("_s") * F.sqrt(F.lit(YEAR)), "calmar": div("annual_return", F.abs("max_drawdown"))}).drop("_s")
     longest = periods.groupBy("portfolio_id").agg(F.max("bars").alias("drawdown_duration"))
     q = exact_percentiles(dd, "portfolio_id", "ret", {"var_5": 0.05}, 1_000_000)
-    tail = dd.join(q, "portfolio_id").filter(r <= col("var_5")).groupBy("portfolio_id").agg(F.avg(r).alias("cvar_5"))
-    return g.join(longest, "portfolio_id", "left").join(q, "portfolio_id").join(tail, "portfolio_id")
+    tail = join_on(dd, q, "portfolio_id").filter(r <= col("var_5")).groupBy("portfolio_id").agg(F.avg(r).alias("cvar_5"))
+    return reduce(lambda d, x: join_on(d, x, "portfolio_id", "left"), (longest, q, tail), g)
 
 
 def risk_tail(pr: DataFrame) -> DataFrame:
     r = col("ret")
     q = exact_percentiles(pr, "portfolio_id", "ret", {"var_1": 0.01, "var_5": 0.05, "var_10": 0.1, "p95": 0.95}, 1_000_000)
-    d = pr.join(q, "portfolio_id")
+    d = join_on(pr, q, "portfolio_id", "left")
     g = d.groupBy("portfolio_id").agg(
         *[F.max(c).alias(c) for c in ("var_1", "var_5", "var_10")],
         *[F.avg(F.when(r <= col(f"var_{k}"), r)).alias(f"cvar_{k}") for k in (1, 5, 10)],

@@ -124,7 +124,8 @@ def iceberg_slices(orders: DataFrame, bars: DataFrame) -> DataFrame:
     shown = F.when(ratio > 0.5, 0.05).when(ratio > 0.2, 0.08).otherwise(0.15)
     d = d.withColumn("visible", shown)
     piece = F.greatest(col("size") * col("visible"), F.lit(1.0), col("size") * 0.02)
-    d = d.withColumn("_p", piece).withColumn("slice", F.explode(F.sequence(F.lit(1), F.lit(20))))
+    d = d.withColumn("_p", piece).withColumn("slice", F.explode(F.sequence(F.lit(1), F.greatest(
+        F.lit(1), F.ceil(col("size") / col("_p")).cast("int")))))
     left = col("size") - (col("slice") - 1) * col("_p")
     d = d.withColumn("slice_size", F.least(col("_p"), left)).filter(col("slice_size") > 1e-9)
     return d.select("order_id", "symbol", "slice", "visible", "slice_size", ((col("slice") - 1) * 45).alias("start_s"))
@@ -157,8 +158,9 @@ def venue_allocation(orders: DataFrame, venues: DataFrame, max_share: float = 0.
 
 
 def impact_analytics(d: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    from .timeseries import exact_percentiles
+    from .timeseries import exact_percentiles, join_on
     b = col("impact_bps")
     g = d.groupBy(*keys).agg(F.avg(b).alias("avg_bps"), F.stddev_pop(b).alias("sd_bps"), F.count(b).alias("n"),
                              *[F.count_if(col("risk_class") == c).alias(c) for c in ("low", "medium", "high", "very_high")])
-    return g.join(exact_percentiles(d, list(keys), "impact_bps", {"p50": 0.5, "p95": 0.95}), list(keys))
+    q = exact_percentiles(d, list(keys), "impact_bps", {"p50": 0.5, "p95": 0.95})
+    return join_on(g, q, list(keys), "left") if keys else g.crossJoin(q)

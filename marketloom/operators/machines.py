@@ -63,19 +63,18 @@ def cooldown_step(last, row, minutes=15.0):
 
 
 def alert_cooldown(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, tie: Sequence[str] = (),
-                   clock: str | None = "second") -> DataFrame:
+                   clock: str | None = None) -> DataFrame:
     """Suppress repeats by key relative to the last emitted alert.
 
-    The cooldown clock ticks in ``clock`` units: candidates of one key and tick are first reduced map-side to the
-    earliest, so a key's fold is bounded by the time span however many alerts it raises.  ``clock=None`` compares
-    exact timestamps and is for sources with a bounded rate, such as account snapshots.
+    Exact timestamps are compared; alerts of one key and instant are first reduced map-side to the first by ``tie``.
+    For sources whose rate has no bound, ``clock="second"`` lets the cooldown tick in whole seconds, so that a key's
+    fold is bounded by the time span; a repeat may then pass up to a tick early.
     """
     keys = list(keys)
     d = alerts.withColumn("_at", F.date_trunc(clock, "ts").cast("timestamp_ntz") if clock else F.col("ts"))
-    if clock:
-        rest = [c for c in d.columns if c not in (*keys, "_at")]
-        d = d.groupBy(*keys, "_at").agg(F.min_by(F.struct(*rest), F.struct("ts", *tie)).alias("_r"))
-        d = d.select(*keys, "_at", *[F.col(f"_r.{c}").alias(c) for c in rest])
+    rest = [c for c in d.columns if c not in (*keys, "_at")]
+    d = d.groupBy(*keys, "_at").agg(F.min_by(F.struct(*rest), F.struct("ts", *tie)).alias("_r"))
+    d = d.select(*keys, "_at", *[F.col(f"_r.{c}").alias(c) for c in rest])
     run = run_machine(d, keys, ["ts", *tie], lambda s, r: cooldown_step(s, {"ts": r["_at"]}, minutes), lambda: None,
                       {"emitted": "boolean"})
     return run.filter("emitted").drop("emitted", "_at")

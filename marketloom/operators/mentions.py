@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import words as wd
 from ..functions.numeric import clip, col, div
-from .timeseries import exact_percentiles, latest
+from .timeseries import exact_percentiles, join_on, latest
 
 
 def literal_map(d: Mapping) -> Column:
@@ -213,7 +213,7 @@ def engagement(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 def viral_posts(df: DataFrame, keys: Sequence[str], floor: float = 1000.0) -> DataFrame:
     """Posts at or above the larger of the group's exact 90th percentile and the floor."""
     p90 = exact_percentiles(df, keys, "score", {"p90": 0.9})
-    j = df.join(p90, list(keys))
+    j = join_on(df, p90, list(keys))
     return j.filter(col("score") >= F.greatest("p90", F.lit(floor)))
 
 

@@ -119,8 +119,13 @@ def parse_amount(c) -> Column:
         F.size(v) == 1, F.get(v, F.lit(0))).otherwise(0.0)
 
 
-def normalize_trades(df: DataFrame, as_of, min_value: float = 0.0, days: int = 3650) -> DataFrame:
-    """Raw filings (reporter, txn_type, amounts, transaction_date, symbol, notes) to typed trades."""
+def normalize_trades(df: DataFrame, as_of, min_value: float = 0.0, days: int | None = None,
+                     rejects: bool = False) -> DataFrame:
+    """Raw filings (reporter, txn_type, amounts, transaction_date, symbol, notes) to typed trades.
+
+    A filing under ``min_value``, older than ``days`` (if given) or, with ``days``, without a readable date is rejected;
+    ``rejects=True`` returns all of them with the reason in ``reject`` (null for trades that stay).
+    """
     party = literal_map({k: v[0] for k, v in wd.POLITICIANS.items()})
     power = literal_map({k: v[1] for k, v in wd.POLITICIANS.items()})
     seat = literal_map({k: v[2] for k, v in wd.POLITICIANS.items()})
@@ -133,8 +138,12 @@ def normalize_trades(df: DataFrame, as_of, min_value: float = 0.0, days: int = 3
         "party": F.coalesce(party[who], F.lit("Unknown")), "influence": F.coalesce(power[who], F.lit(1)),
         "seat": F.coalesce(seat[who], F.lit("Unknown")),
         "trade_type": F.when(kind.contains("buy") | kind.contains("purchase"), "buy").otherwise("sell")})
-    return d.filter((col("value") >= min_value) & (
-        col("trade_date") >= F.date_sub(F.lit(as_of).cast("date"), days)))
+    reason = F.when(col("value") < min_value, "value")
+    if days is not None:
+        reason = reason.when(col("trade_date").isNull(), "date").when(
+            col("trade_date") < F.date_sub(F.lit(as_of).cast("date"), days), "age")
+    d = d.withColumn("reject", reason)
+    return d if rejects else d.filter(col("reject").isNull()).drop("reject")
 
 
 def political_sentiment(df: DataFrame, keys: Sequence[str], insider: str = "is_insider") -> DataFrame:
@@ -149,13 +158,13 @@ def political_sentiment(df: DataFrame, keys: Sequence[str], insider: str = "is_i
         F.least(F.coalesce(F.avg(F.when(i, col("value"))) / 1e6, F.lit(0.0)), F.lit(1.0)).alias("insider_confidence"))
 
 
-def influence_metrics(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Overall influence, and the five strongest reporters by influence x log1p(value in millions)."""
+def influence_metrics(df: DataFrame, top: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Overall influence, and the ``top`` strongest reporters by influence x log1p(value in millions)."""
     whole = df.agg(F.count_if(col("influence") >= 4).alias("high_influence"), F.avg("influence").alias("avg_influence"))
     g = df.groupBy("reporter").agg(F.max("influence").alias("influence"), F.sum("value").alias("total_value"),
                                    F.count(F.lit(1)).alias("trades"))
     g = g.withColumn("combined", col("influence") * F.log1p(col("total_value") / 1e6))
-    return whole, g.orderBy(col("combined").desc(), "reporter").limit(5)
+    return whole, g.orderBy(col("combined").desc(), "reporter").limit(top)
 
 
 def party_divergence(df: DataFrame, keys: Sequence[str]) -> DataFrame:

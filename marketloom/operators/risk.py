@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, col, div
+from .components import connected_components
 from .timeseries import BIG, Ordered, islands
 
 YEAR = 252
@@ -180,7 +181,7 @@ def corr_penalty(positions: DataFrame, pairs: DataFrame, method: str = "exponent
     p = positions.select("portfolio_id", "symbol")
     o = positions.select("portfolio_id", col("symbol").alias("b"), F.abs("weight").alias("wb"))
     over = F.abs("corr") - limit
-    pen = {"linear": 1 - over * 2, "exponential": F.exp(-strength * over), "threshold": F.lit(0.5)}[method]
+    pen = {"linear": 1 - over * strength, "exponential": F.exp(-strength * over), "threshold": F.lit(0.5)}[method]
     j = p.join(both_ways(pairs).filter("a <> b").select(col("a").alias("symbol"), "b", "corr"), "symbol").join(
         o, ["portfolio_id", "b"])
     one = F.when(over > 0, 1 - (1 - pen) * col("wb")).otherwise(1.0)
@@ -195,23 +196,13 @@ def sector_concentration(positions: DataFrame, sectors: DataFrame, limit: float
         1 - 2 * (col("sector_weight") - limit), F.lit(floor))).otherwise(1.0))
 
 
-def corr_clusters(pairs: DataFrame, threshold: float = 0.7, max_rounds: int = 20) -> DataFrame:
-    """Connected components of |rho| > threshold by label propagation; lineage is cut after every round."""
-    from ..session import cut_lineage
-    edges = both_ways(pairs.filter("a < b").filter(F.abs("corr") > threshold).select("a", "b")).select("a", "b")
-    nodes = pairs.filter("a = b").select("a", col("a").alias("label"))
-    edges, labels = cut_lineage(edges), cut_lineage(nodes)
-    for _ in range(max_rounds):
-        near = edges.join(labels.select(col("a").alias("b"), col("label").alias("other")), "b").groupBy("a").agg(
-            F.min("other").alias("other"))
-        step = labels.join(near, "a", "left").select("a", F.least("label", "other").alias("label"),
-                                                     (col("other") < col("label")).alias("moved"))
-        step = cut_lineage(step)
-        moved = step.filter("moved").limit(1).count()
-        labels = step.drop("moved")
-        if not moved:
-            return labels.select(col("a").alias("symbol"), col("label").alias("cluster"))
-    raise RuntimeError("labels still move; raise max_rounds")
+def corr_clusters(pairs: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """Connected components of |rho| > threshold, run until nothing changes; a symbol alone is its own cluster."""
+    edges = pairs.filter("a < b").filter(F.abs("corr") > threshold).select("a", "b")
+    found = connected_components(edges)
+    nodes = pairs.filter("a = b").select(col("a").alias("symbol"))
+    return nodes.join(found, col("symbol") == col("node"), "left").select(
+        "symbol", F.coalesce("component", "symbol").alias("cluster"))
 
 
 def cluster_quality(pairs: DataFrame, clusters: DataFrame) -> DataFrame:

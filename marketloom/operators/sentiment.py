@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import clip, col, div, flag, weighted_mean
 from .mentions import literal_map
 from .news import hours_before
-from .timeseries import exact_percentiles, index_rows
+from .timeseries import exact_percentiles, index_rows, join_on
 
 # Windows, decay and source weights of the features; weights of the fusion.
 WINDOWS = (1, 4, 12, 24, 48)
@@ -45,7 +45,7 @@ def basic_24h(df: DataFrame, as_of, keys=("symbol",)) -> DataFrame:
         F.sum("bullish").alias("bullish_signals_24h"), F.sum("bearish").alias("bearish_signals_24h"))
     g = g.withColumn("signal_ratio_24h", div(col("bullish_signals_24h") - col("bearish_signals_24h"),
                                              col("bullish_signals_24h") + col("bearish_signals_24h")))
-    return g.join(exact_percentiles(d, keys, "score", {"sentiment_median_24h": 0.5}), keys)
+    return join_on(g, exact_percentiles(d, keys, "score", {"sentiment_median_24h": 0.5}), keys, "left")
 
 
 def windowed(df: DataFrame, as_of, windows: Sequence[int] = WINDOWS, rate: float = DECAY_RATE) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, col, div
-from .timeseries import exact_percentiles, interval_join
+from .timeseries import exact_percentiles, interval_join, join_on
 
 
 def seconds(a, b) -> Column:
@@ -74,8 +74,8 @@ def venue_stats(ex: DataFrame, min_n: int = 10) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.avg("slippage_bps").alias("avg_slippage"), F.stddev_pop("slippage_bps").alias(
             "sd_slippage"), F.avg("impact_bps").alias("avg_impact"), F.avg("fill_rate").alias("avg_fill"),
         F.avg("duration_s").alias("avg_seconds"), (F.count_if(col("fill_rate") > 0.95) / F.count(F.lit(1))).alias("success"))
-    g = g.filter(col("n") >= min_n).join(exact_percentiles(ex, "venue", "slippage_bps", {
-        "p25": 0.25, "median": 0.5, "p75": 0.75}), "venue")
+    g = join_on(g.filter(col("n") >= min_n), exact_percentiles(ex, "venue", "slippage_bps", {
+        "p25": 0.25, "median": 0.5, "p75": 0.75}), "venue", "left")
     comp = (F.coalesce(div(F.lit(1.0), 1 + col("avg_slippage") / 10), F.lit(0.0)) + col("avg_fill")
             + 1 / (1 + col("avg_seconds") / 60)) / 3
     g = g.withColumn("composite", comp)
@@ -85,11 +85,11 @@ def venue_stats(ex: DataFrame, min_n: int = 10) -> DataFrame:
 URGENCY = {"high": (0.2, 0.5, 0.3), "normal": (0.4, 0.4, 0.2), "low": (0.6, 0.3, 0.1)}
 
 
-def venue_recommend(stats: DataFrame, urgency: str = "normal") -> DataFrame:
+def venue_recommend(stats: DataFrame, urgency: str = "normal", top: int = 3) -> DataFrame:
     a, b, c = URGENCY[urgency]
     s = (a * F.coalesce(div(F.lit(1.0), 1 + col("avg_slippage") / 10), F.lit(0.0)) + b * col("avg_fill")
          + c / (1 + col("avg_seconds") / 60))
-    return stats.withColumn("urgency_score", s).orderBy(col("urgency_score").desc(), "venue").limit(3)
+    return stats.withColumn("urgency_score", s).orderBy(col("urgency_score").desc(), "venue").limit(top)
 
 
 def _newest(orders: DataFrame, n: int) -> DataFrame:

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,7 +125,7 @@ def ewm_scan(df: DataFrame, terms: Sequence[Ewm], s: Ordered) -> DataFrame:
 
     The carry is the previous chunk's end value; anything older has been multiplied by less than 1e-17.
     Everything happens in windows over one partitioning, so all terms together need no extra shuffle and no
-    Python.  Nulls in the input may only lead the series.
+    Python.  A null input is no step: the value is held (null until the seed).
     """
     row = df.withColumn("_row", s.row())
     for i, t in enumerate(terms):
@@ -135,28 +136,23 @@ def ewm_scan(df: DataFrame, terms: Sequence[Ewm], s: Ordered) -> DataFrame:
         *[F.count(f"_x{i}").over(s.running).alias(f"_k{i}") for i in range(len(terms))],
         *[(F.sum if t.seed_sum else F.avg)(f"_x{i}").over(s.running).alias(f"_m{i}") for i, t in enumerate(terms)],
     )
-    groups: dict[int, list[int]] = {}
+    groups: dict[tuple[int, str], list[int]] = {}
     for i, t in enumerate(terms):
-        groups.setdefault(_chunk_rows(t.decay), []).append(i)
-    for rows, members in groups.items():
-        row = row.withColumn("_chunk", F.floor((F.col("_row") - 1) / rows)).withColumn(
-            "_pos", F.pmod(F.col("_row") - 1, F.lit(rows)) + 1
-        )
+        groups.setdefault((_chunk_rows(t.decay), str(t.x)), []).append(i)
+    for (rows, _), members in groups.items():
+        k = F.col(f"_k{members[0]}")  # one series: chunks and places count its values, not the rows
+        real = F.col(f"_x{members[0]}").isNotNull()
+        row = row.withColumn("_chunk", F.floor((k - 1) / rows)).withColumn("_pos", F.pmod(k - 1, F.lit(rows)) + 1)
         wc = Window.partitionBy(*s.keys, "_chunk").orderBy(*s.order).rowsBetween(BIG, 0)
         local = []
         for i in members:
             t = terms[i]
-            k = F.col(f"_k{i}")
-            b = (
-                F.when(k < t.seed, 0.0)
-                .when((k == t.seed) & F.col(f"_x{i}").isNotNull(), F.col(f"_m{i}"))
-                .otherwise(F.col(f"_x{i}") * t.gain)
-            )
+            b = F.when(~real | (k < t.seed), 0.0).when(k == t.seed, F.col(f"_m{i}")).otherwise(F.col(f"_x{i}") * t.gain)
             local.append(F.sum(b * F.pow(F.lit(t.decay), -F.col("_pos"))).over(wc).alias(f"_s{i}"))
         row = row.select("*", *local)
         carries = [
             F.last(
-                F.when(F.col("_pos") == rows, F.col(f"_s{i}") * (terms[i].decay ** rows)), ignorenulls=True
+                F.when(real & (F.col("_pos") == rows), F.col(f"_s{i}") * (terms[i].decay ** rows)), ignorenulls=True
             ).over(s.rows(BIG, -1)).alias(f"_c{i}")
             for i in members
         ]
@@ -164,31 +160,69 @@ def ewm_scan(df: DataFrame, terms: Sequence[Ewm], s: Ordered) -> DataFrame:
         for i in members:
             t = terms[i]
             y = F.pow(F.lit(t.decay), F.col("_pos")) * (F.col(f"_s{i}") + F.coalesce(f"_c{i}", F.lit(0.0)))
-            row = row.withColumn(t.out, F.when(F.col(f"_k{i}") >= t.seed, y))
+            row = row.withColumn(f"_y{i}", F.when(real & (k >= t.seed), y))
+        row = row.select("*", *[F.last(f"_y{i}", ignorenulls=True).over(s.running).alias(terms[i].out) for i in members])
+        row = row.drop("_chunk", "_pos")
     return row.drop(*[c for c in row.columns if c.startswith("_")])
 
 
 # --------------------------------------------------------------------------- unbounded keys: index, chunks, halo
 
+#: Rows of one key and block from which the block is cut into finer stretches of time.
+BLOCK_ROWS = 250_000
+
+
+def join_on(left: DataFrame, right: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join in which null keys equal each other; the right side's keys are dropped."""
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    names = {k: f"_right_{k}" for k in keys}
+    cond = [F.col(k).eqNullSafe(F.col(names[k])) for k in keys]
+    return left.join(right.withColumnsRenamed(names), reduce(lambda a, b: a & b, cond), how).drop(*names.values())
+
+
+def micros(c) -> Column:
+    """Microseconds since 1970 of a wall-clock time, whatever the session's zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), col(c).cast("timestamp_ntz"))
+
+
+def sized_blocks(df: DataFrame, keys, ts: str, block: Column, out: str = "_b", limit: int = BLOCK_ROWS) -> DataFrame:
+    """Adds the block as struct(block, part), monotone in ``ts``; a block with more than ``limit`` rows gets parts.
+
+    Counts come from one map-side aggregation; only heavy blocks are joined back.  Parts are even in time, eight times
+    as many as the count asks for, so that uneven stretches stay near the limit; rows of one instant stay together.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    d = df.withColumn("_block", block).withColumn("_us", micros(ts))
+    heavy = d.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_size"), F.min("_us").alias("_from"),
+                                           F.max("_us").alias("_to")).filter(F.col("_size") > limit)
+    parts = 8 * F.ceil(F.col("_size") / limit)
+    heavy = heavy.select(*keys, "_block", "_from", F.greatest(F.lit(1), F.ceil((F.col("_to") - F.col("_from") + 1) / parts))
+                         .alias("_width"))
+    part = F.coalesce(F.floor((F.col("_us") - F.col("_from")) / F.col("_width")), F.lit(0)).cast("long")
+    return join_on(d, heavy, [*keys, "_block"], "left").withColumn(
+        out, F.struct(F.col("_block").alias("block"), part.alias("part"))).drop("_block", "_us", "_from", "_width")
+
+
 def index_rows(df: DataFrame, keys, order, block: Column, out: str = "_i",
                totals: dict[str, str] | None = None) -> DataFrame:
     """Exact 1-based row index per key without sorting a whole key in one task.
 
-    ``block`` must be monotone in the leading order column (for instance the day); rows are numbered inside
-    (key, block) and shifted by the running block counts, a table of one row per key and block.  ``totals`` maps
-    new columns to value columns and adds their running sums the same way.
+    ``block`` must be monotone in the leading order column, a timestamp (for instance the day); heavy blocks are cut
+    further by their counts.  Rows are numbered inside (key, block) and shifted by the running block counts, a table of
+    one row per key and block.  Null keys are a key, null times come first.  ``totals`` maps new columns to value
+    columns and adds their running sums the same way.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
     sums = {"_n": F.lit(1), **{f"_t_{o}": F.col(v) for o, v in (totals or {}).items()}}
-    d = df.withColumn("_b", block)
+    d = sized_blocks(df, keys, order[0], block)
     blocks = d.groupBy(*keys, "_b").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(BIG, -1)
     blocks = blocks.select(*keys, "_b", *[F.coalesce(F.sum(n).over(wk), F.lit(0)).alias(n) for n in sums])
     wb = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(BIG, 0)
     inner = d.withColumns({"_rn": F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)),
                            **{o: F.sum(v).over(wb) for o, v in (totals or {}).items()}})
-    j = inner.join(blocks, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_n"))
+    j = join_on(inner, blocks, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_n"))
     j = j.withColumns({o: F.col(o) + F.col(f"_t_{o}") for o in (totals or {})}) if totals else j
     return j.drop("_rn", "_b", *sums)
 
@@ -213,19 +247,20 @@ def affine_scan(df: DataFrame, keys, a: str, b: str, out: str, prev: str, index:
                 rows: int = 128, levels: int = 1) -> DataFrame:
     """y = a*y_prev + b with per-row coefficients (a >= 0) over an unbounded key.
 
-    Inside a chunk of ``rows`` rows, y is a running product times a running sum, restarted where a is 0; affine maps
-    compose, so each chunk leaves one (A, B) and the table of chunks is scanned the same way.  Only keys with more
+    Inside a chunk of ``rows`` rows the maps (a, b) are composed by doubling the reach (nothing is divided, so products
+    may become as small as they like); each chunk leaves one (A, B) and the table of chunks is scanned the same way.  Only keys with more
     than one chunk reach the next level; what is left at the top, n / rows^(levels+1) per key (a billion rows leave about
     sixty thousand), is folded in a task.  The input is read once per level and side: cut its lineage first.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     d = df.withColumn("_ck", F.floor((F.col(index) - 1) / rows).cast("long"))
     wc = Window.partitionBy(*keys, "_ck").orderBy(index)
-    d = d.withColumn("_seg", F.sum(F.when(F.col(a) == 0, 1).otherwise(0)).over(wc))
-    ws = Window.partitionBy(*keys, "_ck", "_seg").orderBy(index).rowsBetween(BIG, 0)
-    d = d.withColumn("_p", F.product(F.when(F.col(a) == 0, 1.0).otherwise(F.col(a))).over(ws))
-    d = d.withColumn("_y", F.col("_p") * F.sum(F.col(b) / F.col("_p")).over(ws))
-    d = d.withColumn("_m", F.when(F.col("_seg") == 0, F.col("_p")).otherwise(0.0))
+    d = d.withColumns({"_m": F.col(a).cast("double"), "_y": F.col(b).cast("double")})
+    reach = 1
+    while reach < rows:
+        d = d.withColumns({"_m0": F.lag("_m", reach, 1.0).over(wc), "_y0": F.lag("_y", reach, 0.0).over(wc)})
+        d = d.withColumns({"_y": F.col("_m") * F.col("_y0") + F.col("_y"), "_m": F.col("_m") * F.col("_m0")}).drop("_m0", "_y0")
+        reach *= 2
 
     ends = d.groupBy(*keys, "_ck").agg(F.max_by(F.struct("_m", "_y"), index).alias("_e"))
     ends = ends.select(*keys, "_ck", F.col("_e._m").alias("_A"), F.col("_e._y").alias("_B"), (F.col("_ck") + 1).alias("_ci"))
@@ -249,7 +284,7 @@ def affine_scan(df: DataFrame, keys, a: str, b: str, out: str, prev: str, index:
     d = d.join(carry, [*keys, "_ck"], "left").withColumn("_carry", F.coalesce("_carry", F.lit(0.0)))
     d = d.withColumn(out, F.col("_y") + F.col("_m") * F.col("_carry"))
     d = d.withColumn(prev, F.coalesce(F.lag(out).over(wc), F.col("_carry")))
-    return d.drop("_ck", "_seg", "_p", "_y", "_m", "_carry")
+    return d.drop("_ck", "_y", "_m", "_carry")
 
 
 # --------------------------------------------------------------------------- joins on time
@@ -259,17 +294,20 @@ def asof_join(left: DataFrame, right: DataFrame, keys, cols: Sequence[str], left
               strict: bool = False) -> DataFrame:
     """Latest right row at or before each left row, per key.  Linear: union, then last value in order.
 
-    The ordered window runs per (key, block); the last right row of every earlier block enters through a
-    carry table of one row per key and block, so no key is ever sorted whole.
+    The ordered window runs per (key, block), heavy blocks being cut further by the counts of both sides; the last right
+    row of every earlier block enters through a carry table of one row per key and block, so no key is ever sorted
+    whole.  Every left row stays; a null key or time matches nothing.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     payload = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c) for c in cols])
     rank = F.struct(F.col(right_ts), *[F.col(c) for c in right_tie])
-    r = right.select(*keys, F.date_trunc(block, right_ts).alias("_b"), F.col(right_ts).alias("_t"),
-                     payload.alias("_p"), rank.alias("_o"))
+    r = right.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, right_ts)])).select(
+        *keys, F.col(right_ts).alias("_t"), payload.alias("_p"), rank.alias("_o"))
     lcols = [c for c in left.columns if c not in keys]
-    lft = left.select(*keys, F.date_trunc(block, left_ts).alias("_b"), F.col(left_ts).alias("_t"),
-                      F.struct(*lcols).alias("_l"))
+    lft = left.select(*keys, F.col(left_ts).alias("_t"), F.struct(*lcols).alias("_l"))
+    both = sized_blocks(r.unionByName(lft, allowMissingColumns=True), keys, "_t", F.date_trunc(block, "_t"))
+    r = both.filter("_l IS NULL").drop("_l")
+    lft = both.filter("_l IS NOT NULL").drop("_p", "_o")
 
     ends = r.groupBy(*keys, "_b").agg(F.max_by("_p", "_o").alias("_p"))
     needs = lft.select(*keys, "_b").distinct().withColumn("_p", F.lit(None).cast(ends.schema["_p"].dataType))
@@ -278,7 +316,7 @@ def asof_join(left: DataFrame, right: DataFrame, keys, cols: Sequence[str], left
         ends.withColumn("_side", F.lit(1)).unionByName(needs.withColumn("_side", F.lit(0)))
         .withColumn("_c", F.last("_p", ignorenulls=True).over(wk))
         .filter("_side = 0 AND _c IS NOT NULL")
-        .select(*keys, "_b", F.col("_b").alias("_t"), F.col("_c").alias("_p"))
+        .select(*keys, "_b", F.lit(None).cast(r.schema["_t"].dataType).alias("_t"), F.col("_c").alias("_p"))
     )
     side = 2 if not strict else 0
     none_l = F.lit(None).cast(lft.schema["_l"].dataType)
@@ -339,7 +377,7 @@ def value_cell(c, resolution: int) -> Column:
 
 
 def _cells(df: DataFrame, keys, value, sums: dict[str, Column], resolution: int):
-    merged = df.filter(col(value).isNotNull()).groupBy(*keys, col(value).cast("double").alias("_v")).agg(
+    merged = df.filter(col(value).isNotNull() & ~F.isnan(col(value).cast("double"))).groupBy(*keys, col(value).cast("double").alias("_v")).agg(
         *[F.sum(e).alias(n) for n, e in sums.items()])
     merged = merged.withColumn("_cell", value_cell("_v", resolution))
     totals = merged.groupBy(*keys, "_cell").agg(*[F.sum(n).alias(n) for n in sums])
@@ -351,7 +389,8 @@ def ordered_running(df: DataFrame, keys, value: str, sums: dict[str, Column], re
     """Running sums in value order, one row per distinct value: columns ``cum_<n>`` and ``all_<n>``.
 
     Equal values are merged first, cells of the value axis are summed, and only the cell table (bounded by the
-    range of doubles times the resolution) is scanned per key.  Rows are ordered inside one cell only.
+    range of doubles times the resolution) is scanned per key.  Rows are ordered inside one cell only.  Null and NaN
+    values are left out; a null key is a group.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     d, made = (df, False) if keys else (df.withColumn("_all", F.lit(0)), True)
@@ -363,7 +402,7 @@ def ordered_running(df: DataFrame, keys, value: str, sums: dict[str, Column], re
     offs = totals.select(*k, "_cell", *[F.coalesce(F.sum(n).over(wo), F.lit(0)).alias(f"_o_{n}") for n in sums],
                          *[F.sum(n).over(wk).alias(f"all_{n}") for n in sums])
     inner = Window.partitionBy(*k, "_cell").orderBy(F.col("_v").desc() if descending else F.col("_v").asc())
-    run = merged.join(offs, [*k, "_cell"]).select(
+    run = join_on(merged, offs, [*k, "_cell"]).select(
         *k, F.col("_v").alias(value), *sums,
         *[(F.sum(n).over(inner.rowsBetween(BIG, 0)) + F.col(f"_o_{n}")).alias(f"cum_{n}") for n in sums],
         *[f"all_{n}" for n in sums])
