@@ -219,7 +219,7 @@ def _repair(m):
 
 @query("clean_repair_low_values", "symbol ts open:d volume:d", """
     SELECT symbol, ts, CASE WHEN open >= 0.001 THEN open END AS open, greatest(volume, 0) AS volume FROM faulty
-    WHERE volume <> 0""")
+    WHERE volume > 0 OR volume IS NULL""")
 def _low(m):
     return cl.repair_low_values(faulty(m), drop_zero_volume=True)
 

@@ -15,6 +15,21 @@ def events(m):
     return sj.file_stream(m.spark, m.folder, "events.parquet")
 
 
+#: Arrival is out of order by up to the whole span of the table.
+LATEST = "60 days"
+
+
+def arrivals(m):
+    """The event table as three files, each spanning the whole time, and one closing event of another type."""
+    path = scratch_path(m.spark, "arrivals")
+    e = m.raw("events")
+    for i in (2, 0, 1):
+        e.filter(F.pmod("event_id", F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
+    e.limit(1).withColumns({"event_type": F.lit("closing"), "ts": F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00"))}).select(
+        *e.columns).write.mode("append").parquet(path)
+    return sj.file_stream(m.spark, path, "*.parquet", per_trigger=1)
+
+
 def ntz(df, *cols):
     return df.withColumns({c: col(c).cast("timestamp_ntz") for c in cols})
 
@@ -58,10 +73,10 @@ def _sentiment(m):
 @query("stream_positions", "trade_id:i position:d avg_price:d realized:d",
        "SELECT trade_id, position, CASE WHEN position = 0 THEN 0 ELSE avg_price END AS avg_price, realized FROM ledger_t")
 def _positions(m):
-    t = m.ticks(events(m)).select(
+    t = m.ticks(arrivals(m)).select(
         col("event_id").alias("trade_id"), "symbol", "ts", "price", "qty",
         F.when(col("event_id") % 7 < 4, "buy").otherwise("sell").alias("side"))
-    return sj.run_to_table(sj.stream_positions(t), "positions")
+    return sj.run_to_table(sj.stream_positions(t, LATEST), "positions")
 
 
 @query("stream_trailing_stops", "symbol event_id:i entry:d stop:d exit:d pnl_pct:d", """WITH RECURSIVE n AS (SELECT symbol, event_id, price AS px, row_number()
@@ -72,13 +87,13 @@ def _positions(m):
       FROM (SELECT n.symbol, n.rn, n.event_id, n.px, w.entry, w.high, w.stop, n.px <= w.stop AS hit FROM w JOIN n ON n.symbol = w.symbol AND n.rn = w.rn + 1))
     SELECT symbol, event_id, e0 AS entry, s0 AS stop, px AS exit, px / e0 - 1 AS pnl_pct FROM w WHERE e0 IS NOT NULL""")
 def _stops(m):
-    return sj.run_to_table(sj.stream_stops(m.ticks(events(m)).select("event_id", "symbol", "ts", "price")), "stops")
+    return sj.run_to_table(sj.stream_stops(m.ticks(arrivals(m)).select("event_id", "symbol", "ts", "price"), LATEST), "stops")
 
 
 @query("stream_alert_cooldown", "symbol event_id:i ts")
 def _alerts(m):
-    a = m.ticks(events(m)).filter("qty > 60").select("symbol", "event_id", "ts")
-    return ntz(sj.run_to_table(sj.stream_alerts(a, ["symbol"], 60), "alerts"), "ts")
+    a = m.ticks(arrivals(m)).filter("qty > 60 OR symbol = 'CLOSING'").select("symbol", "event_id", "ts")
+    return ntz(sj.run_to_table(sj.stream_alerts(a, ["symbol"], 60, delay=LATEST), "alerts"), "ts")
 
 
 ORACLES["stream_alert_cooldown"] = ORACLES["account_alert_cooldown"]

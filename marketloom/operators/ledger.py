@@ -64,6 +64,7 @@ def venue_breakdown(fills: DataFrame) -> DataFrame:
 def mark_to_market(ledger: DataFrame, bars: DataFrame, tie: list[str]) -> DataFrame:
     """Position as of each bar, its P&L, and the running high and low water since the first bar."""
     cols = ["position", "avg_price"]
+    ledger = cut_lineage(ledger.select("symbol", "ts", *tie, *cols))  # the join reads its sides more than once
     d = asof_join(bars.select("symbol", "ts", "close"), ledger, "symbol", cols, right_tie=tie).filter("position IS NOT NULL")
     s = Ordered()
     d = d.withColumn("unrealized", (F.col("close") - F.col("avg_price")) * F.col("position"))

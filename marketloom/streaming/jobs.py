@@ -6,6 +6,7 @@ Kafka, files or tests.  Event time is ``ts`` (timestamp); state is bounded by wa
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -83,24 +84,44 @@ def stream_interval_join(left: DataFrame, right: DataFrame, key: str, minutes: i
 # ------------------------------------------------------------------ keyed state
 
 def _stateful(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, state: str, first: tuple, cols: Sequence[str],
-              out: dict[str, str]) -> DataFrame:
-    """Fold rows of a key in event order inside each batch; ``step(state, row) -> (state, [rows])``."""
+              out: dict[str, str], delay: str = "10 minutes", idle: float | None = None) -> DataFrame:
+    """Fold the rows of a key in event order, whatever order they arrive in; ``step(state, row) -> (state, [rows])``.
+
+    Rows wait in the state until the watermark (newest event time minus ``delay``) has passed them and are then folded in
+    order; rows behind the watermark are late, dropped and counted by Spark.  A timer folds what waits when a key gets no
+    more rows.  With ``idle`` seconds a key without rows for that long in event time loses its state.
+    """
     order, cols, names = list(order), list(cols), list(out)
 
     def run(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        cur = st.get if st.exists else first
-        pdf = pd.concat(list(batches)).sort_values(order, kind="mergesort")
-        rows = []
-        for row in pdf[cols].to_dict("records"):
-            cur, made = step(cur, row)
+        *cur, held = st.get if st.exists else (*first, None)
+        cur, waiting = tuple(cur), pickle.loads(held) if held else []
+        mark = st.getCurrentWatermarkMs()
+        if not st.hasTimedOut:
+            for pdf in batches:
+                waiting += pdf[cols].to_dict("records")
+        waiting.sort(key=lambda r: tuple(r[c] for c in order))
+        ready, rows = 0, []
+        while ready < len(waiting) and int(waiting[ready]["ts"].timestamp() * 1000) < mark:
+            cur, made = step(cur, waiting[ready])
             rows += [(*key, *r) for r in made]
-        st.update(cur)
+            ready += 1
+        last, rest = waiting[ready - 1]["ts"] if ready else None, waiting[ready:]
+        if st.hasTimedOut and not ready and not rest:
+            st.remove()
+        else:
+            st.update((*cur, pickle.dumps(rest) if rest else None))
+            if rest:
+                st.setTimeoutTimestamp(max(int(rest[0]["ts"].timestamp() * 1000) + 1, mark + 1))
+            elif idle is not None and last is not None:
+                st.setTimeoutTimestamp(max(int((last.timestamp() + idle) * 1000), mark + 1))
         if rows:
             yield pd.DataFrame(rows, columns=[*keys, *names])
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     spec = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` {t}" for n, t in out.items()])
-    return df.groupBy(*keys).applyInPandasWithState(run, spec, state, "append", GroupStateTimeout.NoTimeout)
+    return df.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(
+        run, spec, f"{state}, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def position_step(state, row):
@@ -121,10 +142,10 @@ def position_step(state, row):
     return state, [(row["trade_id"], new, avg, gain)]
 
 
-def stream_positions(fills: DataFrame) -> DataFrame:
+def stream_positions(fills: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return _stateful(fills, ["symbol"], ["ts", "trade_id"], position_step, "q double, avg double, realized double", (0.0, 0.0, 0.0),
                      ["trade_id", "side", "qty", "price", "ts"],
-                     {"trade_id": "long", "position": "double", "avg_price": "double", "realized": "double"})
+                     {"trade_id": "long", "position": "double", "avg_price": "double", "realized": "double"}, delay)
 
 
 def stop_step(state, row, initial=0.02, trigger=0.01, step=0.005):
@@ -141,20 +162,23 @@ def stop_step(state, row, initial=0.02, trigger=0.01, step=0.005):
     return (entry, high, stop), []
 
 
-def stream_stops(ticks: DataFrame) -> DataFrame:
+def stream_stops(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return _stateful(ticks, ["symbol"], ["ts", "event_id"], stop_step, "entry double, high double, stop double", (0.0, 0.0, 0.0),
                      ["event_id", "price", "ts"],
-                     {"event_id": "long", "entry": "double", "stop": "double", "exit": "double", "pnl_pct": "double"})
+                     {"event_id": "long", "entry": "double", "stop": "double", "exit": "double", "pnl_pct": "double"}, delay)
 
 
-def stream_alerts(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, row_id: str = "event_id") -> DataFrame:
-    """Alert stream with cooldown relative to the last emitted alert; one timestamp of state per key."""
+def stream_alerts(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, row_id: str = "event_id",
+                  delay: str = "10 minutes") -> DataFrame:
+    """Alert stream with cooldown relative to the last emitted alert; an instant of state per key, given up after twice the
+    cooldown without alerts."""
     def step(state, row):
-        last = pd.Timestamp(state[0], unit="s") if state[0] >= 0 else None
-        new, made = cooldown_step(last, {"ts": row["ts"].floor("s")}, minutes)
-        return (float(new.timestamp()),), [(row[row_id], row["ts"])] if made["emitted"] else []
+        last = pd.Timestamp(state[0], unit="us") if state[0] >= 0 else None
+        new, made = cooldown_step(last, {"ts": row["ts"]}, minutes)
+        return (int(new.value // 1000),), [(row[row_id], row["ts"])] if made["emitted"] else []
 
-    return _stateful(alerts, keys, ["ts", row_id], step, "last double", (-1.0,), [row_id, "ts"], {row_id: "long", "ts": "timestamp"})
+    return _stateful(alerts, keys, ["ts", row_id], step, "last long", (-1,), [row_id, "ts"], {row_id: "long", "ts": "timestamp"},
+                     delay, 120 * minutes)
 
 
 # ------------------------------------------------------------------ sinks and monitoring
