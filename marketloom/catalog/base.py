@@ -103,6 +103,18 @@ BASE_SQL = {
 }
 
 
+def unit_sql(seed: int, *cols: str) -> str:
+    """SQL of the reproducible unit hash."""
+    m, h = 2147483647, str(seed)
+    for c in cols:
+        h = f"((({h}) * 48271 + ((({c})::BIGINT % {m}) + {m}) % {m}) * 16807 + 12345) % {m}"
+    return f"(((({h}) * 69621) % {m} + 1) / 2147483649.0::DOUBLE)"
+
+
+def normal_sql(seed: int, *cols: str) -> str:
+    return f"(sqrt(-2 * ln({unit_sql(seed, *cols)})) * cos(6.283185307179586 * {unit_sql(seed + 1, *cols)}))"
+
+
 def add_base(name: str, sql: str) -> None:
     BASE_SQL[name] = sql
 

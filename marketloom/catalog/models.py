@@ -11,7 +11,7 @@ from ..operators import regime as rg
 from ..operators import risk as rk
 from ..operators import technical as tech
 from . import risk as _risk  # noqa: F401  (defines shared tables)
-from .base import add_base, query
+from .base import add_base, normal_sql, query, unit_sql
 from .risk import dds, pret
 from .technical import W, roll
 
@@ -299,11 +299,18 @@ def _configs(m):
     return ml.summarise_configs(d)
 
 
-@query("data_select_k_best", "vec_id:i n:i")
+@query("data_select_k_best", "feature:i f_value:d4 chosen:b picked:b", """WITH e AS (SELECT label, unnest(range(len(embedding))) AS feature,
+    unnest(embedding)::DOUBLE AS x FROM embeddings), p AS (SELECT feature, label, count(*) AS n, avg(x) AS m, var_pop(x) AS v FROM e GROUP BY 1, 2),
+    a AS (SELECT *, sum(n * m) OVER w / sum(n) OVER w AS g FROM p WINDOW w AS (PARTITION BY feature)),
+    f AS (SELECT feature, (sum(n * (m - g) * (m - g)) / (count(*) - 1)) / (sum(n * v) / (sum(n) - count(*))) AS f_value FROM a GROUP BY 1)
+    SELECT feature, f_value, row_number() OVER (ORDER BY f_value DESC, feature) <= 8 AS chosen, chosen AS picked FROM f""")
 def _kbest(m):
     from pyspark.ml.functions import array_to_vector, vector_to_array
     e = m.raw("embeddings").select("vec_id", array_to_vector(col("embedding").cast("array<double>")).alias("fv"), col("label").cast("double").alias("label"))
-    return ml.select_k_best(e, "fv", "label", 8).select("vec_id", F.size(vector_to_array("selected")).alias("n"))
+    # the places that the fitted selector picked, found by their values
+    one = ml.select_k_best(e, "fv", "label", 8).limit(1).select(vector_to_array("fv").alias("all"), vector_to_array("selected").alias("s"))
+    picked = one.select(F.posexplode("all").alias("at", "x"), "s").select("at", F.array_contains("s", col("x")).alias("picked"))
+    return ml.selection_scores(m.raw("embeddings"), "embedding", "label", 8).join(picked, col("feature") == col("at"))
 
 
 @query("data_regime_classifier", "model cls accuracy:d weighted_f1:d")
@@ -314,6 +321,15 @@ def _classifier(m):
     return ev.classification_metrics(p)
 
 
-@query("data_robustness_perturb", "symbol scenario score:d loss:d")
+_row = ("length(symbol)", "ascii(symbol)", "ascii(right(symbol, 1))", "epoch_us(ts) // 1000000")
+_noisy = " UNION ALL ".join(f"SELECT symbol, 'noise_{x}' AS scenario, ret + g * sd * {x} AS value FROM p" for x in (0.01, 0.05, 0.1))
+_gappy = " UNION ALL ".join(f"""SELECT symbol, 'missing_{x}', last_value(CASE WHEN v >= {x} THEN ret END IGNORE NULLS) OVER
+    (PARTITION BY symbol ORDER BY ts) FROM p""" for x in (0.05, 0.1, 0.2))
+
+
+@query("data_robustness_perturb", "symbol scenario score:d loss:d", f"""SELECT s.symbol, scenario, score, (base - score) / abs(base) AS loss FROM
+    (SELECT symbol, scenario, avg(value) / nullif(stddev_samp(value), 0) AS score FROM (WITH p AS (SELECT *, {normal_sql(11, *_row)} AS g,
+      {unit_sql(13, *_row)} AS v, stddev_samp(ret) OVER (PARTITION BY symbol) AS sd FROM rets) {_noisy} UNION ALL {_gappy}) GROUP BY ALL) s
+    JOIN (SELECT symbol, avg(ret) / nullif(stddev_samp(ret), 0) AS base FROM rets GROUP BY 1) b ON b.symbol = s.symbol""")
 def _perturb(m):
     return ml.degradation(ml.robustness_perturb(m.returns(), "ret"))

@@ -8,7 +8,7 @@ from ..functions.numeric import col
 from ..operators import machines as mc
 from ..operators import risk as rk
 from . import technical as _technical  # noqa: F401  (defines shared tables)
-from .base import add_base, query
+from .base import add_base, normal_sql, query
 
 W = "PARTITION BY portfolio_id ORDER BY ts"
 add_base("pret", """SELECT portfolio_id, ts, sum(weight * ret) AS ret FROM positions JOIN rets USING (symbol)
@@ -54,7 +54,10 @@ def _varp(m):
     return rk.var_parametric(pret(m))
 
 
-@query("risk_var_monte_carlo", "portfolio_id:i level:d var:d")
+@query("risk_var_monte_carlo", "portfolio_id:i level:d var:d", f"""WITH s AS (
+    SELECT portfolio_id, mu + sd * {normal_sql(42, "portfolio_id", "i")} AS r FROM (SELECT portfolio_id, avg(ret) AS mu, stddev_samp(ret) AS sd
+    FROM recent_pret GROUP BY 1), (SELECT unnest(range(1, 10001)) AS i)) """ + " UNION ALL ".join(
+    f"SELECT portfolio_id, {x} AS level, quantile_cont(r, {x}) AS var FROM s GROUP BY 1" for x in (0.01, 0.05, 0.1)))
 def _varmc(m):
     return rk.var_monte_carlo(pret(m))
 
@@ -237,18 +240,25 @@ def _clusters(m):
     return rk.corr_clusters(rk.pair_moments(m.returns()), 0.04)
 
 
-@query("risk_cluster_quality", "within:d between:d")
+add_base("clusters", """SELECT s AS symbol, min(t) AS cluster FROM (WITH RECURSIVE e AS (SELECT a, b FROM pairs2 WHERE a <> b AND
+    abs(corr) > 0.04), reach AS (SELECT DISTINCT a AS s, a AS t FROM pairs2 UNION SELECT r.s, e.b FROM reach r JOIN e ON
+    e.a = r.t) SELECT * FROM reach) GROUP BY 1""")
+
+
+@query("risk_cluster_quality", "within:d between:d", """SELECT avg(abs(corr)) FILTER (x.cluster = y.cluster) AS within, avg(abs(corr))
+    FILTER (x.cluster <> y.cluster) AS between FROM pairs JOIN clusters x ON x.symbol = a JOIN clusters y ON y.symbol = b WHERE a < b""")
 def _cluster_quality(m):
     p = rk.pair_moments(m.returns())
     return rk.cluster_quality(p, rk.corr_clusters(p, 0.04))
 
 
 @query("risk_cluster_penalty", "portfolio_id:i symbol cluster_weight:d penalty:d", """SELECT portfolio_id, symbol,
-    cluster_weight, CASE WHEN cluster_weight > 1.5 / 2 AND cs > 1 THEN 1 - least(0.5, cluster_weight * 0.5) ELSE 1 END AS
-    penalty FROM (SELECT *, sector_weight AS cluster_weight, count(*) OVER (PARTITION BY portfolio_id, sector) AS cs
-    FROM sector_pos)""")
+    cluster_weight, CASE WHEN cluster_weight > 1.5 / k AND cs > 1 THEN 1 - least(0.5, cluster_weight * 0.5) ELSE 1 END AS
+    penalty FROM (SELECT portfolio_id, symbol, sum(abs(weight)) OVER w AS cluster_weight, count(*) OVER w AS cs FROM positions
+    JOIN clusters USING (symbol) WINDOW w AS (PARTITION BY portfolio_id, cluster)) JOIN (SELECT portfolio_id, count(DISTINCT cluster)
+    AS k FROM positions JOIN clusters USING (symbol) GROUP BY 1) USING (portfolio_id)""")
 def _cluster_pen(m):
-    return rk.cluster_penalty(m.positions(), sectors(m).withColumnRenamed("sector", "cluster"), 1)
+    return rk.cluster_penalty(m.positions(), rk.corr_clusters(rk.pair_moments(m.returns()), 0.04), 1)
 
 
 @query("risk_apply_penalties", "portfolio_id:i symbol adjusted:d", """SELECT portfolio_id, symbol, weight * CASE WHEN

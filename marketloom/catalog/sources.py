@@ -238,6 +238,28 @@ def _asof(m):
     return ts.asof_join(m.trades(), b, "symbol", ["bar_close"])
 
 
+@query("join_asof_hot_key", "event_id:i user_id:i seen:i", """SELECT e.event_id, CASE WHEN e.event_id % 11 = 0 THEN NULL ELSE e.user_id END AS
+    user_id, r.event_id AS seen FROM (SELECT *, CASE WHEN event_id % 11 <> 0 THEN (CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END) END AS k,
+    CASE WHEN event_id % 13 <> 0 THEN ts END AS t FROM events) e ASOF LEFT JOIN (SELECT event_id, ts, CASE WHEN user_id % 3 = 0 THEN 0 ELSE
+    user_id END AS k FROM events WHERE value > 60) r ON e.k = r.k AND e.t >= r.ts""")
+def _asof_hot(m):
+    """A third of the rows under one key, which is split by its counts; null keys and times stay and match nothing."""
+    e = m.raw("events")
+    key = F.when(col("user_id") % 3 == 0, 0).otherwise(col("user_id"))
+    left = e.select("event_id", F.when(col("event_id") % 11 != 0, col("user_id")).alias("user_id"), F.when(
+        col("event_id") % 11 != 0, key).alias("k"), F.when(col("event_id") % 13 != 0, col("ts")).alias("ts"))
+    right = e.filter("value > 60").select(key.alias("k"), "ts", col("event_id").alias("seen"))
+    return ts.asof_join(left, right, "k", ["seen"], right_tie=["seen"])
+
+
+@query("index_rows_null_keys", "event_id:i k:i i:i", """SELECT event_id, k, row_number() OVER (PARTITION BY k ORDER BY t NULLS FIRST, event_id) AS i
+    FROM (SELECT event_id, CASE WHEN user_id % 5 > 0 THEN user_id % 5 END AS k, CASE WHEN event_id % 7 > 0 THEN ts END AS t FROM events)""")
+def _index_nulls(m):
+    d = m.raw("events").select("event_id", F.when(col("user_id") % 5 > 0, col("user_id") % 5).alias("k"), F.when(
+        col("event_id") % 7 > 0, col("ts")).alias("t"))
+    return ts.index_rows(d, "k", ["t", "event_id"], F.date_trunc("day", "t"), out="i")
+
+
 @query("join_range_two_minutes", "trade_id:i n:i avg_price:d", """SELECT t.trade_id, count(*) AS n,
     avg(b.price) AS avg_price FROM trades t JOIN ticks b ON t.symbol = b.symbol
     AND b.ts BETWEEN t.ts - INTERVAL 2 MINUTE AND t.ts + INTERVAL 2 MINUTE GROUP BY 1""")

@@ -63,3 +63,17 @@ def normal_cdf(z: Column) -> Column:
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
     tail = F.exp(-a * a / 2) / F.lit(2.5066282746310002) * poly
     return F.when(z >= 0, 1 - tail).otherwise(tail)
+
+
+def unit_hash(seed: int, *cols) -> Column:
+    """Reproducible number in (0, 1) from whole numbers, by modular arithmetic that any SQL engine can repeat."""
+    m = 2147483647
+    h = F.lit(seed).cast("long")
+    for c in cols:
+        h = F.pmod((h * 48271 + F.pmod(col(c).cast("long"), F.lit(m))) * 16807 + 12345, F.lit(m))
+    return (F.pmod(h * 69621, F.lit(m)) + 1) / F.lit(2147483649.0)
+
+
+def normal_hash(seed: int, *cols) -> Column:
+    """Reproducible standard normal number (Box-Muller over two unit hashes)."""
+    return F.sqrt(-2 * F.ln(unit_hash(seed, *cols))) * F.cos(6.283185307179586 * unit_hash(seed + 1, *cols))

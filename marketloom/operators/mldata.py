@@ -7,8 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col, div
-from .timeseries import Ordered, index_rows
+from ..functions.numeric import col, div, normal_hash, unit_hash
+from .timeseries import Ordered, index_rows, micros
 
 S = Ordered()
 
@@ -77,6 +77,19 @@ def select_k_best(df: DataFrame, features: str, label: str, k: int, kind: str =
     return sel.fit(df).transform(df)
 
 
+def selection_scores(df: DataFrame, features: str, label: str, k: int) -> DataFrame:
+    """(feature, f_value, chosen): one-way ANOVA of every place of an array column, and the k largest."""
+    long = df.select(col(label).alias("_c"), F.posexplode(features).alias("feature", "_x")).filter("_x IS NOT NULL AND _c IS NOT NULL")
+    per = long.groupBy("feature", "_c").agg(F.count("_x").alias("n"), F.avg("_x").alias("m"), F.var_pop("_x").alias("v"))
+    per = per.withColumn("_all", F.sum(col("n") * col("m")).over(Window.partitionBy("feature")) / F.sum("n").over(
+        Window.partitionBy("feature")))
+    g = per.groupBy("feature").agg(F.sum(col("n") * F.pow(col("m") - col("_all"), F.lit(2))).alias("b"), F.sum(col("n") * col("v")).alias(
+        "w"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("c"))
+    g = g.withColumn("f_value", div(col("b") / (col("c") - 1), col("w") / (col("n") - col("c"))))
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(col("f_value").desc(), "feature"))  # one row per feature
+    return g.select("feature", "f_value", (place <= k).alias("chosen"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (classes * n_class)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
@@ -116,10 +129,8 @@ def robustness_perturb(df: DataFrame, c: str, noise: Sequence[float] = (0.01, 0.
                        s: Ordered = S, seed: int = 11) -> DataFrame:
     """(scenario, symbol, ts, value): noisy and gappy copies; noise comes from a hash of the row, so it is reproducible."""
     sd = F.stddev_samp(c).over(Window.partitionBy(*s.keys))
-    u = (F.pmod(F.xxhash64(F.lit(seed), *s.keys, *s.order), F.lit(1_000_003)) + 1) / 1_000_004
-    v = (F.pmod(F.xxhash64(F.lit(seed + 1), *s.keys, *s.order), F.lit(1_000_003)) + 1) / 1_000_004
-    gauss = F.sqrt(-2 * F.ln(u)) * F.cos(6.283185307179586 * v)
-    d = df.withColumns({"_g": gauss * sd, "_v": v})
+    row = (F.length(s.keys[0]), F.ascii(s.keys[0]), F.ascii(F.substring(s.keys[0], -1, 1)), micros(s.order[0]) / 1_000_000)
+    d = df.withColumns({"_g": normal_hash(seed, *row) * sd, "_v": unit_hash(seed + 2, *row)})
     d = d.withColumns({f"_m{int(x * 100)}": F.when(col("_v") >= x, col(c)) for x in missing})
     d = d.withColumns({f"_m{int(x * 100)}": F.last(f"_m{int(x * 100)}", ignorenulls=True).over(s.running) for x in missing})
     items = [F.struct(F.lit(f"noise_{x}").alias("scenario"), (col(c) + col("_g") * x).alias("value")) for x in noise]

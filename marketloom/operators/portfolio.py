@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, col, div
+from ..functions.numeric import clip, col, div, unit_hash
 from .risk import YEAR, both_ways, portfolio_cov
 
 # Class weights per regime (equities, bonds, commodities, cash).
@@ -80,7 +80,8 @@ def candidate_sweep(mu: DataFrame, n: int, seed: int = 42) -> DataFrame:
     ids = mu.sparkSession.range(n).select(col("id").alias("portfolio_id"))
     syms = mu.agg(F.sort_array(F.collect_set("symbol"))).scalar()
     d = ids.select("portfolio_id", F.explode(syms).alias("symbol"))
-    u = (F.pmod(F.xxhash64(F.lit(seed), "portfolio_id", "symbol"), F.lit(1_000_003)) + 1) / 1_000_004
+    place = F.dense_rank().over(Window.partitionBy("portfolio_id").orderBy("symbol"))
+    u = unit_hash(seed, "portfolio_id", place)
     d = d.withColumn("_e", -F.ln(u))
     return d.withColumn("weight", col("_e") / F.sum("_e").over(Window.partitionBy("portfolio_id"))).drop("_e")
 

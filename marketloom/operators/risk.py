@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, col, div
+from ..functions.numeric import clip, col, div, normal_hash
 from .components import connected_components
 from .timeseries import BIG, Ordered, islands
 
@@ -65,10 +65,10 @@ def var_parametric(pr: DataFrame, lookback: int = YEAR, compat: bool = False) ->
 
 
 def var_monte_carlo(pr: DataFrame, draws: int = 10_000, seed: int = 42, lookback: int = YEAR) -> DataFrame:
-    """Normal draws per portfolio generated on the executors; the draw count bounds each group."""
+    """Normal draws per portfolio generated on the executors from (seed, portfolio, draw); the draw count bounds each group."""
     d = recent(pr, lookback).groupBy("portfolio_id").agg(F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd"))
     sims = d.select("portfolio_id", "mu", "sd", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("i"))
-    sims = sims.withColumn("r", col("mu") + col("sd") * F.randn(seed))
+    sims = sims.withColumn("r", col("mu") + col("sd") * normal_hash(seed, "portfolio_id", "i"))
     qs = list(NORMAL)
     q = sims.groupBy("portfolio_id").agg(F.percentile("r", F.array(*[F.lit(x) for x in qs])).alias("_q"))
     return q.select("portfolio_id", F.posexplode("_q").alias("_i", "var")).withColumn(
