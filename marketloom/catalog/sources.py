@@ -266,8 +266,8 @@ def _index_nulls(m):
 def _range(m):
     two = F.expr("interval 2 minutes")
     spans = m.trades().select("trade_id", "symbol", (col("ts") - two).alias("lo"), (col("ts") + two).alias("hi"))
-    hits = ts.interval_join(m.ticks().select("symbol", "ts", "price"), spans, "symbol", "ts", "lo", "hi", 240)
-    return hits.groupBy("trade_id").agg(F.count(F.lit(1)).alias("n"), F.avg("price").alias("avg_price"))
+    d = ts.range_totals(m.ticks().select("symbol", "ts", "event_id", "price"), spans, "symbol", "ts", "event_id", "lo", "hi", "price")
+    return d.select("trade_id", "n", (col("total") / col("n")).alias("avg_price"))
 
 
 @query("join_interval_orders", "order_id n:i volume:d", """SELECT o.order_id, count(*) AS n, sum(b.volume) AS volume

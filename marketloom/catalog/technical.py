@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from ..operators import technical as t
 from ..operators.timeseries import Ordered, latest
-from .base import add_base, query
+from ..plans.features import feature_table
+from .base import ORACLES, add_base, query
 
 W = "PARTITION BY symbol ORDER BY ts"
 
@@ -32,8 +33,14 @@ add_base("numbered", f"""SELECT *, row_number() OVER ({W}) AS rn, {lag('"close"'
     "close" / {lag('"close"')} - 1 AS r FROM bars""")
 
 
+#: Groups of the feature pipeline: (functions, columns, SQL).
+GROUPS: list[tuple[tuple, str, str]] = []
+
+
 def tech(name, fns, cols, sql=None):
     fns = fns if isinstance(fns, tuple) else (fns,)
+    if sql and all(f in t.WINDOW_FEATURES + t.RECURRENT_FEATURES + (t.calendar_features,) for f in fns):
+        GROUPS.append((fns, cols, sql))
 
     @query(name, "symbol ts " + cols, sql)
     def _run(m):
@@ -441,3 +448,29 @@ _flag_cols = ["ret_1", "ret_5", "ret_20", "sma_20", "bb_pos", "vol_20"]
 def _flagship(m):
     from ..plans.features import FLAGSHIP
     return latest(t.with_technical(m.bars(), groups=FLAGSHIP), "symbol", "ts")
+
+
+# ------------------------------------------------------------------ one table of all features for every user as symbol
+
+_feature_cols = " ".join(dict.fromkeys(" ".join(c for _, c, _ in GROUPS).split()))
+_per_group = {}
+for _, _cols, _sql in GROUPS:
+    _new = [x.partition(":")[0] for x in _cols.split() if x.partition(":")[0] not in _per_group]
+    for _x in _new:
+        _per_group[_x] = len(_per_group)
+    add_base(f"features_{len(_per_group)}", f'SELECT symbol AS g_symbol, ts AS g_ts{"".join(f", {x}" for x in _new)} FROM ({_sql})')
+    _per_group[f"table {len(_per_group)}"] = f"features_{len(_per_group)}"
+_tables = [v for k, v in _per_group.items() if k.startswith("table ")]
+
+
+@query("pipeline_features", f"symbol ts sent_score:d sent_confidence:d {_feature_cols}", "SELECT b.symbol, b.ts, sent_score, sent_confidence, "
+       + ", ".join(x.partition(":")[0] for x in _feature_cols.split()) + " FROM bars b " + " ".join(
+           f"JOIN {x} ON {x}.g_symbol = b.symbol AND {x}.g_ts = b.ts" for x in _tables)
+       + """ LEFT JOIN (SELECT 'U' || user_id AS s_symbol, date_trunc('hour', ts) AS s_ts, avg(score) AS sent_score, avg(confidence) AS
+    sent_confidence FROM sent GROUP BY 1, 2) s ON s_symbol = b.symbol AND s_ts = b.ts""")
+def _all_features(m):
+    """Technical groups, calendar and sentiment of every user's hourly bars in one table."""
+    return feature_table(m.bars_by_user(), m.sentiment_by_user())
+
+
+ORACLES["pipeline_features"] = ORACLES["pipeline_features"].replace("upper(event_type) AS symbol, 100", "'U' || user_id AS symbol, 100")

@@ -214,7 +214,7 @@ def index_rows(df: DataFrame, keys, order, block: Column, out: str = "_i",
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
     order = [order] if isinstance(order, str) else list(order)
-    sums = {"_n": F.lit(1), **{f"_t_{o}": F.col(v) for o, v in (totals or {}).items()}}
+    sums = {"_rows": F.lit(1), **{f"_t_{o}": F.col(v) for o, v in (totals or {}).items()}}
     d = sized_blocks(df, keys, order[0], block)
     blocks = d.groupBy(*keys, "_b").agg(*[F.sum(e).alias(n) for n, e in sums.items()])
     wk = Window.partitionBy(*keys).orderBy("_b").rowsBetween(BIG, -1)
@@ -222,7 +222,7 @@ def index_rows(df: DataFrame, keys, order, block: Column, out: str = "_i",
     wb = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(BIG, 0)
     inner = d.withColumns({"_rn": F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(*order)),
                            **{o: F.sum(v).over(wb) for o, v in (totals or {}).items()}})
-    j = join_on(inner, blocks, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_n"))
+    j = join_on(inner, blocks, [*keys, "_b"]).withColumn(out, F.col("_rn") + F.col("_rows"))
     j = j.withColumns({o: F.col(o) + F.col(f"_t_{o}") for o in (totals or {})}) if totals else j
     return j.drop("_rn", "_b", *sums)
 
@@ -350,6 +350,34 @@ def interval_join(points: DataFrame, spans: DataFrame, keys, point_ts: str, star
     return hit.drop("_bin")
 
 
+def range_totals(points: DataFrame, spans: DataFrame, keys, point_ts: str, tie: str, start: str, end: str, value: str,
+                 block: str = "hour") -> DataFrame:
+    """Spans with the count ``n`` and the sum ``total`` of their points, without a row per pair.
+
+    Points and the two bounds of every span are numbered in one order (start, points, end at one instant); a span has
+    what the running count and sum gain between its bounds.  Linear in points and spans however many points a span
+    covers.  A span with a null key or bound has no points.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    none = F.lit(None)
+    rows = points.filter(reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])).select(
+        *keys, F.col(point_ts).alias("_t"), F.lit(0).alias("_side"), F.col(tie).cast("string").alias("_tie"), F.lit(1).alias("_one"),
+        F.col(value).cast("double").alias("_v"))
+    span = F.struct(*spans.columns)
+    bounds = [spans.select(*keys, F.col(c).alias("_t"), F.lit(side).alias("_side"), none.cast("string").alias("_tie"),
+                           F.lit(0).alias("_one"), F.lit(0.0).alias("_v"), span.alias("_span")) for c, side in ((start, -1), (end, 1))]
+    both = rows.unionByName(bounds[0].unionByName(bounds[1]), allowMissingColumns=True)
+    run = index_rows(both, keys, ["_t", "_side", "_tie"], F.date_trunc(block, "_t"), totals={"_n": "_one", "_sum": "_v"}).filter(
+        "_side <> 0")
+    gain = run.groupBy("_span").agg(F.sum(F.col("_side") * F.col("_n")).alias("n"), F.sum(F.col("_side") * F.col("_sum")).alias("total"),
+                                    (F.count(F.lit(1)) / 2).cast("long").alias("copies"))
+    known = F.col(f"_span.{start}").isNotNull() & F.col(f"_span.{end}").isNotNull()
+    n = F.when(known, (F.col("n") / F.col("copies")).cast("long")).otherwise(0)
+    one = gain.select("_span.*", n.alias("n"), F.when(known, F.col("total") / F.col("copies")).alias("total"),
+                      F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("_copy"))
+    return one.drop("_copy")
+
+
 # --------------------------------------------------------------------------- islands, grids
 
 def islands(df: DataFrame, flag: Column, s: Ordered, out: str = "island") -> DataFrame:

@@ -29,12 +29,6 @@ class Market:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def texts(self, name: str) -> DataFrame:
-        """Text tables are CPU-bound: spread them when there are fewer files than cores, never on a large table."""
-        df = self.raw(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
     # -- market data
     def ticks(self, events: DataFrame | None = None) -> DataFrame:
         e = self.raw("events") if events is None else events
@@ -47,6 +41,16 @@ class Market:
     def bars(self, freq: str = "1h") -> DataFrame:
         return ohlcv_bars(self.ticks(), freq)
 
+    def by_user(self, df: DataFrame) -> DataFrame:
+        """The same rows with every user as a symbol (many keys instead of five)."""
+        return df.withColumn("symbol", F.concat(F.lit("U"), F.col("user_id").cast("string")))
+
+    def bars_by_user(self, freq: str = "1h") -> DataFrame:
+        return ohlcv_bars(self.by_user(self.ticks()), freq)
+
+    def sentiment_by_user(self) -> DataFrame:
+        return self.by_user(self.sentiment())
+
     def returns(self, freq: str = "1h") -> DataFrame:
         b = self.bars(freq)
         s = Ordered()
@@ -75,7 +79,7 @@ class Market:
 
     # -- text
     def posts(self) -> DataFrame:
-        d = self.texts("documents")
+        d = self.raw("documents")
         swaps = F.create_map(*[F.lit(x) for kv in STAND_INS.items() for x in kv])
         words = F.transform(F.split("text", " "), lambda w: F.coalesce(swaps[F.lower(w)], w))
         i = F.col("doc_id")
@@ -96,7 +100,7 @@ class Market:
                         "momentum")
 
     def articles(self) -> DataFrame:
-        d = self.texts("pages")
+        d = self.raw("pages")
         i = F.col("page_id")
         swaps = F.create_map(*[F.lit(x) for kv in STAND_INS.items() for x in kv])
         def swapped(c):
