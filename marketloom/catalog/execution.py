@@ -367,10 +367,10 @@ def _shortfall(m):
 def venue_ex(m):
     c = cut_lineage(costed(m))
     r = tca.order_rollup(c, m.parents()).select("order_id", "fill_rate", "duration_s")
-    return c.select("order_id", "venue", "qty", "impact_bps", "slippage_bps").join(r, "order_id")
+    return c.select("order_id", "venue", "qty", "impact_bps", "slippage_bps", "ts").join(r, "order_id")
 
 
-add_base("venue_ex", """SELECT c.order_id, venue, c.qty, c.impact_bps, c.slippage_bps, fill_rate, duration_s FROM costed c JOIN rolled
+add_base("venue_ex", """SELECT c.order_id, venue, c.qty, c.impact_bps, c.slippage_bps, fill_rate, duration_s, c.ts FROM costed c JOIN rolled
     USING (order_id)""")
 add_base("venue_st", """SELECT *, (CASE WHEN 1 + avg_slippage / 10 = 0 THEN 0 ELSE 1 / (1 + avg_slippage / 10) END + avg_fill + 1 /
     (1 + avg_seconds / 60)) / 3 AS composite FROM (SELECT venue, count(*) AS n, avg(slippage_bps) AS avg_slippage,
@@ -385,6 +385,15 @@ def _venues(m):
     return tca.venue_stats(venue_ex(m))
 
 
+@query("tca_venue_stats_24h", "venue n:i avg_slippage:d sd_slippage:d avg_fill:d avg_seconds:d median:d rank:i", """SELECT *, rank() OVER (ORDER BY
+    composite DESC) AS rank FROM (SELECT *, (CASE WHEN 1 + avg_slippage / 10 = 0 THEN 0 ELSE 1 / (1 + avg_slippage / 10) END + avg_fill + 1 /
+    (1 + avg_seconds / 60)) / 3 AS composite FROM (SELECT venue, count(*) AS n, avg(slippage_bps) AS avg_slippage, stddev_pop(slippage_bps) AS
+    sd_slippage, avg(fill_rate) AS avg_fill, avg(duration_s) AS avg_seconds, median(slippage_bps) AS median FROM venue_ex WHERE ts > TIMESTAMP
+    '2024-01-19' AND ts <= TIMESTAMP '2024-01-20' GROUP BY 1 HAVING count(*) >= 10))""")
+def _venues_24h(m):
+    return tca.venue_stats(venue_ex(m), as_of="2024-01-20")
+
+
 @query("tca_venue_recommend", "venue urgency_score:d", """SELECT venue, 0.2 / (1 + avg_slippage / 10) + 0.5 * avg_fill + 0.3 /
     (1 + avg_seconds / 60) AS urgency_score FROM venue_st ORDER BY 2 DESC, 1 LIMIT 3""")
 def _recommend(m):

@@ -8,6 +8,7 @@ from ..functions.numeric import col
 from ..operators import timeseries as ts
 from ..sources import store
 from ..sources.bars import ohlcv_bars
+from ..session import scratch_path
 from .base import add_base, query
 
 CUT = "TIMESTAMP '2024-01-15'"
@@ -59,9 +60,24 @@ def _upsert(m):
     return store.upsert(old, new, ["symbol", "day"], ["version"])
 
 
+@query("upsert_partitioned_table", "symbol ts version:i tier:i close:d", """WITH old AS (SELECT symbol, ts, 1 AS version, CAST(floor("close") AS BIGINT) %
+    4 AS tier, "close" FROM bars), new AS (SELECT symbol, ts, 2 AS version, CAST(floor("close") AS BIGINT) % 4 // 2 * 2 AS tier, "close" + 1 AS
+    "close" FROM bars WHERE hour(ts) % 2 = 0 OR CAST(floor("close") AS BIGINT) % 4 = 3) SELECT * FROM (SELECT * FROM old UNION ALL SELECT * FROM new)
+    QUALIFY row_number() OVER (PARTITION BY symbol, ts ORDER BY version DESC) = 1""")
+def _upsert_table(m):
+    """Keys that change their partition, and a partition that loses all of its rows."""
+    path = scratch_path(m.spark, "upsert-table")
+    tier = F.floor("close") % 4
+    b = m.bars().select("symbol", "ts", "close")
+    b.select("symbol", "ts", F.lit(1).alias("version"), tier.alias("tier"), "close").write.partitionBy("tier").parquet(path)
+    batch = b.filter((F.hour("ts") % 2 == 0) | (tier == 3)).select(
+        "symbol", "ts", F.lit(2).alias("version"), (F.floor(tier / 2) * 2).alias("tier"), (col("close") + 1).alias("close"))
+    store.upsert_partitions(path, batch, ["symbol", "ts"], ["version"], "tier")
+    return m.spark.read.parquet(path)
+
+
 @query("append_and_read_back", "symbol n:i", "SELECT symbol, 2 * count(*) AS n FROM bars GROUP BY 1")
 def _append(m):
-    from ..session import scratch_path
     path = scratch_path(m.spark, "append")
     b = m.bars().withColumn("day", F.to_date("ts"))
     store.append_batch(b, path, ["day"])

@@ -67,9 +67,12 @@ def execution_shortfall(rolled: DataFrame, bench: DataFrame, which: str = "vwap"
     return d.withColumn("_ref", ref).withColumn("shortfall_bps", implementation_shortfall("avg_price", "_ref")).drop("_ref")
 
 
-def venue_stats(ex: DataFrame, min_n: int = 10) -> DataFrame:
-    """ex (venue, slippage_bps, impact_bps, fill_rate, duration_s).  Four venues share all rows: percentiles are exact
+def venue_stats(ex: DataFrame, min_n: int = 10, as_of=None, hours: float = 24) -> DataFrame:
+    """ex (venue, slippage_bps, impact_bps, fill_rate, duration_s; ts with ``as_of``: the last ``hours`` up to it count).  Four venues share all rows: percentiles are exact
     through value cells, the rest are partial aggregates."""
+    if as_of is not None:
+        now = F.lit(as_of).cast("timestamp_ntz")
+        ex = ex.filter((col("ts") > now - F.expr(f"interval {round(hours * 3600)} seconds")) & (col("ts") <= now))
     g = ex.groupBy("venue").agg(
         F.count(F.lit(1)).alias("n"), F.avg("slippage_bps").alias("avg_slippage"), F.stddev_pop("slippage_bps").alias(
             "sd_slippage"), F.avg("impact_bps").alias("avg_impact"), F.avg("fill_rate").alias("avg_fill"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import col
 from ..operators.timeseries import latest
-from ..session import cut_lineage
+from ..session import cut_lineage, drop_path
 
 
 def _window(df: DataFrame, ts: str, start, end, limit, newest_tie: Sequence[str]) -> DataFrame:
@@ -62,13 +62,22 @@ def upsert(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequ
 
 def upsert_partitions(target_path: str, batch: DataFrame, keys: Sequence[str], order: Sequence[str],
                       partition: str) -> None:
-    """Merge a batch into a partitioned table, rewriting only the partitions the batch touches."""
+    """Merge a batch into a partitioned table, rewriting only the partitions that hold its keys, before or after.
+
+    A key whose partition value changes leaves its old partition; a partition that loses its last row is removed.
+    """
     spark = batch.sparkSession
     existing = spark.read.parquet(target_path)
-    touched = existing.join(batch.select(partition).distinct(), partition, "left_semi")
+    held = existing.join(batch.select(*keys).distinct(), list(keys), "left_semi").select(partition)
+    affected = cut_lineage(held.union(batch.select(partition)).distinct())
+    touched = existing.join(affected, partition, "left_semi")
     merged = cut_lineage(upsert(touched, batch, keys, order))
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(
         target_path)
+    emptied = affected.join(merged.select(partition).distinct(), partition, "left_anti")
+    for row in emptied.collect():  # values of the partition column, one per folder
+        if row[0] is not None:
+            drop_path(spark, f"{target_path}/{partition}={row[0]}")
 
 
 def append_batch(df: DataFrame, path: str, partition: Sequence[str] = ()) -> None:
