@@ -5,12 +5,14 @@ t + j sends every shingle to bin j, so each of the t coordinates is filled after
 after one or two; the estimate concentrates as for independent permutations. Coordinates are hashed in bands; documents
 that share a band value meet in its bucket. With 40 bands of 5 a pair at 0.75 is missed with probability 2e-5.
 
-Texts with equal sets are one node (named by a 128-bit digest). Links between nodes are confirmed on the full sets, but
-not all pairs of a bucket are emitted: first every node is compared with one hub, the smallest node it meets most often;
-then with the other hubs that are not yet connected with it; then, in buckets that still hold several components, pairs
-across components, the smaller ones against all. What is connected needs no further comparison, everything else that
-meets is compared: components come out as if all pairs had been. A hub with many members is salted. Sets are rebuilt
-from the texts for the nodes of a step only (found through a bitmap of fixed size) and move once to their hub.
+Texts with equal sets are one node (named by a 128-bit digest). Links between nodes are confirmed on the full sets, and
+no pair is emitted that is not a link: first every node is compared with the best hub of its buckets, the node that meets
+most others. Buckets that still hold several components are searched by sketch: pairs of different components whose estimate is at least ``ESTIMATE`` (a pair at 0.75 falls below
+with probability 1e-5) join components to candidate clusters; then the full sets of a cluster's nodes meet and are
+compared across components until these merge. What is connected needs no further comparison, everything else that meets
+is compared: components come out as if all pairs had been. A hub with many members is salted; large buckets and clusters
+are dealt out as pairs of blocks. Sets are rebuilt from the texts for the nodes of a step only (found through a bitmap
+of fixed size).
 
 Edges: a text of fewer than five words is one shingle; null, empty and blank texts have no set and link with nothing;
 rows with equal text are one node, with equal id or not; a null id never names a component that has another id; an empty
@@ -28,6 +30,8 @@ from .common import parallelism, slices
 
 #: Words of a shingle; bands and rows of a band; least similarity in hundredths; members of a hub in one salt.
 SHINGLE, BANDS, ROWS, PERCENT, SALT = 5, 40, 5, 75, 2000
+#: Least estimated similarity of a candidate; nodes in a block of a large bucket or cluster.
+ESTIMATE, BLOCK = 0.62, 1000
 #: Bits of the filter that finds the texts of a step; words whose hash a worker remembers.
 FILTER_BITS, REMEMBERED = 1 << 24, 1_000_000
 
@@ -103,11 +107,11 @@ def band_hashes(sketch, bands: int = BANDS, rows: int = ROWS):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null without words), bands: one row per input row."""
+    """doc_id, n_shingles, node (digest of the set; null without words), bands, sketch (16 bits of each coordinate)."""
     import pyarrow as pa
 
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()),
-                        ("bands", pa.list_(pa.int64()))])
+                        ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
         from xxhash import xxh3_128_digest
@@ -120,12 +124,14 @@ def sketches(docs: DataFrame) -> DataFrame:
                 s = shingle_set(t)
                 rows["n_shingles"].append(len(s))
                 rows["node"].append(xxh3_128_digest(s.tobytes()) if len(s) else None)
-                rows["bands"].append(band_hashes(fast_sketch(s)) if len(s) else None)
+                sketch = fast_sketch(s) if len(s) else None
+                rows["bands"].append(band_hashes(sketch) if len(s) else None)
+                rows["sketch"].append(sketch.astype("<u2").tobytes() if len(s) else None)
             rows["doc_id"] = part.column(0)
             yield records(schema, rows)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, node binary, bands array<long>")
+        run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -200,6 +206,86 @@ def verified(docs: DataFrame, pairs: DataFrame, first_ids: DataFrame, percent: i
     return written(rows.mapInArrow(compare, "node binary, hub binary"), "near-links")[0]
 
 
+def across(rows: DataFrame, keys: list[str], percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): components of one group (bucket or cluster) that candidates join, or links if ``rows`` hold full sets.
+
+    Rows: keys, node, c (component), n, sketch and perhaps set. Groups of many rows are dealt out as pairs of blocks. A
+    task emits a pair of components only when it joins two that were not joined before in it, so fewer rows leave than
+    enter.
+    """
+    import pyarrow as pa
+
+    full = "set" in rows.columns
+    sizes = rows.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    group = [*keys, "lo", "hi"]
+    dealt = (rows.join(sizes, keys).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+             .withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other")))
+    columns = [*group, "own", "c", "n", "sketch", *(["set"] if full else [])]
+    ordered = dealt.select(*columns).repartition(parallelism(rows.sparkSession), *group).sortWithinPartitions(*group)
+    schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+
+    def search(batches):
+        import numpy as np
+
+        def compare(key, own):
+            lo, hi = key[-2:]
+            left = [r for r in own if r["own"] == lo]
+            right = left if lo == hi else [r for r in own if r["own"] == hi]
+            if not left or not right:
+                return
+            root: dict[bytes, bytes] = {}
+
+            def find(x):
+                while root.setdefault(x, x) != x:
+                    root[x] = x = root[root[x]]
+                return x
+
+            sketches = np.stack([np.frombuffer(r["sketch"], "<u2") for r in right])
+            n = np.array([r["n"] for r in right])
+            names = {c: i for i, c in enumerate(dict.fromkeys(r["c"] for r in own))}
+            label = np.array([names[r["c"]] for r in right])
+            for i, r in enumerate(left):
+                ok = (label != names[r["c"]]) & (100 * np.minimum(n, r["n"]) >= percent * np.maximum(n, r["n"]))
+                if lo == hi:
+                    ok[: i + 1] = False
+                at = np.flatnonzero(ok)
+                if not len(at):
+                    continue
+                same = (sketches[at] == np.frombuffer(r["sketch"], "<u2")).mean(1)
+                for j in at[same >= ESTIMATE]:
+                    x, y = find(r["c"]), find(right[j]["c"])
+                    if x == y:
+                        continue
+                    if full:
+                        both = len(np.intersect1d(np.frombuffer(r["set"], np.uint64), np.frombuffer(right[j]["set"], np.uint64),
+                                                  assume_unique=True))
+                        if 100 * both < percent * (r["n"] + int(n[j]) - both):
+                            continue
+                    root[y] = x
+                    yield r["c"], right[j]["c"]
+
+        def emit(key, own):
+            found = list(compare(key, own))
+            if found:
+                a, b = zip(*found)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], schema=schema)
+
+        key, own = None, []
+        for batch in batches:
+            for r in batch.to_pylist():
+                k = tuple(r[c] for c in group)
+                if k != key:
+                    if len(own) > 1:
+                        yield from emit(key, own)
+                    key, own = k, []
+                own.append(r)
+        if len(own) > 1:
+            yield from emit(key, own)
+
+    return ordered.mapInArrow(search, "a binary, b binary")
+
+
 def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) of every node, a node without links being its own; written."""
     parts = connected_components(links, "node", "hub").withColumnRenamed("node", "m")
@@ -207,24 +293,35 @@ def _components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         "node", F.coalesce("component", "node").alias("component")), "near-components")[0]
 
 
+def _with_hubs(met: DataFrame) -> DataFrame:
+    """Adds the hub of each bucket: the node that meets most others over all its buckets (an original among its copies)."""
+    sizes = met.groupBy("band", "value").agg(F.count(F.lit(1)).alias("size"))
+    reach = met.join(sizes, ["band", "value"]).groupBy("node").agg(F.sum("size").alias("reach")).withColumnRenamed("node", "_node")
+    ranked = met.join(reach, F.col("node") == F.col("_node"))
+    hubs = ranked.groupBy("band", "value").agg(F.max(F.struct("reach", "node", "n")).alias("h")).select(
+        "band", "value", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"), F.col("h.reach").alias("hub_reach"))
+    return met.join(hubs, ["band", "value"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per input row."""
     rows, _ = written(sketches(docs), "near-sketches")
     classes, _ = written(rows.filter(F.col("node").isNotNull()).groupBy("node").agg(
-        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "near-classes")
+        F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+        F.first("sketch").alias("sketch")), "near-classes")
     first_ids = classes.select("node", "first_id")
     banded = classes.select("node", "n", F.posexplode("bands").alias("band", "value"))
-    who = F.struct("node", "n")
-    shared = (banded.groupBy("band", "value").agg(F.min(who).alias("low"), F.max(who).alias("high")).filter("low < high")
-              .select("band", "value", F.col("low.node").alias("hub"), F.col("low.n").alias("hub_n")))
-    met, _ = written(banded.join(shared, ["band", "value"]), "near-buckets")
+    shared = (banded.groupBy("band", "value").agg(F.min("node").alias("low"), F.max("node").alias("high"))
+              .filter("low < high").select("band", "value"))
+    met, _ = written(banded.join(shared, ["band", "value"]), "near-met")
+    met, _ = written(_with_hubs(met), "near-buckets")
 
     def fits(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    stars, _ = written(met.filter(fits(F.col("n"), F.col("hub_n")) & (F.col("node") != F.col("hub"))).groupBy("node", "hub")
-                       .agg(F.count(F.lit(1)).alias("times")), "near-stars")
-    first = stars.groupBy("node").agg(F.max(F.struct("times", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub"))
+    stars = met.filter(fits(F.col("n"), F.col("hub_n")) & (F.col("node") != F.col("hub"))).groupBy("node", "hub").agg(
+        F.count(F.lit(1)).alias("times"), F.max("hub_reach").alias("reach"))
+    first = stars.groupBy("node").agg(F.max(F.struct("reach", "times", "hub")).alias("best")).select("node", F.col("best.hub").alias("hub"))
     first, _ = written(first, "near-first")
     links = verified(docs, first, first_ids, percent)
     parts = _components(classes, links)
@@ -232,29 +329,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     def labelled(df: DataFrame, node: str, name: str) -> DataFrame:
         return df.join(parts.select(F.col("node").alias("_n"), F.col("component").alias(name)), F.col(node) == F.col("_n")).drop("_n")
 
-    rest = labelled(labelled(stars.join(first, ["node", "hub"], "left_anti"), "node", "c"), "hub", "d")
-    rest, _ = written(rest.filter("c <> d").select("node", "hub"), "near-second")
-    if not rest.isEmpty():
-        links = links.union(verified(docs, rest, first_ids, percent))
-        parts = _components(classes, links)
-
-    # buckets of several components: all but the largest component against everything of another component
-    inside = labelled(met.select("band", "value", "node", "n", "hub"), "node", "c")
+    # buckets that still hold several components: candidates by sketch, clusters of components, then full sets
+    inside = labelled(met.select("band", "value", "node", "n"), "node", "c")
     mixed = inside.groupBy("band", "value").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).filter("c0 < c1")
-    inside, _ = written(inside.join(mixed.select("band", "value"), ["band", "value"]), "near-mixed")
-    sizes = inside.groupBy("band", "value", "c").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("band", "value").agg(F.max(F.struct("k", "c")).alias("top")).select(
-        "band", "value", F.col("top.c").alias("top"))
-    minor = inside.join(largest, ["band", "value"]).filter("c <> top").select(
-        "band", "value", F.col("node").alias("x"), F.col("n").alias("xn"), F.col("c").alias("xc"), "top")
-    across = minor.join(inside, ["band", "value"]).filter(
-        (F.col("xc") != F.col("c")) & fits(F.col("xn"), F.col("n")) & ((F.col("c") == F.col("top")) | (F.col("x") < F.col("node"))))
-    pairs = across.select(F.greatest("x", "node").alias("node"), F.least("x", "node").alias("hub")).distinct()
-    seen = stars.select("node", "hub")
-    pairs, _ = written(pairs.join(seen, ["node", "hub"], "left_anti"), "near-across")
-    if not pairs.isEmpty():
-        links = links.union(verified(docs, pairs, first_ids, percent))
-        parts = _components(classes, links)
+    inside = inside.join(mixed.select("band", "value"), ["band", "value"])
+    known = classes.select(F.col("node").alias("_n"), "sketch")
+    inside, _ = written(inside.join(known, F.col("node") == F.col("_n")).drop("_n"), "near-mixed")
+    clusters = connected_components(across(inside, ["band", "value"], percent), "a", "b").select(
+        F.col("node").alias("of"), F.col("component").alias("cluster"))
+    nodes = classes.select("node", "first_id", "n", "sketch")
+    nodes = labelled(nodes, "node", "c").join(clusters, F.col("c") == F.col("of")).drop("of")
+    nodes, _ = written(nodes, "near-clusters")
+    if not nodes.isEmpty():
+        sets = shingle_sets(docs, nodes.select("node", F.col("first_id").alias("id")))
+        full = nodes.join(sets, (F.col("node") == F.col("s_node")) & F.col("first_id").eqNullSafe(F.col("s_id")))
+        full, _ = written(full.select("cluster", "node", "c", "n", "sketch", "set").dropDuplicates(["node"]), "near-full")
+        found, _ = written(across(full, ["cluster"], percent), "near-found")
+        merged = connected_components(found, "a", "b").select(F.col("node").alias("of"), F.col("component").alias("whole"))
+        parts = parts.join(merged, F.col("component") == F.col("of"), "left").select(
+            "node", F.coalesce("whole", "component").alias("component"))
 
     named = first_ids.join(parts, "node")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
