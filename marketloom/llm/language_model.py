@@ -121,8 +121,8 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
     level = (levels.withColumn("upto", F.sum("k").over(Window.orderBy(F.desc("n")))).filter(F.col("upto") <= DICTIONARY)
              .agg(F.min("n")).first()[0])
     # at most DICTIONARY rows
-    found = [] if level is None else [(bytes(r["word"]), r["n"]) for r in counts.filter(F.col("n") >= level).collect()]
-    found.sort(key=lambda x: (-x[1], x[0]))
+    rows = None if level is None else counts.filter(F.col("n") >= level).toArrow()
+    found = sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0])) if rows else []
     head, tail = found[:HEAD], found[HEAD:]
     mass: dict[int, int] = {}
     for word, n in tail:
@@ -307,11 +307,10 @@ def fit_segments(net: Network, segments: list, rate: float = RATE) -> int:
     return used
 
 
-def training_segments(docs: DataFrame, v: Vocabulary) -> DataFrame:
+def training_segments(docs: DataFrame, shared) -> DataFrame:
     """turn, ids: one in STRIDE stretches of SEGMENT tokens of every text, by a hash of the id and the place."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast(v)
     schema = pa.schema([("turn", pa.int32()), ("ids", pa.binary())])
 
     def cut(batches):
@@ -357,24 +356,22 @@ def averaged(rows: DataFrame, n: int, fan: int = 32):
     return sum(np.frombuffer(r["weights"], "f8") for r in got) / tokens_used if tokens_used else None
 
 
-def train(docs: DataFrame, v: Vocabulary) -> Network:
-    """Rounds of local training and averaging over the segments of ``docs``."""
-    spark = docs.sparkSession
-    segments, _ = written(training_segments(docs, v), "lm-segments")
+def train(docs: DataFrame, v: Vocabulary, shared) -> Network:
+    """Rounds of local training and averaging over the segments of ``docs``; ``shared`` is the broadcast vocabulary."""
+    segments, _ = written(training_segments(docs, shared), "lm-segments")
     net = Network(v)
     trainers = max(1, round(segments.count() / PER_TRAINER))
     for turn in range(ROUNDS):
-        shared = spark.sparkContext.broadcast((v, net.flat()))
+        start = net.flat()  # a few hundred kilobytes
 
-        def fit(batches, shared=shared):
+        def fit(batches, start=start, rate=RATE / (1 + turn)):
             import numpy as np
             import pyarrow as pa
             from pyspark import TaskContext
 
-            voc, flat = shared.value
             mine = [np.frombuffer(x, np.int16) for b in batches for x in b.column(0).to_pylist()]
-            own = Network(voc).load(flat)
-            used = fit_segments(own, mine, RATE / (1 + turn))
+            own = Network(shared.value).load(start)
+            used = fit_segments(own, mine, rate)
             if used:
                 yield pa.RecordBatch.from_pydict({
                     "trainer": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([used], pa.int64()),
@@ -439,11 +436,11 @@ def run_streams(net: Network, documents: list):
 SCORED = "doc_id long, n_tokens long, n_known long, log_counts double, rare_counts double, network double, unknown array<binary>"
 
 
-def scores(docs: DataFrame, net: Network) -> DataFrame:
+def scores(docs: DataFrame, net: Network, shared) -> DataFrame:
     """Per row: what the dictionary and the network give, and the tokens that only the count table knows."""
     import pyarrow as pa
 
-    shared = docs.sparkSession.sparkContext.broadcast((net.v, net.flat()))
+    flat = net.flat()
     schema = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("log_counts", pa.float64()),
                         ("rare_counts", pa.float64()), ("network", pa.float64()), ("unknown", pa.list_(pa.binary()))])
 
@@ -455,7 +452,7 @@ def scores(docs: DataFrame, net: Network) -> DataFrame:
 
         from .common import records
 
-        voc, flat = shared.value
+        voc = shared.value
         own = Network(voc).load(flat)
         get, rare = voc.place.get, voc.rare_id
         table, logs = np.append(voc.ids, np.int16(0)), np.append(voc.log_count, 0.0)
@@ -499,8 +496,10 @@ def score_documents(docs: DataFrame, may_learn: Column) -> DataFrame:
     learning = docs.filter(may_learn).select("doc_id", "text")
     counts, _ = written(token_counts(learning), "lm-counts")
     v = vocabulary(counts)
-    net = train(learning, v)
-    rows, _ = written(scores(docs, net).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    shared = docs.sparkSession.sparkContext.broadcast(v)  # DICTIONARY bounds it
+    net = train(learning, v, shared)
+    rows, _ = written(scores(docs, net, shared).withColumn("row", F.monotonically_increasing_id()), "lm-rows")
+    shared.destroy()  # everything that read it has been written
     rare = (rows.select("row", F.explode("unknown").alias("token")).join(counts, F.col("token") == F.col("word"), "left")
             .groupBy("row").agg(F.count("n").alias("known"), F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(0.5))).alias("logs"))
             .withColumnRenamed("row", "of"))
