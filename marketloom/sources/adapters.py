@@ -29,6 +29,11 @@ class Market:
     def raw(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def texts(self, name: str) -> DataFrame:
+        """Text tables, dealt anew only if the session says so in ``marketloom.text.partitions`` (a few small files)."""
+        n = self.spark.conf.get("marketloom.text.partitions", None)
+        return self.raw(name).repartition(int(n)) if n else self.raw(name)
+
     # -- market data
     def ticks(self, events: DataFrame | None = None) -> DataFrame:
         e = self.raw("events") if events is None else events
@@ -79,7 +84,7 @@ class Market:
 
     # -- text
     def posts(self) -> DataFrame:
-        d = self.raw("documents")
+        d = self.texts("documents")
         swaps = F.create_map(*[F.lit(x) for kv in STAND_INS.items() for x in kv])
         words = F.transform(F.split("text", " "), lambda w: F.coalesce(swaps[F.lower(w)], w))
         i = F.col("doc_id")
@@ -100,7 +105,7 @@ class Market:
                         "momentum")
 
     def articles(self) -> DataFrame:
-        d = self.raw("pages")
+        d = self.texts("pages")
         i = F.col("page_id")
         swaps = F.create_map(*[F.lit(x) for kv in STAND_INS.items() for x in kv])
         def swapped(c):
