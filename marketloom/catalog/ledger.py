@@ -122,15 +122,15 @@ def _stale(m):
 
 @query("orders_validate", "order_id:i reasons valid:b", """SELECT order_id, array_to_string(r, ',') AS reasons, len(r) = 0 AS valid FROM (SELECT
     order_id, list_filter([CASE WHEN qty <= 0 THEN 'quantity' END, CASE WHEN k = 0 AND lim IS NULL THEN 'limit_price' END, CASE WHEN k = 1
-    THEN 'stop_price' END, CASE WHEN n > 10 THEN 'symbol_orders' END, CASE WHEN qty * coalesce(lim, 100) > 100000 THEN 'value' END], lambda x:
+    THEN 'stop_price' END, CASE WHEN n > 10 THEN 'symbol_orders' END, CASE WHEN m > 14000 THEN 'total_orders' END, CASE WHEN qty * coalesce(lim, 100) > 100000 THEN 'value' END], lambda x:
     x IS NOT NULL) AS r FROM (SELECT order_id, order_id % 50 - 5 AS qty, order_id % 3 AS k, CASE WHEN order_id % 4 > 0 THEN value / 20 END
-    AS lim, count(*) OVER (PARTITION BY account) AS n FROM ords))""")
+    AS lim, row_number() OVER (PARTITION BY account ORDER BY order_id) AS n, row_number() OVER (ORDER BY order_id) AS m FROM ords))""")
 def _validate(m):
     k = col("order_id") % 3
     o = m.orders().select("order_id", col("account").alias("symbol"), (col("order_id") % 50 - 5).alias("qty"), F.when(
         k == 0, "limit").when(k == 1, "stop").otherwise("market").alias("order_type"), F.when(
             col("order_id") % 4 > 0, col("value") / 20).alias("limit_price"), F.lit(None).cast("double").alias("stop_price"))
-    return lg.validate_orders(o).withColumn("reasons", F.array_join("reasons", ","))
+    return lg.validate_orders(o, max_total=14000).withColumn("reasons", F.array_join("reasons", ","))
 
 
 # ------------------------------------------------------------------ accounts

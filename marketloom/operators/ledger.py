@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div
 from ..session import cut_lineage
-from .timeseries import Ordered, affine_scan, asof_join, index_rows
+from .timeseries import Ordered, affine_scan, asof_join, index_rows, join_on
 
 
 def reconcile(ledger: DataFrame, broker: DataFrame, tol: float = 1e-6) -> DataFrame:
@@ -117,17 +117,28 @@ def stale_orders(orders: DataFrame, as_of, stale_minutes: int = 30, timeout_minu
         F.col("ts") < at - F.expr(f"interval {stale_minutes} minutes"), "stale")).filter("issue IS NOT NULL")
 
 
-def validate_orders(orders: DataFrame, max_per_symbol: int = 10, max_value: float = 100000.0) -> DataFrame:
-    """Rejection reasons per order; counts per symbol come from an aggregate joined back, not from a window over a symbol."""
-    n = orders.groupBy("symbol").agg(F.count(F.lit(1)).alias("_n"))
-    d = orders.join(n, "symbol")
+def validate_orders(orders: DataFrame, max_per_symbol: int = 10, max_value: float = 100000.0, max_total: int | None = None,
+                    order: str = "order_id") -> DataFrame:
+    """Rejection reasons per order; only orders past a limit, in the order of ``order``, break it.
+
+    The limits become thresholds: the last admitted order of each symbol and of all, found by top-k steps that reduce
+    map-side, so a busy symbol is not sorted in one task.
+    """
+    w = Window.partitionBy("symbol").orderBy(order)
+    last = orders.select("symbol", order).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= max_per_symbol).groupBy(
+        "symbol").agg(F.max(order).alias("_last"), F.count(F.lit(1)).alias("_n"))
+    d = join_on(orders, last, "symbol", "left")
+    total = F.lit(None)
+    if max_total is not None:
+        edge = orders.select(order).orderBy(order).limit(max_total).agg(F.max(order).alias("edge")).scalar()
+        total = F.when(F.col(order) > edge, F.lit("total_orders"))
     price = F.coalesce("limit_price", F.lit(100.0))
     why = F.array_compact(F.array(
         F.when(F.col("qty") <= 0, F.lit("quantity")),
         F.when(F.col("order_type").isin("limit", "stop_limit") & F.col("limit_price").isNull(), F.lit("limit_price")),
         F.when(F.col("order_type").isin("stop", "stop_limit") & F.col("stop_price").isNull(), F.lit("stop_price")),
-        F.when(F.col("_n") > max_per_symbol, F.lit("symbol_orders")), F.when(F.col("qty") * price > max_value, F.lit("value"))))
-    return d.withColumn("reasons", why).withColumn("valid", F.size("reasons") == 0).drop("_n")
+        F.when((F.col("_n") >= max_per_symbol) & (F.col(order) > F.col("_last")), F.lit("symbol_orders")), total.cast("string"), F.when(F.col("qty") * price > max_value, F.lit("value"))))
+    return d.withColumn("reasons", why).withColumn("valid", F.size("reasons") == 0).drop("_n", "_last")
 
 
 # ------------------------------------------------------------------ accounts
