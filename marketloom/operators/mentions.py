@@ -46,13 +46,14 @@ def full_text(p: DataFrame) -> Column:
 # ------------------------------------------------------------------ symbols
 
 def mentions_symbol(df: DataFrame, symbols: DataFrame, text: str = "text", key: str = "id") -> DataFrame:
-    """Rows per (text, symbol) where the word, $sym, #sym or (sym) occurs; an equi-join on tokens.
+    """Rows per (text, symbol) where the word, $sym, #sym or (sym) occurs (also BRK.B or BF-B); an equi-join on tokens.
 
     Distinct tokens per text keep the exploded side linear in the text; the symbol side decides its own join
     strategy by size, so no symbols x texts product arises.
     """
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.upper(col(text)), F.lit("([A-Z0-9]+)"), F.lit(1)),
-                                          lambda t: t))
+    upper = F.upper(col(text))
+    tokens = F.array_union(F.regexp_extract_all(upper, F.lit("([A-Z0-9]+)"), F.lit(1)),
+                           F.regexp_extract_all(upper, F.lit(r"([A-Z0-9]+(?:[.-][A-Z0-9]+)+)"), F.lit(1)))
     words = df.select(key, F.explode(tokens).alias("symbol"))
     return words.join(symbols.select(F.upper("symbol").alias("symbol")).distinct(), "symbol")
 
