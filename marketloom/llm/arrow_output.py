@@ -59,7 +59,7 @@ def write_sequences(docs: DataFrame, folder: str, tokenizer: str, end_id: int =
             writer.write_batch(pa.RecordBatch.from_arrays([lists(pa.array(ids), length), lists(pa.array(mask), length)],
                                                           schema=schema))
 
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, owner="tokens"):
             if writer is None:
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(own)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +25,24 @@ def held_out(modulus: int, remainder: int, doc_id: str | Column = "doc_id") -> C
     return crc_of_id(doc_id) % modulus == remainder
 
 
-def slices(batches, text: str = "text", budget: int = SLICE) -> Iterator[tuple]:
-    """(record batch, its texts) in slices of bounded length; a null text is None."""
+#: What a Python worker remembers between tasks, and how to forget it.
+_memories: dict[str, Callable[[], None]] = {}
+
+
+def remember(owner: str, forget: Callable[[], None]) -> None:
+    _memories[owner] = forget
+
+
+def slices(batches, text: str = "text", budget: int = SLICE, owner: str = "") -> Iterator[tuple]:
+    """(record batch, its texts) in slices of bounded length; a null text is None.
+
+    A worker serves one operator after another: what operators other than ``owner`` remember is given up first.
+    """
     import pyarrow.compute as pc
 
+    for name, forget in _memories.items():
+        if name != owner:
+            forget()
     for batch in batches:
         if not batch.num_rows:
             continue

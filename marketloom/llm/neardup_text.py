@@ -26,14 +26,14 @@ from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..session import written
-from .common import parallelism, slices
+from .common import parallelism, remember, slices
 
 #: Words of a shingle; bands and rows of a band; least similarity in hundredths; members of a hub in one salt.
 SHINGLE, BANDS, ROWS, PERCENT, SALT = 5, 40, 5, 75, 2000
 #: Least estimated similarity of a candidate; nodes in a block of a large bucket or cluster.
 ESTIMATE, BLOCK = 0.62, 1000
 #: Bits of the filter that finds the texts of a step; words whose hash a worker remembers.
-FILTER_BITS, REMEMBERED = 1 << 24, 1_000_000
+FILTER_BITS, REMEMBERED = 1 << 24, 300_000
 
 _A, _B, _C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB  # multipliers of the splitmix64 generator
 
@@ -49,6 +49,7 @@ class WordHashes(dict):
 
 
 _words = WordHashes()
+remember("words", _words.clear)
 
 
 def mix(x):
@@ -107,10 +108,11 @@ def band_hashes(sketch, bands: int = BANDS, rows: int = ROWS):
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, node (digest of the set; null without words), bands, sketch (16 bits of each coordinate)."""
+    """doc_id, tie (hash of the text), n_shingles, node (digest of the set; null without words), bands, sketch (16 bits of
+    each coordinate): one row per input row."""
     import pyarrow as pa
 
-    schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()),
+    schema = pa.schema([("doc_id", pa.int64()), ("tie", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()),
                         ("bands", pa.list_(pa.int64())), ("sketch", pa.binary())])
 
     def run(batches):
@@ -118,7 +120,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
         from .common import records
 
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, owner="words"):
             rows = {k: [] for k in schema.names}
             for t in texts:
                 s = shingle_set(t)
@@ -127,11 +129,12 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sketch = fast_sketch(s) if len(s) else None
                 rows["bands"].append(band_hashes(sketch) if len(s) else None)
                 rows["sketch"].append(sketch.astype("<u2").tobytes() if len(s) else None)
-            rows["doc_id"] = part.column(0)
+            rows["doc_id"], rows["tie"] = part.column(0), part.column(1)
             yield records(schema, rows)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
-        run, "doc_id long, n_shingles long, node binary, bands array<long>, sketch binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"),
+                       F.col("text").cast("binary").alias("text")).mapInArrow(
+        run, "doc_id long, tie long, n_shingles long, node binary, bands array<long>, sketch binary")
 
 
 def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -155,7 +158,7 @@ def shingle_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
             for b in batch.column("bit").to_pylist():
                 page, at = bits.get(b // 32768), b % 32768
                 keep.append(page is not None and bool(page[at // 8] >> at % 8 & 1))
-            for part, texts in slices([batch.filter(pa.array(keep, pa.bool_()))]):
+            for part, texts in slices([batch.filter(pa.array(keep, pa.bool_()))], owner="words"):
                 sets = [shingle_set(t) for t in texts]
                 yield records(schema, {"s_id": part.column(0), "set": [s.tobytes() for s in sets],
                                        "s_node": [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]})
@@ -351,13 +354,32 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     named = first_ids.join(parts, "node")
     names = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    of_node, _ = written(named.join(names, "component").select(F.col("node").alias("of"), "component_id"), "near-names")
-    out = rows.select("doc_id", "n_shingles", "node").join(of_node, F.col("node") == F.col("of"), "left")
+    of_node, _ = written(named.join(names, "component").select(F.col("node").alias("of"), "component_id", "component"), "near-names")
+    out = rows.select("doc_id", "tie", "n_shingles", "node").join(of_node, F.col("node") == F.col("of"), "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("of").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-                      .alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+                      .alias("component_id"), "tie", F.col("component").alias("group")).withColumn(
+        "kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The input with one row of each group of similar documents (its smallest id; of equal rows one), all columns kept."""
-    gone = near_duplicates(docs, percent).filter(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    """The input with one row of each group of similar documents (of its smallest id), all columns kept.
+
+    Rows without words are in no group and stay. Of several rows under the smallest id the smallest hash of the text
+    stays, of repeated rows one.
+    """
+    found, _ = written(near_duplicates(docs, percent).select("doc_id", "tie", "group", "kept"), "near-rows")
+    stays = found.filter("kept AND group IS NOT NULL").groupBy("group").agg(F.min(F.struct("doc_id", "tie")).alias("best")).select(
+        F.col("best.doc_id").alias("s_id"), F.col("best.tie").alias("s_tie"))
+
+    def same(a, b, c, d):
+        return F.col(a).eqNullSafe(F.col(b)) & (F.col(c) == F.col(d))
+
+    rows = found.filter("group IS NOT NULL").groupBy("doc_id", "tie").agg(F.count(F.lit(1)).alias("copies"))
+    marked = rows.join(stays, same("doc_id", "s_id", "tie", "s_tie"), "left").select(
+        F.col("doc_id").alias("m_id"), F.col("tie").alias("m_tie"), F.col("s_tie").isNull().alias("gone"), "copies")
+    marked, _ = written(marked.filter("gone OR copies > 1"), "near-marked")
+    keyed = docs.withColumn("_tie", F.xxhash64("text"))
+    key = F.col("doc_id").cast("long").eqNullSafe(F.col("m_id")) & (F.col("_tie") == F.col("m_tie"))
+    single = keyed.join(marked, key, "left_anti")
+    repeated = keyed.join(marked.filter("NOT gone"), key, "left_semi").dropDuplicates(["doc_id", "_tie"])
+    return single.unionByName(repeated).drop("_tie")

@@ -35,7 +35,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int
         from .tokens import encoder
 
         enc, end, step = encoder(tokenizer), end_id.to_bytes(4, "little"), 4 * capacity
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, owner="tokens"):
             rows = {k: [] for k in schema.names}
             for doc_id, raw in zip(part.column(0).to_pylist(), enc.encode(texts)):
                 raw += end

@@ -11,6 +11,8 @@ from __future__ import annotations
 import os
 import re
 
+from .common import remember
+
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Pieces remembered per Python worker before the memory starts anew; longer pieces are encoded each time.
@@ -98,6 +100,7 @@ class PieceEncoder:
 
 
 _encoders: dict[str, PieceEncoder] = {}
+remember("tokens", _encoders.clear)
 
 
 def encoder(path: str) -> PieceEncoder:
