@@ -75,7 +75,7 @@ DECONTAMINATION_SQL = r"""WITH
     SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(words.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
         sha256(coalesce(ids, '')) AS items_sha256,
         coalesce(words.n, 0) > 0 AND 20 * coalesce(words.n, 0) >= len(w) AS contaminated
-    FROM low LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)""".replace("\\\\", "\\")
+    FROM low LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
 
 
 @query("op5_prefix_decontamination", DECONTAMINATION_SQL)
@@ -85,19 +85,40 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
-@query("op6_jump_shards")
+@query("op6_jump_shards", sharding.duckdb_sql(40))
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), 40)
 
 
-@query("op7_cross_polytope")
+VECTOR_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    ok AS (SELECT * FROM v WHERE label IS NOT NULL AND len(e) > 0 AND list_dot_product(e, e) > 0),
+    links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+        WHERE list_dot_product(a.e, b.e) / sqrt(list_dot_product(a.e, a.e) * list_dot_product(b.e, b.e)) >= 0.98),
+    reach AS (SELECT vec_id AS s, vec_id AS t FROM v UNION SELECT s, b FROM reach JOIN links ON a = t)
+    SELECT v.vec_id, (SELECT count(*) FROM links WHERE a = v.vec_id) AS n_links, min(t) AS component_id, v.vec_id = min(t) AS kept
+    FROM v JOIN reach ON s = v.vec_id GROUP BY v.vec_id"""
+
+
+@query("op7_cross_polytope", VECTOR_SQL)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup_vectors.link_vectors(table(spark, sf_dir, "embeddings"), 0.98)
 
 
-@query("op8_fast_minhash")
+TEXT_SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS s
+        FROM w WHERE len(w) > 0)),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY 1),
+    links AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM sets x JOIN sets y ON x.g = y.g AND x.doc_id <> y.doc_id
+        GROUP BY 1, 2) JOIN sizes p ON p.doc_id = a JOIN sizes q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+    reach AS (SELECT doc_id AS s, doc_id AS t FROM w UNION SELECT s, b FROM reach JOIN links ON a = t)
+    SELECT w.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(t) AS component_id, w.doc_id = min(t) AS kept
+    FROM w JOIN reach ON s = w.doc_id LEFT JOIN sizes z ON z.doc_id = w.doc_id GROUP BY w.doc_id"""
+
+
+@query("op8_fast_minhash", TEXT_SQL)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup_text.near_duplicates(table(spark, sf_dir, "documents"))
+    return neardup_text.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op9_clause_grammar")

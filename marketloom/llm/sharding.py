@@ -15,14 +15,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parallelism
-
 #: The generator's multiplier, 2862933555777941757, as high and low 32 bits, the low ones again as 16 + 16 bits.
 MULTIPLIER = 2862933555777941757
 _HIGH, _LOW = MULTIPLIER >> 32, MULTIPLIER & 0xFFFFFFFF
 _LOW1, _LOW0 = _LOW >> 16, _LOW & 0xFFFF
 _MASK = 0xFFFFFFFF
 
+#: Sub-groups in which the slots of a shard are numbered.
+SPREAD = 256
+
 #: Jumps made for every row; longer chains go on in a second expression.
 USUAL = 16
 
@@ -74,9 +75,11 @@ def jump_shards(df: DataFrame, key: str, shards: int) -> DataFrame:
             .drop("_chain", "_end"))
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per input row, slots gapless per shard."""
-    spread = parallelism(docs.sparkSession)
+def shard_documents(docs: DataFrame, shards: int = 40, spread: int = SPREAD) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard: one row per input row, slots gapless per shard.
+
+    Slots follow (id mod ``spread``, id), whatever the cluster.
+    """
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 16).cast("long").alias("size"),
                        F.crc32(text).alias("text_crc32"))
@@ -91,3 +94,23 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     return (placed.join(before, ["shard", "sub"]).withColumn("first", first)
             .withColumn("slot", F.explode(F.sequence("first", F.col("first") + F.col("n") - 1)))
             .select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard"))
+
+
+def duckdb_sql(shards: int = 40, spread: int = SPREAD) -> str:
+    """The same by 128-bit arithmetic and a recursive walk; crc32 by its table, byte after byte."""
+    return f"""WITH RECURSIVE steps AS (SELECT 0 AS k, i AS entry, i::BIGINT AS c FROM range(256) t(i) UNION ALL
+        SELECT k + 1, entry, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+      lookup AS (SELECT list(c ORDER BY entry) AS t FROM steps WHERE k = 8),
+      docs AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+      sums AS (SELECT doc_id, strlen(text) + 16 AS size, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+        regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295::BIGINT) AS text_crc32 FROM docs, lookup),
+      walk AS (SELECT DISTINCT doc_id, (coalesce(doc_id, 0)::HUGEINT + 18446744073709551616) % 18446744073709551616 AS key,
+        -1::BIGINT AS b, 0::BIGINT AS j FROM docs UNION ALL
+        SELECT doc_id, next AS key, j AS b, floor((j + 1) * (2147483648.0::DOUBLE / ((next // 8589934592) + 1)::DOUBLE))::BIGINT AS j
+        FROM (SELECT doc_id, j, (key * {MULTIPLIER} + 1) % 18446744073709551616 AS next FROM walk WHERE j < {shards})),
+      placed AS (SELECT doc_id, b::INTEGER AS shard, (CASE WHEN j = {shards} THEN {shards} ELSE b END)::INTEGER AS grown_shard
+        FROM walk WHERE j >= {shards})
+      SELECT s.doc_id, size::BIGINT AS size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY
+        (coalesce(s.doc_id, 0) % {spread} + {spread}) % {spread}, s.doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, grown_shard
+      FROM sums s JOIN placed p ON s.doc_id IS NOT DISTINCT FROM p.doc_id"""
