@@ -60,19 +60,25 @@ SYMBOL_PATTERNS = (
     r"\b([A-Z]{2,5})\s+(?:stock|shares|calls|puts|options|up|down|moon|rocket|beats|earnings|price|target)",
     r"(?:^|\.\s+)([A-Z]{2,5})\s+(?:is|has|will|to|going|stock|shares)",
 )
-NOT_TICKERS = """
-THE AND FOR ARE BUT NOT YOU ALL CAN HER WAS ONE OUR OUT DAY GET USE MAN NEW NOW OLD SEE WAY WHO ITS DID YES HIS HAS HAD
-LET PUT TOO END HOW AIR MEN OFF SET OWN TAKE COME WORK LIFE INTO TIME VERY WHAT WITH HAVE FROM THEY KNOW WANT BEEN GOOD
-MUCH SOME WOULD THERE MAKE WELL YEAR BACK THINK FIRST STILL AFTER OTHER MANY MUST OVER SUCH USED MOST STATE EVEN MADE
-SCHOOL HOUSE WORLD SMALL FOUND HERE GIVE GENERAL PUBLIC HAND PART PLACE CASE FACT GROUP PROBLEM RIGHT SAME SEEM TELL
-POINT ASKED WENT MONEY STORY UNTIL QUITE BEGAN MIGHT NEVER SYSTEM ORDER DIDN DOESN HAVEN WASN WEREN WOULDN SHOULDN
-COULDN MUSTN ISN WON CALL BUY SELL HOLD MOON YOLO FOMO HODL DD TA FA IPO CEO CFO USD EUR GBP JPY CAD
-""".split()
-KNOWN_TICKERS = """
-AAPL MSFT GOOGL GOOG AMZN TSLA META NVDA NFLX AMD INTC CRM ADBE PYPL SHOP UBER LYFT ROKU ZM DOCU SNOW PLTR RBLX COIN
-HOOD SOFI CRWD OKTA DDOG NET TWLO SQ V MA JPM BAC WFC GS MS C USB PNC SPY QQQ IWM DIA VTI VOO ARKK SQQQ TQQQ UPRO GME
-AMC BB NOK WISH CLOV SPCE TLRY SNDL MVIS
-""".split()
+NOT_TICKERS = (
+    "THE", "AND", "FOR", "ARE", "BUT", "NOT", "YOU", "ALL", "CAN", "HER", "WAS", "ONE", "OUR", "OUT", "DAY", "GET",
+    "USE", "MAN", "NEW", "NOW", "OLD", "SEE", "WAY", "WHO", "ITS", "DID", "YES", "HIS", "HAS", "HAD", "LET", "PUT",
+    "TOO", "END", "HOW", "AIR", "MEN", "OFF", "SET", "OWN", "TAKE", "COME", "WORK", "LIFE", "INTO", "TIME", "VERY",
+    "WHAT", "WITH", "HAVE", "FROM", "THEY", "KNOW", "WANT", "BEEN", "GOOD", "MUCH", "SOME", "WOULD", "THERE", "MAKE",
+    "WELL", "YEAR", "BACK", "THINK", "FIRST", "STILL", "AFTER", "OTHER", "MANY", "MUST", "OVER", "SUCH", "USED",
+    "MOST", "STATE", "EVEN", "MADE", "SCHOOL", "HOUSE", "WORLD", "SMALL", "FOUND", "HERE", "GIVE", "GENERAL",
+    "PUBLIC", "HAND", "PART", "PLACE", "CASE", "FACT", "GROUP", "PROBLEM", "RIGHT", "SAME", "SEEM", "TELL", "POINT",
+    "ASKED", "WENT", "MONEY", "STORY", "UNTIL", "QUITE", "BEGAN", "MIGHT", "NEVER", "SYSTEM", "ORDER", "DIDN",
+    "DOESN", "HAVEN", "WASN", "WEREN", "WOULDN", "SHOULDN", "COULDN", "MUSTN", "ISN", "WON", "CALL", "BUY", "SELL",
+    "HOLD", "MOON", "YOLO", "FOMO", "HODL", "DD", "TA", "FA", "IPO", "CEO", "CFO", "USD", "EUR", "GBP", "JPY", "CAD",
+)
+KNOWN_TICKERS = (
+    "AAPL", "MSFT", "GOOGL", "GOOG", "AMZN", "TSLA", "META", "NVDA", "NFLX", "AMD", "INTC", "CRM", "ADBE", "PYPL",
+    "SHOP", "UBER", "LYFT", "ROKU", "ZM", "DOCU", "SNOW", "PLTR", "RBLX", "COIN", "HOOD", "SOFI", "CRWD", "OKTA",
+    "DDOG", "NET", "TWLO", "SQ", "V", "MA", "JPM", "BAC", "WFC", "GS", "MS", "C", "USB", "PNC", "SPY", "QQQ", "IWM",
+    "DIA", "VTI", "VOO", "ARKK", "SQQQ", "TQQQ", "UPRO", "GME", "AMC", "BB", "NOK", "WISH", "CLOV", "SPCE", "TLRY",
+    "SNDL", "MVIS",
+)
 CONTEXT_WORDS = ("stock", "share", "price", "trading", "buy", "sell", "calls", "puts", "earnings", "revenue", "profit",
                  "loss", "bullish", "bearish", "moon", "rocket", "diamond", "hands", "squeeze", "short")
 

@@ -77,7 +77,7 @@ def extract_symbols_scored(df: DataFrame, text: str = "text", key: str = "id", f
     n = F.length("symbol")
     d = d.filter(n.between(2, 5))
     dollar = F.exists("_cash", lambda x: F.startswith(x, F.col("symbol")))
-    conf = (0.5 + F.when(F.col("symbol").isin(wd.KNOWN_TICKERS), 0.3).otherwise(0.0) + F.col("_ctx")
+    conf = (0.5 + F.when(F.col("symbol").isin(*wd.KNOWN_TICKERS), 0.3).otherwise(0.0) + F.col("_ctx")
             + F.when(dollar, 0.2).otherwise(0.0) - F.when(n == 2, 0.1).otherwise(0.0))
     return d.select(key, "symbol", F.least(conf, F.lit(1.0)).alias("confidence")).filter(F.col("confidence") > floor)
 
