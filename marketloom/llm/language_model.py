@@ -6,11 +6,11 @@ give the base score and the vocabulary: the ``HEAD`` most frequent tokens have p
 softmax over the words of a head class given the state, or the smoothed share of the word in its spelling class. All
 probabilities add up to at most 1 over the known tokens and one unknown.
 
-The network (a GRU) starts as the unigram model. Training segments are a fixed share of every training text (chosen by
-hash, so they grow with the corpus); they are dealt to trainers, of which there are more for more segments. A trainer
-runs truncated backpropagation, carrying the state from window to window of a segment; after each round the parameters
-are averaged, weighted by tokens, in a tree. Scoring carries the state through a whole document: documents are laid
-end to end in parallel streams, with the state reset where one begins.
+The network (a GRU) starts as the unigram model. Training segments are all stretches of every training text, each in one
+round (chosen by hash); they are dealt to trainers, of which there are more for more segments. A trainer runs truncated
+backpropagation, carrying the state from window to window of a segment; after each round the parameters are averaged,
+weighted by tokens, in a tree. Scoring carries the state through a whole document: documents are laid end to end in
+parallel streams, with the state reset where one begins.
 
 Tokens outside a bounded dictionary are looked up by a join with the counts. Edges: a null or empty text is one end;
 without training texts everything is unknown; repeated rows are each scored and each counted; an empty table gives no
@@ -29,8 +29,8 @@ from .common import slices
 
 #: Tokens held by every worker; tokens with an output place; words of a head class; classes of spelling.
 DICTIONARY, HEAD, PER_CLASS, SPELLINGS = 1 << 18, 1024, 32, 48
-#: State size; steps of a window; tokens of a training segment; one in so many segments is used; rounds.
-STATE, STEPS, SEGMENT, STRIDE, ROUNDS = 32, 32, 128, 8, 4
+#: State size; steps of a window; tokens of a training segment; rounds.
+STATE, STEPS, SEGMENT, ROUNDS = 32, 32, 128, 4
 #: Parallel segments of an update; learning rate; segments per trainer.
 BATCH, RATE, PER_TRAINER = 32, 0.008, 20_000
 #: Parallel streams and tokens held at once when scoring.
@@ -308,7 +308,7 @@ def fit_segments(net: Network, segments: list, rate: float = RATE) -> int:
 
 
 def training_segments(docs: DataFrame, shared) -> DataFrame:
-    """turn, ids: one in STRIDE stretches of SEGMENT tokens of every text, by a hash of the id and the place."""
+    """turn, ids: every stretch of SEGMENT tokens (the last one shorter) of every text; the turn is a hash of id and place."""
     import pyarrow as pa
 
     schema = pa.schema([("turn", pa.int32()), ("ids", pa.binary())])
@@ -327,11 +327,9 @@ def training_segments(docs: DataFrame, shared) -> DataFrame:
             for doc_id, t in zip(part.column(0).to_pylist(), texts):
                 words = tokens(t)
                 for i in range(0, len(words), SEGMENT):
-                    h = crc32(f"{doc_id}:{i}".encode())
-                    if h % STRIDE == 0:
-                        turns.append(h // STRIDE % ROUNDS)
-                        out.append(np.array([rare(w) if (k := get(w)) is None else ids[k] for w in words[i : i + SEGMENT]],
-                                            np.int16).tobytes())
+                    turns.append(crc32(f"{doc_id}:{i}".encode()) % ROUNDS)
+                    out.append(np.array([rare(w) if (k := get(w)) is None else ids[k] for w in words[i : i + SEGMENT]],
+                                        np.int16).tobytes())
             yield records(schema, {"turn": turns, "ids": out})
 
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "turn int, ids binary")

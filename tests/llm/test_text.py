@@ -247,6 +247,16 @@ def test_language_model_counts_and_scores(spark):
     assert language_model.score_documents(docs, F.lit(False)).count() == len(rows)
 
 
+def test_every_training_token_is_in_one_segment(spark):
+    rows = [(i, prose(R.choice([0, 3, 127, 128, 500]))) for i in range(60)] + [(900, None)]
+    docs = frame(spark, rows)
+    v = language_model.vocabulary(language_model.token_counts(docs))
+    got = language_model.training_segments(docs, spark.sparkContext.broadcast(v)).collect()
+    assert sum(len(r["ids"]) // 2 for r in got) == v.total
+    assert len(got) == sum(-(-(len((t or "").split()) + 1) // language_model.SEGMENT) for _, t in rows)
+    assert {r["turn"] for r in got} == set(range(language_model.ROUNDS))
+
+
 def test_network_is_a_distribution_and_its_gradient_is_right(spark, monkeypatch):
     import numpy as np
 
