@@ -250,8 +250,11 @@ class Network:
                 back[mine] += d @ p["words"][c].T
         return (out, back) if grads is not None else out
 
-    def gradients(self, h, ids, weight):
-        """Truncated backpropagation over one window of ids (steps x streams); returns (gradients, last state, loss)."""
+    def gradients(self, h, ids, weight, real=None):
+        """Truncated backpropagation over one window of ids (steps x streams); returns (gradients, last state, loss).
+
+        Where ``real`` is given, the places outside it (after a stream's end) have no loss and give no gradient.
+        """
         import numpy as np
 
         g = {k: np.zeros_like(x) for k, x in self.p.items()}
@@ -261,7 +264,12 @@ class Network:
             states.append(h)
             h = self.step(h, x[t], kept)
         flat = np.concatenate(states)
-        loss, back = self.log_probs(flat, ids.ravel(), g)
+        if real is None:
+            loss, back = self.log_probs(flat, ids.ravel(), g)
+        else:
+            at = np.flatnonzero(real.ravel())
+            back = np.zeros_like(flat)
+            loss, back[at] = self.log_probs(flat[at], ids.ravel()[at], g)
         back = back.reshape(steps, streams, STATE)
         dx = np.empty_like(x)
         dh = np.zeros_like(h)
@@ -286,16 +294,23 @@ def fit_segments(net: Network, segments: list, rate: float = RATE) -> int:
     square = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = used = 0
     segments = sorted(segments, key=len, reverse=True)
-    for i in range(0, len(segments), BATCH):
+    starts = np.arange(0, len(segments), BATCH)
+    # batches have segments of like length, so they come in mixed order: the last updates are not all of short texts
+    for i in np.random.default_rng(len(segments)).permutation(starts):
         group = segments[i : i + BATCH]
+        lengths = np.array([len(x) for x in group])
         h = np.zeros((len(group), STATE), np.float32)
-        length = len(group[-1])  # nearly all are SEGMENT long; the rest of a longer neighbour is left to other segments
-        ids = np.stack([s[:length] for s in group]).T.astype(np.int64)
-        for t in range(0, length, STEPS):
-            window = ids[t : t + STEPS]
-            g, h, _ = net.gradients(h, window, np.float32(1 / window.size))
+        ids = np.zeros((lengths[0], len(group)), np.int64)
+        for k, x in enumerate(group):
+            ids[: len(x), k] = x
+        for t in range(0, lengths[0], STEPS):
+            live = int((lengths > t).sum())  # the longest come first
+            window = ids[t : t + STEPS, :live]
+            real = np.arange(t, t + len(window))[:, None] < lengths[:live]
+            # every token counts alike, however few a window has
+            g, h, _ = net.gradients(h[:live], window, np.float32(1 / (BATCH * STEPS)), None if real.all() else real)
             step += 1
-            used += window.size
+            used += int(real.sum())
             norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
             clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
             scale = np.float32(rate * min(1.0, step / 20) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))

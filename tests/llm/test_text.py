@@ -284,6 +284,25 @@ def test_network_is_a_distribution_and_its_gradient_is_right(spark, monkeypatch)
         assert abs((up - down) / (2 * eps) - grads[k][at]) < 1e-4 * max(1, abs(grads[k][at]))
 
 
+def test_padding_gives_no_gradient_and_short_segments_are_trained_whole(spark):
+    import numpy as np
+
+    docs = frame(spark, [(i, prose(60)) for i in range(20)])
+    net = language_model.Network(language_model.vocabulary(language_model.token_counts(docs)))
+    r = np.random.default_rng(2)
+    ids, h = r.integers(0, net.v.inputs, (9, 2)), np.zeros((2, language_model.STATE), "f4")
+    real = np.arange(9)[:, None] < np.array([9, 4])
+    got, _, loss = net.gradients(h, ids, 1.0, real)
+    a, _, x = net.gradients(h[:1], ids[:, :1], 1.0)
+    b, _, y = net.gradients(h[:1], ids[:4, 1:], 1.0)
+    assert abs(loss - x - y) < 1e-3
+    for k in got:
+        assert np.allclose(got[k], a[k] + b[k], atol=1e-4)
+    segments = [r.integers(0, net.v.inputs, n).astype(np.int16) for n in (1, 2, 31, 32, 33, 64, 100, 128, *r.integers(1, 128, 50))]
+    assert language_model.fit_segments(net, segments) == sum(map(len, segments))
+    assert language_model.fit_segments(net, []) == 0
+
+
 def test_streams_carry_state_over_windows():
     import numpy as np
 
