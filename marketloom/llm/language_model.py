@@ -323,10 +323,13 @@ def fit_segments(net: Network, segments: list, rate: float = RATE) -> int:
 
 
 def training_segments(docs: DataFrame, shared) -> DataFrame:
-    """turn, ids: every stretch of SEGMENT tokens (the last one shorter) of every text; the turn is a hash of id and place."""
+    """turn, doc_id, start, ids: every stretch of SEGMENT tokens (the last one shorter) of every text.
+
+    The turn is a hash of id and place.
+    """
     import pyarrow as pa
 
-    schema = pa.schema([("turn", pa.int32()), ("ids", pa.binary())])
+    schema = pa.schema([("turn", pa.int32()), ("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.binary())])
 
     def cut(batches):
         from zlib import crc32
@@ -338,16 +341,24 @@ def training_segments(docs: DataFrame, shared) -> DataFrame:
         voc = shared.value
         get, ids, rare = voc.place.get, voc.ids.tolist(), voc.rare_id
         for part, texts in slices(batches):
-            turns, out = [], []
+            turns, owners, starts, out = [], [], [], []
             for doc_id, t in zip(part.column(0).to_pylist(), texts):
                 words = tokens(t)
                 for i in range(0, len(words), SEGMENT):
                     turns.append(crc32(f"{doc_id}:{i}".encode()) % ROUNDS)
+                    owners.append(doc_id)
+                    starts.append(i)
                     out.append(np.array([rare(w) if (k := get(w)) is None else ids[k] for w in words[i : i + SEGMENT]],
                                         np.int16).tobytes())
-            yield records(schema, {"turn": turns, "ids": out})
+            yield records(schema, {"turn": turns, "doc_id": owners, "start": starts, "ids": out})
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
+        cut, "turn int, doc_id long, start long, ids binary")
+
 
-    return docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(cut, "turn int, ids binary")
+def dealt(segments: DataFrame, trainers: int) -> DataFrame:
+    """ids of the segments, spread over the trainers by document and place: copies of one text don't meet in one."""
+    return segments.repartition(trainers, F.xxhash64("doc_id", "start", "ids")).select("ids")
 
 
 def averaged(rows: DataFrame, n: int, fan: int = 32):
@@ -390,7 +401,7 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Network:
                     "trainer": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([used], pa.int64()),
                     "weights": pa.array([(own.flat().astype("f8") * used).tobytes()], pa.binary())})
 
-        rows, _ = written(segments.filter(F.col("turn") == turn).select("ids").repartition(trainers, F.xxhash64("ids")).mapInArrow(
+        rows, _ = written(dealt(segments.filter(F.col("turn") == turn), trainers).mapInArrow(
             fit, "trainer int, tokens long, weights binary"), "lm-round")
         mean = averaged(rows, trainers)
         if mean is not None:

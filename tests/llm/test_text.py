@@ -257,6 +257,14 @@ def test_every_training_token_is_in_one_segment(spark):
     assert {r["turn"] for r in got} == set(range(language_model.ROUNDS))
 
 
+def test_copies_of_one_text_are_dealt_to_all_trainers(spark):
+    docs = frame(spark, [(i, "" if i % 2 else "ba ke lo") for i in range(800)])
+    v = language_model.vocabulary(language_model.token_counts(docs))
+    segments = language_model.training_segments(docs, spark.sparkContext.broadcast(v))
+    sizes = [r["count"] for r in language_model.dealt(segments, 8).groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 800 and len(sizes) == 8 and max(sizes) < 150
+
+
 def test_network_is_a_distribution_and_its_gradient_is_right(spark, monkeypatch):
     import numpy as np
 
