@@ -7,7 +7,8 @@ in words between them, and is composed from small transducers: a negation or a r
 discounts it, a target in reach raises it, a threat counts only with a target. It emits the weights of matched clause
 patterns, not of isolated words. A text's score is a logistic function of what its clauses emitted.
 
-Learned beginnings need support by toxic rows in different contexts (copies share theirs) and a log-odds weight; the
+Learned beginnings need support by toxic rows in different contexts (copies share theirs; fewer for fewer toxic rows),
+log-odds and a lower confidence limit of them, counted where no negation or reporting verb stands in reach before; the
 logistic function is fitted on the same rows: at most ``per_label`` labelled rows of each label (the smallest hashes of
 the id). Edges: a null or empty text emits nothing and gets the score of that; a row labelled twice is toxic if any
 label says so; null labels teach nothing; without any labelled row only the seeds count; repeated rows are each scored.
@@ -25,9 +26,13 @@ from pyspark.sql import functions as F
 from ..session import written
 from .common import slices
 
-#: Rows of each label that may be used for fitting; least distinct contexts and log-odds of a learned beginning;
+#: Rows of each label that may be used for fitting; least distinct contexts (of many toxic rows) and log-odds of a learned
+#: beginning;
 #: beginnings kept at most (the best supported ones).
 PER_LABEL, CONTEXTS, LOG_ODDS, ENTRIES = 10_000, 12, 4.5, 4096
+#: Least distinct contexts of few toxic rows, and toxic rows per context; least lower limit of the log-odds, so many standard
+#: errors below them.
+FEWEST, ROWS_PER_CONTEXT, LOWEST, ERRORS = 3, 16, 1.0, 2.33
 #: Lengths of a word beginning, in characters; reach of a transducer, in words.
 SHORTEST, LONGEST, REACH = 3, 7, 6
 #: Weight of a seed word that no labelled row supports.
@@ -178,6 +183,7 @@ def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: floa
     """Weighted word beginnings that mark the toxic rows of the sample; each distinct text counts once."""
     import pyarrow as pa
 
+    turning = frozenset(NEGATIONS + REPORTS)
     schema = pa.schema([("key", pa.string()), ("toxic", pa.int64()), ("clean", pa.int64()), ("mask", pa.int64())])
 
     def count(batches):
@@ -195,9 +201,14 @@ def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: floa
         for part, texts in slices(batches):
             for toxic, text in zip(part.column(0).to_pylist(), texts):
                 seen: dict[str, int] = {}
-                before = ""
+                before, place, turned = "", 0, -REACH - 1
                 for word in _token.findall((text or "").lower()):
-                    if word not in _ends and len(word) >= SHORTEST:
+                    place += 1
+                    if word in _ends:
+                        turned = -REACH - 1
+                    elif word in turning:
+                        turned = place
+                    elif len(word) >= SHORTEST and place - turned > REACH:
                         bit = 1 << (crc32(before.encode()) & 63) if toxic else 0
                         for key in beginnings_of(word):
                             seen.setdefault(key, bit)  # one context of each text
@@ -215,8 +226,12 @@ def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: floa
     sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = rows.mapInArrow(count, "key string, toxic long, clean long, mask long").groupBy("key").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("mask").alias("mask"))
-    odds = (F.log((F.col("toxic") + 0.5) / (sizes.get(1, 0) + 1)) - F.log((F.col("clean") + 1.5) / (sizes.get(0, 0) + 1)))
-    best = (counts.withColumn("odds", odds).filter((F.bit_count("mask") >= contexts) & (F.col("odds") >= log_odds))
+    cells = [F.col("toxic") + 0.5, sizes.get(1, 0) - F.col("toxic") + 0.5, F.col("clean") + 0.5, sizes.get(0, 0) - F.col("clean") + 0.5]
+    odds = F.log(cells[0] / cells[1]) - F.log(cells[2] / cells[3])
+    lowest = F.col("odds") - ERRORS * F.sqrt(sum((1 / c for c in cells), F.lit(0.0)))
+    fewest = min(contexts, max(FEWEST, sizes.get(1, 0) // ROWS_PER_CONTEXT))
+    best = (counts.withColumn("odds", odds).filter(
+                (F.bit_count("mask") >= fewest) & (F.col("odds") >= log_odds) & (lowest >= LOWEST))
             .orderBy(F.desc("toxic"), "key").limit(entries).collect())
     return most_specific([(r["key"], r["toxic"], r["odds"]) for r in best])
 

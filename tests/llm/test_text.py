@@ -219,6 +219,19 @@ def test_toxicity(spark):
     assert toxicity.score(docs, none).count() == len(rows) and toxicity.score(docs.limit(0), none).count() == 0
 
 
+def test_beginnings_from_few_labels_and_from_insults_that_clean_texts_quote(spark):
+    def learned(toxic, clean, quoted):
+        r = random.Random(3)
+        rows = [(i, prose(15, r) + (" zorgon " if i % 2 else " ") + prose(10, r), 1) for i in range(toxic)]
+        rows += [(toxic + i, prose(20, r) + (". they said zorgon " if i < quoted else " "), 0) for i in range(clean)]
+        sample = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+        return toxicity.learn_beginnings(sample.select("doc_id", "toxic", "text"))
+
+    for toxic, clean, quoted in ((40, 100, 0), (400, 2000, 40)):
+        found = learned(toxic, clean, quoted)
+        assert found and all(k.startswith("zor") for k in found)
+
+
 # language model
 
 def test_language_model_counts_and_scores(spark):
