@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_output, decontaminate, langid, language_model, linededup, neardup_text, neardup_vectors, packing, sharding, toxicity
+from . import arrow_output, conversations, conversations_sql, decontaminate, langid, language_model, linededup, neardup_text, neardup_vectors, packing, sharding, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,3 +131,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_best_fit_packing")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=2048)
+
+
+@query("op13_auction_repair", conversations_sql.duckdb_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
