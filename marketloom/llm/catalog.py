@@ -7,20 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import arrow_output, conversations, conversations_sql, decontaminate, langid, language_model, linededup, neardup_text, neardup_vectors, packing, sharding, toxicity
+from . import alignment, arrow_output, conversations, conversations_sql, decontaminate, langid, language_model, linededup, neardup_text, neardup_vectors, packing, sharding, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: File name of the vocabulary in the public tokenizer folder.
-VOCABULARY = "byte_bpe_50k.json"
+#: File names of the vocabularies in the public tokenizer folder.
+VOCABULARY, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
-def vocabulary() -> str:
+def vocabulary(name: str = VOCABULARY) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(VOCABULARY)
+    return public_tokenizers.path(name)
 
 
 def query(name: str, sql: str | None = None):
@@ -133,6 +133,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=2048)
 
 
+@query("op12_space_anchors")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_tokenizers(table(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
+
+
 @query("op13_auction_repair", conversations_sql.duckdb_sql())
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(table(spark, sf_dir, "conversations"))
