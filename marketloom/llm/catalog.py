@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, arrow_output, conversations, conversations_sql, decontaminate, langid, language_model, linededup, neardup_text, neardup_vectors, packing, sharding, toxicity
+from . import alignment, arrow_output, conversations, conversations_sql, decontaminate, fingerprints, langid, language_model, linededup, neardup_text, neardup_vectors, packing, sharding, toxicity
 from .common import held_out, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -133,6 +133,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary(), end_id=1, capacity=2048)
 
 
+@query("op11_lookup_sketches", fingerprints.duckdb_sql())
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op12_space_anchors")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align_tokenizers(table(spark, sf_dir, "documents"), vocabulary(), vocabulary(PIECES))
