@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 #: Characters of text that a Python worker turns into strings at once (a longer text is a slice of its own).
 SLICE = 4_000_000
 
@@ -25,6 +27,24 @@ def held_out(modulus: int, remainder: int, doc_id: str | Column = "doc_id") -> C
     return crc_of_id(doc_id) % modulus == remainder
 
 
+def bounded_sample(rows: DataFrame, label: str, cap: int, labels: int) -> DataFrame:
+    """doc_id, label, text: at most ``cap`` distinct (doc_id, text) of each of the ``labels`` most frequent labels, by a hash.
+
+    A row that stands many times counts once.  Keys are counted per label first and kept below a hash bound that leaves
+    about twice the cap, so that ranking, which one task does for a label, sees a bounded number of them; texts are joined
+    to the at most ``cap * labels`` keys that stay.
+    """
+    keyed = rows.select("doc_id", label, "text", F.xxhash64("text").alias("_h"))
+    keys, _ = written(keyed.select("doc_id", label, "_h").distinct(), "sample-keys")
+    counts = keys.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(labels)
+    share = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(1 << 30))
+    few = keys.join(counts, label).filter(share * F.col("_n") < F.lit((2 * cap + 64) * (1 << 30)))
+    rank = F.row_number().over(Window.partitionBy(label).orderBy(share, "doc_id", "_h"))
+    picks = few.withColumn("_r", rank).filter(F.col("_r") <= cap).select("doc_id", label, "_h")
+    return (keyed.join(F.broadcast(picks), ["doc_id", label, "_h"]).groupBy("doc_id", label, "_h")
+            .agg(F.first("text").alias("text")).drop("_h"))
+
+
 #: What a Python worker remembers between tasks, and how to forget it.
 _memories: dict[str, Callable[[], None]] = {}
 

@@ -6,23 +6,26 @@ text. The kernel of two texts is the size of their sets' intersection over the g
 are training texts; the kernel with them, whitened, is the feature map in which one ridge regression per language is
 fitted. A batch of texts is scored by matrix products: presence x landmarks, then x weights.
 
-The model is fitted on at most ``per_language`` rows of each language (the smallest hashes of the id); its size does
-not depend on the corpus. Edges: a null text and a text without a letter get ``und`` with score 0, as does everything
-where no row teaches a language; repeated rows are each scored; an empty table gives no rows.
+The model is fitted on at most ``per_language`` distinct (id, text) of each of the at most ``LANGUAGES`` most frequent
+languages, by a hash; its size does not depend on the corpus. Edges: a null text and a text without a letter get ``und``
+with score 0, as does everything where no row teaches a language; a null id teaches nothing; repeated rows are each scored
+but teach once; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import slices
+from .common import bounded_sample, slices
 
 #: Rows of a language that may be used for fitting; landmarks of a language; ridge penalty; steepness of the score.
 PER_LANGUAGE, LANDMARKS, PENALTY, STEEPNESS = 400, 24, 0.05, 3.0
+#: Languages that may be learned (the most frequent ones).
+LANGUAGES = 256
 SYMBOLS, ORDERS = 64, 3
 CODES = sum(SYMBOLS**n for n in range(1, ORDERS + 1))
 UNKNOWN = "und"
@@ -127,14 +130,8 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE)
     """Fit on a bounded number of rows per language among those that ``may_learn``."""
     import pyarrow as pa
 
-    spark = docs.sparkSession
-    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang")
-           .withColumn("rn", F.row_number().over(own)).filter(F.col("rn") <= per_language)
-           .select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang")))
-    # bounded by per_language rows of two short columns for each language
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
-    sample, _ = written(rows.select("doc_id", F.col("_lang").alias("lang"), "text"), "langid-sample")
+    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
+    sample, _ = written(bounded_sample(rows, "lang", per_language, LANGUAGES), "langid-sample")
 
     def letters(batches):
         from collections import Counter

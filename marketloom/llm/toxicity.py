@@ -1,17 +1,19 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Two automata work in sequence. The first reads the letters of a word through a trie and gives it a class: insult (with
-a weight), threat, target, negation or report; insults are fixed seeds and learned word beginnings, whatever ending
-follows. The second reads the classes of a clause (up to ``.``, ``!``, ``?``, ``;`` or a line break) with the distance
-in words between them, and is composed from small transducers: a negation or a reporting verb before an insult in reach
-discounts it, a target in reach raises it, a threat counts only with a target. It emits the weights of matched clause
-patterns, not of isolated words. A text's score is a logistic function of what its clauses emitted.
+The first automaton reads the letters of a word and gives it a class: insult (with one of a few levels of weight), threat,
+target, negation or report; insults are fixed seeds and learned word beginnings, whatever ending follows.  The second is
+the composition of five weighted transducers (``transducers``): negation and reported speech discount insults and threats
+in reach, a target raises them, an insult waits for its target, a threat counts only with one.  It reads the classes of a
+clause (up to ``.``, ``!``, ``?``, ``;`` or a line break), words without a class as steps between them, and emits the
+weights of matched clause patterns, not of isolated words.  Clauses are scored: a text has the sums of what its clauses
+emitted, the number of clauses that emitted anything, and its strongest clause; its score is a logistic function of these.
 
 Learned beginnings need support by toxic rows in different contexts (copies share theirs; fewer for fewer toxic rows),
-log-odds and a lower confidence limit of them, counted where no negation or reporting verb stands in reach before; the
-logistic function is fitted on the same rows: at most ``per_label`` labelled rows of each label (the smallest hashes of
-the id). Edges: a null or empty text emits nothing and gets the score of that; a row labelled twice is toxic if any
-label says so; null labels teach nothing; without any labelled row only the seeds count; repeated rows are each scored.
+log-odds and a lower confidence limit of them, counted where no negation or reporting verb stands in reach before, each
+distinct text once; the logistic function is fitted on the same rows: at most ``per_label`` distinct (id, text) of each
+label, by a hash.  Edges: a null or empty text emits nothing and gets the score of that; an id labelled twice is toxic if
+any label says so; null labels and null ids teach nothing; without any labelled row only the seeds count; repeated rows
+are each scored but teach once.
 """
 
 from __future__ import annotations
@@ -20,11 +22,12 @@ import math
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import slices
+from .common import bounded_sample, slices
+from .transducers import INSULTS, LEVELS, NEGATION, PLAIN, READ, REACH, REPORT, TARGET, TARGETED, THREAT, THREATENED, clause_table
 
 #: Rows of each label that may be used for fitting; least distinct contexts (of many toxic rows) and log-odds of a learned
 #: beginning;
@@ -33,8 +36,8 @@ PER_LABEL, CONTEXTS, LOG_ODDS, ENTRIES = 10_000, 12, 4.5, 4096
 #: Least distinct contexts of few toxic rows, and toxic rows per context; least lower limit of the log-odds, so many standard
 #: errors below them.
 FEWEST, ROWS_PER_CONTEXT, LOWEST, ERRORS = 3, 16, 1.0, 2.33
-#: Lengths of a word beginning, in characters; reach of a transducer, in words.
-SHORTEST, LONGEST, REACH = 3, 7, 6
+#: Lengths of a word beginning, in characters.
+SHORTEST, LONGEST = 3, 7
 #: Weight of a seed word that no labelled row supports.
 SEED_WEIGHT = 2.5
 
@@ -46,38 +49,42 @@ TARGETS = ("du", "he", "her", "him", "ihr", "she", "them", "they", "toi", "tu",
 NEGATIONS = ("aren't", "isn't", "jamais", "kein", "keine", "never", "nicht", "no", "not", "nunca", "nie", "wasn't")
 REPORTS = ("called", "calls", "claimed", "quoted", "reported", "said", "says", "wrote")
 
-INSULT, THREAT, TARGET, NEGATION, REPORT = range(1, 6)
 FEATURES = ("plain", "targeted", "negated", "reported", "threat", "strongest", "clauses")
 
 _token = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[.!?;\n]")
 _ends = frozenset(".!?;\n")
 
 
+def level(weight: float) -> int:
+    """The symbol of an insult of about this weight."""
+    return min(zip((abs(weight - w) for w in LEVELS), INSULTS))[1]
+
+
 @dataclass
 class Grammar:
-    """The word automaton: whole words by class, and weighted beginnings of insults (the longest that matches wins)."""
+    """The word automaton: symbols of whole words, and beginnings of insults (the longest that matches wins)."""
 
-    beginnings: dict[str, float] = field(default_factory=dict)
-    words: dict[str, tuple[int, float]] = field(default_factory=dict)
-    memory: dict[str, tuple[int, float] | None] = field(default_factory=dict)
+    beginnings: dict[str, int] = field(default_factory=dict)
+    words: dict[str, int] = field(default_factory=dict)
+    memory: dict[str, int | None] = field(default_factory=dict)
 
     @classmethod
     def of(cls, beginnings: dict[str, float]) -> Grammar:
-        words: dict[str, tuple[int, float]] = {}
-        for kind, names in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
-            words |= {w: (kind, 1.0) for w in names}
-        grammar = cls(beginnings, words)
-        seeds = {w: grammar.classify(w) or (INSULT, SEED_WEIGHT) for w in SEED_INSULTS}
+        words: dict[str, int] = {}
+        for symbol, names in ((THREAT, THREATS), (TARGET, TARGETS), (NEGATION, NEGATIONS), (REPORT, REPORTS)):
+            words |= {w: symbol for w in names}
+        grammar = cls({key: level(w) for key, w in beginnings.items()}, words)
+        seeds = {w: grammar.classify(w) or level(SEED_WEIGHT) for w in SEED_INSULTS}
         grammar.words |= seeds
         grammar.memory.clear()
         return grammar
 
-    def classify(self, word: str) -> tuple[int, float] | None:
+    def classify(self, word: str) -> int | None:
         found = self.words.get(word)
         if found is None:
             for key in reversed(beginnings_of(word)):
                 if key in self.beginnings:
-                    found = (INSULT, self.beginnings[key])
+                    found = self.beginnings[key]
                     break
         if len(self.memory) > 200_000:
             self.memory.clear()
@@ -94,46 +101,33 @@ def beginnings_of(word: str) -> list[str]:
 
 
 def emit(text: str | None, grammar: Grammar) -> list[float]:
-    """What the clause transducers emit for a whole text, in the order of FEATURES."""
-    plain = targeted = negated = reported = threat = strongest = 0.0
-    clauses = 0
-    memory, classify = grammar.memory, grammar.classify
-    place, last, pending, hit = 0, {}, None, False
-    for token in _token.findall((text or "").lower()):
+    """What the composed transducer emits for a whole text, in the order of FEATURES."""
+    table, memory, classify = clause_table(), grammar.memory, grammar.classify
+    follow, emitted, gaps, vectors = table.follow, table.emitted, table.gaps, table.vectors
+    total, clause, strongest, clauses = [0.0] * 5, None, 0.0, 0
+    state = gap = 0
+    for token in [*_token.findall((text or "").lower()), "."]:
         if token in _ends:
-            clauses += hit
-            last, pending, hit = {}, None, False
+            if clause is not None:
+                clauses += 1
+                strongest = max(strongest, clause[PLAIN] + clause[TARGETED] + clause[THREATENED])
+                total = [a + b for a, b in zip(total, clause)]
+                clause = None
+            state = gap = 0
             continue
-        place += 1
-        found = memory[token] if token in memory else classify(token)
-        if found is None:
+        symbol = memory[token] if token in memory else classify(token)
+        if symbol is None:
+            gap += 1
             continue
-        kind, weight = found
-        near = {k for k, at in last.items() if place - at <= REACH}
-        if kind == INSULT:
-            hit = True
-            if NEGATION in near:
-                negated += weight
-            elif REPORT in near:
-                reported += weight
-            else:
-                if TARGET in near:
-                    targeted += weight
-                else:
-                    plain += weight
-                    pending = place, weight
-                strongest = max(strongest, weight)
-        elif kind == TARGET:
-            if pending and place - pending[0] <= REACH:  # the target follows its insult
-                plain, targeted, pending = plain - pending[1], targeted + pending[1], None
-            if THREAT in near and NEGATION not in near and REPORT not in near:
-                threat, hit = threat + 1, True
-        elif kind == THREAT and TARGET in near and NEGATION not in near and REPORT not in near:
-            threat, hit = threat + 1, True
-        last[kind] = place
-    clauses += hit
-    return [math.log1p(plain), math.log1p(targeted), math.log1p(negated), math.log1p(reported), math.log1p(threat),
-            strongest, math.log1p(clauses)]
+        if gap:
+            state = gaps[min(gap, REACH)][state]
+            gap = 0
+        i = state * READ + symbol
+        state = follow[i]
+        if emitted[i]:
+            found = vectors[emitted[i]]
+            clause = found if clause is None else [a + b for a, b in zip(clause, found)]
+    return [*(math.log1p(max(0.0, x)) for x in total), strongest, math.log1p(clauses)]
 
 
 @dataclass
@@ -167,15 +161,11 @@ def fit_logistic(x, y, penalty: float = 1.0, steps: int = 50) -> list[float]:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = PER_LABEL) -> DataFrame:
-    """doc_id, toxic, text of at most ``per_label`` rows of each label."""
+    """doc_id, toxic, text of at most ``per_label`` distinct (id, text) of each label."""
     per_doc = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id")
                .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
-    own = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = (per_doc.withColumn("rn", F.row_number().over(own)).filter(F.col("rn") <= per_label)
-           .select(F.col("doc_id").alias("_id"), F.col("toxic").alias("_toxic")))
-    # bounded: two short columns of at most per_label rows for each of two labels
-    return docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select(
-        "doc_id", F.col("_toxic").alias("toxic"), "text")
+    rows = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "toxic", "text")
+    return bounded_sample(rows, "toxic", per_label, 2)
 
 
 def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: float = LOG_ODDS,
@@ -221,9 +211,9 @@ def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: floa
                 yield flush()
         yield flush()
 
-    once = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.min("doc_id").alias("_id"))
-    rows = sample.select("doc_id", "text").join(once, F.col("doc_id") == F.col("_id")).select("toxic", "text")
-    sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = sample.groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text")).select(
+        "toxic", "text")
+    sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     counts = rows.mapInArrow(count, "key string, toxic long, clean long, mask long").groupBy("key").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"), F.bit_or("mask").alias("mask"))
     cells = [F.col("toxic") + 0.5, sizes.get(1, 0) - F.col("toxic") + 0.5, F.col("clean") + 0.5, sizes.get(0, 0) - F.col("clean") + 0.5]
@@ -244,11 +234,8 @@ def most_specific(found: list[tuple[str, int, float]], share: float = 0.9) -> di
     return {key: odds for key, _, odds in found if key not in explained}
 
 
-EMITTED = "doc_id long, " + ", ".join(f"`{f}` double" for f in FEATURES)
-
-
-def emissions(docs: DataFrame, beginnings: dict[str, float]) -> DataFrame:
-    """doc_id and FEATURES of every row."""
+def emissions(docs: DataFrame, beginnings: dict[str, float], carried: str = "doc_id") -> DataFrame:
+    """A whole-number column and FEATURES of every row."""
     import pyarrow as pa
 
     shared = docs.sparkSession.sparkContext.broadcast(beginnings)
@@ -258,16 +245,16 @@ def emissions(docs: DataFrame, beginnings: dict[str, float]) -> DataFrame:
         for part, texts in slices(batches):
             rows = [emit(t, grammar) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.float64()) for c in zip(*rows))],
-                                             names=["doc_id", *FEATURES])
+                                             names=[carried, *FEATURES])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, EMITTED)
+    spec = f"{carried} long, " + ", ".join(f"`{f}` double" for f in FEATURES)
+    return docs.select(F.col(carried).cast("long").alias(carried), "text").mapInArrow(run, spec)
 
 
 def train(docs: DataFrame, labels: DataFrame, may_learn: Column, per_label: int = PER_LABEL) -> Model:
     sample, _ = written(labelled_sample(docs, labels, may_learn, per_label), "toxicity-sample")
     beginnings = learn_beginnings(sample)
-    marked = sample.select(F.col("doc_id").alias("_id"), "toxic").distinct()
-    rows = emissions(sample, beginnings).join(marked, F.col("doc_id") == F.col("_id")).select(*FEATURES, "toxic").collect()
+    rows = emissions(sample, beginnings, "toxic").collect()  # at most per_label rows of each of two labels
     y = [r["toxic"] for r in rows]
     if len(set(y)) < 2:
         return Model(beginnings, DEFAULT)

@@ -1,14 +1,15 @@
 """Text operators against brute force on small fixtures: nulls, empty and long texts, ties, repeats, clashing names."""
 
 import itertools
+import math
 import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from marketloom.llm import decontaminate, langid, language_model, linededup, neardup_text, toxicity
-from marketloom.llm.common import held_out
+from marketloom.llm import decontaminate, langid, language_model, linededup, neardup_text, toxicity, transducers
+from marketloom.llm.common import bounded_sample, held_out
 
 R = random.Random(7)
 VOCAB = [a + b for a in "ba ke lo mi nu po ra si te vu".split() for b in "da fen gil hos jum kat lim".split()]
@@ -183,8 +184,117 @@ def test_language_id(spark):
     assert langid.predict(docs.limit(0), model).count() == 0
 
 
+def naive_kernel(a, b):
+    """Presence kernel of two sets of symbol n-grams, straight from their definition."""
+    return len(a & b) / (len(a) * len(b)) ** 0.5 if a and b else 0.0
+
+
+def test_kernel_against_brute_force():
+    """Sets, kernel and the ridge solution of 30 texts against a version without matrices of presence."""
+    import numpy as np
+
+    texts = [" ".join("".join(R.choice("abcdé ß1") for _ in range(R.randint(1, 6))) for _ in range(R.randint(1, 40))) for _ in range(30)]
+    texts[:2] = ["a", "Ab ba"]
+    alphabet = ("a", "b", "c", "d", "é")
+    table, flags = langid.fold_table(alphabet), np.zeros(langid.CODES, bool)
+    sets = [langid.presence(t, table, flags) for t in texts]
+
+    def grams(text):
+        folded = [alphabet.index(c) + 1 if (c := ch.lower()) in alphabet else langid.SYMBOLS - 1 if ch.isalpha() else 0 for ch in text]
+        found = {tuple(folded[i : i + n]) for n in range(1, langid.ORDERS + 1) for i in range(len(folded) - n + 1)}
+        return {g for g in found if any(g)}
+
+    want = [grams(t) for t in texts]
+    assert [len(s) for s in sets] == [len(w) for w in want]
+    names = [("x", "y")[i % 2] for i in range(30)]
+    model = langid.fit(sets, names, alphabet, landmarks=4)
+    marks = [i for k in (0, 1) for i in range(30) if i % 2 == k][:4] + [i for i in range(30) if i % 2 == 1][:4]
+    kernel = np.array([[naive_kernel(w, want[m]) for m in marks] for w in want])
+    assert np.allclose(model.kernel(sets), kernel, atol=1e-5)
+    # ridge regression on the whitened kernel, solved by least squares on stacked rows
+    values, vectors = np.linalg.eigh(kernel[marks])
+    keep = values > 1e-6 * values.max()
+    z = np.hstack([kernel @ (vectors[:, keep] / np.sqrt(values[keep])), np.ones((30, 1))])
+    target = np.array([[1.0 if n == k else -1.0 for k in ("x", "y")] for n in names])
+    ridge = np.sqrt(langid.PENALTY * 30 / 100) * np.eye(z.shape[1])
+    beta = np.linalg.lstsq(np.vstack([z, ridge]), np.vstack([target, np.zeros((z.shape[1], 2))]), rcond=None)[0]
+    margin = z @ beta
+    got = model.scores(sets)
+    e = np.exp(langid.STEEPNESS * (margin - margin.max(1, keepdims=True)))
+    assert np.allclose(got, e / e.sum(1, keepdims=True), atol=1e-3)
+
+
+def test_samples_are_bounded_and_count_a_row_once(spark):
+    rows = [(1, "same text", "aa")] * 300 + [(1, "same text", "bb")] * 40 + [(i, f"text {i}", "aa") for i in range(2, 90)] + [
+        (2, "another text of id two", "bb"), (3, None, "bb")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = bounded_sample(docs, "lang", 5, 10).collect()
+    assert len([r for r in got if r["lang"] == "aa"]) == 5 and len({(r["doc_id"], r["text"], r["lang"]) for r in got}) == len(got)
+    assert {(r["doc_id"], r["text"]) for r in got if r["lang"] == "bb"} == {(1, "same text"), (2, "another text of id two"), (3, None)}
+    assert bounded_sample(docs, "lang", 1000, 10).count() == 89 + 3
+    assert {r["lang"] for r in bounded_sample(docs, "lang", 5, 1).collect()} == {"aa"}
+    shared = spark.createDataFrame([(1, "uno dos", "es"), (1, "one two", "en")] * 50, "doc_id long, text string, lang string")
+    assert sorted((r["lang"], r["text"]) for r in bounded_sample(shared, "lang", 400, 10).collect()) == [("en", "one two"), ("es", "uno dos")]
+
+
 # toxicity
 
+def test_composition_agrees_with_the_five_in_turn():
+    table = transducers.clause_table()
+    for _ in range(2000):
+        symbols = [R.randrange(transducers.READ) for _ in range(R.randint(1, 25))]
+        assert transducers.run_composed(symbols, table) == pytest.approx(transducers.run_in_turn(symbols))
+    words = [transducers.OTHER] * 9
+    for k in range(10):  # gaps are steps over words without a class
+        a = [transducers.TARGET, *words[:k], transducers.INSULTS[1]]
+        state = table.gaps[min(k, transducers.REACH)][table.follow[transducers.TARGET]]
+        last = table.vectors[table.emitted[state * transducers.READ + transducers.INSULTS[1]]]
+        assert list(last) == transducers.run_in_turn(a)
+
+
+def test_grammar_against_a_naive_reading():
+    """Texts against rules that look at every pair of words of a clause."""
+    g = toxicity.Grammar.of({})
+    pool = ["you", "not", "said", "kill", "idiot", "table", "chair", "lamp", "."]
+    for _ in range(400):
+        text = " ".join(R.choice(pool) for _ in range(R.randint(1, 30)))
+        want = [0.0] * 5
+        for clause in text.split("."):
+            w = clause.split()
+
+            def near(i, word):
+                return any(w[j] == word for j in range(max(0, i - 6), i))
+
+            free = [i for i, x in enumerate(w) if x in ("idiot", "kill") and not near(i, "not") and not near(i, "said")]
+            want[2] += 2.5 * sum(x == "idiot" and near(i, "not") for i, x in enumerate(w))
+            want[3] += 2.5 * sum(x == "idiot" and near(i, "said") and not near(i, "not") for i, x in enumerate(w))
+            open_at = None
+            for i, x in enumerate(w):
+                if x == "idiot" and i in free:
+                    if near(i, "you"):
+                        want[1] += 2.5
+                    else:
+                        want[0] += 2.5
+                        open_at = i
+                elif x == "you" and open_at is not None and i - open_at <= 6:
+                    want[0], want[1], open_at = want[0] - 2.5, want[1] + 2.5, None
+            for i, x in enumerate(w):
+                if x == "kill" and i in free and near(i, "you"):
+                    want[4] += 1
+                if x == "you" and not near(i, "not") and not near(i, "said") and any(j in free and w[j] == "kill" for j in range(max(0, i - 6), i)):
+                    want[4] += 1
+        assert toxicity.emit(text, g)[:5] == pytest.approx([math.log1p(x) for x in want]), text
+
+
+def test_repeated_labelled_rows_teach_once(spark):
+    r = random.Random(4)
+    toxic = [(i, prose(15, r) + " zorgon " + prose(10, r)) for i in range(40)]
+    rows = toxic + [toxic[0]] * 60 + [(100 + i, prose(25, r)) for i in range(100)]
+    labels = spark.createDataFrame([(i, 1, int(i < 100)) for i in {d for d, _ in rows}], "doc_id long, quality int, toxic int")
+    model = toxicity.train(frame(spark, rows), labels, F.lit(True))
+    assert "zorgon$" in model.beginnings or any(k.startswith("zor") for k in model.beginnings)
+
+
 def test_clause_grammar():
     g = toxicity.Grammar.of({"vequ": 6.0, "clown$": 6.0})
     at = dict(zip(toxicity.FEATURES, range(7)))
