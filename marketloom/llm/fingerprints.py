@@ -34,8 +34,9 @@ PIECE, BASE_BITS, LAST_BITS, STEP = 48, 3, 20, 2
 #: Passes over a table in the first comparison and rounds of the later ones; what is not empty after them has failed.
 PASSES, ROUNDS = 9, 24
 
-#: Rows of a block that are aimed at, and the most blocks whose first rows are told to every task.
-BLOCK_ROWS, BLOCKS = 500, 65536
+#: Rows of a block and of a task that are aimed at, and the most blocks whose first rows are told to every task.  A task
+#: groups some 1,500 cells of each of its rows, which must fit into its memory.
+BLOCK_ROWS, TASK_ROWS, BLOCKS = 64, 512, 65536
 
 #: Check of a digest: a product modulo a prime (fixed values).
 CHECK_PRIME, CHECK_FACTOR = 2147483647, 1103515245
@@ -256,7 +257,8 @@ def _texts(values: list) -> Column:
 def placed(docs: DataFrame, block_rows: int = BLOCK_ROWS, blocks: int = BLOCKS) -> DataFrame:
     """doc_id, tie, text, block, sentinel: every row in its block, and the first row of a block also in the one before."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = max(1, min(blocks, rows.count() // block_rows))
+    n = rows.count()
+    parts = max(1, min(blocks, n // block_rows))
     shares = [i / parts for i in range(1, parts)] or [0.5]
     bounds = rows.agg(F.percentile_approx("doc_id", shares, 20 * parts).alias("q")).first()["q"] or [0]
     keyed = (rows.withColumn("tie", digest(F.col("text")))
@@ -274,7 +276,7 @@ def placed(docs: DataFrame, block_rows: int = BLOCK_ROWS, blocks: int = BLOCKS)
     stay = F.struct(F.col("block").alias("block"), F.lit(False).alias("sentinel"))
     ahead = F.struct(back.alias("block"), F.lit(True).alias("sentinel"))
     return (keyed.withColumn("to", F.explode(F.when(is_first, F.array(stay, ahead)).otherwise(F.array(stay))))
-            .select("doc_id", "tie", "text", "to.block", "to.sentinel"))
+            .select("doc_id", "tie", "text", "to.block", "to.sentinel").repartition(n // TASK_ROWS + 1, "block"))
 
 
 def fingerprint_documents(docs: DataFrame, block_rows: int = BLOCK_ROWS, blocks: int = BLOCKS) -> DataFrame:
