@@ -37,7 +37,7 @@ ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, groups_sha256 string,
 LINKED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 _single_space = re.compile(r"(?<=\S) (?=\S)")
-_rare_blanks = re.compile("[" + "".join(map(re.escape, OTHER_BLANKS)) + "]")
+_ascii_blanks = tuple(b for b in OTHER_BLANKS if b.isascii())
 
 
 def byte_letters() -> dict[str, int]:
@@ -103,8 +103,12 @@ class Aligner:
 
     def __init__(self, byte_level: str, pieces: str):
         self.v = Vocabularies(byte_level, pieces)
-        self.parts: dict[str, tuple[bytes, bytes, bool]] = {}
+        self.of_a: dict[str, bytes] = {}
+        self.of_b: dict[str, bytes] = {}
+        self.odd: set[str] = set()  # parts of which some side's bytes differ
         self.windows: dict[tuple[bytes, bytes], tuple[bytes, bytes]] = {}
+        self.a_length, self.b_length = self.v.a_length.tolist(), self.v.b_length.tolist()
+        self.index = {code: i for i, code in enumerate(self.v.possible.tolist())}
         self.decimal = [str(i).encode() for i in range(max(len(self.v.a_bytes), len(self.v.b_bytes)))]
 
     # tokens
@@ -114,48 +118,49 @@ class Aligner:
         with a line break is given its space, which tells it from the others."""
         if not self.v.separable:
             return [" " + text]
-        plain = len(text.split()) == text.count(" ") + text.count("\n") + 1 and not _rare_blanks.search(text)
-        if plain:
+        plain = len(text.split()) == text.count(" ") + text.count("\n") + 1
+        if plain and not any(map(text.__contains__, _ascii_blanks if text.isascii() else OTHER_BLANKS)):
             return text.replace("\n", " \n").split(" ")
         first, *rest = _single_space.split(text)
         return [" " + first if first[:1] in ("\n", " ") else first, *rest]
 
-    def _encode(self, parts: list[str]) -> list[tuple[bytes, bytes, bool]]:
-        """(ids, ids, whether both give the part's bytes); a part without its own blank in front has a space there."""
+    def _learn(self, parts: list[str]) -> None:
+        """Ids of new parts on both sides; a part without its own blank in front has a space there."""
         from array import array
 
-        own = [p[:1] in ("\n", " ") for p in parts]
-        full = [p if o else " " + p for p, o in zip(parts, own)]
-        left = self.v.a.encode_batch_fast(full, add_special_tokens=False)
+        full = [p if p[:1] in ("\n", " ") else " " + p for p in parts]
+        left = [e.ids for e in self.v.a.encode_batch_fast(full, add_special_tokens=False)]
         right = self.v.b.encode([p[1:] if p[:1] == " " else p for p in parts], num_threads=1)
-        out = []
-        for f, p, a, b in zip(full, parts, left, right):
-            ids = b[1:] if p[:1] == "\n" else b
-            want = f.encode()
-            same = b"".join([self.v.a_bytes[i] for i in a.ids]) == want == b"".join([self.v.b_bytes[i] for i in ids])
-            out.append((array("I", a.ids).tobytes(), array("I", ids).tobytes(), same))
-        return out
+        right = [ids[1:] if p[:1] == "\n" else ids for p, ids in zip(parts, right)]
+        want = [f.encode() for f in full]
+        for known, side, entries, lengths in ((self.of_a, left, self.v.a_bytes, self.a_length), (self.of_b, right, self.v.b_bytes, self.b_length)):
+            known.update(zip(parts, [array("I", ids).tobytes() for ids in side]))
+            same = b"".join([entries[i] for ids in side for i in ids]) == b"".join(want) and all(
+                [sum([lengths[i] for i in ids]) == len(w) for ids, w in zip(side, want)])
+            if not same:
+                self.odd.update(p for p, ids, w in zip(parts, side, want) if b"".join([entries[i] for i in ids]) != w)
 
     def tokens(self, texts: list[str | None]) -> list[tuple[bytes, bytes] | None]:
         """Ids of space + text on both sides as 32-bit numbers; None where there are no tokens."""
-        known = self.parts
-        if len(known) > PARTS:
-            known.clear()
+        of_a, of_b, odd = self.of_a, self.of_b, self.odd
+        if len(of_a) > PARTS:
+            for memory in (of_a, of_b, odd):
+                memory.clear()
         cut = [self._cut(t) if t else [] for t in texts]
-        new = list({p for parts in cut for p in parts if p not in known})
+        new = list({p for parts in cut for p in parts if p not in of_a})
         for i in range(0, len(new), 8192):
-            known.update(zip(new[i : i + 8192], self._encode(new[i : i + 8192])))
+            self._learn(new[i : i + 8192])
         out: list[tuple[bytes, bytes] | None] = []
         for text, parts in zip(texts, cut):
-            found = [known[p] for p in parts]
-            if not found:
+            if not parts:
                 out.append(None)
                 continue
-            a, b = b"".join([f[0] for f in found]), b"".join([f[1] for f in found])
-            out.append((a, b) if all([f[2] for f in found]) or self._joined(a, b, text) else None)
+            a, b = b"".join(map(of_a.__getitem__, parts)), b"".join(map(of_b.__getitem__, parts))
+            out.append((a, b) if not odd or odd.isdisjoint(parts) or self._joined(a, b, text) else None)
         for p in new:
             if len(p) > LONGEST_PART:
-                known.pop(p, None)
+                del of_a[p], of_b[p]
+                odd.discard(p)
         return out
 
     def _joined(self, a: bytes, b: bytes, text: str) -> bool:
@@ -166,20 +171,24 @@ class Aligner:
     # alignment
 
     def _align(self, a: bytes, b: bytes) -> tuple[bytes, bytes]:
-        """(groups as text, indexes of the linked pairs) of one window."""
-        import numpy as np
+        """(groups as text, indexes of the linked pairs) of one window: a walk along both sides."""
+        from array import array
 
-        left, right = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-        ends, other = self.v.a_length[left].cumsum(), self.v.b_length[right].cumsum()
-        at = other.searchsorted(ends)
-        shared = (other[at] == ends).nonzero()[0]
-        at = at[shared]
-        codes = left[shared].astype(np.int64) * len(self.v.b_bytes) + right[at]
-        dec, ids, ods, i, j, groups = self.decimal, left.tolist(), right.tolist(), 0, 0, []
-        for x, y in zip((shared + 1).tolist(), (at + 1).tolist()):
-            groups.append(b",".join([dec[k] for k in ids[i:x]]) + b"|" + b",".join([dec[k] for k in ods[j:y]]))
-            i, j = x, y
-        return b";".join(groups), self.v.possible.searchsorted(codes).astype(np.int32).tobytes()
+        dec, size, index, of_left, of_right = self.decimal, len(self.v.b_bytes), self.index, self.a_length, self.b_length
+        right, groups, pairs, lefts, rights = iter(memoryview(b).cast("I").tolist()), [], array("i"), [], []
+        here = there = m = 0
+        for k in memoryview(a).cast("I").tolist():
+            here += of_left[k]
+            lefts.append(dec[k])
+            while there < here:
+                m = next(right)
+                there += of_right[m]
+                rights.append(dec[m])
+            if here == there:
+                groups.append(b",".join(lefts) + b"|" + b",".join(rights))
+                pairs.append(index[k * size + m])
+                lefts, rights = [], []
+        return b";".join(groups), pairs.tobytes()
 
     def align(self, a: bytes, b: bytes) -> tuple[int, int, str, object]:
         """(n_a, n_b, checksum of the groups, index of the pair of every link)."""
@@ -196,19 +205,17 @@ class Aligner:
         cuts, cut2 = (4 * marked[both]).tolist(), (4 * marks[at[both]]).tolist()
         if not cuts or cuts[0]:
             cuts, cut2 = [0, *cuts], [0, *cut2]
-        keys = zip(cuts, [*cuts[1:], len(a)], cut2, [*cut2[1:], len(b)])
-        texts, pairs = [], []
-        for i, j, x, y in keys:
-            key = (a[i:j], b[x:y])
-            found = memo.get(key)
-            if found is None:
-                found = self._align(*key)
-                if j - i <= 4 * LONGEST_WINDOW:
-                    if len(memo) >= WINDOWS:
-                        memo.clear()
-                    memo[key] = found
-            texts.append(found[0])
-            pairs.append(found[1])
+        keys = [(a[i:j], b[x:y]) for i, j, x, y in zip(cuts, [*cuts[1:], len(a)], cut2, [*cut2[1:], len(b)])]
+        found = list(map(memo.get, keys))
+        if None in found:
+            if len(memo) >= WINDOWS:
+                memo.clear()
+            for at, (key, known) in enumerate(zip(keys, found)):
+                if known is None:
+                    found[at] = known = memo.get(key) or self._align(*key)
+                    if len(key[0]) <= 4 * LONGEST_WINDOW:
+                        memo[key] = known
+        texts, pairs = zip(*found)
         digest = hashlib.sha256(b";".join(texts)).hexdigest()
         return len(left), len(right), digest, np.frombuffer(b"".join(pairs), np.int32)
 
@@ -232,21 +239,30 @@ def aligned(docs: DataFrame, byte_level: str, pieces: str) -> DataFrame:
     schema = pa.schema([("doc_id", pa.int64()), ("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()),
                         ("groups_sha256", pa.string()), ("pairs", whole), ("times", whole)])
 
-    def run(batches):
+    def rows_of(tool, part, texts):
         import numpy as np
 
+        rows = {name: [] for name in schema.names}
+        for doc_id, found in zip(part.column(0).to_pylist(), tool.tokens(texts)):
+            values = (doc_id, 0, 0, 0, "", [], [])
+            if found:
+                n_a, n_b, digest, pairs = tool.align(*found)
+                kinds, times = np.unique(pairs, return_counts=True)
+                values = (doc_id, n_a, n_b, len(pairs), digest, kinds, times.astype(np.int32))
+            for name, value in zip(schema.names, values):
+                rows[name].append(value)
+        return records(schema, rows)
+
+    def run(batches):
+        import gc
+
         tool = aligner(byte_level, pieces)
-        for part, texts in slices(batches, owner="alignment"):
-            rows = {name: [] for name in schema.names}
-            for doc_id, found in zip(part.column(0).to_pylist(), tool.tokens(texts)):
-                values = (doc_id, 0, 0, 0, "", [], [])
-                if found:
-                    n_a, n_b, digest, pairs = tool.align(*found)
-                    kinds, times = np.unique(pairs, return_counts=True)
-                    values = (doc_id, n_a, n_b, len(pairs), digest, kinds, times.astype(np.int32))
-                for name, value in zip(schema.names, values):
-                    rows[name].append(value)
-            yield records(schema, rows)
+        gc.disable()  # the memories are large and hold no cycles: collecting would walk them again and again
+        try:
+            for part, texts in slices(batches, owner="alignment"):
+                yield rows_of(tool, part, texts)
+        finally:
+            gc.enable()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, ALIGNED)
 
