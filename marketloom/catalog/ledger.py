@@ -17,12 +17,13 @@ def walk(src: str, key: str, order: str) -> str:
     """Row-by-row average-cost ledger."""
     return f"""(WITH RECURSIVE n AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn,
       CASE side WHEN 'buy' THEN qty ELSE -qty END AS dq FROM {src}),
-    w AS (SELECT {key}, rn, dq AS q, price AS av, 0.0::DOUBLE AS realized, 'open' AS event FROM n WHERE rn = 1 UNION ALL
-      SELECT {key}, rn, CASE WHEN abs(q + dq) < 1e-8 THEN 0 ELSE q + dq END, CASE WHEN q * dq >= 0 THEN (q * av + dq * price) / (q + dq)
-        WHEN abs(q + dq) < 1e-8 THEN 0 WHEN abs(dq) < abs(q) THEN av ELSE price END,
+    w AS (SELECT {key}, 0::BIGINT AS rn, 0.0::DOUBLE AS q, 0.0::DOUBLE AS av, 0.0::DOUBLE AS realized, '' AS event FROM n WHERE rn = 1 UNION ALL
+      SELECT {key}, rn, CASE WHEN abs(q + dq) < 1e-8 THEN 0 ELSE q + dq END, CASE WHEN dq = 0 THEN av WHEN q * dq >= 0 THEN
+        (q * av + dq * price) / (q + dq) WHEN abs(q + dq) < 1e-8 THEN 0 WHEN abs(dq) < abs(q) THEN av ELSE price END,
         CASE WHEN q * dq >= 0 THEN 0 ELSE (price - av) * least(abs(dq), abs(q)) * sign(q) END,
-        CASE WHEN q = 0 THEN 'open' WHEN q * dq >= 0 THEN 'increase' WHEN abs(q + dq) < 1e-8 THEN 'close' WHEN abs(dq) < abs(q) THEN
-        'reduce' ELSE 'flip' END FROM (SELECT n.{key}, n.rn, n.dq, n.price, w.q, w.av FROM w JOIN n ON n.{key} = w.{key} AND n.rn = w.rn + 1))
+        CASE WHEN dq = 0 THEN 'none' WHEN q = 0 THEN 'open' WHEN q * dq >= 0 THEN 'increase' WHEN abs(q + dq) < 1e-8 THEN 'close'
+        WHEN abs(dq) < abs(q) THEN 'reduce' ELSE 'flip' END
+      FROM (SELECT n.{key}, n.rn, n.dq, n.price, w.q, w.av FROM w JOIN n ON n.{key} = w.{key} AND n.rn = w.rn + 1))
     SELECT n.*, w.q AS position, w.av AS avg_price, w.realized, w.event FROM n JOIN w USING ({key}, rn))"""
 
 

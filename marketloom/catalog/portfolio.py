@@ -57,7 +57,7 @@ add_base("votes", """SELECT ts, CASE WHEN ret20 > 0.15 THEN 'bull_trending' WHEN
       'low_volatility' ELSE 'normal' END, 0.25 * CASE WHEN sv > 0.25 AND sv > 1.5 * lv THEN 0.9 WHEN sv > 0.25 OR sv < 0.12 THEN 0.8
       ELSE 0.6 END FROM mmx UNION ALL
     SELECT ts, CASE WHEN c > 0.7 THEN 'crisis' WHEN c < 0.3 THEN 'low_volatility' ELSE 'normal' END, 0.2 * CASE WHEN c > 0.7 THEN 0.8
-      WHEN c < 0.3 THEN 0.7 ELSE 0.6 END FROM (SELECT ts, (hour(ts) % 10) / 10 AS c FROM mmx) UNION ALL
+      WHEN c < 0.3 THEN 0.7 ELSE 0.6 END FROM (SELECT ts, avg_corr AS c FROM mmx LEFT JOIN corr_reg USING (ts)) UNION ALL
     SELECT ts, CASE WHEN mom > 0.05 THEN 'bull_trending' WHEN mom < -0.05 THEN 'bear_trending' ELSE 'normal' END, 0.15 * CASE WHEN mom >
       0.05 OR mom < -0.05 THEN 0.7 ELSE 0.6 END FROM mmx UNION ALL
     SELECT ts, CASE WHEN vix > 30 AND vix > 1.3 * vix_ma THEN 'crisis' WHEN vix > 30 THEN 'high_volatility' WHEN vix < 15 THEN
@@ -70,8 +70,7 @@ add_base("votes", """SELECT ts, CASE WHEN ret20 > 0.15 THEN 'bull_trending' WHEN
 def _multi(m):
     r = m.returns()
     vix = m.bars().groupBy("ts").agg((F.max("volume") / 12).alias("vix"))
-    corr = r.select("ts").distinct().withColumn("avg_corr", F.hour("ts") % 10 / 10)
-    return rg.regime_multifactor(rg.market_measures(r, corr, vix))
+    return rg.regime_multifactor(rg.market_measures(r, rk.correlation_regime(r), vix))
 
 
 @query("regime_gaussian_mixture", "regime n:i mean_vol:d")

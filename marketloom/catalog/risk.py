@@ -277,15 +277,34 @@ def _corr_alerts(m):
     return rk.correlation_alerts(s, rk.sector_concentration(m.positions(), sectors(m)), 0.01)
 
 
-@query("regime_correlation", "ts avg_corr:d high:b", """WITH t AS (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT
-    DISTINCT ts FROM rets)), x AS (SELECT symbol, i, ret FROM rets JOIN t USING (ts)), p AS (SELECT a.symbol AS a, b.symbol AS b,
-    a.i, a.ret AS ra, b.ret AS rb FROM x a JOIN x b ON a.i = b.i AND a.symbol < b.symbol), c AS (SELECT t.ts, p.a, p.b,
-    corr(ra, rb) AS r FROM t JOIN p ON p.i BETWEEN t.i - 89 AND t.i WHERE t.i >= 90 GROUP BY 1, 2, 3)
-    SELECT ts, avg(abs(r)) AS avg_corr, avg(abs(r)) > 0.8 AS high FROM c GROUP BY 1""")
+add_base("corr_reg", """SELECT ts, avg(abs(r)) FILTER (isfinite(r)) AS avg_corr, avg(abs(r)) FILTER (isfinite(r)) > 0.8 AS high FROM (SELECT t.ts, p.a, p.b,
+    corr(ra, rb) AS r FROM (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM rets)) t JOIN (SELECT a.symbol AS a, b.symbol AS b,
+    a.i, a.ret AS ra, b.ret AS rb FROM (SELECT symbol, i, ret FROM rets JOIN (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM
+    rets)) USING (ts)) a JOIN (SELECT symbol, i, ret FROM rets JOIN (SELECT ts, row_number() OVER (ORDER BY ts) AS i FROM (SELECT DISTINCT ts FROM rets))
+    USING (ts)) b ON a.i = b.i AND a.symbol < b.symbol) p ON p.i BETWEEN t.i - 89 AND t.i WHERE t.i >= 90 GROUP BY 1, 2, 3) GROUP BY 1""")
+
+
+@query("regime_correlation", "ts avg_corr:d high:b", "SELECT * FROM corr_reg")
 def _corr_regime(m):
     return rk.correlation_regime(m.returns())
 
 
+add_base("part_ret", """SELECT CAST(l_partkey AS VARCHAR) AS symbol, date_trunc('month', l_shipdate) AS ts, avg(l_discount - l_tax) AS ret FROM lineitem
+    GROUP BY 1, 2""")
+
+
+@query("risk_correlation_parts", "symbol pairs:i avg_corr:d5 max_corr:d5", """SELECT symbol, count(*) AS pairs, avg(abs(r)) AS avg_corr, max(abs(r)) AS max_corr
+    FROM (SELECT unnest([a, b]) AS symbol, r FROM (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS r, count(*) AS n FROM part_ret a JOIN part_ret b
+    ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 6 AND isfinite(corr(a.ret, b.ret)))) GROUP BY 1""")
+def _parts(m):
+    """Monthly margin of every part against every other one: hundreds of symbol groups, thousands of tiles."""
+    f = m.raw("lineitem").groupBy(col("l_partkey").cast("string").alias("symbol"), F.date_trunc("month", "l_shipdate").alias("ts")).agg(
+        F.avg(col("l_discount") - col("l_tax")).alias("ret"))
+    p = rk.pair_moments(f, "century").filter("a < b AND n >= 6 AND corr IS NOT NULL")
+    one = p.select(F.explode(F.array("a", "b")).alias("symbol"), F.abs("corr").alias("r"))
+    return one.groupBy("symbol").agg(F.count(F.lit(1)).alias("pairs"), F.avg("r").alias("avg_corr"), F.max("r").alias("max_corr"))
+
+
 add_base("ret100", "SELECT * FROM rets QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY ts DESC) <= 100")
 add_base("kelly", """SELECT *, (avg_win / avg_loss * win_rate - (1 - win_rate)) / (avg_win / avg_loss) AS kelly FROM (SELECT
     symbol, count(*) FILTER (ret > 0) / count(*) AS win_rate, avg(ret) FILTER (ret > 0) AS avg_win, abs(avg(ret) FILTER

@@ -15,19 +15,22 @@ def events(m):
     return sj.file_stream(m.spark, m.folder, "events.parquet")
 
 
-#: Arrival is out of order by up to the whole span of the table.
-LATEST = "60 days"
+#: Rows arrive up to two hours after their time; the watermark waits a little longer than that.
+DISORDER_SECONDS, DELAY = 7200, "3 hours"
 
 
 def arrivals(m):
-    """The event table as three files, each spanning the whole time, and one closing event of another type."""
+    """The event table as it would arrive: each row delayed by up to two hours, in steps of six days of four files each,
+    and one closing event of another type."""
     path = scratch_path(m.spark, "arrivals")
-    e = m.raw("events")
-    for i in (2, 0, 1):
-        e.filter(F.pmod("event_id", F.lit(3)) == i).coalesce(1).write.mode("append").parquet(path)
-    e.limit(1).withColumns({"event_type": F.lit("closing"), "ts": F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00"))}).select(
-        *e.columns).write.mode("append").parquet(path)
-    return sj.file_stream(m.spark, path, "*.parquet", per_trigger=1)
+    late = F.make_dt_interval(secs=F.pmod(col("event_id") * 7919, F.lit(DISORDER_SECONDS)).cast("decimal(18,6)"))
+    e = m.raw("events").withColumn("_step", F.floor(F.unix_micros((col("ts") + late).cast("timestamp")) / (6 * 86_400_000_000)))
+    steps = sorted(r["_step"] for r in e.select("_step").distinct().collect())  # one per six days
+    for step in steps:
+        e.filter(col("_step") == step).drop("_step").repartition(4).write.mode("append").parquet(path)
+    e.limit(1).withColumns({"event_type": F.lit("closing"), "ts": F.to_timestamp_ntz(F.lit("2100-01-01 00:00:00"))}).drop(
+        "_step").write.mode("append").parquet(path)
+    return sj.file_stream(m.spark, path, "*.parquet", per_trigger=4)
 
 
 def ntz(df, *cols):
@@ -63,8 +66,8 @@ def _sessions(m):
     return ntz(sj.run_to_table(sj.stream_sessions(events(m), "user_id"), "sessions"), "start_ts", "end_ts")
 
 
-@query("stream_sentiment_24h", "symbol source ts sentiment:d3 mentions:i", """SELECT symbol, source, t AS ts, sum(score *
-    confidence) / nullif(sum(confidence), 0) AS sentiment, sum(mentions) AS mentions FROM (SELECT *, date_trunc('hour', ts) + to_hours(k) AS t FROM sent,
+@query("stream_sentiment_24h", "symbol source ts sentiment:d3 mentions:i", """SELECT symbol, source, t AS ts, sum(CAST(score *
+    confidence AS DECIMAL(18, 9)))::DOUBLE / nullif(sum(CAST(confidence AS DECIMAL(18, 9)))::DOUBLE, 0) AS sentiment, sum(mentions) AS mentions FROM (SELECT *, date_trunc('hour', ts) + to_hours(k) AS t FROM sent,
     (SELECT unnest(range(1, 25)) AS k)) WHERE t <= (SELECT wm FROM mark) GROUP BY 1, 2, 3""")
 def _sentiment(m):
     return ntz(sj.run_to_table(sj.stream_sentiment(m.sentiment(events(m))), "sentiment"), "ts")
@@ -76,24 +79,26 @@ def _positions(m):
     t = m.ticks(arrivals(m)).select(
         col("event_id").alias("trade_id"), "symbol", "ts", "price", "qty",
         F.when(col("event_id") % 7 < 4, "buy").otherwise("sell").alias("side"))
-    return sj.run_to_table(sj.stream_positions(t, LATEST), "positions")
-
-
-@query("stream_trailing_stops", "symbol event_id:i entry:d stop:d exit:d pnl_pct:d", """WITH RECURSIVE n AS (SELECT symbol, event_id, price AS px, row_number()
-      OVER (PARTITION BY symbol ORDER BY ts, event_id) AS rn FROM ticks),
-    w AS (SELECT symbol, rn, event_id, px AS entry, px AS high, px * 0.98 AS stop, NULL::DOUBLE AS e0, NULL::DOUBLE AS s0, px FROM n WHERE rn = 1 UNION ALL
-      SELECT symbol, rn, event_id, CASE WHEN hit THEN px ELSE entry END, CASE WHEN hit THEN px ELSE greatest(high, px) END, CASE WHEN hit THEN px * 0.98 WHEN
-      px / entry - 1 >= 0.01 THEN greatest(stop, greatest(high, px) * 0.995) ELSE stop END, CASE WHEN hit THEN entry END, CASE WHEN hit THEN stop END, px
-      FROM (SELECT n.symbol, n.rn, n.event_id, n.px, w.entry, w.high, w.stop, n.px <= w.stop AS hit FROM w JOIN n ON n.symbol = w.symbol AND n.rn = w.rn + 1))
-    SELECT symbol, event_id, e0 AS entry, s0 AS stop, px AS exit, px / e0 - 1 AS pnl_pct FROM w WHERE e0 IS NOT NULL""")
+    return sj.run_to_table(sj.stream_positions(t, DELAY), "positions")
+
+
+@query("stream_trailing_stops", "symbol is_long:b event_id:i entry:d stop:d exit:d pnl_pct:d", """WITH RECURSIVE n AS (SELECT symbol, event_id, price AS px,
+      g, row_number() OVER (PARTITION BY symbol, g ORDER BY ts, event_id) AS rn FROM ticks, (SELECT unnest([1, -1]) AS g)),
+    w AS (SELECT symbol, g, rn, event_id, px AS entry, px AS best, px * (1 - g * 0.05) AS stop, NULL::DOUBLE AS e0, NULL::DOUBLE AS s0, px FROM n WHERE rn = 1
+      UNION ALL SELECT symbol, g, rn, event_id, CASE WHEN hit THEN px ELSE entry END, CASE WHEN hit THEN px ELSE nb END, CASE WHEN hit THEN px * (1 - g * 0.05)
+      WHEN g * (px - entry) / entry >= 0.02 THEN (CASE WHEN g = 1 THEN greatest(stop, nb * 0.995) ELSE least(stop, nb * 1.005) END) ELSE stop END,
+      CASE WHEN hit THEN entry END, CASE WHEN hit THEN stop END, px
+      FROM (SELECT n.symbol, n.g, n.rn, n.event_id, n.px, w.entry, w.stop, n.g * n.px <= w.g * w.stop AS hit, CASE WHEN n.g = 1 THEN greatest(w.best, n.px) ELSE
+        least(w.best, n.px) END AS nb FROM w JOIN n ON n.symbol = w.symbol AND n.g = w.g AND n.rn = w.rn + 1))
+    SELECT symbol, g = 1 AS is_long, event_id, e0 AS entry, s0 AS stop, px AS exit, g * (px / e0 - 1) AS pnl_pct FROM w WHERE e0 IS NOT NULL""")
 def _stops(m):
-    return sj.run_to_table(sj.stream_stops(m.ticks(arrivals(m)).select("event_id", "symbol", "ts", "price"), LATEST), "stops")
+    return sj.run_to_table(sj.stream_stops(m.ticks(arrivals(m)).select("event_id", "symbol", "ts", "price"), DELAY), "stops")
 
 
 @query("stream_alert_cooldown", "symbol event_id:i ts")
 def _alerts(m):
     a = m.ticks(arrivals(m)).filter("qty > 60 OR symbol = 'CLOSING'").select("symbol", "event_id", "ts")
-    return ntz(sj.run_to_table(sj.stream_alerts(a, ["symbol"], 60, delay=LATEST), "alerts"), "ts")
+    return ntz(sj.run_to_table(sj.stream_alerts(a, ["symbol"], 60, delay=DELAY), "alerts"), "ts")
 
 
 ORACLES["stream_alert_cooldown"] = ORACLES["account_alert_cooldown"]
@@ -109,23 +114,60 @@ def _dedupe(m):
     symbol, source ORDER BY ts DESC, event_id DESC) = 1""")
 def _upsert(m):
     path, keys, order = scratch_path(m.spark, "upserts"), ["symbol", "source"], ["ts", "event_id"]
-    q = m.sentiment(events(m)).writeStream.foreachBatch(sj.upsert_sink(path, keys, order)).option(
-        "checkpointLocation", scratch_path(m.spark, "upserts-ck")).trigger(availableNow=True).start()
-    q.awaitTermination(600)
+    sj.drain(m.sentiment(arrivals(m)).filter("symbol <> 'CLOSING'"), sj.upsert_sink(path, keys, order, 4), "upserts")
     return sj.read_upserts(m.spark, path, keys, order)
 
 
+def out_of_order(m, lateness):
+    """Newer rows in two steps, then everything before 16 January, all of it behind the watermark by then."""
+    path = scratch_path(m.spark, lateness)
+    e = m.raw("events")
+    for i, cond in enumerate(("ts >= timestamp_ntz'2024-01-16' AND ts < timestamp_ntz'2024-01-22'", "ts >= timestamp_ntz'2024-01-22'",
+                              "ts < timestamp_ntz'2024-01-16'")):
+        e.filter(cond).repartition(4).write.parquet(f"{path}/part={i}")
+    return m.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 4).parquet(f"{path}/*").withColumn("ts", col("ts").cast("timestamp"))
+
+
 @query("stream_late_rows_dropped", "symbol ts trades:i", """SELECT symbol, ts, trades FROM bars WHERE ts >= TIMESTAMP '2024-01-16' AND ts + INTERVAL 1 HOUR <=
     (SELECT wm FROM mark)""")
 def _late(m):
-    """Newer rows in two files, then the older half: rows are late against the watermark of the batch before."""
-    path = scratch_path(m.spark, "late")
-    e = m.raw("events")
-    for i, cond in enumerate(("ts >= timestamp_ntz'2024-01-16' AND ts < timestamp_ntz'2024-01-22'", "ts >= timestamp_ntz'2024-01-22'",
-                              "ts < timestamp_ntz'2024-01-15'")):
-        e.filter(cond).coalesce(1).write.parquet(f"{path}/part={i}")
-    s = m.spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/*").withColumn("ts", col("ts").cast("timestamp"))
-    return ntz(sj.run_to_table(sj.stream_bars(m.ticks(s)), "late-bars"), "ts")
+    return ntz(sj.run_to_table(sj.stream_bars(m.ticks(out_of_order(m, "late"))), "late-bars"), "ts")
+
+
+@query("stream_late_rows", "symbol late:i first_ts last_ts", """SELECT symbol, count(*) AS late, min(ts) AS first_ts, max(ts) AS last_ts FROM ticks
+    WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1""")
+def _late_rows(m):
+    path = scratch_path(m.spark, "late-rows")
+    sj.drain(m.ticks(out_of_order(m, "late-side")), sj.late_channel(path, "10 minutes"), "late-rows")
+    late = m.spark.read.parquet(f"{path}/late").groupBy("symbol").agg(F.count(F.lit(1)).alias("late"), F.min("ts").alias("first_ts"),
+                                                                      F.max("ts").alias("last_ts"))
+    return ntz(late, "first_ts", "last_ts")
+
+
+@query("stream_alert_channel", "kind alerts:i", """SELECT CASE WHEN qty > 80 THEN 'size' ELSE 'price' END AS kind, count(*) AS alerts FROM ticks
+    WHERE qty > 80 OR price > 101.5 GROUP BY 1 UNION ALL SELECT 'all', count(*) FROM ticks WHERE qty > 80 OR price > 101.5""")
+def _channel(m):
+    path = scratch_path(m.spark, "alert-channel")
+
+    def keep(name):
+        return lambda batch, epoch: batch.select("event_id").withColumn("kind", F.lit(name)).write.mode("overwrite").parquet(
+            f"{path}/{name}/epoch={epoch}")
+
+    a = m.ticks(arrivals(m)).filter("symbol <> 'CLOSING' AND (qty > 80 OR price > 101.5)")
+    a = a.select("event_id", F.when(col("qty") > 80, "size").otherwise("price").alias("kind"))
+    sj.drain(a, sj.alert_channel({"size": keep("size"), "price": keep("price"), "*": keep("all")}), "alert-channel")
+    kept = m.spark.read.option("recursiveFileLookup", "true").parquet(path)
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("alerts"))
+
+
+@query("stream_nearby_views", "event_id:i n:i nearest:i", """SELECT l.event_id, count(r.event_id) AS n, arg_min(r.event_id, abs(epoch_us(r.ts) - epoch_us(l.ts)) *
+    10 + (r.ts > l.ts)::INT) AS nearest FROM events l LEFT JOIN events r ON l.user_id % 20 = r.user_id % 20 AND r.event_type = 'view' AND r.ts BETWEEN l.ts -
+    INTERVAL 2 MINUTE AND l.ts + INTERVAL 2 MINUTE WHERE l.event_type = 'purchase' GROUP BY 1""")
+def _nearby(m):
+    e = arrivals(m).select("event_id", "ts", "event_type", (col("user_id") % 20).alias("k"))
+    left = e.filter("event_type = 'purchase'").drop("event_type")
+    right = e.filter("event_type IN ('view', 'closing')").drop("event_type")
+    return sj.run_to_table(sj.stream_nearby(left, right, "k", delay=DELAY), "nearby")
 
 
 @query("stream_interval_join", "event_id:i r_event_id:i", """SELECT l.event_id, r.event_id AS r_event_id FROM events l JOIN events r ON l.user_id % 20 = r.user_id

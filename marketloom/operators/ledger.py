@@ -25,7 +25,8 @@ def build_positions(fills: DataFrame, order: list[str], block, key: str = "symbo
 
     The quantity path is a running sum, so it is known before the cost path; given it, the signed cost basis is an
     affine recurrence (add: +price*dq, reduce: scaled by q/q_prev, close: 0, flip: restart at the fill price).  Both are
-    scanned in chunks, so a symbol with a third of all fills is spread over many tasks.
+    scanned in chunks, so a symbol with a third of all fills is spread over many tasks.  A fill of quantity zero leaves
+    the position alone (event ``none``).
     """
     d = index_rows(fills.withColumn("dq", F.when(F.col("side") == "buy", F.col("qty")).otherwise(-F.col("qty"))),
                    key, order, block, totals={"_q": "dq"})
@@ -44,7 +45,7 @@ def build_positions(fills: DataFrame, order: list[str], block, key: str = "symbo
     return d.withColumns({
         "avg_price": F.coalesce(div("cost_basis", "position"), F.lit(0.0)),
         "realized": F.when(closed > 0, (F.col("price") - avg_prev) * closed * F.signum("_qp")).otherwise(0.0),
-        "event": F.when(F.col("_qp") == 0, "open").when(same, "increase").when(reduce_, "reduce").when(flip, "flip")
+        "event": F.when(F.col("dq") == 0, "none").when(F.col("_qp") == 0, "open").when(same, "increase").when(reduce_, "reduce").when(flip, "flip")
         .otherwise("close")}).drop("_q", "_qp", "_a", "_b", "_cp")
 
 

@@ -1,129 +1,114 @@
-"""State machines that windows cannot express.  Each has one step function, shared by batch and streaming.
-
-Batch runs hand one keyed series to a task; the series are bars, alerts or snapshots of one key, bounded by the time
-span, never raw ticks.
-"""
+"""State machines that windows cannot express, on the scans of ``scans``."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def run_machine(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, start: Callable,
-                out: dict[str, str]) -> DataFrame:
-    """Fold each keyed series in order; ``step(state, row) -> (state, {column: value})``."""
-    keys, order = list(keys), list(order)
-    spec = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    spec += "".join(f", `{n}` {t}" for n, t in out.items())
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="mergesort").reset_index(drop=True)
-        state, rows = start(), []
-        for row in pdf.to_dict("records"):
-            state, produced = step(state, row)
-            rows.append(produced)
-        made = pd.DataFrame(rows, columns=list(out))
-        return pd.concat([pdf, made], axis=1)
-
-    return df.groupBy(*keys).applyInPandas(run, spec)
+from ..session import cut_lineage
+from .scans import chain, finite_scan, next_index, stream_machine
+from .timeseries import Ordered, index_rows, join_on
 
 
 # ------------------------------------------------------------------ risk-off
 
-def risk_off_step(state, row, enter=0.015, fast=-0.005, hold_hours=24.0, recover=0.5):
-    """state: entry time or None.  Leave after the minimum time once the drawdown is back under half the limit."""
-    since = state
-    dd, v, now = abs(row["drawdown"]), row["velocity"], row["ts"]
-    if since is None:
-        if dd >= enter or v < fast:
-            return now, {"risk_off": True, "event": "enter"}
-        return None, {"risk_off": False, "event": None}
-    if (now - since).total_seconds() >= hold_hours * 3600 and dd <= enter * recover:
-        return None, {"risk_off": False, "event": "exit"}
-    return since, {"risk_off": True, "event": None}
+def risk_off_state(dd: DataFrame, enter: float = 0.015, fast: float = -0.005, hold_hours: float = 24.0, recover: float = 0.5) -> DataFrame:
+    """Enter on a deep or fast drawdown; leave after the minimum time once the drawdown is back under half the limit.
 
-
-def risk_off_state(dd: DataFrame) -> DataFrame:
-    d = dd.select("portfolio_id", "ts", "drawdown", "velocity")
-    return run_machine(d, ["portfolio_id"], ["ts"], risk_off_step, lambda: None,
-                       {"risk_off": "boolean", "event": "string"})
+    An entry points to the first calm row from ``hold_hours`` on (its exit) and that to the first alarming row behind it (the
+    next entry); the entries that really happen are the chain from the first alarming row.
+    """
+    key = ["portfolio_id"]
+    d = cut_lineage(dd.select("portfolio_id", "ts", "drawdown", "velocity"))  # read by every step below
+    depth = F.abs("drawdown")
+    alarms, calm = (cut_lineage(index_rows(d.filter(rows).select(*key, "ts"), key, "ts", F.date_trunc("month", "ts"))) for rows in (
+        (depth >= enter) | (F.col("velocity") < fast), depth <= enter * recover))
+    until = alarms.withColumn("_until", F.col("ts") + F.make_dt_interval(secs=F.lit(hold_hours * 3600).cast("decimal(18,6)")))
+    exits = next_index(until, calm, key, "_until", out="_calm")
+    exits = join_on(exits, calm.select(*key, F.col("_i").alias("_calm"), F.col("ts").alias("exit_ts")), [*key, "_calm"], "left")
+    # an entry without an exit points behind the last alarm: its chain ends there
+    away = F.coalesce("exit_ts", F.lit("9999-01-01").cast(d.schema["ts"].dataType))
+    linked = cut_lineage(next_index(exits.withColumn("_away", away), alarms, key, "_away", strict=True))
+    on = join_on(linked.select(*key, "_i", "ts", "exit_ts"), chain(linked, key), [*key, "_i"], "left_semi")
+    events = on.select(*key, "ts", F.lit("enter").alias("event")).unionByName(
+        on.filter("exit_ts IS NOT NULL").select(*key, F.col("exit_ts").alias("ts"), F.lit("exit").alias("event")))
+    s = Ordered("portfolio_id")
+    told = join_on(d, events, [*key, "ts"], "left")
+    return told.withColumn("risk_off", F.coalesce(F.last("event", ignorenulls=True).over(s.running) == "enter", F.lit(False)))
 
 
 # ------------------------------------------------------------------ alert cooldown
 
-def cooldown_step(last, row, minutes=15.0):
-    """Emit unless the previous *emitted* alert of the key is younger than the cooldown."""
-    if last is None or (row["ts"] - last).total_seconds() >= minutes * 60:
-        return row["ts"], {"emitted": True}
-    return last, {"emitted": False}
-
+def alert_cooldown(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, tie: Sequence[str] = ()) -> DataFrame:
+    """Suppress repeats by key relative to the last emitted alert; exact timestamps are compared.
 
-def alert_cooldown(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, tie: Sequence[str] = (),
-                   clock: str | None = None) -> DataFrame:
-    """Suppress repeats by key relative to the last emitted alert.
-
-    Exact timestamps are compared; alerts of one key and instant are first reduced map-side to the first by ``tie``.
-    For sources whose rate has no bound, ``clock="second"`` lets the cooldown tick in whole seconds, so that a key's
-    fold is bounded by the time span; a repeat may then pass up to a tick early.
+    Alerts of one key and instant are first reduced map-side to the first by ``tie``.  Each instant points to the first one
+    at least the cooldown later; what is emitted is the chain from the first.
     """
     keys = list(keys)
-    d = alerts.withColumn("_at", F.date_trunc(clock, "ts").cast("timestamp_ntz") if clock else F.col("ts"))
-    rest = [c for c in d.columns if c not in (*keys, "_at")]
-    d = d.groupBy(*keys, "_at").agg(F.min_by(F.struct(*rest), F.struct("ts", *tie)).alias("_r"))
-    d = d.select(*keys, "_at", *[F.col(f"_r.{c}").alias(c) for c in rest])
-    run = run_machine(d, keys, ["ts", *tie], lambda s, r: cooldown_step(s, {"ts": r["_at"]}, minutes), lambda: None,
-                      {"emitted": "boolean"})
-    return run.filter("emitted").drop("emitted", "_at")
+    rest = [c for c in alerts.columns if c not in (*keys, "ts")]
+    d = alerts.groupBy(*keys, "ts").agg(F.min_by(F.struct(*rest), F.struct("ts", *tie)).alias("_r"))
+    at = cut_lineage(index_rows(d, keys, "ts", F.date_trunc("day", "ts")))
+    wait = F.make_dt_interval(secs=F.lit(minutes * 60).cast("decimal(18,6)"))
+    on = chain(next_index(at.select(*keys, "ts", "_i").withColumn("_until", F.col("ts") + wait), at, keys, "_until"), keys)
+    return join_on(at, on, [*keys, "_i"], "left_semi").select(*keys, "ts", *[F.col(f"_r.{c}").alias(c) for c in rest]).select(*alerts.columns)
 
 
 # ------------------------------------------------------------------ regime persistence
 
-def persistence_step(state, row, min_bars=5, floor=0.7, damping=0.8):
-    """state: (regime in force, bars in force).  A young regime resists change; low confidence means normal."""
-    now, bars = state
-    new, conf = row["regime"], row["confidence"]
-    if now is not None and new != now and bars < min_bars and conf * (1 - damping) < floor:
-        kept = now
-    else:
-        kept = new if conf >= floor else "normal"
-    return (kept, bars + 1 if kept == now else 1), {"regime_kept": kept}
+REGIMES = ("normal", "bull_trending", "bear_trending", "high_volatility", "low_volatility", "crisis", "recovery", "volatile", "bull",
+           "bear", "neutral", "high_vol", "low_vol")
+
+
+def regime_persistence(df: DataFrame, min_bars: int = 5, floor: float = 0.7, damping: float = 0.8,
+                       regimes: Sequence[str] = REGIMES) -> DataFrame:
+    """A young regime resists change; low confidence means normal.
+
+    States: none (0) or (regime, bars in force up to ``min_bars``), so the machine is finite and is scanned by maps.
+    """
+    names = list(regimes)
+    code = F.array_position(F.array(*[F.lit(n) for n in names]), F.col("regime")).cast("int") - 1
+    normal = names.index("normal")
+    d = index_rows(df.select("symbol", "ts", "regime", "confidence").withColumn("_new", code), "symbol", "ts", F.date_trunc("month", "ts"))
 
+    def step(state: Column, row: Column) -> Column:
+        now, bars = F.floor((state - 1) / min_bars).cast("int"), F.pmod(state - 1, F.lit(min_bars)) + 1
+        sure = F.coalesce(row["confidence"] >= floor, F.lit(False))
+        young = F.coalesce((state > 0) & (row["_new"] != now) & (bars < min_bars) & (row["confidence"] * (1 - damping) < floor), F.lit(False))
+        kept = F.when(young, now).when(sure, row["_new"]).otherwise(F.lit(normal))
+        length = F.when((state > 0) & (kept == now), F.least(bars + 1, F.lit(min_bars))).otherwise(F.lit(1))
+        return (kept * min_bars + length).cast("int")
 
-def regime_persistence(df: DataFrame, min_bars: int = 5, floor: float = 0.7) -> DataFrame:
-    d = df.select("symbol", "ts", "regime", "confidence")
-    return run_machine(d, ["symbol"], ["ts"], lambda s, r: persistence_step(s, r, min_bars, floor),
-                       lambda: (None, 0), {"regime_kept": "string"})
+    out = finite_scan(d, ["symbol"], step, len(names) * min_bars + 1)
+    kept = F.get(F.array(*[F.lit(n) for n in names]), F.floor((F.col("_state") - 1) / min_bars).cast("int"))
+    return out.withColumn("regime_kept", kept).select("symbol", "ts", "regime", "confidence", "regime_kept")
 
 
 # ------------------------------------------------------------------ rule trades
 
-def rule_step(state, row):
+def rule_step(state, close, dip, enter, target, stop):
     """state: (cash, shares, entry price).  Enter on a dip, leave on target or stop; 95 % of cash, one position."""
     cash, held, entry = state
-    px = row["close"]
     if held == 0:
-        if row["dip"] is not None and row["dip"] == row["dip"] and row["dip"] <= -row["enter"]:
-            n = int(cash * 0.95 / px)
+        if dip is not None and dip == dip and dip <= -enter:
+            n = int(cash * 0.95 / close)
             if n > 0:
-                return (cash - n * px, n, px), {"action": "buy", "shares": n, "cash": cash - n * px}
+                return (cash - n * close, n, close), ("buy", n, cash - n * close)
     else:
-        gain = px / entry - 1
-        if gain >= row["target"] or gain <= -row["stop"]:
-            return (cash + held * px, 0, 0.0), {"action": "sell", "shares": held, "cash": cash + held * px}
-    return state, {"action": None, "shares": held, "cash": cash}
+        gain = close / entry - 1
+        if gain >= target or gain <= -stop:
+            return (cash + held * close, 0, 0.0), ("sell", held, cash + held * close)
+    return state, (None, held, cash)
 
 
 def rule_trades(bars: DataFrame, params: DataFrame, capital: float = 10000.0) -> DataFrame:
     """Every symbol x parameter set at once; ``params`` (param_id, enter, target, stop) is the sweep to run."""
-    from .timeseries import Ordered
     s = Ordered()
     d = bars.select("symbol", "ts", "close", (F.col("close") / F.max("close").over(s.rows(-19)) - 1).alias("dip"))
     sweep = params.agg(F.collect_list(F.struct("param_id", "enter", "target", "stop")).alias("p")).scalar()
     d = d.select("*", F.inline(sweep))
-    out = run_machine(d, ["symbol", "param_id"], ["ts"], rule_step, lambda: (capital, 0, 0.0),
-                      {"action": "string", "shares": "long", "cash": "double"})
+    out = stream_machine(d, ["symbol", "param_id"], ["ts"], rule_step, lambda: (capital, 0, 0.0),
+                         ["close", "dip", "enter", "target", "stop"], {"action": "string", "shares": "long", "cash": "double"})
     return out.filter("action IS NOT NULL")

@@ -77,32 +77,110 @@ def var_monte_carlo(pr: DataFrame, draws: int = 10_000, seed: int = 42, lookback
 
 # ------------------------------------------------------------------ pair moments
 
-def pair_moments(returns: DataFrame, block: str = "month") -> DataFrame:
-    """Pairwise-complete (n, sums, products) for every symbol pair a <= b.
+#: Symbols of a group; a tile holds two groups.
+GROUP = 64
 
-    Instead of joining returns with themselves, each time block is laid out as a matrix inside its task and
-    multiplied; only one row per pair and block leaves it.  A block holds symbols x bars-per-block values.
+
+def packed_groups(rows: DataFrame, at: str, block: str, classed: bool = False) -> DataFrame:
+    """(_g, block, symbols, at, cls, values): the series of a group of symbols in a stretch of time as one matrix.
+
+    Groups come from a hash of the symbol, as many as keep about ``GROUP`` symbols in each; ``rows`` holds symbol, ret and the
+    columns named (``at`` a whole number), with ``cls`` where ``classed``.
+    """
+    groups = max(1, -(-rows.agg(F.approx_count_distinct("symbol")).first()[0] // GROUP))
+    cls = col("cls") if classed else F.lit(0)
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        wide = pdf.pivot_table(index=at, columns="symbol", values="ret", aggfunc="last", dropna=False).sort_index().sort_index(axis=1)
+        kind = pdf.groupby(at)["cls"].first().loc[wide.index]
+        return pd.DataFrame({"_g": [pdf["_g"].iloc[0]], block: [pdf[block].iloc[0]], "symbols": [wide.columns.tolist()],
+                             at: [wide.index.tolist()], "cls": [kind.tolist()], "values": [wide.to_numpy(float).tobytes()]})
+
+    d = rows.select(F.pmod(F.xxhash64("symbol"), F.lit(groups)).cast("int").alias("_g"), block, col("symbol").cast("string").alias("symbol"),
+                    at, cls.cast("int").alias("cls"), "ret")
+    kind = rows.schema[block].dataType.simpleString()
+    packed = d.groupBy("_g", block).applyInPandas(pack, f"_g int, {block} {kind}, symbols array<string>, {at} array<bigint>, "
+                                                        "cls array<int>, values binary")
+    tiles = F.transform(F.sequence(F.lit(0), F.lit(groups - 1)), lambda h: F.struct(
+        F.least(col("_g"), h).alias("i"), F.greatest(col("_g"), h).alias("j")))
+    return packed.withColumn("tile", F.explode(tiles))
+
+
+def tile_sides(pdf: pd.DataFrame, at: str):
+    """(symbols, symbols, places, classes, matrix, matrix, whether both sides are one group) of the one or two groups of a tile."""
+    def unpack(row):
+        return list(row["symbols"]), np.array(row[at]), np.array(row["cls"]), np.frombuffer(row["values"]).reshape(
+            len(row[at]), len(row["symbols"]))
+
+    sides = [unpack(row) for _, row in pdf.sort_values("_g").iterrows()]
+    (sa, ta, ca, xa), (sb, tb, cb, xb) = sides[0], sides[-1]
+    both, ia, ib = np.intersect1d(ta, tb, return_indices=True)
+    return sa, sb, both, ca[ia], xa[ia], xb[ib], len(sides) == 1
+
+
+MOMENTS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def pair_sums(returns: DataFrame, block: str = "month", windows: Sequence[int] = ()) -> DataFrame:
+    """Pairwise-complete sums for every symbol pair a <= b, and trailing window where ``windows`` counts newest timestamps.
+
+    A tiled Gram matrix: groups of symbols are packed to matrices per time block, each tile (two groups, one block) is
+    multiplied in its task, partial sums are added up.  All windows come from one pass: each timestamp belongs to the
+    shortest window that holds it, and longer windows add up the shorter ones.
     """
-    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="ts", columns="symbol", values="ret", aggfunc="last").sort_index(axis=1)
-        x = wide.to_numpy(dtype=float)
-        ok = ~np.isnan(x)
-        x0, k = np.where(ok, x, 0.0), ok.astype(float)
-        i, j = np.triu_indices(x.shape[1])
-        names = wide.columns.to_numpy()
-        parts = {"n": k.T @ k, "sa": x0.T @ k, "sb": k.T @ x0, "saa": (x0 * x0).T @ k, "sbb": k.T @ (x0 * x0),
-                 "sab": x0.T @ x0}
-        return pd.DataFrame({"a": names[i], "b": names[j], **{n: v[i, j] for n, v in parts.items()}})
-
-    spec = "a string, b string, n double, sa double, sb double, saa double, sbb double, sab double"
     d = returns.select("symbol", "ts", "ret").filter("ret IS NOT NULL").withColumn("_b", F.date_trunc(block, "ts"))
-    m = d.groupBy("_b").applyInPandas(gram, spec)
-    g = m.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
+    windows = sorted(windows)
+    if windows:
+        newest = returns.select("ts").distinct().orderBy(col("ts").desc()).limit(windows[-1])
+        edges = newest.agg(F.sort_array(F.collect_list("ts"), False).alias("_t"))  # at most the longest window, a constant
+        d = d.join(F.broadcast(edges))  # one row
+        cls = F.lit(len(windows))
+        for k in range(len(windows) - 1, -1, -1):
+            cls = F.when(col("ts") >= F.get("_t", F.least(F.lit(windows[k]), F.size("_t")) - 1), k).otherwise(cls)
+        d = d.withColumn("cls", cls).filter(col("cls") < len(windows)).drop("_t")
+    d = d.withColumn("_at", F.unix_micros(col("ts").cast("timestamp")))
+    tiles = packed_groups(d, "_at", "_b", bool(windows))
+
+    def gram(pdf: pd.DataFrame) -> pd.DataFrame:
+        sa, sb, _, cls, xa, xb, same = tile_sides(pdf, "_at")
+        pick = np.triu_indices(len(sa)) if same else tuple(x.ravel() for x in np.indices((len(sa), len(sb))))
+        a, b = np.array(sa, object)[pick[0]], np.array(sb, object)[pick[1]]
+        swap = a > b
+        out = []
+        for k in np.unique(cls):
+            x, y = xa[cls == k], xb[cls == k]
+            p, q = (~np.isnan(x)).astype(float), (~np.isnan(y)).astype(float)
+            x, y = np.nan_to_num(x), np.nan_to_num(y)
+            m = {"n": p.T @ q, "sa": x.T @ q, "sb": p.T @ y, "saa": (x * x).T @ q, "sbb": p.T @ (y * y), "sab": x.T @ y}
+            v = {n: z[pick] for n, z in m.items()}
+            for u, w in (("sa", "sb"), ("saa", "sbb")):
+                v[u], v[w] = np.where(swap, v[w], v[u]), np.where(swap, v[u], v[w])
+            got = pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "cls": int(k), **v})
+            out.append(got[got["n"] > 0])
+        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "cls": [], **{n: [] for n in MOMENTS}})
+
+    spec = "a string, b string, cls int, " + ", ".join(f"{n} double" for n in MOMENTS)
+    m = tiles.groupBy("tile", "_b").applyInPandas(gram, spec)
+    keys = ["a", "b"]
+    if windows:
+        m = m.withColumn("window", F.explode(F.slice(F.array(*[F.lit(w) for w in windows]), col("cls") + 1, len(windows))))
+        keys = [*keys, "window"]
+    return m.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in MOMENTS])
+
+
+def pair_moments(returns: DataFrame, block: str = "month", windows: Sequence[int] = (), held: DataFrame | None = None) -> DataFrame:
+    """Covariance and correlation of every symbol pair a <= b with two common values or more (and per trailing window).
+
+    With ``held`` (symbol) only pairs of its symbols are made.
+    """
+    if held is not None:
+        returns = returns.join(held.select("symbol").distinct(), "symbol", "left_semi")
+    g = pair_sums(returns, block, windows)
     n = col("n")
     cov = div(col("sab") - col("sa") * col("sb") / n, n - 1)
     va, vb = col("saa") - col("sa") * col("sa") / n, col("sbb") - col("sb") * col("sb") / n
-    return g.filter("n > 1").select("a", "b", "n", cov.alias("cov"), div(col("sab") - col("sa") * col("sb") / n,
-                                                                        F.sqrt(va * vb)).alias("corr"))
+    corr = div(col("sab") - col("sa") * col("sb") / n, F.sqrt(va * vb))
+    return g.filter("n > 1").select("a", "b", *(["window"] if windows else []), "n", cov.alias("cov"), corr.alias("corr"))
 
 
 def trailing_dates(returns: DataFrame, n: int) -> DataFrame:
@@ -112,8 +190,7 @@ def trailing_dates(returns: DataFrame, n: int) -> DataFrame:
 
 
 def corr_pairs(returns: DataFrame, windows: Sequence[int] = (30, 90, 252)) -> DataFrame:
-    parts = [pair_moments(trailing_dates(returns, n)).filter("a < b").withColumn("window", F.lit(n)) for n in windows]
-    return reduce(DataFrame.unionByName, parts)
+    return pair_moments(returns, windows=windows).filter("a < b")
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -249,9 +326,11 @@ def correlation_alerts(summary: DataFrame, sectors: DataFrame, max_corr: float =
 def correlation_regime(returns: DataFrame, window: int = 90, high: float = 0.8, chunk: int = 2048) -> DataFrame:
     """Mean |rho| over all pairs in a trailing window per timestamp.
 
-    Time is cut into chunks with a halo of window-1 timestamps; inside a task the rolling sums run on matrices, so
-    neither pairs nor their histories are shuffled.
+    Time is cut into chunks with a halo, symbols into groups; a tile (two groups, one chunk) keeps the matrices of its
+    window's sums, to which the newest timestamp is added and from which the oldest is taken, and leaves one row per
+    timestamp.  Pairs without a defined correlation in the window are left out.
     """
+    size = max(chunk, window)
     dates = returns.select("ts").distinct()
     days = dates.groupBy(F.date_trunc("day", "ts").alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
     off = days.withColumn("_off", F.coalesce(F.sum("_n").over(
@@ -259,25 +338,39 @@ def correlation_regime(returns: DataFrame, window: int = 90, high: float = 0.8,
     idx = dates.withColumn("_d", F.date_trunc("day", "ts")).join(off, "_d").withColumn(
         "_i", F.row_number().over(Window.partitionBy("_d").orderBy("ts")) + col("_off")).select("ts", "_i")
     from .timeseries import chunk_with_halo
-    d = chunk_with_halo(returns.select("symbol", "ts", "ret").join(idx, "ts"), window, max(chunk, window))
+    d = chunk_with_halo(returns.select("symbol", "ts", "ret").filter("ret IS NOT NULL").join(idx, "ts"), window, size)
+    tiles = packed_groups(d, "_i", "_chunk")
 
     def roll(pdf: pd.DataFrame) -> pd.DataFrame:
-        wide = pdf.pivot_table(index="_i", columns="symbol", values="ret", aggfunc="last").sort_index()
-        own = pdf.groupby("_i")[["_own", "ts"]].first().loc[wide.index]
-        total, count = np.zeros(len(wide)), np.zeros(len(wide))
-        for i, a in enumerate(wide.columns):
-            for b in wide.columns[i + 1:]:
-                r = wide[a].rolling(window, min_periods=2).corr(wide[b]).abs().to_numpy()
-                good = np.isfinite(r)
-                total += np.where(good, r, 0.0)
-                count += good
-        out = pd.DataFrame({"ts": own["ts"].to_numpy(), "avg_corr": np.where(count > 0, total / np.maximum(count, 1), np.nan),
-                            "i": wide.index.to_numpy()})
-        return out[own["_own"].to_numpy() & (out["i"].to_numpy() >= window)]
-
-    kind = returns.schema["ts"].dataType.simpleString()
-    out = d.groupBy("_chunk").applyInPandas(roll, f"ts {'timestamp' if kind == 'timestamp' else kind}, avg_corr double, i long")
-    return out.withColumn("high", col("avg_corr") > high).drop("i")
+        sa, sb, at, _, xa, xb, same = tile_sides(pdf, "_i")
+        own = np.triu(np.ones((len(sa), len(sb)), bool), 1) if same else np.ones((len(sa), len(sb)), bool)
+        middle_a, middle_b = (np.nan_to_num(np.nanmean(x, 0)) if len(x) else 0.0 for x in (xa, xb))
+        p, q = (~np.isnan(xa)).astype(float), (~np.isnan(xb)).astype(float)
+        x, y = np.where(p > 0, xa - middle_a, 0.0), np.where(q > 0, xb - middle_b, 0.0)
+        parts = (p, q), (x, q), (p, y), (x * x, q), (p, y * y), (x, y)
+        chunk = int(pdf["_chunk"].iloc[0])
+        sums, first, seen, out = [np.zeros((len(sa), len(sb))) for _ in parts], 0, 0, []
+        for i in range(chunk * size + 1, (chunk + 1) * size + 1):  # every timestamp, also those without a row of this tile
+            while seen < len(at) and at[seen] <= i:  # what enters the window is added, what leaves it is taken off
+                for m, (u, v) in zip(sums, parts):
+                    m += np.outer(u[seen], v[seen])
+                seen += 1
+            while first < seen and at[first] <= i - window:
+                for m, (u, v) in zip(sums, parts):
+                    m -= np.outer(u[first], v[first])
+                first += 1
+            n, ma, mb, maa, mbb, mab = sums
+            with np.errstate(all="ignore"):
+                va, vb = maa - ma * ma / n, mbb - mb * mb / n
+                r = (mab - ma * mb / n) / np.sqrt(va * vb)
+            good = own & (n > 1.5) & (va > 1e-12 * maa) & (vb > 1e-12 * mbb) & np.isfinite(r)
+            out.append((i, float(np.abs(r[good]).sum()), int(good.sum())))
+        return pd.DataFrame(out, columns=["_i", "total", "pairs"])
+
+    sums = tiles.groupBy("tile", "_chunk").applyInPandas(roll, "_i long, total double, pairs long").filter(col("_i") >= window)
+    mean = sums.groupBy("_i").agg(F.sum("total").alias("t"), F.sum("pairs").alias("k"))
+    out = mean.join(idx, "_i").select("ts", F.when(col("k") > 0, col("t") / col("k")).alias("avg_corr"))
+    return out.withColumn("high", col("avg_corr") > high)
 
 
 # ------------------------------------------------------------------ drawdown

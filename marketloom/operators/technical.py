@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import div, flag, ratio_change
+from .scans import stream_machine
 from .timeseries import Ewm, Ordered, ema, ewm_scan, wilder
 
 S = Ordered()
@@ -219,46 +220,34 @@ def adx(b, s=S, n=14):
                     F.signum(c("plus_di") - c("minus_di")).alias("di_side"))
 
 
-def sar_steps(high, low, step=0.02, top=0.2):
-    """Stop-and-reverse path of one series; None for the first bar."""
-    out: list[float | None] = [None]
-    if len(high) < 2:
-        return out[: len(high)]
-    rise, fall = high[1] - high[0], low[0] - low[1]
-    is_long = not (fall > 0 and fall > rise)
-    ep, stop, pace = (high[1], low[0], step) if is_long else (low[1], high[0], step)
-    for i in range(1, len(high)):
-        before, now = (low[i - 1], low[i]) if is_long else (high[i - 1], high[i])
-        crossed = low[i] <= stop if is_long else high[i] >= stop
-        if crossed:
-            is_long = not is_long
-            edge = min if is_long else max
-            stop = edge(ep, low[i - 1], low[i]) if is_long else edge(ep, high[i - 1], high[i])
-            out.append(stop)
-            pace, ep = step, (high[i] if is_long else low[i])
-            move = stop + pace * (ep - stop)
-            stop = min(move, low[i - 1], low[i]) if is_long else max(move, high[i - 1], high[i])
-            continue
-        out.append(stop)
-        new_ep = max(ep, high[i]) if is_long else min(ep, low[i])
+def sar_step(state, high, low, step=0.02, top=0.2):
+    """Stop-and-reverse: state is the bar before and (long, stop, extreme, pace); no value for the first bar."""
+    if state is None:
+        return (high, low, None), (None,)
+    h0, l0, trend = state
+    if trend is None:
+        is_long = not (l0 - low > 0 and l0 - low > high - h0)
+        trend = (True, l0, high, step) if is_long else (False, h0, low, step)
+    is_long, stop, ep, pace = trend
+    crossed = low <= stop if is_long else high >= stop
+    if crossed:
+        is_long = not is_long
+        shown = min(ep, l0, low) if is_long else max(ep, h0, high)
+        pace, ep = step, (high if is_long else low)
+    else:
+        shown = stop
+        new_ep = max(ep, high) if is_long else min(ep, low)
         if new_ep != ep:
             ep, pace = new_ep, min(pace + step, top)
-        move = stop + pace * (ep - stop)
-        stop = min(move, before, now) if is_long else max(move, before, now)
-    return out
+    move = shown + pace * (ep - shown)
+    stop = min(move, l0, low) if is_long else max(move, h0, high)
+    return (high, low, (is_long, stop, ep, pace)), (shown,)
 
 
 def parabolic_sar(b, s=S, step=0.02, top=0.2):
-    """A flip state machine, so Python per symbol; a group is the bars of one symbol (span / frequency rows)."""
-    cols = ["symbol", "ts", "high", "low", "close"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        return pdf.assign(sar=sar_steps(pdf["high"].tolist(), pdf["low"].tolist(), step, top))
-
-    kind = b.schema["ts"].dataType.simpleString()
-    out = b.select(*cols).groupBy("symbol").applyInPandas(
-        run, f"symbol string, ts {kind}, high double, low double, close double, sar double")
+    """A flip state machine: the bars of a symbol (span / frequency rows) pass through one task as a stream."""
+    out = stream_machine(b.select("symbol", "ts", "high", "low", "close"), ["symbol"], ["ts"],
+                         lambda state, high, low: sar_step(state, high, low, step, top), lambda: None, ["high", "low"], {"sar": "double"})
     return out.withColumn("sar_side", F.when(c("sar").isNotNull(), F.when(c("close") > c("sar"), 1.0).otherwise(-1.0)))
 
 

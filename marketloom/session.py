@@ -56,6 +56,17 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def list_path(spark: SparkSession, path: str, name: str | None = None) -> list[str]:
+    """Names in a folder (only ``name``, if given) through Spark's own file system layer; none where it is missing."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(where)]
+    return names if name is None else [n for n in names if n == name]
+
+
 def written(df: DataFrame, label: str = "stage") -> tuple[DataFrame, str]:
     """Write to the shared folder and read back with the same schema; also returns the folder."""
     path = scratch_path(df.sparkSession, label)

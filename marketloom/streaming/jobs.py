@@ -6,17 +6,15 @@ Kafka, files or tests.  Event time is ``ts`` (timestamp); state is bounded by wa
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQueryListener
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.machines import cooldown_step
-from ..session import scratch_path
+from ..operators.timeseries import latest
+from ..session import drop_path, list_path, scratch_path
+from .ordered import cooldown_step, fold_in_order, nearby_flush, nearby_step, position_step, stop_step
 
 
 def file_stream(spark: SparkSession, folder: str, name: str, ts: str = "ts", per_trigger: int | None = None) -> DataFrame:
@@ -64,8 +62,10 @@ def stream_sessions(events: DataFrame, key: str, gap: str = "30 minutes", delay:
 
 def stream_sentiment(sent: DataFrame, size: str = "24 hours", slide: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     g = sent.withWatermark("ts", delay).groupBy("symbol", "source", F.window("ts", size, slide).alias("w")).agg(
-        F.sum(F.col("score") * F.col("confidence")).alias("_sc"), F.sum("confidence").alias("_c"), F.sum("mentions").alias("mentions"))
-    return g.select("symbol", "source", F.col("w.end").alias("ts"), F.try_divide("_sc", "_c").alias("sentiment"), "mentions")
+        F.sum((F.col("score") * F.col("confidence")).cast("decimal(18,9)")).alias("_sc"),
+        F.sum(F.col("confidence").cast("decimal(18,9)")).alias("_c"), F.sum("mentions").alias("mentions"))
+    return g.select("symbol", "source", F.col("w.end").alias("ts"),  # sums in decimals: the same in any order
+                    F.try_divide(F.col("_sc").cast("double"), F.col("_c").cast("double")).alias("sentiment"), "mentions")
 
 
 def stream_dedupe(df: DataFrame, keys: Sequence[str], delay: str = "1 hour") -> DataFrame:
@@ -83,120 +83,144 @@ def stream_interval_join(left: DataFrame, right: DataFrame, key: str, minutes: i
 
 # ------------------------------------------------------------------ keyed state
 
-def _stateful(df: DataFrame, keys: Sequence[str], order: Sequence[str], step: Callable, state: str, first: tuple, cols: Sequence[str],
-              out: dict[str, str], delay: str = "10 minutes", idle: float | None = None) -> DataFrame:
-    """Fold the rows of a key in event order, whatever order they arrive in; ``step(state, row) -> (state, [rows])``.
-
-    Rows wait in the state until the watermark (newest event time minus ``delay``) has passed them and are then folded in
-    order; rows behind the watermark are late, dropped and counted by Spark.  A timer folds what waits when a key gets no
-    more rows.  With ``idle`` seconds a key without rows for that long in event time loses its state.
-    """
-    order, cols, names = list(order), list(cols), list(out)
-
-    def run(key, batches: Iterator[pd.DataFrame], st: GroupState) -> Iterator[pd.DataFrame]:
-        *cur, held = st.get if st.exists else (*first, None)
-        cur, waiting = tuple(cur), pickle.loads(held) if held else []
-        mark = st.getCurrentWatermarkMs()
-        if not st.hasTimedOut:
-            for pdf in batches:
-                waiting += pdf[cols].to_dict("records")
-        waiting.sort(key=lambda r: tuple(r[c] for c in order))
-        ready, rows = 0, []
-        while ready < len(waiting) and int(waiting[ready]["ts"].timestamp() * 1000) < mark:
-            cur, made = step(cur, waiting[ready])
-            rows += [(*key, *r) for r in made]
-            ready += 1
-        last, rest = waiting[ready - 1]["ts"] if ready else None, waiting[ready:]
-        if st.hasTimedOut and not ready and not rest:
-            st.remove()
-        else:
-            st.update((*cur, pickle.dumps(rest) if rest else None))
-            if rest:
-                st.setTimeoutTimestamp(max(int(rest[0]["ts"].timestamp() * 1000) + 1, mark + 1))
-            elif idle is not None and last is not None:
-                st.setTimeoutTimestamp(max(int((last.timestamp() + idle) * 1000), mark + 1))
-        if rows:
-            yield pd.DataFrame(rows, columns=[*keys, *names])
-
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    spec = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + [f"`{n}` {t}" for n, t in out.items()])
-    return df.withWatermark("ts", delay).groupBy(*keys).applyInPandasWithState(
-        run, spec, f"{state}, waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def position_step(state, row):
-    """(quantity, average, realised) after one fill; a flip closes the position and opens at the fill price."""
-    q, avg, total = state
-    dq = row["qty"] if row["side"] == "buy" else -row["qty"]
-    px, new = row["price"], q + dq
-    gain = 0.0
-    if q * dq >= 0:
-        avg = (q * avg + dq * px) / new if abs(new) > 1e-8 else 0.0
-    else:
-        gain = (px - avg) * min(abs(dq), abs(q)) * (1 if q > 0 else -1)
-        if abs(new) < 1e-8:
-            new, avg = 0.0, 0.0
-        elif abs(dq) > abs(q):
-            avg = px
-    state = (new, avg, total + gain)
-    return state, [(row["trade_id"], new, avg, gain)]
-
-
 def stream_positions(fills: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    return _stateful(fills, ["symbol"], ["ts", "trade_id"], position_step, "q double, avg double, realized double", (0.0, 0.0, 0.0),
-                     ["trade_id", "side", "qty", "price", "ts"],
-                     {"trade_id": "long", "position": "double", "avg_price": "double", "realized": "double"}, delay)
-
+    """Average-cost position after every fill (trade_id, side, qty, price), in event order whatever the arrival."""
+    return fold_in_order(fills, ["symbol"], ["trade_id", "side", "qty", "price"], position_step, "q double, avg double, realized double",
+                         (0.0, 0.0, 0.0), {"trade_id": "long", "position": "double", "avg_price": "double", "realized": "double"}, delay)
 
-def stop_step(state, row, initial=0.02, trigger=0.01, step=0.005):
-    """(entry, highest, stop): a long position with a trailing stop, re-entered at the price that stopped it."""
-    entry, high, stop = state
-    px = row["price"]
-    if entry == 0.0:
-        return (px, px, px * (1 - initial)), []
-    if px <= stop:
-        return (px, px, px * (1 - initial)), [(row["event_id"], entry, stop, px, px / entry - 1)]
-    high = max(high, px)
-    if px / entry - 1 >= trigger:
-        stop = max(stop, high * (1 - step))
-    return (entry, high, stop), []
 
+def stream_stops(ticks: DataFrame, delay: str = "10 minutes", initial: float = 0.05, trigger: float = 0.02, step: float = 0.005) -> DataFrame:
+    """Exits of long and short positions with trailing stops, one of each per symbol (column ``is_long``)."""
+    def one(state, *row):
+        return stop_step(state, *row, initial=initial, trigger=trigger, step=step)
 
-def stream_stops(ticks: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    return _stateful(ticks, ["symbol"], ["ts", "event_id"], stop_step, "entry double, high double, stop double", (0.0, 0.0, 0.0),
-                     ["event_id", "price", "ts"],
-                     {"event_id": "long", "entry": "double", "stop": "double", "exit": "double", "pnl_pct": "double"}, delay)
+    both = ticks.withColumn("is_long", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn("side", F.col("is_long"))
+    return fold_in_order(both, ["symbol", "side"], ["event_id", "price", "is_long"], one, "entry double, best double, stop double",
+                         (0.0, 0.0, 0.0), {"event_id": "long", "entry": "double", "stop": "double", "exit": "double",
+                                           "pnl_pct": "double"}, delay).withColumnRenamed("side", "is_long")
 
 
 def stream_alerts(alerts: DataFrame, keys: Sequence[str], minutes: float = 15, row_id: str = "event_id",
                   delay: str = "10 minutes") -> DataFrame:
     """Alert stream with cooldown relative to the last emitted alert; an instant of state per key, given up after twice the
     cooldown without alerts."""
-    def step(state, row):
-        last = pd.Timestamp(state[0], unit="us") if state[0] >= 0 else None
-        new, made = cooldown_step(last, {"ts": row["ts"]}, minutes)
-        return (int(new.value // 1000),), [(row[row_id], row["ts"])] if made["emitted"] else []
+    def one(state, *row):
+        return cooldown_step(state, *row, minutes=minutes)
+
+    made = fold_in_order(alerts, keys, [row_id], one, "emitted long", (-1,), {row_id: "long", "us": "long"}, delay,
+                         idle_seconds=120 * minutes)
+    return made.withColumn("ts", F.timestamp_micros("us")).drop("us")
+
+
+def stream_nearby(left: DataFrame, right: DataFrame, key: str, row_id: str = "event_id", minutes: int = 2,
+                  delay: str = "10 minutes") -> DataFrame:
+    """For every left row the number of right rows of its key within +-minutes and the nearest one: no row per pair.
 
-    return _stateful(alerts, keys, ["ts", row_id], step, "last long", (-1,), [row_id, "ts"], {row_id: "long", "ts": "timestamp"},
-                     delay, 120 * minutes)
+    One stream of both sides is folded in order; state is what the interval and the delay hold.
+    """
+    width = minutes * 60_000_000
+
+    def one(state, *row):
+        return nearby_step(state, *row, width_us=width)
+
+    def flush(state, us):
+        return nearby_flush(state, us, width)
+
+    both = left.select(key, "ts", row_id, F.lit(True).alias("is_left")).unionByName(
+        right.select(key, "ts", row_id, F.lit(False).alias("is_left")))
+    state = "times array<bigint>, ids array<bigint>, lefts array<bigint>, left_ids array<bigint>"
+    return fold_in_order(both, [key], ["is_left", row_id], one, state, ([], [], [], []),
+                         {row_id: "long", "n": "long", "nearest": "long"}, delay, flush=flush, again_seconds=60 * minutes)
 
 
 # ------------------------------------------------------------------ sinks and monitoring
 
-def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str]) -> Callable[[DataFrame, int], None]:
+def upsert_sink(path: str, keys: Sequence[str], order: Sequence[str], merge_every: int = 16) -> Callable[[DataFrame, int], None]:
     """foreachBatch writer: each micro-batch is reduced to its newest row per key and kept under its epoch, so a retried
-    epoch overwrites itself; ``read_upserts`` resolves the newest row over all epochs."""
-    from ..operators.timeseries import latest
-
+    epoch overwrites itself; every ``merge_every`` epochs those that are closed are merged into one base, so a read takes
+    the base and fewer than ``merge_every`` epochs."""
     def write(batch: DataFrame, epoch: int) -> None:
         latest(batch, list(keys), list(order)).write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+        if epoch and epoch % merge_every == 0:
+            merge_epochs(batch.sparkSession, path, keys, order, epoch - 1)
 
     return write
 
 
+def _parts(spark: SparkSession, path: str) -> tuple[int | None, list[int]]:
+    """(last epoch in the newest base, epochs behind it); folders without a success mark are not there."""
+    names = [n for n in list_path(spark, path) if list_path(spark, f"{path}/{n}", "_SUCCESS")]
+    bases = [int(n[5:]) for n in names if n.startswith("base=")]
+    until = max(bases, default=None)
+    epochs = [int(n[6:]) for n in names if n.startswith("epoch=")]
+    return until, sorted(e for e in epochs if until is None or e > until)
+
+
+def merge_epochs(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], until: int) -> None:
+    """Merge the base and the epochs up to ``until`` into a new base; what it replaces is deleted afterwards."""
+    base, epochs = _parts(spark, path)
+    closed = [e for e in epochs if e <= until]
+    if not closed:
+        return
+    old = ([] if base is None else [f"{path}/base={base}"]) + [f"{path}/epoch={e}" for e in closed]
+    latest(spark.read.parquet(*old), list(keys), list(order)).write.mode("overwrite").parquet(f"{path}/base={until}")
+    for folder in old:
+        drop_path(spark, folder)
+
+
 def read_upserts(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    from ..operators.timeseries import latest
-    return latest(spark.read.parquet(path).drop("epoch"), list(keys), list(order))
+    base, epochs = _parts(spark, path)
+    folders = ([] if base is None else [f"{path}/base={base}"]) + [f"{path}/epoch={e}" for e in epochs]
+    return latest(spark.read.parquet(*folders), list(keys), list(order))
+
+
+def late_channel(path: str, delay: str, ts: str = "ts") -> Callable[[DataFrame, int], None]:
+    """foreachBatch writer of the rows that arrive behind the watermark: the newest event time of all batches before,
+    minus ``delay``.  Marks and rows are kept under their epoch, so a retried epoch writes the same again."""
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        before = [n for n in list_path(spark, f"{path}/marks") if n.startswith("epoch=") and int(n[6:]) < epoch]
+        batch.agg(F.max(ts).alias("newest")).write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch}")
+        late = batch.limit(0)
+        if before:
+            newest = spark.read.parquet(*[f"{path}/marks/{n}" for n in before]).agg(F.max("newest").alias("newest"))
+            late = batch.join(F.broadcast(newest), F.col(ts) < F.col("newest") - F.expr(f"INTERVAL {delay}")).drop("newest")  # one row
+        late.write.mode("overwrite").parquet(f"{path}/late/epoch={epoch}")
+
+    return write
+
+
+def alert_channel(handlers: dict[str, Callable[[DataFrame, int], None]], kind: str = "kind") -> Callable[[DataFrame, int], None]:
+    """foreachBatch dispatcher of alerts to callbacks: each handler gets the alerts of its kind, ``*`` gets all of them.
+
+    A handler receives a DataFrame and the epoch, so it can write to any sink; a retried epoch calls it again with the same
+    rows.  One failing handler does not keep the others from their alerts; the first error is raised when all have run.
+    """
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()
+        try:
+            failed = None
+            for name, handler in handlers.items():
+                try:
+                    handler(batch if name == "*" else batch.filter(F.col(kind) == name), epoch)
+                except Exception as error:
+                    failed = failed or error
+            if failed:
+                raise failed
+        finally:
+            batch.unpersist()
+
+    return write
+
+
+def drain(df: DataFrame, writer: Callable[[DataFrame, int], None], label: str, timeout: int = 600):
+    """Run a foreachBatch writer over what is available; returns the finished query (its progress tells state sizes)."""
+    q = df.writeStream.foreachBatch(writer).option("checkpointLocation", scratch_path(df.sparkSession, f"{label}-ck")).trigger(
+        availableNow=True).start()
+    if not q.awaitTermination(timeout):
+        q.stop()
+        raise TimeoutError(f"stream {label} did not finish in {timeout} s")
+    return q
 
 
 class LateRows(StreamingQueryListener):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from marketloom.operators import cleaning
 from marketloom.operators import timeseries as ts
-from marketloom.streaming import jobs
+from marketloom.streaming import ordered
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -65,6 +65,6 @@ def test_ledger_survives_products_that_vanish(spark):
     got = build_positions(df, ["ts", "trade_id"], F.date_trunc("hour", "ts")).orderBy("trade_id").collect()
     state = (0.0, 0.0, 0.0)
     for r in got:
-        state, made = jobs.position_step(state, r.asDict())
+        state, made = ordered.position_step(state, 0, r.trade_id, r.side, r.qty, r.price)
         assert abs(r.realized - made[0][3]) <= 1e-6 * max(1, abs(made[0][3])) and abs(r.avg_price - made[0][2]) < 1e-4
 

@@ -11,7 +11,7 @@ from marketloom.operators import cleaning, evaluate, ledger, machines, mentions,
 from marketloom.operators import sentiment as sent
 from marketloom.sources import bars as bar_source
 from marketloom.sources import store
-from marketloom.streaming import jobs
+from marketloom.streaming import ordered
 
 T0 = dt.datetime(2024, 1, 1)
 BAR = "symbol string, ts timestamp_ntz, open double, high double, low double, close double, volume double"
@@ -170,7 +170,20 @@ def test_ledger_open_add_reduce_close_flip(spark):
     assert [round(r.realized, 9) for r in out] == [0, 0, 75, -75, 0, 40, 30]
     state = (0.0, 0.0, 0.0)
     for r, (s, q, p) in zip(out, FILLS):
-        state, made = jobs.position_step(state, {"trade_id": r.trade_id, "side": s, "qty": float(q), "price": p})
+        state, made = ordered.position_step(state, 0, r.trade_id, s, float(q), p)
+        assert made[0][1:] == pytest.approx((r.position, r.avg_price, r.realized))
+
+
+def test_fills_of_quantity_zero_change_nothing(spark):
+    fills = [("buy", 0, 90.0), ("buy", 10, 100.0), ("sell", 0, 130.0), ("buy", 10, 110.0), ("sell", 20, 120.0), ("sell", 0, 50.0), ("sell", 5, 80.0)]
+    rows = [(i, "A", T0 + dt.timedelta(minutes=i), p, float(q), s) for i, (s, q, p) in enumerate(fills)]
+    df = spark.createDataFrame(rows, "trade_id long, symbol string, ts timestamp_ntz, price double, qty double, side string")
+    out = ledger.build_positions(df, ["ts", "trade_id"], F.date_trunc("hour", "ts")).orderBy("trade_id").collect()
+    assert [r.event for r in out] == ["none", "open", "none", "increase", "close", "none", "open"]
+    assert [(r.position, r.avg_price, r.realized) for r in out] == [(0, 0, 0), (10, 100, 0), (10, 100, 0), (20, 105, 0), (0, 0, 300), (0, 0, 0), (-5, 80, 0)]
+    state = (0.0, 0.0, 0.0)
+    for r, (s, q, p) in zip(out, fills):
+        state, made = ordered.position_step(state, 0, r.trade_id, s, float(q), p)
         assert made[0][1:] == pytest.approx((r.position, r.avg_price, r.realized))
 
 
@@ -181,16 +194,14 @@ def test_ledger_hot_symbol_over_chunks(spark):
     out = ledger.build_positions(df, ["ts", "trade_id"], F.date_trunc("minute", "ts")).orderBy("trade_id").collect()
     state = (0.0, 0.0, 0.0)
     for r, x in zip(out, rows):
-        state, made = jobs.position_step(state, {"trade_id": x[0], "side": x[5], "qty": x[4], "price": x[3]})
+        state, made = ordered.position_step(state, 0, x[0], x[5], x[4], x[3])
         assert (r.position, r.avg_price, r.realized) == pytest.approx(made[0][1:], rel=1e-9, abs=1e-7)
 
 
 def test_cooldown_relative_to_last_emitted(spark):
     minutes = [0, 14, 16, 29, 31, 60]
     df = spark.createDataFrame([("k", T0 + dt.timedelta(minutes=m), m) for m in minutes], "key string, ts timestamp_ntz, m int")
-    for clock in (None, "second"):
-        got = sorted(r.m for r in machines.alert_cooldown(df, ["key"], 15, clock=clock).collect())
-        assert got == [0, 16, 31, 60]
+    assert sorted(r.m for r in machines.alert_cooldown(df, ["key"], 15).collect()) == [0, 16, 31, 60]
 
 
 def test_drawdown_periods_with_open_tail(spark):
