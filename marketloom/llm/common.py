@@ -27,22 +27,33 @@ def held_out(modulus: int, remainder: int, doc_id: str | Column = "doc_id") -> C
     return crc_of_id(doc_id) % modulus == remainder
 
 
-def bounded_sample(rows: DataFrame, label: str, cap: int, labels: int) -> DataFrame:
+def bounded_sample(docs: DataFrame, keys: DataFrame, label: str, cap: int, labels: int) -> DataFrame:
     """doc_id, label, text: at most ``cap`` distinct (doc_id, text) of each of the ``labels`` most frequent labels, by a hash.
 
-    A row that stands many times counts once.  Keys are counted per label first and kept below a hash bound that leaves
-    about twice the cap, so that ranking, which one task does for a label, sees a bounded number of them; texts are joined
-    to the at most ``cap * labels`` keys that stay.
+    ``keys`` holds doc_id, label and the hash of the text (``text_key``) of the rows that may be taken; a row that stands many
+    times counts once.  Keys are counted per label and kept below a hash bound that leaves about twice the cap; these fall into
+    256 ranges of the hash, of which only the one where the cap is reached is ranked, so no task sees a whole label.  Texts are
+    joined to the at most ``cap * labels`` keys that stay and never shuffled otherwise.
     """
-    keyed = rows.select("doc_id", label, "text", F.xxhash64("text").alias("_h"))
-    keys, _ = written(keyed.select("doc_id", label, "_h").distinct(), "sample-keys")
+    keys, _ = written(keys.select("doc_id", label, "_h").distinct(), "sample-keys")
     counts = keys.groupBy(label).agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), label).limit(labels)
-    share = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(1 << 30))
-    few = keys.join(counts, label).filter(share * F.col("_n") < F.lit((2 * cap + 64) * (1 << 30)))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(share, "doc_id", "_h"))
-    picks = few.withColumn("_r", rank).filter(F.col("_r") <= cap).select("doc_id", label, "_h")
-    return (keyed.join(F.broadcast(picks), ["doc_id", label, "_h"]).groupBy("doc_id", label, "_h")
-            .agg(F.first("text").alias("text")).drop("_h"))
+    share = F.pmod(F.xxhash64("doc_id", "_h"), F.lit(1 << 30)) / float(1 << 30) * F.col("_n") / float(2 * cap + 64)
+    few = keys.join(F.broadcast(counts), label).withColumn("_s", share).filter("_s < 1").withColumn(  # at most ``labels`` rows
+        "_range", F.floor(F.col("_s") * 256).cast("int")).drop("_n")
+    few, _ = written(few, "sample-few")
+    sums = few.groupBy(label, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    up = Window.partitionBy(label).orderBy("_range")  # at most 256 rows of a label
+    sums = sums.withColumn("_before", F.sum("_n").over(up) - F.col("_n")).filter(F.col("_before") < cap)
+    near = few.join(F.broadcast(sums), [label, "_range"])  # at most 256 rows for each label
+    rank = F.row_number().over(Window.partitionBy(label, "_range").orderBy("_s", "doc_id", "_h"))
+    picks = near.withColumn("_r", F.col("_before") + rank).filter(F.col("_r") <= cap).select("doc_id", label, "_h")
+    return (docs.select("doc_id", "text").withColumn("_h", text_key()).join(F.broadcast(picks), ["doc_id", "_h"])
+            .groupBy("doc_id", label, "_h").agg(F.first("text").alias("text")).drop("_h"))
+
+
+def text_key() -> Column:
+    """Hash by which ``bounded_sample`` tells texts apart."""
+    return F.xxhash64("text").alias("_h")
 
 
 #: What a Python worker remembers between tasks, and how to forget it.

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import bounded_sample, slices
+from .common import bounded_sample, slices, text_key
 
 #: Rows of a language that may be used for fitting; landmarks of a language; ridge penalty; steepness of the score.
 PER_LANGUAGE, LANDMARKS, PENALTY, STEEPNESS = 400, 24, 0.05, 3.0
@@ -130,8 +130,9 @@ def train(docs: DataFrame, may_learn: Column, per_language: int = PER_LANGUAGE)
     """Fit on a bounded number of rows per language among those that ``may_learn``."""
     import pyarrow as pa
 
-    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "lang", "text")
-    sample, _ = written(bounded_sample(rows, "lang", per_language, LANGUAGES), "langid-sample")
+    rows = docs.filter(may_learn & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
+    keys = rows.select("doc_id", "lang", text_key())
+    sample, _ = written(bounded_sample(rows, keys, "lang", per_language, LANGUAGES), "langid-sample")
 
     def letters(batches):
         from collections import Counter

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import written
-from .common import bounded_sample, slices
+from .common import bounded_sample, slices, text_key
 from .transducers import INSULTS, LEVELS, NEGATION, PLAIN, READ, REACH, REPORT, TARGET, TARGETED, THREAT, THREATENED, clause_table
 
 #: Rows of each label that may be used for fitting; least distinct contexts (of many toxic rows) and log-odds of a learned
@@ -164,8 +164,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, may_learn: Column, per_l
     """doc_id, toxic, text of at most ``per_label`` distinct (id, text) of each label."""
     per_doc = (labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & may_learn).groupBy("doc_id")
                .agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic")))
-    rows = docs.select("doc_id", "text").join(per_doc, "doc_id").select("doc_id", "toxic", "text")
-    return bounded_sample(rows, "toxic", per_label, 2)
+    keys = docs.select("doc_id", text_key()).join(per_doc, "doc_id")
+    return bounded_sample(docs, keys, "toxic", per_label, 2).select("doc_id", "toxic", "text")
 
 
 def learn_beginnings(sample: DataFrame, contexts: int = CONTEXTS, log_odds: float = LOG_ODDS,

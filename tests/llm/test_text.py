@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketloom.llm import decontaminate, langid, language_model, linededup, neardup_text, toxicity, transducers
-from marketloom.llm.common import bounded_sample, held_out
+from marketloom.llm.common import bounded_sample, held_out, text_key
 
 R = random.Random(7)
 VOCAB = [a + b for a in "ba ke lo mi nu po ra si te vu".split() for b in "da fen gil hos jum kat lim".split()]
@@ -228,13 +228,16 @@ def test_samples_are_bounded_and_count_a_row_once(spark):
     rows = [(1, "same text", "aa")] * 300 + [(1, "same text", "bb")] * 40 + [(i, f"text {i}", "aa") for i in range(2, 90)] + [
         (2, "another text of id two", "bb"), (3, None, "bb")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
-    got = bounded_sample(docs, "lang", 5, 10).collect()
+    def sample(docs, cap, labels):
+        return bounded_sample(docs, docs.select("doc_id", "lang", text_key()), "lang", cap, labels)
+
+    got = sample(docs, 5, 10).collect()
     assert len([r for r in got if r["lang"] == "aa"]) == 5 and len({(r["doc_id"], r["text"], r["lang"]) for r in got}) == len(got)
     assert {(r["doc_id"], r["text"]) for r in got if r["lang"] == "bb"} == {(1, "same text"), (2, "another text of id two"), (3, None)}
-    assert bounded_sample(docs, "lang", 1000, 10).count() == 89 + 3
-    assert {r["lang"] for r in bounded_sample(docs, "lang", 5, 1).collect()} == {"aa"}
+    assert sample(docs, 1000, 10).count() == 89 + 3
+    assert {r["lang"] for r in sample(docs, 5, 1).collect()} == {"aa"}
     shared = spark.createDataFrame([(1, "uno dos", "es"), (1, "one two", "en")] * 50, "doc_id long, text string, lang string")
-    assert sorted((r["lang"], r["text"]) for r in bounded_sample(shared, "lang", 400, 10).collect()) == [("en", "one two"), ("es", "uno dos")]
+    assert sorted((r["lang"], r["text"]) for r in sample(shared, 400, 10).collect()) == [("en", "one two"), ("es", "uno dos")]
 
 
 # toxicity
