@@ -313,6 +313,28 @@ def _kbest(m):
     return ml.selection_scores(m.raw("embeddings"), "embedding", "label", 8).join(picked, col("feature") == col("at"))
 
 
+@query("data_mutual_information", "feature:i mi:d chosen:b", """WITH e AS (SELECT label, unnest(range(len(embedding))) AS feature,
+    unnest(embedding)::DOUBLE AS x FROM embeddings), b AS (SELECT feature, label, floor((rank() OVER (PARTITION BY feature ORDER BY x) - 1) * 10.0 /
+    count(*) OVER (PARTITION BY feature)) AS bin FROM e), j AS (SELECT feature, bin, label, count(*) AS n FROM b GROUP BY 1, 2, 3),
+    w AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, bin) AS r, sum(n) OVER (PARTITION BY feature, label) AS k
+    FROM j), f AS (SELECT feature, sum(n / t * ln(n * t / (r * k))) AS mi FROM w GROUP BY 1)
+    SELECT feature, mi, row_number() OVER (ORDER BY round(mi, 12) DESC, feature) <= 8 AS chosen FROM f""")
+def _mi(m):
+    return ml.mutual_information(m.raw("embeddings"), "embedding", "label", 8)
+
+
+@query("data_chi2_scores", "feature:i chi2:d4 chosen:b", """WITH e AS (SELECT label, unnest(range(len(embedding))) AS feature, (unnest(embedding) > 0)::INT AS x
+    FROM embeddings), j AS (SELECT feature, x, label, count(*) AS n FROM e GROUP BY 1, 2, 3), g AS (SELECT feature, x, label FROM (SELECT DISTINCT feature, x
+    FROM j), (SELECT DISTINCT label FROM j)), w AS (SELECT g.feature, coalesce(n, 0) AS n, sum(coalesce(n, 0)) OVER (PARTITION BY g.feature, g.x) AS r,
+    sum(coalesce(n, 0)) OVER (PARTITION BY g.feature, g.label) AS k, sum(coalesce(n, 0)) OVER (PARTITION BY g.feature) AS t FROM g LEFT JOIN j USING
+    (feature, x, label)), f AS (SELECT feature, sum((n - r * k / t) ** 2 / (r * k / t)) AS chi2 FROM w GROUP BY 1)
+    SELECT feature, chi2, row_number() OVER (ORDER BY round(chi2, 9) DESC, feature) <= 8 AS chosen FROM f""")
+def _chi2(m):
+    """Signs of the vector's places as categories."""
+    d = m.raw("embeddings").select("label", F.transform("embedding", lambda x: (x > 0).cast("int")).alias("sign"))
+    return ml.chi2_scores(d, "sign", "label", 8)
+
+
 @query("data_regime_classifier", "model cls accuracy:d weighted_f1:d")
 def _classifier(m):
     d = rg.regime_threshold(tech.vol_cluster(tech.hist_vol(tech.bollinger_sample(m.bars()))))

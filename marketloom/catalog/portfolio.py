@@ -11,7 +11,7 @@ from ..operators import regime as rg
 from ..operators import risk as rk
 from ..operators import technical as tech
 from . import risk as _risk  # noqa: F401  (defines shared tables)
-from .base import add_base, query
+from .base import add_base, query, unit_sql
 from .technical import CL, W, _dx, lag, rec_ema, roll, wd
 
 REG = f"""SELECT *, CASE WHEN sd > 0.03 THEN 'high_volatility' WHEN r20 > 0.02 AND adx > 30 THEN 'strong_bull' WHEN r20 < -0.02 AND
@@ -154,11 +154,22 @@ def _score(m):
     return pf.score_portfolios(m.positions(), pf.expected_returns(r), pf.covariance(rk.pair_moments(r)))
 
 
-@query("portfolio_frontier_sweep", "kind bin:i portfolio_id:i ret:d risk:d sharpe:d")
+add_base("sweep", f"""SELECT *, (ret - 0.02) / risk AS sharpe FROM (SELECT r.portfolio_id, ret, risk, max_weight FROM (SELECT portfolio_id, sum(weight * mu) AS ret,
+    max(weight) AS max_weight FROM sweep_w GROUP BY 1) r JOIN (SELECT x.portfolio_id, sqrt(sum(x.weight * y.weight * cov)) AS risk FROM sweep_w x JOIN ann2 ON
+    a = x.symbol JOIN sweep_w y ON y.symbol = b AND y.portfolio_id = x.portfolio_id GROUP BY 1) q USING (portfolio_id)) WHERE max_weight <= 0.4""")
+add_base("sweep_w", f"""SELECT *, e / sum(e) OVER (PARTITION BY portfolio_id) AS weight FROM (SELECT portfolio_id, symbol, mu,
+    -ln({unit_sql(42, 'portfolio_id', 'place')}) AS e FROM (SELECT range AS portfolio_id FROM range(2000)), (SELECT *, dense_rank() OVER (ORDER BY symbol) AS
+    place FROM mus))""")
+
+
+@query("portfolio_frontier_sweep", "kind bin:i portfolio_id:i ret:d risk:d sharpe:d", """WITH b AS (SELECT *, CAST(least(floor((ret - (SELECT min(ret) FROM
+    sweep)) / ((SELECT max(ret) FROM sweep) - (SELECT min(ret) FROM sweep)) * 20), 19) AS BIGINT) AS bin FROM sweep)
+    SELECT 'frontier' AS kind, bin, portfolio_id, ret, risk, sharpe FROM b QUALIFY row_number() OVER (PARTITION BY bin ORDER BY risk, portfolio_id) = 1 UNION ALL
+    (SELECT 'max_sharpe', NULL, portfolio_id, ret, risk, sharpe FROM b ORDER BY sharpe DESC, portfolio_id DESC LIMIT 1) UNION ALL
+    (SELECT 'min_variance', NULL, portfolio_id, ret, risk, sharpe FROM b ORDER BY risk, portfolio_id LIMIT 1)""")
 def _frontier(m):
     r = m.returns()
-    mu, cov = pf.expected_returns(r), pf.covariance(rk.pair_moments(r))
-    return pf.frontier_sweep(pf.score_portfolios(pf.candidate_sweep(mu, 2000), mu, cov), 20)
+    return pf.frontier_sweep(pf.sweep_scores(pf.expected_returns(r), pf.covariance(rk.pair_moments(r)), 2000), 20)
 
 
 add_base("cap_w", "SELECT symbol, sum(volume) / (SELECT sum(volume) FROM bars) AS weight FROM bars GROUP BY 1")

@@ -293,9 +293,9 @@ add_base("part_ret", """SELECT CAST(l_partkey AS VARCHAR) AS symbol, date_trunc(
     GROUP BY 1, 2""")
 
 
-@query("risk_correlation_parts", "symbol pairs:i avg_corr:d5 max_corr:d5", """SELECT symbol, count(*) AS pairs, avg(abs(r)) AS avg_corr, max(abs(r)) AS max_corr
+@query("risk_correlation_parts", "symbol pairs:i avg_corr:d4 max_corr:d4", """SELECT symbol, count(*) AS pairs, avg(abs(r)) AS avg_corr, max(abs(r)) AS max_corr
     FROM (SELECT unnest([a, b]) AS symbol, r FROM (SELECT a.symbol AS a, b.symbol AS b, corr(a.ret, b.ret) AS r, count(*) AS n FROM part_ret a JOIN part_ret b
-    ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 6 AND isfinite(corr(a.ret, b.ret)))) GROUP BY 1""")
+    ON a.ts = b.ts AND a.symbol < b.symbol GROUP BY 1, 2 HAVING count(*) >= 6 AND var_pop(a.ret) * count(*) > 1e-12 * sum(a.ret * a.ret) AND var_pop(b.ret) * count(*) > 1e-12 * sum(b.ret * b.ret))) GROUP BY 1""")
 def _parts(m):
     """Monthly margin of every part against every other one: hundreds of symbol groups, thousands of tiles."""
     f = m.raw("lineitem").groupBy(col("l_partkey").cast("string").alias("symbol"), F.date_trunc("month", "l_shipdate").alias("ts")).agg(

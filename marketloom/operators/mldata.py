@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, div, normal_hash, unit_hash
-from .timeseries import Ordered, index_rows, micros
+from .timeseries import Ordered, index_rows, micros, ordered_running
 
 S = Ordered()
 
@@ -90,6 +90,40 @@ def selection_scores(df: DataFrame, features: str, label: str, k: int) -> DataFr
     return g.select("feature", "f_value", (place <= k).alias("chosen"))
 
 
+def chi2_scores(df: DataFrame, features: str, label: str, k: int) -> DataFrame:
+    """(feature, chi2, chosen): chi-squared statistic of every categorical place of an array column against the label."""
+    long = df.select(col(label).alias("_c"), F.posexplode(features).alias("feature", "_x")).filter("_x IS NOT NULL AND _c IS NOT NULL")
+    joint = long.groupBy("feature", "_x", "_c").agg(F.count(F.lit(1)).alias("n"))
+    rows, columns = (joint.groupBy("feature", c).agg(F.sum("n").alias(f"_{c}n")) for c in ("_x", "_c"))
+    total = joint.groupBy("feature").agg(F.sum("n").alias("_t"))
+    # every category meets every class, also where no row does: two small tables per feature
+    grid = rows.join(columns, "feature").join(total, "feature").join(joint, ["feature", "_x", "_c"], "left")
+    want = col("__xn") * col("__cn") / col("_t")
+    chi2 = grid.groupBy("feature").agg(F.sum(F.pow(F.coalesce("n", F.lit(0)) - want, F.lit(2)) / want).alias("chi2"))
+    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("chi2", 9).desc(), "feature"))  # one row per feature
+    return chi2.select("feature", "chi2", (best <= k).alias("chosen"))
+
+
+def mutual_information(df: DataFrame, features: str, label: str, k: int, bins: int = 10) -> DataFrame:
+    """(feature, mi, chosen): mutual information of every place of an array column with the label, and the k largest.
+
+    Values are cut into bins of equal frequency by their exact rank, all places at once; equal values share a bin.  One
+    aggregation makes the joint histograms.
+    """
+    long = df.select(col(label).alias("_c"), F.posexplode(features).alias("feature", "_x")).filter("_x IS NOT NULL AND _c IS NOT NULL")
+    long = long.select("feature", "_c", col("_x").cast("double").alias("_x")).filter(~F.isnan("_x"))
+    per = long.groupBy("feature", "_x", "_c").agg(F.count(F.lit(1)).alias("_m"))
+    ranks = ordered_running(long, ["feature"], "_x", {"n": F.lit(1)})
+    place = F.floor((col("cum_n") - col("n")) * bins / col("all_n")).alias("_bin")
+    joint = per.join(ranks.select("feature", "_x", place, "all_n"), ["feature", "_x"]).groupBy("feature", "_bin", "_c").agg(
+        F.sum("_m").alias("n"), F.first("all_n").alias("all"))
+    row, column = Window.partitionBy("feature", "_bin"), Window.partitionBy("feature", "_c")  # at most bins x classes rows of a feature
+    joint = joint.withColumns({"_r": F.sum("n").over(row), "_k": F.sum("n").over(column)})
+    mi = joint.groupBy("feature").agg(F.sum(col("n") / col("all") * F.ln(col("n") * col("all") / (col("_r") * col("_k")))).alias("mi"))
+    best = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("mi", 12).desc(), "feature"))  # one row per feature
+    return mi.select("feature", "mi", (best <= k).alias("chosen"))
+
+
 def class_weights(df: DataFrame, label: str) -> DataFrame:
     """Balanced weights n / (classes * n_class)."""
     c = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

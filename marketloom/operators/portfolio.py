@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import clip, col, div, unit_hash
+from ..functions.numeric import clip, col, div
 from .risk import YEAR, both_ways, portfolio_cov
 
 # Class weights per regime (equities, bonds, commodities, cash).
@@ -75,15 +75,67 @@ def score_portfolios(candidates: DataFrame, mu: DataFrame, cov: DataFrame, rf: f
     return g.withColumn("sharpe", div(col("ret") - rf, "risk"))
 
 
-def candidate_sweep(mu: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """n random long-only weight vectors over the symbols of mu, generated on the executors from (seed, id, symbol)."""
-    ids = mu.sparkSession.range(n).select(col("id").alias("portfolio_id"))
-    syms = mu.agg(F.sort_array(F.collect_set("symbol"))).scalar()
-    d = ids.select("portfolio_id", F.explode(syms).alias("symbol"))
-    place = F.dense_rank().over(Window.partitionBy("portfolio_id").orderBy("symbol"))
-    u = unit_hash(seed, "portfolio_id", place)
-    d = d.withColumn("_e", -F.ln(u))
-    return d.withColumn("weight", col("_e") / F.sum("_e").over(Window.partitionBy("portfolio_id"))).drop("_e")
+#: Symbols of a covariance block and candidates of a weight block.
+SYMBOL_BLOCK, CANDIDATE_BLOCK = 64, 1024
+
+
+def _unit_numbers(seed: int, ids, places):
+    """The numbers of ``unit_hash(seed, id, place)`` as a matrix, ids by places."""
+    import numpy as np
+
+    m = 2147483647
+    h = ((seed * 48271 + np.asarray(ids, np.int64)[:, None] % m) * 16807 + 12345) % m
+    h = ((h * 48271 + np.asarray(places, np.int64)[None, :] % m) * 16807 + 12345) % m
+    return (h * 69621 % m + 1) / 2147483649.0
+
+
+def sweep_scores(mu: DataFrame, cov: DataFrame, n: int, seed: int = 42, rf: float = 0.02) -> DataFrame:
+    """ret, risk, max_weight and sharpe of n random long-only candidates, weights from (seed, candidate, place of the symbol).
+
+    Quadratic forms by blocks: the covariance is packed to blocks of two symbol groups, candidates come in blocks of ids, and
+    a task multiplies one weight block with one covariance block (rows of W S times W).  Weights are made where they are
+    needed and never become rows; a block leaves one row of sums per candidate.  Both ends of the scale are cut: many
+    candidates make many blocks, many symbols make many tiles.
+    """
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("symbol"))  # one row per symbol
+    names = mu.select("symbol", "mu").withColumn("_p", place)
+    side = {s: names.select(col("symbol").alias(s), col("_p").alias(f"p{s}"), col("mu").alias(f"mu{s}")) for s in "ab"}
+    pairs = cov.select("a", "b", "cov").join(side["a"], "a").join(side["b"], "b")
+    block = {s: F.floor((col(f"p{s}") - 1) / SYMBOL_BLOCK).cast("int").alias(f"g{s}") for s in "ab"}
+    tiles = pairs.groupBy(block["a"], block["b"]).agg(F.collect_list(F.struct("pa", "pb", "cov", "mua")).alias("cells"))
+    ids = F.explode(F.sequence(F.lit(0), F.lit(-(-n // CANDIDATE_BLOCK) - 1))).alias("part")
+    jobs = tiles.select("ga", "gb", "cells", ids).repartition("ga", "gb", "part")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for cells, part in zip(batch.column("cells"), batch.column("part").to_pylist()):
+                c = cells.as_py()
+                pa_, pb = np.array([x["pa"] for x in c]), np.array([x["pb"] for x in c])
+                rows, at = np.unique(pa_, return_inverse=True)
+                columns, to = np.unique(pb, return_inverse=True)
+                s = np.zeros((len(rows), len(columns)))
+                s[at, to] = [x["cov"] for x in c]
+                who = np.arange(part * CANDIDATE_BLOCK, min(n, (part + 1) * CANDIDATE_BLOCK))
+                wa, wb = (-np.log(_unit_numbers(seed, who, p)) for p in (rows, columns))
+                own = pa_ == pb  # the diagonal carries what is said of single symbols
+                only = np.isin(rows, pa_[own])
+                gain = np.zeros(len(rows))
+                gain[at[own]] = [x["mua"] for x, o in zip(c, own) if o]
+                off = s.copy()
+                off[at[own], to[own]] = 0.0
+                form = ((wa @ off) * wb).sum(1) * 2 + (wa[:, at[own]] ** 2) @ s[at[own], to[own]]
+                w = wa[:, only]
+                yield pa.RecordBatch.from_pydict({
+                    "portfolio_id": who, "form": form, "total": w.sum(1), "gain": wa @ gain,
+                    "most": w.max(1) if w.shape[1] else np.zeros(len(who))})
+
+    sums = jobs.mapInArrow(run, "portfolio_id long, form double, total double, gain double, most double")
+    g = sums.groupBy("portfolio_id").agg(F.sum("form").alias("f"), F.sum("total").alias("t"), F.sum("gain").alias("m"), F.max("most").alias("w"))
+    g = g.select("portfolio_id", (col("m") / col("t")).alias("ret"), (F.sqrt("f") / col("t")).alias("risk"), (col("w") / col("t")).alias("max_weight"))
+    return g.withColumn("sharpe", div(col("ret") - rf, "risk"))
 
 
 def frontier_sweep(scored: DataFrame, bins: int = 50, max_weight: float = 0.4) -> DataFrame:

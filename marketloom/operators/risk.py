@@ -179,7 +179,8 @@ def pair_moments(returns: DataFrame, block: str = "month", windows: Sequence[int
     n = col("n")
     cov = div(col("sab") - col("sa") * col("sb") / n, n - 1)
     va, vb = col("saa") - col("sa") * col("sa") / n, col("sbb") - col("sb") * col("sb") / n
-    corr = div(col("sab") - col("sa") * col("sb") / n, F.sqrt(va * vb))
+    moves = (va > 1e-12 * col("saa")) & (vb > 1e-12 * col("sbb"))  # a constant series has no correlation
+    corr = F.when(moves, (col("sab") - col("sa") * col("sb") / n) / F.sqrt(va * vb))
     return g.filter("n > 1").select("a", "b", *(["window"] if windows else []), "n", cov.alias("cov"), corr.alias("corr"))
 
 

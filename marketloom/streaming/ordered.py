@@ -47,28 +47,30 @@ class OrderedFold(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        mark = timerValues.getCurrentWatermarkInMs()
+        due = expiredTimerInfo.getExpiryTimeInMs()
         *state, last = self.fold.get() if self.fold.exists() else (*self.first, None)
-        ready = sorted(b[0] for b in self.waiting.keys() if (b[0] + 1) * self.block_ms <= mark)
-        made = []
-        for block in ready:
+        block, made, again = due // self.block_ms - 1, [], []
+        ready = due % self.block_ms == 0 and self.waiting.containsKey((block,))
+        if ready:  # timers fire in the order of their times, so blocks are folded in order
             for row in sorted(tuple(r) for r in self.waiting.getValue((block,))[0]):
                 state, new = self.step(tuple(state), *row)
                 made += [(*key, *r) for r in new]
                 last = row[0]
             self.waiting.removeKey((block,))
-        if self.flush:  # everything before the block of the watermark has been folded
-            state, new = self.flush(tuple(state), mark // self.block_ms * self.block_ms * 1000)
+        if self.flush and last is not None:  # everything up to the end of this block has been folded
+            state, new = self.flush(tuple(state), due // self.block_ms * self.block_ms * 1000)
             made += [(*key, *r) for r in new]
             if ready:
-                self.handle.registerTimer(((last // 1000 + self.again_ms) // self.block_ms + 1) * self.block_ms)
+                again.append(((last // 1000 + self.again_ms) // self.block_ms + 1) * self.block_ms)
         if ready or self.flush:
             self.fold.update((*state, last))
-        if ready:
-            if self.idle_ms is not None:
-                self.handle.registerTimer(max(last // 1000 + self.idle_ms, mark) + 1)
-        elif self.idle_ms is not None and last is not None and last // 1000 + self.idle_ms < mark and not list(self.waiting.keys()):
-            self.fold.clear()
+        if self.idle_ms is not None and last is not None:
+            if ready:
+                again.append((last // 1000 + self.idle_ms) // self.block_ms * self.block_ms + self.block_ms + 1)
+            elif last // 1000 + self.idle_ms < due:
+                self.fold.clear()
+        for when in again:
+            self.handle.registerTimer(when)
         if made:
             yield pd.DataFrame(made, columns=[*self.keys, *self.out])
 
@@ -77,7 +79,7 @@ class OrderedFold(StatefulProcessor):
 
 
 def fold_in_order(df: DataFrame, keys: Sequence[str], cols: Sequence[str], step: Callable, state: str, first: tuple,
-                  out: dict[str, str], delay: str = "10 minutes", block_seconds: int = 600, idle_seconds: float | None = None,
+                  out: dict[str, str], delay: str = "10 minutes", block_seconds: int = 3600, idle_seconds: float | None = None,
                   flush: Callable | None = None, again_seconds: int = 0) -> DataFrame:
     """Fold a stream with event time ``ts``; ``step`` gets the event time in microseconds and then ``cols``.
 

@@ -41,7 +41,7 @@ def test_long_and_short_stops_mirror_each_other():
         for i, p in enumerate((100.0, 100.0 - 4 if is_long else 104.0, 94.9 if is_long else 105.1)):  # never gained: 5 % away
             state, made = ordered.stop_step(state, i, i, p, is_long)
             out += made
-        assert [r[0] for r in out] == [2] and state[0] == prices[0] * (0.949 if is_long else 1.051)
+        assert [r[0] for r in out] == [2] and state[0] == (94.9 if is_long else 105.1)
 
 
 def test_epochs_are_merged_and_reads_stay_small(spark):
