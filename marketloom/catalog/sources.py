@@ -153,6 +153,23 @@ def _std_num(m):
     return store.standardize_ohlcv(b, "bars_numbered")
 
 
+@query("standardize_short_feed", "symbol ts open:d high:d low:d close:d volume:d source", """SELECT upper(symbol) AS symbol, ts, open, high, low, "close", volume,
+    'bars_short' AS source FROM bars""")
+def _std_short(m):
+    b = m.bars().select("symbol", F.unix_millis(col("ts").cast("timestamp")).alias("t"), *[
+        col(c).cast("string").alias(c[0]) for c in ("open", "high", "low", "close", "volume")])
+    return store.standardize_ohlcv(b, "bars_short")
+
+
+@query("standardize_plain_feed", "symbol ts open:d high:d low:d close:d volume:d source", """SELECT upper(symbol) AS symbol, ts, open, high, low, "close",
+    CASE WHEN hour(ts) % 5 = 0 THEN 0.0 ELSE volume END AS volume, 'bars_plain' AS source FROM bars""")
+def _std_plain(m):
+    """Volumes that are no numbers count as 0."""
+    b = m.bars().select("symbol", col("ts").cast("string").alias("timestamp"), "open", "high", "low", "close",
+                        F.when(F.hour("ts") % 5 == 0, "n/a").otherwise(col("volume").cast("string")).alias("volume"))
+    return store.standardize_ohlcv(b, "bars_plain")
+
+
 @query("coalesce_sources", "symbol hour source score:d", """SELECT symbol, hour, source, score FROM (
     SELECT symbol, date_trunc('hour', ts) AS hour, source, avg(score) AS score FROM sent GROUP BY 1, 2, 3)
     QUALIFY row_number() OVER (PARTITION BY symbol, hour ORDER BY list_position(['news', 'twitter', 'reddit'], source)
@@ -163,7 +180,7 @@ def _coalesce(m):
     return store.coalesce_sources(s, ["news", "twitter", "reddit"], ["symbol", "hour"])
 
 
-for _f, _trunc in {"1m": "INTERVAL 1 MINUTE", "15m": "INTERVAL 15 MINUTE", "1h": "INTERVAL 1 HOUR",
+for _f, _trunc in {"1m": "INTERVAL 1 MINUTE", "5m": "INTERVAL 5 MINUTE", "15m": "INTERVAL 15 MINUTE", "1h": "INTERVAL 1 HOUR",
                    "1d": "INTERVAL 1 DAY"}.items():
     @query(f"bars_{_f}", "symbol ts open:d high:d low:d close:d volume:d vwap:d8 trades:i", f"""
         SELECT symbol, time_bucket({_trunc}, ts) AS ts, arg_min(price, ts) AS open, max(price) AS high,
