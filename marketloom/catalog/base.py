@@ -115,6 +115,17 @@ def normal_sql(seed: int, *cols: str) -> str:
     return f"(sqrt(-2 * ln({unit_sql(seed, *cols)})) * cos(6.283185307179586 * {unit_sql(seed + 1, *cols)}))"
 
 
+def mixed_sql(rel: str, seed: int, *parts: str, out: str = "u") -> str:
+    """SQL of a relation with the column ``out``: the repeatable hash ``mixed_hash`` of whole-number columns, in steps."""
+    m = 2147483647
+    rel = f"SELECT *, {seed % m}::BIGINT AS _x FROM {rel}"
+    for p in parts:
+        rel = f"SELECT * REPLACE ((_x * 48271 + ({p})::BIGINT % {m}) % {m} AS _x) FROM ({rel})"
+        rel = f"SELECT * REPLACE ((_s * _s % {m}) * _x % {m} AS _x) FROM (SELECT *, _x * _x % {m} AS _s FROM ({rel}))"
+        rel = f"SELECT * EXCLUDE (_s) FROM ({rel})"
+    return f"(SELECT * EXCLUDE (_x), (_x + 0.5::DOUBLE) / {m} AS {out} FROM ({rel}))"
+
+
 def add_base(name: str, sql: str) -> None:
     BASE_SQL[name] = sql
 

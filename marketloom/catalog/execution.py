@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import col, div
 from ..operators import book as bk
 from ..operators import impact as im
+from ..operators import mldata as ml
 from ..operators import tca
 from ..operators.timeseries import Ordered, asof_join, chunk_with_halo, index_rows
 from ..session import cut_lineage
@@ -199,10 +200,10 @@ def _params(m):
     return im.impact_params(m.bars(), executions(m))
 
 
-def estimates(m):
+def estimates(m, blend=None):
     b = m.bars()
     o = m.parents().select("order_id", "symbol", (col("order_qty") * 0.01).alias("size"), (col("slot") % 120).alias("latency_ms"))
-    return im.impact_estimate(o, im.kyle_lambda(b), im.impact_params(b, executions(m)))
+    return im.impact_estimate(o, im.kyle_lambda(b), im.impact_params(b, executions(m)), blend)
 
 
 add_base("est", """SELECT *, CASE WHEN impact_bps < 5 THEN 'low' WHEN impact_bps < 15 THEN 'medium' WHEN impact_bps < 30 THEN 'high'
@@ -216,6 +217,15 @@ def _estimate(m):
     return estimates(m)
 
 
+@query("impact_blend", "order_id impact_bps:d risk_class", """SELECT order_id, bps AS impact_bps, CASE WHEN bps < 5 THEN 'low' WHEN bps < 15 THEN 'medium'
+    WHEN bps < 30 THEN 'high' ELSE 'very_high' END AS risk_class FROM (SELECT order_id, (0.2 * lam * size + 0.3 * (eta + gamma) * size / avg_volume +
+    0.5 * volatility * sqrt(size / avg_volume) + greatest(lat - 50, 0) * 1e-4) * 10000 AS bps FROM (SELECT order_id, symbol, order_qty * 0.01 AS size,
+    slot % 120 AS lat FROM parents) JOIN kyle USING (symbol) JOIN params USING (symbol))""")
+def _blend(m):
+    """Another blend of registered impact models."""
+    return estimates(m, {"kyle": 0.2, "ac": 0.3, "sqrt": 0.5})
+
+
 @query("impact_decay", "order_id impact_after_60s:d impact_after_300s:d impact_after_900s:d", """SELECT order_id, impact_bps *
     exp(-ln(2) * 60 / 300) AS impact_after_60s, impact_bps * exp(-ln(2)) AS impact_after_300s, impact_bps * exp(-ln(2) * 3) AS
     impact_after_900s FROM est""")
@@ -532,11 +542,37 @@ def _execution_features(m):
     return asof_join(m.bars(), d.select("symbol", "ts", "trade_id", *cols), "symbol", cols, right_tie=["trade_id"])
 
 
-@query("tca_slippage_model", "n:i mae:d rmse:d")
-def _model(m):
+SLIPPAGE_FEATURES = ["price_range", "realized_vol", "v_ratio_5", "vol_regime_10", "hour_sin", "hour_cos", "order_qty"]
+
+
+def slippage_rows(m):
     from ..operators import technical as tech
     f = tech.calendar_features(tech.slippage_features(m.bars()))
     r = rolled(m).select("symbol", "order_id", "slippage_bps", "start_ts", "order_qty").withColumnRenamed("start_ts", "ts")
-    names = ["price_range", "realized_vol", "v_ratio_5", "vol_regime_10", "hour_sin", "hour_cos"]
-    d = asof_join(r, f, "symbol", names)
-    return tca.slippage_model(d, names + ["order_qty"], split_ts="2024-01-24")[2]
+    return asof_join(r, f, "symbol", SLIPPAGE_FEATURES[:-1])
+
+
+@query("tca_slippage_model", "n:i mae:d rmse:d")
+def _model(m):
+    return tca.slippage_model(slippage_rows(m), SLIPPAGE_FEATURES, split_ts="2024-01-24")[2]
+
+
+@query("tca_slippage_buckets", "risk_bucket n:i")
+def _buckets(m):
+    pred = tca.slippage_model(slippage_rows(m), SLIPPAGE_FEATURES, split_ts="2024-01-24")[1]
+    return pred.groupBy("risk_bucket").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("tca_slippage_folds", "fold:i test_rows:i mae:d rmse:d")
+def _slippage_folds(m):
+    """Folds train half as many trees, as an estimate of the error only needs; a day of embargo."""
+    d = cut_lineage(slippage_rows(m))
+    return ml.cross_validate(d, tca.slippage_fit(SLIPPAGE_FEATURES, trees=5), "slippage_bps", folds=5, embargo_seconds=86400)
+
+
+@query("tca_slippage_importance", "feature base_error:d error:d importance:d")
+def _slippage_importance(m):
+    d = cut_lineage(slippage_rows(m))
+    cut = F.lit("2024-01-24").cast("timestamp_ntz")
+    model = tca.slippage_fit(SLIPPAGE_FEATURES)(d.filter(col("ts") < cut))
+    return ml.permutation_importance(model, d.filter(col("ts") >= cut), SLIPPAGE_FEATURES, "slippage_bps", ["order_id"])

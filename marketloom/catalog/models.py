@@ -11,7 +11,7 @@ from ..operators import regime as rg
 from ..operators import risk as rk
 from ..operators import technical as tech
 from . import risk as _risk  # noqa: F401  (defines shared tables)
-from .base import add_base, normal_sql, query, unit_sql
+from .base import add_base, mixed_sql, normal_sql, query, unit_sql
 from .risk import dds, pret
 from .technical import W, roll
 
@@ -71,11 +71,54 @@ def _paired(m):
     return ev.paired_diff_test(p.filter("portfolio_id = 1"), p.filter("portfolio_id = 2"), ["ts"])
 
 
-@query("eval_bootstrap_ci", "boot_mean:d boot_std:d low:d high:d")
+_interval = "boot_mean:d boot_std:d low:d high:d"
+# quantiles of prices with few decimals: at six places means of resamples lie on ties
+_fine = "boot_mean:d9 boot_std:d9 low:d9 high:d9"
+
+
+def boot_sql(reps: int, body: str) -> str:
+    """Interval of a statistic: ``body`` takes (rep, x, w), the rows with their weights in every repetition, to (stat)."""
+    rows = mixed_sql(f"(SELECT event_id AS id, price AS x, rep FROM ticks, range({reps}) t(rep) WHERE price IS NOT NULL)", 42, "id",
+                     "id // 2147483647", "rep")
+    steps = " + ".join(f"(u > {float(t)!r}::DOUBLE)::INT" for t in ev.POISSON)
+    return f"""SELECT avg(stat) AS boot_mean, stddev_pop(stat) AS boot_std, quantile_cont(stat, 0.025) AS low, quantile_cont(stat, 0.975) AS high
+        FROM (WITH r AS (SELECT rep, x, {steps} AS w FROM {rows}) {body})"""
+
+
+_sums = "(SELECT rep, sum(w) AS w, sum(w * x) AS wx, sum(w * x * x) AS wxx FROM r GROUP BY 1)"
+
+
+@query("eval_bootstrap_ci", _interval, boot_sql(1000, f"SELECT wx / w AS stat FROM {_sums}"))
 def _boot(m):
     return ev.bootstrap_ci(m.ticks(), "price", "event_id", "mean")
 
 
+@query("eval_bootstrap_sharpe", _interval, boot_sql(1000, f"SELECT wx / w / sqrt((wxx - wx * wx / w) / (w - 1)) * sqrt(252) AS stat FROM {_sums}"))
+def _boot_sharpe(m):
+    return ev.bootstrap_ci(m.ticks(), "price", "event_id", "sharpe")
+
+
+def quantile_stat(p: float) -> str:
+    return f"""SELECT lo + (hi - lo) * share AS stat FROM (SELECT rep, max(pos - floor(pos)) AS share, min(x) FILTER (upto > floor(pos)) AS lo,
+        min(x) FILTER (upto > ceil(pos)) AS hi FROM (SELECT rep, x, sum(w) OVER (PARTITION BY rep ORDER BY x) AS upto,
+        (sum(w) OVER (PARTITION BY rep) - 1) * {p}::DOUBLE AS pos FROM r WHERE w > 0) GROUP BY rep)"""
+
+
+@query("eval_bootstrap_median", _fine, boot_sql(200, quantile_stat(0.5)))
+def _boot_median(m):
+    return ev.bootstrap_ci(m.ticks(), "price", "event_id", "median", reps=200)
+
+
+@query("eval_bootstrap_tail", _fine, boot_sql(200, quantile_stat(0.05)))
+def _boot_tail(m):
+    return ev.bootstrap_ci(m.ticks(), "price", "event_id", 0.05, reps=200)
+
+
+@query("eval_bootstrap_callable", _interval)
+def _boot_callable(m):
+    return ev.bootstrap_ci(m.ticks(), "price", "event_id", ev.trimmed_mean)
+
+
 _cls = "model cls:i precision:d recall:d f1:d specificity:d accuracy:d weighted_f1:d"
 add_base("cls", """SELECT *, sum(f1 * sup) OVER (PARTITION BY model) / n AS weighted_f1 FROM (SELECT *, coalesce(2 * precision * recall /
     nullif(precision + recall, 0), 0) AS f1 FROM (SELECT model, c AS cls, count(*) AS n, count(*) FILTER (actual = c) AS sup, coalesce(count(*)
@@ -335,14 +378,39 @@ def _chi2(m):
     return ml.chi2_scores(d, "sign", "label", 8)
 
 
+REGIME_FEATURES = ["bbs_width_20", "bbs_pos_20", "vol_10", "vol_20", "abs_ret_20"]
+
+
+def regime_rows(m):
+    return rg.regime_threshold(tech.vol_cluster(tech.hist_vol(tech.bollinger_sample(m.bars()))))
+
+
 @query("data_regime_classifier", "model cls accuracy:d weighted_f1:d")
 def _classifier(m):
-    d = rg.regime_threshold(tech.vol_cluster(tech.hist_vol(tech.bollinger_sample(m.bars()))))
-    p = ml.regime_classifier(d, ["bbs_width_20", "bbs_pos_20", "vol_10", "vol_20", "abs_ret_20"], "2024-01-24")[1]
+    p = ml.regime_classifier(regime_rows(m), REGIME_FEATURES, "2024-01-24")[1]
     p = p.select(F.lit("forest").alias("model"), col("label").alias("actual"), col("prediction").alias("pred"))
     return ev.classification_metrics(p)
 
 
+@query("data_regime_importance", "feature base_error:d error:d importance:d")
+def _regime_importance(m):
+    d = regime_rows(m)
+    model, test = ml.regime_classifier(d, REGIME_FEATURES, "2024-01-24")
+    test = test.select("symbol", "ts", "regime", *REGIME_FEATURES)
+    # the forest's own stages index the label, so errors are counted on that index
+    return ml.permutation_importance(model, test, REGIME_FEATURES, "regime", ["symbol", "ts"], lambda _: ml.zero_one_error("label"))
+
+
+@query("data_purged_folds", "fold:i train_rows:i test_rows:i", f"""WITH z AS (SELECT min(epoch_us(ts)) AS t0 FROM ticks),
+    c AS (SELECT unnest(range(1, 6)) AS fold, t0 + round(unnest(q)) AS lo FROM (SELECT any_value(t0) AS t0, quantile_cont((epoch_us(ts) - t0)::DOUBLE,
+    {[i / 6 for i in range(1, 6)]}) AS q FROM ticks, z)),
+    f AS (SELECT fold, lo, coalesce(lead(lo) OVER (ORDER BY fold), 9e18) AS hi FROM c)
+    SELECT fold, count(*) FILTER (epoch_us(ts) < lo - 3600000000) AS train_rows, count(*) FILTER (epoch_us(ts) >= lo AND epoch_us(ts) < hi) AS test_rows
+    FROM f, ticks GROUP BY 1""")
+def _folds(m):
+    return ml.fold_sizes(m.ticks(), folds=5, embargo_seconds=3600)
+
+
 _row = ("length(symbol)", "ascii(symbol)", "ascii(right(symbol, 1))", "epoch_us(ts) // 1000000")
 _noisy = " UNION ALL ".join(f"SELECT symbol, 'noise_{x}' AS scenario, ret + g * sd * {x} AS value FROM p" for x in (0.01, 0.05, 0.1))
 _gappy = " UNION ALL ".join(f"""SELECT symbol, 'missing_{x}', last_value(CASE WHEN v >= {x} THEN ret END IGNORE NULLS) OVER

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,3 +78,19 @@ def unit_hash(seed: int, *cols) -> Column:
 def normal_hash(seed: int, *cols) -> Column:
     """Reproducible standard normal number (Box-Muller over two unit hashes)."""
     return F.sqrt(-2 * F.ln(unit_hash(seed, *cols))) * F.cos(6.283185307179586 * unit_hash(seed + 1, *cols))
+
+
+PRIME = 2147483647
+
+
+def mixed_hash(seed: int, *parts) -> np.ndarray:
+    """Repeatable numbers in (0, 1) from arrays of whole numbers: fifth powers modulo a prime, which any SQL engine can repeat.
+
+    Unlike ``unit_hash`` it is not linear in its parts, so rows and repetitions are not shifts of each other.
+    """
+    x = np.int64(seed % PRIME)
+    for p in parts:
+        x = (x * 48271 + np.asarray(p, dtype=np.int64) % PRIME) % PRIME
+        square = x * x % PRIME
+        x = square * square % PRIME * x % PRIME
+    return (x + 0.5) / PRIME

@@ -6,7 +6,8 @@ Row-level inputs are reduced by aggregation; anything that needs an order over u
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -14,7 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import col, div, normal_cdf
+from ..functions.numeric import PRIME, col, div, finite, mixed_hash, normal_cdf
+from ..session import cut_lineage
 from .risk import YEAR, P
 from .timeseries import Ordered, exact_percentiles, join_on, ordered_running
 
@@ -72,35 +74,140 @@ def paired_diff_test(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFra
         "second")})
 
 
+# Poisson(1): P(X <= k); beyond twelve the rest is below the step of the hash.
+POISSON = np.cumsum([np.exp(-1) / math.factorial(k) for k in range(13)])
+
+
+def resample_weights(ids: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """Poisson(1) weights of rows x repetitions from the repeatable hash of (seed, row, repetition)."""
+    ids = ids.astype(np.int64)
+    u = mixed_hash(seed, ids[:, None], ids[:, None] // PRIME, reps[None, :])
+    return np.searchsorted(POISSON, u, side="left").astype(float)
+
+
+def _resampled(df: DataFrame, value: str, row_id: str) -> DataFrame:
+    return df.select(col(row_id).cast("long").alias("_id"), finite(col(value).cast("double")).alias("_x")).dropna()
+
+
+def _blocks(batches: Iterator[pd.DataFrame], rows: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for pdf in batches:
+        ids, x = pdf["_id"].to_numpy(dtype=np.int64), pdf["_x"].to_numpy(dtype=float)
+        for lo in range(0, len(x), rows):
+            yield ids[lo:lo + rows], x[lo:lo + rows]
+
+
 def bootstrap_sums(df: DataFrame, value: str, row_id: str, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """(rep, w, wx, wxx): Poisson(1) resampling weights drawn from a hash of (seed, row, rep).
+    """(rep, w, wx, wxx): sums under Poisson(1) resampling weights drawn from a hash of (seed, row, rep).
 
     Every task accumulates its rows into one line per rep, so neither row copies nor groups are shuffled and the result
-    does not depend on the partitioning.
+    does not depend on the partitioning.  Null, NaN and infinite values are left out.
     """
-    cdf = np.cumsum([np.exp(-1) / np.prod(range(1, k + 1)) if k else np.exp(-1) for k in range(20)])
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = np.zeros((3, reps))
-        rep = np.arange(reps, dtype=np.uint64)
-        for pdf in batches:
-            for lo in range(0, len(pdf), 1024):
-                part = pdf.iloc[lo:lo + 1024]
-                x = part[value].to_numpy(dtype=float)
-                ids = part[row_id].to_numpy(dtype=np.int64).astype(np.uint64)
-                h = ids[:, None] * np.uint64(0x9E3779B97F4A7C15) + rep[None, :] * np.uint64(0xD1B54A32D192ED03) + np.uint64(seed)
-                for shift, mul in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                    h = (h ^ (h >> np.uint64(shift))) * np.uint64(mul)
-                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / 2.0 ** 53
-                w = np.searchsorted(cdf, u).astype(float)
-                acc += np.stack([w.sum(0), w.T @ x, w.T @ (x * x)])
-        yield pd.DataFrame({"rep": np.arange(reps), "w": acc[0], "wx": acc[1], "wxx": acc[2]})
-
-    d = df.select(row_id, value).filter(col(value).isNotNull())
-    out = d.mapInPandas(run, "rep long, w double, wx double, wxx double")
+        acc, rep = np.zeros((3, reps)), np.arange(reps)
+        for ids, x in _blocks(batches):
+            w = resample_weights(ids, rep, seed)
+            acc += np.stack([w.sum(0), w.T @ x, w.T @ (x * x)])
+        yield pd.DataFrame({"rep": rep, "w": acc[0], "wx": acc[1], "wxx": acc[2]})
+
+    out = _resampled(df, value, row_id).mapInPandas(run, "rep long, w double, wx double, wxx double")
     return out.groupBy("rep").agg(*[F.sum(c).alias(c) for c in ("w", "wx", "wxx")])
 
 
+def bootstrap_quantiles(df: DataFrame, value: str, row_id: str, p: float = 0.5, reps: int = 1000, seed: int = 42) -> DataFrame:
+    """(rep, stat): the exact ``p`` quantile (linear interpolation) of every weighted resample, of rows of any number.
+
+    Cells of the value axis lie around the sample's own quantile, half a standard error wide.  A first pass sums the weights
+    of (rep, cell); they tell the one or two cells in which a resample's quantile lies.  A second pass takes only rows of
+    such cells and only for the repetitions that need them, about the root of the rows; a cell far out is taken the same way.
+    """
+    d = _resampled(df, value, row_id)
+    n = d.count()
+    if n == 0:
+        return d.select(col("_id").alias("rep"), col("_x").alias("stat"))
+    se = math.sqrt(p * (1 - p) / n)
+    probs = {f"e{i}": min(max(p + z / 2 * se, 0.0), 1.0) for i, z in enumerate(range(-10, 11))}
+    edges = np.unique([float(e) for e in exact_percentiles(d, [], "_x", probs).first()])  # 21 numbers
+
+    def weigh(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rep, acc = np.arange(reps), np.zeros((len(edges) + 1, reps))
+        for ids, x in _blocks(batches):
+            np.add.at(acc, np.searchsorted(edges, x), resample_weights(ids, rep, seed))
+        cell, at = np.nonzero(acc)
+        yield pd.DataFrame({"rep": at, "cell": cell, "w": acc[cell, at]})
+
+    cells = d.mapInPandas(weigh, "rep long, cell long, w double").groupBy("rep", "cell").agg(F.sum("w").alias("w"))
+    by = Window.partitionBy("rep")  # at most 22 rows
+    r = (F.sum("w").over(by) - 1) * p
+    need = cells.select("rep", "cell", (F.sum("w").over(by.orderBy("cell")) - col("w")).alias("before"), "w", F.floor(r).alias("lo"),
+                        F.ceil(r).alias("hi"), (r - F.floor(r)).alias("share"))
+    need = need.filter((col("lo").between(col("before"), col("before") + col("w") - 1))
+                       | (col("hi").between(col("before"), col("before") + col("w") - 1)))
+    need = cut_lineage(need)
+    wanted: dict[int, list[int]] = {}
+    for row in need.select("cell", "rep").toLocalIterator():  # at most two rows a repetition
+        wanted.setdefault(row.cell, []).append(row.rep)
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids, x in _blocks(batches):
+            cell = np.searchsorted(edges, x)
+            for c in np.unique(cell):
+                rep = np.array(wanted.get(int(c), []), dtype=np.int64)
+                if not len(rep):
+                    continue
+                values, place = np.unique(x[cell == c], return_inverse=True)
+                acc = np.zeros((len(values), len(rep)))
+                np.add.at(acc, place, resample_weights(ids[cell == c], rep, seed))
+                v, at = np.nonzero(acc)
+                yield pd.DataFrame({"rep": rep[at], "cell": int(c), "x": values[v], "m": acc[v, at]})
+
+    rows = d.mapInPandas(pick, "rep long, cell long, x double, m double").groupBy("rep", "cell", "x").agg(F.sum("m").alias("m"))
+    rows = rows.join(need, ["rep", "cell"])
+    upto = col("before") + F.sum("m").over(Window.partitionBy("rep", "cell").orderBy("x"))
+    rows = rows.withColumn("_upto", upto)
+    inside_lo = (col("_upto") > col("lo")) & (col("lo") >= col("_upto") - col("m"))
+    inside_hi = (col("_upto") > col("hi")) & (col("hi") >= col("_upto") - col("m"))
+    low, high = F.max(F.when(inside_lo, col("x"))), F.max(F.when(inside_hi, col("x")))
+    return rows.groupBy("rep").agg((low + (high - low) * F.max("share")).alias("stat"))
+
+
+def bootstrap_callable(df: DataFrame, value: str, statistic: Callable[[np.ndarray, np.ndarray], float], reps: int = 1000,
+                       seed: int = 42, cells: int = 4096) -> DataFrame:
+    """(rep, stat) of any callable ``statistic(values, weights)``; rep -1 is the sample itself.
+
+    The sample is reduced to at most ``cells`` values: its distinct values where there are no more (then resampling is
+    exact), else cells of equal frequency by exact rank, each standing for its mean.  A cell of m rows gets a Poisson(m)
+    weight, which is what its m rows would get together, so no row is touched a thousand times and no resample is ever
+    one task's list of rows.  Repetitions are spread over tasks; each has its own seed, so a lost one comes back the same.
+    """
+    x = df.select(finite(col(value).cast("double")).alias("_x")).dropna()
+    run = ordered_running(x, [], "_x", {"n": F.lit(1)})
+    distinct = run.count()
+    if distinct > cells:
+        run = run.groupBy(F.floor((col("cum_n") - 1) * cells / col("all_n")).alias("_c")).agg(
+            F.sum("n").alias("n"), (F.sum(col("_x") * col("n")) / F.sum("n")).alias("_x"))
+    table = run.select("_x", "n").orderBy("_x").toPandas()  # at most ``cells`` rows
+    values, counts = table["_x"].to_numpy(dtype=float), table["n"].to_numpy(dtype=float)
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for rep in pdf["rep"]:
+                w = counts if rep < 0 else np.random.default_rng([seed, int(rep)]).poisson(counts).astype(float)
+                out.append(float(statistic(values, w)) if w.sum() > 0 else None)
+            yield pd.DataFrame({"rep": pdf["rep"], "stat": pd.Series(out, dtype="float64", index=pdf.index)})
+
+    tasks = max(1, min(reps, df.sparkSession.sparkContext.defaultParallelism))
+    return df.sparkSession.range(-1, reps, 1, tasks).withColumnRenamed("id", "rep").mapInPandas(draw, "rep long, stat double")
+
+
+def trimmed_mean(values: np.ndarray, weights: np.ndarray) -> float:
+    """Mean of the middle four fifths: a callable for ``bootstrap_callable``."""
+    upto = weights.cumsum()
+    low, high = upto[-1] * 0.1, upto[-1] * 0.9
+    kept = (upto.clip(low, high) - (upto - weights).clip(low, high))
+    return float((values * kept).sum() / kept.sum())
+
+
 STATISTICS = {
     "mean": lambda: div("wx", "w"),
     "std": lambda: F.sqrt(div(col("wxx") - col("wx") * col("wx") / col("w"), col("w") - 1)),
@@ -108,9 +215,18 @@ STATISTICS = {
 }
 
 
-def bootstrap_ci(df: DataFrame, value: str, row_id: str, statistic: str = "mean", reps: int = 1000, level: float = 0.95,
-                 seed: int = 42) -> DataFrame:
-    s = bootstrap_sums(df, value, row_id, reps, seed).withColumn("stat", STATISTICS[statistic]())
+def bootstrap_ci(df: DataFrame, value: str, row_id: str, statistic: str | float | Callable = "mean", reps: int = 1000,
+                 level: float = 0.95, seed: int = 42) -> DataFrame:
+    """Mean, spread and percentile interval of a statistic over resamples.
+
+    ``statistic``: a name of ``STATISTICS``, "median", a number (that quantile), or a callable of (values, weights).
+    """
+    if callable(statistic):
+        s = bootstrap_callable(df, value, statistic, reps, seed).filter("rep >= 0")
+    elif statistic == "median" or not isinstance(statistic, str):
+        s = bootstrap_quantiles(df, value, row_id, 0.5 if statistic == "median" else float(statistic), reps, seed)
+    else:
+        s = bootstrap_sums(df, value, row_id, reps, seed).withColumn("stat", STATISTICS[statistic]())
     a = (1 - level) / 2
     return s.agg(F.avg("stat").alias("boot_mean"), F.stddev_pop("stat").alias("boot_std"),
                  F.percentile("stat", a).alias("low"), F.percentile("stat", 1 - a).alias("high"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, col, div
@@ -46,14 +47,32 @@ def impact_params(bars: DataFrame, executions: DataFrame, permanent: float = 0.1
         "_c", "_v", "_n")
 
 
-def impact_estimate(orders: DataFrame, kyle: DataFrame, params: DataFrame) -> DataFrame:
-    """orders (order_id, symbol, size, latency_ms) to the blended impact, its class and the venue adjustment."""
+# An impact model is a function from a row's columns (size, lam, eta, gamma, avg_volume, volatility, ...) to a share of the price.
+IMPACT_MODELS: dict[str, Callable[[], Column]] = {
+    "kyle": lambda: col("lam") * col("size"),
+    "ac": lambda: (col("eta") + col("gamma")) * div("size", "avg_volume"),
+    "sqrt": lambda: col("volatility") * F.sqrt(div("size", "avg_volume")),
+}
+
+
+def register_impact_model(name: str, model: Callable[[], Column]) -> None:
+    """Add a model of one's own to those that ``impact_estimate`` may blend."""
+    if name in IMPACT_MODELS:
+        raise ValueError(f"impact model {name} is registered twice")
+    IMPACT_MODELS[name] = model
+
+
+def impact_estimate(orders: DataFrame, kyle: DataFrame, params: DataFrame, blend: Mapping[str, float] | None = None) -> DataFrame:
+    """orders (order_id, symbol, size, latency_ms) to the blended impact, its class and the venue adjustment.
+
+    ``blend`` names models of ``IMPACT_MODELS`` with their weights; each adds a column ``<name>_impact``.
+    """
+    blend = {"kyle": 0.4, "ac": 0.6} if blend is None else blend
     d = orders.join(kyle.select("symbol", "lam", "n"), "symbol").join(params, "symbol")
-    k = col("lam") * col("size")
-    ac = (col("eta") + col("gamma")) * div("size", "avg_volume")
     late = F.greatest(col("latency_ms") - 50, F.lit(0)) * 1e-4
-    d = d.withColumns({"kyle_impact": k, "ac_impact": ac, "venue_adjustment": late})
-    d = d.withColumn("impact_bps", (0.4 * col("kyle_impact") + 0.6 * col("ac_impact") + col("venue_adjustment")) * 10000)
+    d = d.withColumns({**{f"{m}_impact": IMPACT_MODELS[m]() for m in blend}, "venue_adjustment": late})
+    total = reduce(lambda a, b: a + b, [w * col(f"{m}_impact") for m, w in blend.items()])
+    d = d.withColumn("impact_bps", (total + col("venue_adjustment")) * 10000)
     return d.withColumn("risk_class", F.when(col("impact_bps") < 5, "low").when(col("impact_bps") < 15, "medium").when(
         col("impact_bps") < 30, "high").otherwise("very_high"))
 

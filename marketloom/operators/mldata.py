@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import col, div, normal_hash, unit_hash
-from .timeseries import Ordered, index_rows, micros, ordered_running
+from .timeseries import Ordered, exact_percentiles, index_rows, micros, ordered_running
 
 S = Ordered()
 
@@ -131,8 +131,108 @@ def class_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(c.select(label, (one["n"] / (one["k"] * col("_n"))).alias("class_weight")), label)
 
 
-def regime_classifier(df: DataFrame, features: Sequence[str], split_ts, label: str = "regime", trees: int = 20, seed: int = 7):
-    """Random forest with class-balanced weights and a time split; returns (model, test predictions)."""
+def fit_stages(train: DataFrame, features: Sequence[str], estimator, before: Sequence = (), vector: str = "fv"):
+    """Fit any Spark ML estimator (or transformer) behind a vector of ``features``; rows with a missing feature are skipped.
+
+    Every model of this library goes through here, so another estimator is another argument.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    vectors = VectorAssembler(inputCols=list(features), outputCol=vector, handleInvalid="skip")
+    return Pipeline(stages=[*before, vectors, estimator]).fit(train)
+
+
+# ------------------------------------------------------------------ purged folds, permutation importance
+
+def fold_bounds(df: DataFrame, ts: str = "ts", folds: int = 5) -> list[int]:
+    """Times (microseconds) that cut the rows into ``folds + 1`` parts of equal count, and the end: one short list."""
+    us = micros(ts)
+    low = df.agg(F.min(us)).first()[0]
+    if low is None:
+        return []
+    probs = {f"b{i}": i / (folds + 1) for i in range(1, folds + 1)}
+    cuts = exact_percentiles(df.select((us - low).cast("double").alias("_t")), [], "_t", probs).first()
+    return [low + round(c) for c in cuts] + [2 ** 63 - 1]
+
+
+def purged_folds(df: DataFrame, ts: str = "ts", folds: int = 5, embargo_seconds: float = 0.0) -> list[tuple[DataFrame, DataFrame]]:
+    """(train, test) per fold: tests are consecutive parts of equal count, trains all rows before them but for the embargo gap.
+
+    Rows of one instant are never parted.  Rows without a time are in no fold.
+    """
+    bounds, us = fold_bounds(df, ts, folds), micros(ts)
+    gap = round(embargo_seconds * 1_000_000)
+    return [(df.filter(us < lo - gap), df.filter((us >= lo) & (us < hi))) for lo, hi in zip(bounds, bounds[1:])]
+
+
+def fold_sizes(df: DataFrame, ts: str = "ts", folds: int = 5, embargo_seconds: float = 0.0) -> DataFrame:
+    """(fold, train_rows, test_rows, first_test), counted in one pass."""
+    bounds, us = fold_bounds(df, ts, folds), micros(ts)
+    gap = round(embargo_seconds * 1_000_000)
+    spec = "fold long, train_rows long, test_rows long, first_test timestamp_ntz"
+    if not bounds:
+        return df.sparkSession.createDataFrame([], spec)
+    parts = [F.struct(F.lit(k).cast("long").alias("fold"), F.count_if(us < lo - gap).alias("train_rows"),
+                      F.count_if((us >= lo) & (us < hi)).alias("test_rows"), F.min(F.when((us >= lo) & (us < hi), col(ts))).alias("first_test"))
+             for k, (lo, hi) in enumerate(zip(bounds, bounds[1:]), 1)]
+    return df.agg(F.array(*parts).alias("_f")).select(F.inline("_f"))
+
+
+def cross_validate(df: DataFrame, fit: Callable, label: str, ts: str = "ts", folds: int = 5, embargo_seconds: float = 0.0) -> DataFrame:
+    """(fold, test_rows, mae, rmse) over purged folds; ``fit(train)`` returns a model whose ``transform`` adds ``prediction``."""
+    out = None
+    for k, (train, test) in enumerate(purged_folds(df, ts, folds, embargo_seconds), 1):
+        e = col("prediction") - col(label)
+        row = fit(train).transform(test).agg(F.lit(k).cast("long").alias("fold"), F.count(e).alias("test_rows"), F.avg(F.abs(e)).alias("mae"),
+                                             F.sqrt(F.avg(e * e)).alias("rmse"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+RANK_ROWS = 100_000
+
+
+def hash_rank(df: DataFrame, ids: Sequence[str], seed: int, parts: int, out: str) -> DataFrame:
+    """1-based rank of every row in the order of a seeded hash of its ids, sorted in ``parts`` separate buckets."""
+    h = F.xxhash64(F.lit(seed), *ids)
+    d = df.withColumns({"_h": h, "_part": F.pmod(F.xxhash64(F.lit(seed + 1), *ids), F.lit(parts))})
+    before = d.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # one row per bucket
+    before = before.select("_part", (F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - col("_n")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_part").orderBy("_h", *ids))
+    return d.withColumn(out, place).join(before, "_part").withColumn(out, col(out) + col("_before")).drop("_h", "_part", "_before")
+
+
+def absolute_error(label: str) -> Column:
+    return F.abs(col("prediction") - col(label))
+
+
+def zero_one_error(label: str) -> Column:
+    return (col("prediction") != col(label)).cast("double")
+
+
+def permutation_importance(model, test: DataFrame, features: Sequence[str], label: str, ids: Sequence[str],
+                           error: Callable[[str], Column] = absolute_error, seed: int = 7) -> DataFrame:
+    """(feature, base_error, error, importance): what the error gains when one feature is permuted among the test rows.
+
+    A seeded permutation pairs the rank of a row under one hash with the rank under another, so it is exact (every value is
+    used once), repeatable, and one join for all features.  All permuted copies are scored in one pass.  ``ids`` name a row.
+    """
+    d = test.dropna(subset=[*features, label])
+    parts = max(1, -(-d.count() // RANK_ROWS))
+    own = hash_rank(d.select(*ids, label, *features), ids, seed, parts, "_rank")
+    other = hash_rank(d.select(*ids, *features), ids, seed + 2, parts, "_rank").select("_rank", F.struct(*features).alias("_other"))
+    j = own.join(other, "_rank")
+    def with_other(swap: str | None) -> Column:
+        return F.struct(F.lit(swap or "").alias("feature"), *[(col(f"_other.{f}") if f == swap else col(f)).alias(f) for f in features])
+    long = j.select(col(label), F.inline(F.array(*[with_other(f) for f in (None, *features)])))
+    g = model.transform(long).groupBy("feature").agg(F.avg(error(label)).alias("error"))
+    base = F.max(F.when(col("feature") == "", col("error"))).over(Window.partitionBy(F.lit(0)))  # one row per feature
+    return g.withColumn("base_error", base).filter("feature <> ''").withColumn("importance", col("error") - col("base_error"))
+
+
+def regime_classifier(df: DataFrame, features: Sequence[str], split_ts, label: str = "regime", trees: int = 20, seed: int = 7,
+                      estimator=None):
+    """A classifier (random forest unless given) with class-balanced weights and a time split; returns (model, test predictions)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -141,21 +241,18 @@ def regime_classifier(df: DataFrame, features: Sequence[str], split_ts, label: s
     train = class_weights(d.filter(col("ts") < cut), label)
     pipe = Pipeline(stages=[
         StringIndexer(inputCol=label, outputCol="label", handleInvalid="keep"), VectorAssembler(inputCols=list(features), outputCol="fv"),
-        RandomForestClassifier(featuresCol="fv", labelCol="label", weightCol="class_weight", numTrees=trees, maxDepth=5, seed=seed)])
+        estimator or RandomForestClassifier(featuresCol="fv", labelCol="label", weightCol="class_weight", numTrees=trees, maxDepth=5, seed=seed)])
     model = pipe.fit(train)
     return model, model.transform(d.filter(col("ts") >= cut))
 
 
-def stacked_meta(wide: DataFrame, models: Sequence[str], split: str = "is_train", kind: str = "logistic"):
-    """Meta-learner over base scores (one column per model)."""
-    from pyspark.ml import Pipeline
+def stacked_meta(wide: DataFrame, models: Sequence[str], split: str = "is_train", kind: str = "logistic", estimator=None):
+    """Meta-learner over base scores (one column per model): logistic, boosted trees, or any given estimator."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
-    va = VectorAssembler(inputCols=[f"score_{m}" for m in models], outputCol="fv", handleInvalid="skip")
-    last = LogisticRegression(featuresCol="fv", labelCol="actual", maxIter=20) if kind == "logistic" else GBTRegressor(
-        featuresCol="fv", labelCol="actual", maxIter=10, maxDepth=3, seed=7)
-    model = Pipeline(stages=[va, last]).fit(wide.filter(split))
+    last = estimator or (LogisticRegression(featuresCol="fv", labelCol="actual", maxIter=20) if kind == "logistic" else GBTRegressor(
+        featuresCol="fv", labelCol="actual", maxIter=10, maxDepth=3, seed=7))
+    model = fit_stages(wide.filter(split), [f"score_{m}" for m in models], last)
     return model, model.transform(wide.filter(f"NOT {split}"))
 
 

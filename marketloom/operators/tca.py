@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import clip, col, div
+from .mldata import fit_stages
 from .timeseries import exact_percentiles, interval_join, join_on
 
 
@@ -221,17 +222,34 @@ def execution_risk_flags(o: DataFrame, max_seconds: float = 3600) -> DataFrame:
     return d.withColumn("risk_level", F.when(n >= 3, "high").when(n <= 1, "low").otherwise("medium"))
 
 
-def slippage_model(train_rows: DataFrame, features: Sequence[str], label: str = "slippage_bps", split_ts=None, seed: int = 7):
-    """Gradient-boosted regression with a time split; returns (model, test predictions, error table)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import VectorAssembler
+# Upper bounds (shares of the price) of the risk buckets of a predicted slippage; beyond the last it is very high.
+SLIPPAGE_BUCKETS = ((0.0005, "very_low"), (0.001, "low"), (0.002, "medium"), (0.005, "high"))
+
+
+def slippage_bucket(bps) -> Column:
+    out = None
+    for bound, name in SLIPPAGE_BUCKETS:
+        cond = col(bps) < bound * 10_000
+        out = F.when(cond, name) if out is None else out.when(cond, name)
+    return F.when(col(bps).isNotNull(), out.otherwise("very_high"))
+
+
+def slippage_fit(features: Sequence[str], label: str = "slippage_bps", seed: int = 7, trees: int = 10, estimator=None):
+    """A function from training rows to a fitted model: gradient-boosted trees unless another estimator is given."""
     from pyspark.ml.regression import GBTRegressor
+    last = estimator or GBTRegressor(featuresCol="features", labelCol=label, maxIter=trees, maxDepth=3, seed=seed)
+    return lambda train: fit_stages(train, features, last, vector="features")
+
+
+def slippage_model(train_rows: DataFrame, features: Sequence[str], label: str = "slippage_bps", split_ts=None, seed: int = 7, estimator=None):
+    """Regression with a time split; returns (model, test predictions with their risk bucket, error table).
+
+    ``mldata.cross_validate`` and ``mldata.permutation_importance`` take the same ``slippage_fit``.
+    """
     cut = F.lit(split_ts).cast("timestamp_ntz")
     train, test = train_rows.filter(col("ts") < cut), train_rows.filter(col("ts") >= cut)
-    pipe = Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip"),
-                            GBTRegressor(labelCol=label, maxIter=10, maxDepth=3, seed=seed)])
-    model = pipe.fit(train)
-    pred = model.transform(test)
+    model = slippage_fit(features, label, seed, estimator=estimator)(train)
+    pred = model.transform(test).withColumn("risk_bucket", slippage_bucket("prediction"))
     e = col("prediction") - col(label)
     errors = pred.agg(F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), F.count(F.lit(1)).alias("n"))
     return model, pred, errors
