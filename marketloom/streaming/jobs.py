@@ -73,12 +73,21 @@ def stream_dedupe(df: DataFrame, keys: Sequence[str], delay: str = "1 hour") ->
 
 
 def stream_interval_join(left: DataFrame, right: DataFrame, key: str, minutes: int = 2, delay: str = "10 minutes") -> DataFrame:
-    """Two watermarked streams, rows of one key within +-minutes of each other; state is cut by the range condition."""
-    a = left.withWatermark("ts", delay).alias("l")
-    r = right.select(F.col(key).alias("r_key"), F.col("ts").alias("r_ts"), *[F.col(c).alias(f"r_{c}") for c in right.columns
+    """Two watermarked streams, rows of one key within +-minutes of each other; state is cut by the range condition.
+
+    The join is on (key, time bin): a row is held against the rows of its bin, not against all of its key.  A left row has the
+    bin of its time, a right row those of both ends of its interval, one or two as a bin is as long as the interval.
+    """
+    span = 2 * minutes * 60_000_000
+
+    def place(shift: int):
+        return F.floor((F.unix_micros("ts") + F.lit(shift * minutes * 60_000_000)) / span)
+
+    a = left.withColumn("_bin", place(0)).withWatermark("ts", delay).alias("l")
+    r = right.withColumn("_rbin", F.explode(F.array_distinct(F.array(place(-1), place(1))))).select("_rbin", F.col(key).alias("r_key"), F.col("ts").alias("r_ts"), *[F.col(c).alias(f"r_{c}") for c in right.columns
                                                                             if c not in (key, "ts")]).withWatermark("r_ts", delay)
-    cond = F.expr(f"{key} = r_key AND r_ts BETWEEN ts - INTERVAL {minutes} MINUTES AND ts + INTERVAL {minutes} MINUTES")
-    return a.join(r, cond).drop("r_key")
+    cond = F.expr(f"{key} = r_key AND _bin = _rbin AND r_ts BETWEEN ts - INTERVAL {minutes} MINUTES AND ts + INTERVAL {minutes} MINUTES")
+    return a.join(r, cond).drop("r_key", "_bin", "_rbin")
 
 
 # ------------------------------------------------------------------ keyed state
