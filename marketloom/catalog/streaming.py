@@ -160,8 +160,8 @@ def _channel(m):
     return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("alerts"))
 
 
-@query("stream_nearby_views", "event_id:i n:i nearest:i", """SELECT l.event_id, count(r.event_id) AS n, arg_min(r.event_id, abs(epoch_us(r.ts) - epoch_us(l.ts)) *
-    10 + (r.ts > l.ts)::INT) AS nearest FROM events l LEFT JOIN events r ON l.user_id % 20 = r.user_id % 20 AND r.event_type = 'view' AND r.ts BETWEEN l.ts -
+@query("stream_nearby_views", "event_id:i n:i nearest:i", """SELECT l.event_id, count(r.event_id) AS n, arg_min(r.event_id, (abs(epoch_us(r.ts) - epoch_us(l.ts)) *
+    10 + (r.ts > l.ts)::INT, r.event_id)) AS nearest FROM events l LEFT JOIN events r ON l.user_id % 20 = r.user_id % 20 AND r.event_type = 'view' AND r.ts BETWEEN l.ts -
     INTERVAL 2 MINUTE AND l.ts + INTERVAL 2 MINUTE WHERE l.event_type = 'purchase' GROUP BY 1""")
 def _nearby(m):
     e = arrivals(m).select("event_id", "ts", "event_type", (col("user_id") % 20).alias("k"))

@@ -61,7 +61,13 @@ class OrderedFold(StatefulProcessor):
             state, new = self.flush(tuple(state), due // self.block_ms * self.block_ms * 1000)
             made += [(*key, *r) for r in new]
             if ready:
-                again.append(((last // 1000 + self.again_ms) // self.block_ms + 1) * self.block_ms)
+                when = ((last // 1000 + self.again_ms) // self.block_ms + 1) * self.block_ms
+                if when > timerValues.getCurrentWatermarkInMs():
+                    again.append(when)
+                elif not any(self.waiting.containsKey((b,)) for b in range(block + 1, when // self.block_ms)):
+                    # a timer set for a time already passed would wait for a batch that may never come
+                    state, new = self.flush(tuple(state), when * 1000)
+                    made += [(*key, *r) for r in new]
         if ready or self.flush:
             self.fold.update((*state, last))
         if self.idle_ms is not None and last is not None:
