@@ -50,7 +50,9 @@ def _tickers(m):
     return mn.extract_tickers(m.posts()).select("id", F.explode("tickers").alias("symbol"))
 
 
-_pats = " || ".join(f"regexp_extract_all(\"text\", '{p}', 1)" for p in wd.SYMBOL_PATTERNS)
+# Word boundaries of the query hold for letters, digits and marks of every script; RE2 knows ASCII alone, so others become "_".
+_plain = "replace(regexp_replace(\"text\", '" + "|".join(rf"[^\x00-\x7F\P{{{c}}}]" for c in ("L", "Nd", "Mn")) + "', '_', 'g'), chr(11), ' ')"
+_pats = " || ".join(f"regexp_extract_all(plain, '{p}', 1)" for p in wd.SYMBOL_PATTERNS)
 _ctx = " + ".join(f"CAST(contains(lower(\"text\"), '{w}') AS INT)" for w in wd.CONTEXT_WORDS)
 
 
@@ -58,7 +60,7 @@ _ctx = " + ".join(f"CAST(contains(lower(\"text\"), '{w}') AS INT)" for w in wd.C
     SELECT * FROM (SELECT id, symbol, least(0.5 + (CASE WHEN symbol IN ({quoted(wd.KNOWN_TICKERS)}) THEN 0.3 ELSE 0 END) +
       least(ctx * 0.05, 0.2) + (CASE WHEN contains("text", '$' || symbol) THEN 0.2 ELSE 0 END) -
       (CASE WHEN length(symbol) = 2 THEN 0.1 ELSE 0 END), 1) AS confidence
-    FROM (SELECT id, "text", {_ctx} AS ctx, unnest(list_distinct({_pats})) AS symbol FROM posts)
+    FROM (SELECT id, "text", {_ctx} AS ctx, unnest(list_distinct({_pats})) AS symbol FROM (SELECT *, {_plain} AS plain FROM posts))
     WHERE length(symbol) BETWEEN 2 AND 5 AND symbol NOT IN ({quoted(wd.NOT_TICKERS)})) WHERE confidence > 0.3""")
 def _scored(m):
     return mn.extract_symbols_scored(m.posts())
@@ -76,15 +78,15 @@ def _emoji(m):
     return mn.emoji_summary(mn.emoji_signals(m.posts()), ["subreddit"])
 
 
-_opt = " + ".join(rf"len(regexp_extract_all(lower(\"text\"), '\b{w}\b'))".replace('\\"', '"') for w in wd.OPTION_WORDS)
+_opt = " + ".join(rf"len(regexp_extract_all(lower(plain), '\b{w}\b'))" for w in wd.OPTION_WORDS)
 
 
 @query("text_option_signals", "subreddit calls:i puts:i yolo:i option_words:i activity:i call_put_ratio:d options_bias:d",
        rf"""SELECT *, calls + puts AS activity, calls / greatest(puts, 1) AS call_put_ratio,
     (calls - puts) / greatest(calls + puts, 1) AS options_bias FROM (SELECT subreddit,
-    sum(len(regexp_extract_all("text", '(?i)\bcalls?\b'))) AS calls,
-    sum(len(regexp_extract_all("text", '(?i)\bputs?\b'))) AS puts,
-    sum(len(regexp_extract_all("text", '(?i)\byolo\b'))) AS yolo, sum({_opt}) AS option_words FROM posts GROUP BY 1)""")
+    sum(len(regexp_extract_all(plain, '(?i)\bcalls?\b'))) AS calls,
+    sum(len(regexp_extract_all(plain, '(?i)\bputs?\b'))) AS puts, sum(len(regexp_extract_all(plain, '(?i)\byolo\b'))) AS yolo,
+    sum({_opt}) AS option_words FROM (SELECT subreddit, {_plain} AS plain FROM posts) GROUP BY 1)""")
 def _options(m):
     return mn.option_summary(mn.option_signals(m.posts()), ["subreddit"])
 
