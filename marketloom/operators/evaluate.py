@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numeric import PRIME, col, div, finite, mixed_hash, normal_cdf
+from ..functions.numeric import PRIME, col, correlation, div, finite, mixed_hash, normal_cdf
 from ..session import cut_lineage
 from .risk import YEAR, P
 from .timeseries import Ordered, exact_percentiles, join_on, ordered_running
@@ -259,7 +259,7 @@ def classification_metrics(df: DataFrame, keys: Sequence[str] = ("model",)) -> D
 def regression_metrics(df: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     e = col("score") - col("actual")
     g = df.groupBy(*keys).agg(F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.var_pop("actual").alias("_v"),
-                              F.corr("score", "actual").alias("ic"))
+                              correlation("score", "actual").alias("ic"))
     return g.withColumns({"rmse": F.sqrt("mse"), "r2": 1 - div("mse", "_v")}).drop("_v")
 
 
@@ -408,7 +408,7 @@ def ensemble_diversity(p: DataFrame, models: Sequence[str]) -> DataFrame:
         pa, pb = col(f"pred_{a}"), col(f"pred_{b}")
         n = {k: F.count_if((pa == int(k[0])) & (pb == int(k[1]))) for k in ("11", "10", "01", "00")}
         ad, bc = n["11"] * n["00"], n["10"] * n["01"]
-        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(f"score_{a}", f"score_{b}").alias("corr"),
+        aggs.append(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), correlation(f"score_{a}", f"score_{b}").alias("corr"),
                              (F.count_if(pa != pb) / F.count(F.lit(1))).alias("disagreement"),
                              ((ad - bc) / (ad + bc + 1e-10)).alias("q")))
     return w.agg(F.array(*aggs).alias("s")).select(F.inline("s"))

@@ -394,7 +394,7 @@ def percentile_rank(b, s=S, periods=(20, 50)):
 
 def ret_autocorr(b, s=S, n=18):
     b = b.withColumn("_r", F.ln(c("close")) - F.ln(s.lag("close"))).withColumn("_p", s.lag("_r"))
-    return b.withColumn("ret_autocorr", s.roll2(F.corr, "_r", "_p", n)).drop("_r", "_p")
+    return b.withColumn("ret_autocorr", s.corr("_r", "_p", n)).drop("_r", "_p")
 
 
 def variance_ratio(b, s=S, n=19):
@@ -410,7 +410,7 @@ def hl_spread(b, s=S):
 
 def price_volume_corr(b, s=S, n=9):
     b = b.withColumns({"_dp": c("close") - s.lag("close"), "_dv": c("volume") - s.lag("volume")})
-    return b.withColumn("pv_corr", s.roll2(F.corr, "_dp", "_dv", n)).drop("_dp", "_dv")
+    return b.withColumn("pv_corr", s.corr("_dp", "_dv", n)).drop("_dp", "_dv")
 
 
 def price_impact_proxy(b, s=S, n=4):
@@ -492,7 +492,7 @@ def vol_cluster(b, s=S):
     b = b.withColumn("_r", ratio_change("close", s.lag("close")))
     b = b.withColumns({"_a": F.abs("_r"), "_ap": s.lag(F.abs(c("_r")))})
     return b.withColumns({"abs_ret_20": s.mean("_a", 20), "vol_ratio_5_20": div(s.std("_r", 5), s.std("_r", 20)),
-                          "vol_clustering": s.roll2(F.corr, "_a", "_ap", 10)}).drop("_r", "_a", "_ap")
+                          "vol_clustering": s.corr("_a", "_ap", 10)}).drop("_r", "_a", "_ap")
 
 
 def slippage_features(b, s=S, periods=(5, 10, 20), vol_windows=(10, 20), volume_windows=(5, 10, 20)):
