@@ -33,8 +33,8 @@ DICTIONARY, HEAD, PER_CLASS, SPELLINGS = 1 << 18, 1024, 32, 48
 STATE, STEPS, SEGMENT, ROUNDS = 32, 32, 128, 4
 #: Parallel segments of an update; learning rate; segments per trainer.
 BATCH, RATE, PER_TRAINER = 32, 0.008, 20_000
-#: Parallel streams and tokens held at once when scoring.
-STREAMS, HELD = 256, 6_000_000
+#: Parallel streams, tokens held at once and places whose probabilities are taken at once when scoring.
+STREAMS, HELD, AT_ONCE = 256, 6_000_000, 2048
 #: Distinct tokens a counting worker holds before it hands them on.
 COUNTED = 500_000
 
@@ -164,6 +164,28 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
                       np.log(head_mass / class_mass[head_class]) if len(head) else head_mass, np.log10(smoothed))
 
 
+def by_gate(x):
+    """Columns of the three gates as three matrices: elementwise steps then run over whole pieces of memory."""
+    import numpy as np
+
+    return np.ascontiguousarray(x.reshape(len(x), 3, STATE).transpose(1, 0, 2))
+
+
+def summed(rows, keys):
+    """Distinct keys and the sum of each one's rows (which are sorted by key and get changed): neighbours are added in halves."""
+    import numpy as np
+
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    sizes = np.diff(first, append=len(keys))
+    place, left = np.arange(len(keys)) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+    reach, at = 1, np.flatnonzero(left > 1)
+    while len(at):
+        at = at[(place[at] % (2 * reach) == 0) & (place[at] + reach < left[at])]
+        rows[at] += rows[at + reach]
+        reach *= 2
+    return keys[first], rows[first]
+
+
 class Network:
     """Parameters and the two passes.  Arrays: inputs (ids x 3H), recur (H x 3H), out (H x classes) and bias, head words."""
 
@@ -193,17 +215,28 @@ class Network:
             at += x.size
         return self
 
-    def step(self, h, x, keep: list | None = None):
-        """Next state of the streams; ``keep`` gets what the backward pass needs."""
+    def step(self, h, x, recur=None, out=None, keep=None):
+        """Next state of the streams; ``x`` and ``recur`` may come by gate (see ``by_gate``), the results go to ``out``.
+
+        ``keep`` (3 x streams x H) gets what the backward pass needs: both gates and the candidate's share of h @ recur. The
+        candidate itself replaces its part of ``x`` where that came by gate.
+        """
         import numpy as np
 
-        g = h @ self.p["recur"]
-        zr = 0.5 + 0.5 * np.tanh(0.5 * (x[:, : 2 * STATE] + g[:, : 2 * STATE]))
-        z, r = zr[:, :STATE], zr[:, STATE:]
-        n = np.tanh(x[:, 2 * STATE :] + r * g[:, 2 * STATE :])
-        if keep is not None:
-            keep.append((h, z, r, n, g[:, 2 * STATE :]))
-        return n + z * (h - n)
+        x = by_gate(x) if x.ndim == 2 else x
+        keep = np.matmul(h, by_gate(self.p["recur"]) if recur is None else recur, out=keep)
+        zr, n = keep[:2], x[2]
+        zr += x[:2]
+        np.negative(zr, out=zr)
+        np.exp(zr, out=zr)  # where it overflows, the gate is 0
+        zr += 1
+        np.reciprocal(zr, out=zr)
+        n += zr[1] * keep[2]
+        np.tanh(n, out=n)
+        out = np.subtract(h, n, out=out)
+        out *= zr[0]
+        out += n
+        return out
 
     def log_probs(self, states, ids, grads: dict | None = None):
         """Natural log-probability of each id given its state (classes of spelling: of the class).
@@ -216,54 +249,80 @@ class Network:
         in_head = ids < v.head
         cls = np.where(in_head, v.head_class[np.minimum(ids, max(0, v.head - 1))] if v.head else 0,
                        v.head_classes + ids - v.head)
-        a = states @ p["out"] + p["out_bias"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        s = e.sum(1)
         rows = np.arange(len(ids))
-        out = a[rows, cls] - np.log(s)
+        a = states @ p["out"]
+        a += p["out_bias"]
+        a -= a.max(1, keepdims=True)
+        out = a[rows, cls]
+        np.exp(a, out=a)
+        s = a @ np.ones(a.shape[1], a.dtype)
+        out -= np.log(s)
+        back = None
         if grads is not None:
-            d = e / s[:, None]
-            d[rows, cls] -= 1
-            grads["out"] += states.T @ d
-            grads["out_bias"] += d.sum(0)
-            back = d @ p["out"].T
+            a /= s[:, None]
+            a[rows, cls] -= 1
+            grads["out"] += states.T @ a
+            grads["out_bias"] += np.ones(len(a), a.dtype) @ a
+            back = a @ p["out"].T
         at = np.flatnonzero(in_head)
-        order = at[np.argsort(cls[at], kind="stable")]
-        bounds = np.searchsorted(cls[order], np.arange(v.head_classes + 1))
-        for c in range(v.head_classes):
-            mine = order[bounds[c] : bounds[c + 1]]
-            if not len(mine):
-                continue
-            x = states[mine]
-            a = x @ p["words"][c] + p["words_bias"][c]
-            a -= a.max(1, keepdims=True)
-            e = np.exp(a)
-            s = e.sum(1)
-            k, place = np.arange(len(mine)), v.head_place[ids[mine]]
-            out[mine] += a[k, place] - np.log(s)
-            if grads is not None:
-                d = e / s[:, None]
-                d[k, place] -= 1
-                grads["words"][c] += x.T @ d
-                grads["words_bias"][c] += d.sum(0)
-                back[mine] += d @ p["words"][c].T
+        if len(at):
+            self._head_words(states, ids, at, cls[at], out, grads, back)
         return (out, back) if grads is not None else out
 
-    def gradients(self, h, ids, weight, real=None):
+    def _head_words(self, states, ids, at, cls, out, grads, back):
+        """Adds the words inside their head classes: rows lie in blocks of one class each, multiplied in one call."""
+        import numpy as np
+
+        p, width = self.p, 16 if len(at) < 1024 else 64
+        turn = np.argsort(cls, kind="stable")
+        order, cls = at[turn], cls[turn]
+        sizes = np.bincount(cls, minlength=self.v.head_classes)
+        blocks = -(-sizes // width)
+        first, owner = np.cumsum(blocks) - blocks, np.repeat(np.arange(len(blocks)), blocks)
+        slot = first[cls] * width + np.arange(len(order)) - (np.cumsum(sizes) - sizes)[cls]
+        place = self.v.head_place[ids[order]]
+        x = np.zeros((len(owner) * width, STATE), states.dtype)
+        x[slot] = states[order]
+        x, words = x.reshape(-1, width, STATE), p["words"][owner]
+        a = np.matmul(x, words)
+        a += p["words_bias"][owner][:, None, :]
+        a -= a.max(2, keepdims=True)
+        flat = a.reshape(-1, PER_CLASS)
+        own = flat[slot, place]
+        np.exp(a, out=a)
+        s = flat @ np.ones(PER_CLASS, flat.dtype)
+        out[order] += own - np.log(s[slot])
+        if grads is None:
+            return
+        share = np.zeros_like(s)  # the unused rows of a block have no gradient
+        share[slot] = 1 / s[slot]
+        flat *= share[:, None]
+        flat[slot, place] -= 1
+        used, sums = summed(np.matmul(x.transpose(0, 2, 1), a), owner)
+        grads["words"][used] += sums
+        grads["words_bias"][used] += summed(a.sum(1), owner)[1]
+        back[order] += np.matmul(a, words.transpose(0, 2, 1)).reshape(-1, STATE)[slot]
+
+    def gradients(self, h, ids, weight, real=None, into: dict | None = None):
         """Truncated backpropagation over one window of ids (steps x streams); returns (gradients, last state, loss).
 
         Where ``real`` is given, the places outside it (after a stream's end) have no loss and give no gradient.
+        ``into`` holds zeros of the parameters' shapes and gets the gradients.
         """
         import numpy as np
 
-        g = {k: np.zeros_like(x) for k, x in self.p.items()}
+        p = self.p
+        g = {k: np.zeros_like(x) for k, x in p.items()} if into is None else into
         steps, streams = ids.shape
-        x, kept, states = self.p["inputs"][ids], [], []
+        recur = by_gate(p["recur"])
+        x = by_gate(p["inputs"]).take(ids, axis=1)
+        states = np.empty((steps + 1, streams, STATE), x.dtype)
+        states[0] = h
+        kept = np.empty_like(x)
         for t in range(steps):
-            states.append(h)
-            h = self.step(h, x[t], kept)
-        flat = np.concatenate(states)
+            self.step(states[t], x[:, t], recur, states[t + 1], kept[:, t])
+        before = states[:-1]
+        flat = before.reshape(-1, STATE)
         if real is None:
             loss, back = self.log_probs(flat, ids.ravel(), g)
         else:
@@ -271,27 +330,47 @@ class Network:
             back = np.zeros_like(flat)
             loss, back[at] = self.log_probs(flat[at], ids.ravel()[at], g)
         back = back.reshape(steps, streams, STATE)
-        dx = np.empty_like(x)
-        dh = np.zeros_like(h)
-        for t in reversed(range(steps)):
-            before, z, r, n, gn = kept[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dx[t] = np.concatenate([dz, dr, dn], 1)
-            dg = np.concatenate([dz, dr, dn * r], 1)
-            g["recur"] += before.T @ dg
-            dh = dh * z + dg @ self.p["recur"].T + back[t]
-        np.add.at(g["inputs"], ids.ravel(), dx.reshape(-1, 3 * STATE))
-        return {k: x * weight for k, x in g.items()}, h, -float(loss.sum())
+        # a step's gradients are its state's gradient times these factors, which need no loop over the steps
+        (z, r, of_h), n = kept, x[2]
+        rest = 1 - z
+        of_n = rest * (1 - n * n)
+        dg = np.empty_like(x)
+        np.multiply(before - n, z, out=dg[0])
+        dg[0] *= rest
+        np.multiply(of_n, r, out=dg[2])
+        np.multiply(dg[2], of_h, out=dg[1])
+        dg[1] *= 1 - r
+        dh, turned, parts = np.zeros_like(before), np.ascontiguousarray(recur.transpose(0, 2, 1)), np.empty_like(x[:, 0])
+        for t in range(steps - 1, 0, -1):
+            now, to = dg[:, t], dh[t - 1]
+            now *= dh[t]
+            np.matmul(now, turned, out=parts)
+            np.multiply(dh[t], z[t], out=to)
+            to += back[t]
+            for part in parts:
+                to += part
+        dg[:, 0] *= dh[0]
+        g["recur"] += np.matmul(flat.T, dg.reshape(3, -1, STATE)).transpose(1, 0, 2).reshape(STATE, -1)
+        np.multiply(dh, of_n, out=dg[2])
+        order = np.argsort(ids, axis=None, kind="stable")
+        which, sums = summed(dg.reshape(3, -1, STATE).transpose(1, 0, 2).reshape(-1, 3 * STATE)[order], ids.ravel()[order])
+        g["inputs"][which] += sums
+        if weight != 1:
+            for y in g.values():
+                y *= weight
+        return g, states[-1], -float(loss.sum())
 
 
 def fit_segments(net: Network, segments: list, rate: float = RATE) -> int:
     """Adam over the segments in batches, window by window with the state carried on; returns the tokens used."""
     import numpy as np
 
-    mean = {k: np.zeros_like(x) for k, x in net.p.items()}
-    square = {k: np.zeros_like(x) for k, x in net.p.items()}
+    value = net.flat()  # all parameters, their gradients and moments lie end to end
+    grad, mean, square, spare = (np.zeros_like(value) for _ in range(4))
+    into, at = {}, 0
+    for k, x in net.p.items():
+        net.p[k], into[k] = (y[at : at + x.size].reshape(x.shape) for y in (value, grad))
+        at += x.size
     step = used = 0
     segments = sorted(segments, key=len, reverse=True)
     starts = np.arange(0, len(segments), BATCH)
@@ -307,18 +386,27 @@ def fit_segments(net: Network, segments: list, rate: float = RATE) -> int:
             live = int((lengths > t).sum())  # the longest come first
             window = ids[t : t + STEPS, :live]
             real = np.arange(t, t + len(window))[:, None] < lengths[:live]
-            # every token counts alike, however few a window has
-            g, h, _ = net.gradients(h[:live], window, np.float32(1 / (BATCH * STEPS)), None if real.all() else real)
+            grad.fill(0)
+            _, h, _ = net.gradients(h[:live], window, 1, None if real.all() else real, into)
             step += 1
             used += int(real.sum())
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+            # every token counts alike, however few a window has
+            weight = 1 / (BATCH * STEPS)
+            norm = weight * np.sqrt(np.dot(grad, grad))
+            grad *= np.float32(weight * min(1.0, 1.0 / (norm + 1e-9)))
             scale = np.float32(rate * min(1.0, step / 20) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step))
-            for k, x in g.items():
-                x *= clip
-                mean[k] += np.float32(0.1) * (x - mean[k])
-                square[k] += np.float32(0.001) * (x * x - square[k])
-                net.p[k] -= scale * mean[k] / (np.sqrt(square[k]) + np.float32(1e-6))
+            np.subtract(grad, mean, out=spare)
+            spare *= np.float32(0.1)
+            mean += spare
+            np.multiply(grad, grad, out=grad)
+            grad -= square
+            grad *= np.float32(0.001)
+            square += grad
+            np.sqrt(square, out=spare)
+            spare += np.float32(1e-6)
+            np.divide(mean, spare, out=spare)
+            spare *= scale
+            value -= spare
     return used
 
 
@@ -361,8 +449,11 @@ def dealt(segments: DataFrame, trainers: int) -> DataFrame:
     return segments.repartition(trainers, F.xxhash64("doc_id", "start", "ids")).select("ids")
 
 
-def averaged(rows: DataFrame, n: int, fan: int = 32):
-    """Weighted mean of (trainer, tokens, weights): sums of ``fan`` rows at a time, until few are left."""
+def averaged(rows: DataFrame, fan: int = 32):
+    """Weighted mean of written (trainer, tokens, weights): sums of ``fan`` rows at a time, until few are left.
+
+    The rows are counted: a session may deal the segments to more trainers than were asked for.
+    """
     import numpy as np
     import pandas as pd
 
@@ -372,9 +463,8 @@ def averaged(rows: DataFrame, n: int, fan: int = 32):
                              "weights": [total.tobytes()]})
 
     schema = "trainer int, tokens long, weights binary"
-    while n > fan:
+    while rows.count() > fan:
         rows, _ = written(rows.groupBy(F.floor(F.col("trainer") / fan)).applyInPandas(add, schema), "lm-sums")
-        n = -(-n // fan)
     got = rows.collect()
     tokens_used = sum(r["tokens"] for r in got)
     return sum(np.frombuffer(r["weights"], "f8") for r in got) / tokens_used if tokens_used else None
@@ -395,7 +485,8 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Network:
 
             mine = [np.frombuffer(x, np.int16) for b in batches for x in b.column(0).to_pylist()]
             own = Network(shared.value).load(start)
-            used = fit_segments(own, mine, rate)
+            with np.errstate(over="ignore"):
+                used = fit_segments(own, mine, rate)
             if used:
                 yield pa.RecordBatch.from_pydict({
                     "trainer": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([used], pa.int64()),
@@ -403,7 +494,7 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Network:
 
         rows, _ = written(dealt(segments.filter(F.col("turn") == turn), trainers).mapInArrow(
             fit, "trainer int, tokens long, weights binary"), "lm-round")
-        mean = averaged(rows, trainers)
+        mean = averaged(rows)
         if mean is not None:
             net.load(mean)
     return net
@@ -435,6 +526,7 @@ def run_streams(net: Network, documents: list):
             begins.setdefault(at, []).append(k)
             at += len(documents[i])
     h = np.zeros((n, STATE), np.float32)
+    inputs, recur = by_gate(net.p["inputs"]), by_gate(net.p["recur"])
     for s in range(0, int(lengths[0]) if n else 0, STEPS):
         live = int((lengths > s).sum())
         width = min(STEPS, int(lengths[0]) - s)
@@ -443,17 +535,18 @@ def run_streams(net: Network, documents: list):
             part = flat[k][s : s + width]
             ids[: len(part), k] = part
             who[: len(part), k] = owner[k][s : s + width]
-        x = net.p["inputs"][ids]
-        states = np.empty((width, live, STATE), np.float32)
-        h = h[:live]
+        states = np.empty((width + 1, live, STATE), np.float32)
+        states[0] = h[:live]
         for t in range(width):
             if s + t in begins:
-                h[[k for k in begins[s + t] if k < live]] = 0
-            states[t] = h
-            h = net.step(h, x[t])
-        real = who.ravel() >= 0
-        logp = net.log_probs(states.reshape(-1, STATE)[real], ids.ravel()[real])
-        total += np.bincount(who.ravel()[real], logp.astype(float), len(documents))
+                states[t, [k for k in begins[s + t] if k < live]] = 0
+            net.step(states[t], inputs.take(ids[t], axis=1), recur, states[t + 1])
+        h = states[width]
+        seen, whose, what = states[:width].reshape(-1, STATE), who.ravel(), ids.ravel()
+        for i in range(0, len(what), AT_ONCE):
+            real = np.flatnonzero(whose[i : i + AT_ONCE] >= 0) + i
+            logp = net.log_probs(seen[real], what[real])
+            np.add.at(total, whose[real], logp)
     return total
 
 
@@ -485,7 +578,9 @@ def scores(docs: DataFrame, net: Network, shared) -> DataFrame:
 
         def flush():
             nonlocal waiting, held, rows
-            for i, p in enumerate(run_streams(own, waiting)):
+            with np.errstate(over="ignore"):
+                total = run_streams(own, waiting)
+            for i, p in enumerate(total):
                 rows["network"][i] += p / log(10)
             out = records(schema, rows)
             rows, waiting, held = {k: [] for k in schema.names}, [], 0

@@ -437,6 +437,32 @@ def test_padding_gives_no_gradient_and_short_segments_are_trained_whole(spark):
     assert language_model.fit_segments(net, []) == 0
 
 
+def test_rows_of_more_trainers_than_planned_are_summed_before_the_driver(spark, monkeypatch):
+    """A session that deals to more partitions than asked for gave the driver all their weights at once."""
+    import numpy as np
+
+    docs = frame(spark, [(i, prose(20)) for i in range(300)])
+    v = language_model.vocabulary(language_model.token_counts(docs))
+    stages, write = [], language_model.written
+    monkeypatch.setattr(language_model, "written", lambda df, label: (stages.append(label), write(df, label))[1])
+    monkeypatch.setattr(language_model, "dealt", lambda segments, n: segments.repartition(40, "doc_id", "start").select("ids"))
+    language_model.train(docs, v, spark.sparkContext.broadcast(v))
+    assert stages.count("lm-sums") == language_model.ROUNDS
+    rows = [(i, i + 1, (np.arange(3.0) * i * (i + 1)).tobytes()) for i in range(70)]
+    mean = language_model.averaged(spark.createDataFrame(rows, "trainer int, tokens long, weights binary"))
+    assert np.allclose(mean, np.arange(3) * sum(i * (i + 1) for i in range(70)) / sum(range(71)))
+
+
+def test_rows_of_one_key_are_summed():
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    keys = np.sort(np.concatenate([np.zeros(37, int), r.integers(1, 30, 200), [40]]))
+    rows = r.normal(size=(len(keys), 5))
+    which, sums = language_model.summed(rows.copy(), keys)
+    assert list(which) == sorted(set(keys)) and np.allclose(sums, [rows[keys == k].sum(0) for k in which])
+
+
 def test_streams_carry_state_over_windows():
     import numpy as np
 
