@@ -191,9 +191,8 @@ def select_top_features(df: DataFrame, n: int, features: str = "features") -> Da
     """The n entries of the largest magnitude, inside the row: a map never leaves its row."""
     entries = F.transform(F.map_entries(features), lambda e: F.struct(
         (-F.abs(e["value"])).alias("r"), e["key"].alias("k"), e["value"].alias("v")))
-    top = F.slice(F.array_sort(entries), 1, n)
-    return df.withColumn(features, F.map_from_arrays(F.transform(top, lambda e: e["k"]),
-                                                     F.transform(top, lambda e: e["v"])))
+    top = F.slice(F.sort_array(entries), 1, n)  # native order; array_sort calls a comparator
+    return df.withColumn(features, F.map_from_entries(F.transform(top, lambda e: F.struct(e["k"], e["v"]))))
 
 
 def clean_market(bars: DataFrame, freq: str = "1 hour") -> DataFrame:
