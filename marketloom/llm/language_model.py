@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import written
+from ..session import drop_path, written
 from .common import slices
 
 #: Tokens held by every worker; tokens with an output place; words of a head class; classes of spelling.
@@ -445,18 +445,23 @@ def training_segments(docs: DataFrame, shared) -> DataFrame:
 
 
 def dealt(segments: DataFrame, trainers: int) -> DataFrame:
-    """ids of the segments, spread over the trainers by document and place: copies of one text don't meet in one."""
-    return segments.repartition(trainers, F.xxhash64("doc_id", "start", "ids")).select("ids")
+    """ids of the segments, spread over the trainers by document and place: copies of one text don't meet in one.
+
+    A session that deals to more partitions than were asked for has no more trainers for it: each takes several of them.
+    """
+    return segments.repartition(trainers, F.xxhash64("doc_id", "start", "ids")).coalesce(trainers).select("ids")
 
 
 def averaged(rows: DataFrame, fan: int = 32):
     """Weighted mean of written (trainer, tokens, weights): sums of ``fan`` rows at a time, until few are left.
 
-    The rows are counted: a session may deal the segments to more trainers than were asked for.
+    The rows are counted: a session may deal the segments to more trainers than were asked for. Sums in between are deleted.
     """
     import numpy as np
     import pandas as pd
 
+    spark, folders = rows.sparkSession, []
+
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(w, "f8") for w in frame["weights"])
         return pd.DataFrame({"trainer": [int(frame["trainer"].iloc[0]) // fan], "tokens": [int(frame["tokens"].sum())],
@@ -464,15 +469,18 @@ def averaged(rows: DataFrame, fan: int = 32):
 
     schema = "trainer int, tokens long, weights binary"
     while rows.count() > fan:
-        rows, _ = written(rows.groupBy(F.floor(F.col("trainer") / fan)).applyInPandas(add, schema), "lm-sums")
+        rows, path = written(rows.groupBy(F.floor(F.col("trainer") / fan)).applyInPandas(add, schema), "lm-sums")
+        folders.append(path)
     got = rows.collect()
+    for path in folders:
+        drop_path(spark, path)
     tokens_used = sum(r["tokens"] for r in got)
     return sum(np.frombuffer(r["weights"], "f8") for r in got) / tokens_used if tokens_used else None
 
 
 def train(docs: DataFrame, v: Vocabulary, shared) -> Network:
     """Rounds of local training and averaging over the segments of ``docs``; ``shared`` is the broadcast vocabulary."""
-    segments, _ = written(training_segments(docs, shared), "lm-segments")
+    segments, folder = written(training_segments(docs, shared), "lm-segments")
     net = Network(v)
     trainers = max(1, round(segments.count() / PER_TRAINER))
     for turn in range(ROUNDS):
@@ -492,11 +500,13 @@ def train(docs: DataFrame, v: Vocabulary, shared) -> Network:
                     "trainer": pa.array([TaskContext.get().partitionId()], pa.int32()), "tokens": pa.array([used], pa.int64()),
                     "weights": pa.array([(own.flat().astype("f8") * used).tobytes()], pa.binary())})
 
-        rows, _ = written(dealt(segments.filter(F.col("turn") == turn), trainers).mapInArrow(
+        rows, path = written(dealt(segments.filter(F.col("turn") == turn), trainers).mapInArrow(
             fit, "trainer int, tokens long, weights binary"), "lm-round")
         mean = averaged(rows)
+        drop_path(docs.sparkSession, path)  # a trainer's weights take a megabyte; their mean is here
         if mean is not None:
             net.load(mean)
+    drop_path(docs.sparkSession, folder)
     return net
 
 

@@ -453,6 +453,32 @@ def test_rows_of_more_trainers_than_planned_are_summed_before_the_driver(spark,
     assert np.allclose(mean, np.arange(3) * sum(i * (i + 1) for i in range(70)) / sum(range(71)))
 
 
+def test_weights_leave_the_disk_and_no_session_makes_more_trainers(spark, monkeypatch):
+    """Where a session raised the partitions, each became a trainer, and the weights of all rounds stayed on disk."""
+    from pathlib import Path
+
+    from pyspark.sql import DataFrame
+
+    docs = frame(spark, [(i, prose(20)) for i in range(300)])
+    v = language_model.vocabulary(language_model.token_counts(docs))
+    shared, rows, paths = spark.sparkContext.broadcast(v), [], []
+    segments, write, deal = language_model.training_segments(docs, shared), language_model.written, DataFrame.repartition
+
+    def watched(df, label):
+        out, path = write(df, label)
+        rows.extend([out.count()] * (label == "lm-round"))
+        paths.append(path)
+        return out, path
+
+    monkeypatch.setattr(language_model, "written", watched)
+    monkeypatch.setattr(DataFrame, "repartition", lambda self, n, *by: deal(self, max(n, 40), *by))
+    dealt = language_model.dealt(segments, 3)
+    assert dealt.rdd.getNumPartitions() == 3 and dealt.count() == 300
+    language_model.train(docs, v, shared)
+    assert rows == [1] * language_model.ROUNDS
+    assert len(paths) == language_model.ROUNDS + 1 and not any(Path(p).exists() for p in paths)
+
+
 def test_rows_of_one_key_are_summed():
     import numpy as np
 
