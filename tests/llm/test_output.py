@@ -6,7 +6,7 @@ from zlib import crc32
 import pytest
 
 from marketloom.llm import arrow_output, catalog, packing, sharding
-from marketloom.llm.tokens import encoder
+from marketloom.llm.tokens import PieceEncoder, encoder
 
 ROWS = [(5, "Hello world, don't\nstop.", "x"), (None, "no id", None), (1, None, "y"), (2, "", None),
         (7, "a  b \n\n c\td " * 700, "z"), (3, "the words " * 3000, "z"), (5, "Hello world, don't\nstop.", "x"),
@@ -38,6 +38,35 @@ def test_token_files_round_trip(spark, docs):
         start += len(ids)
 
 
+def test_new_pieces_are_encoded_many_at_a_time_as_in_their_texts():
+    """Each new piece was a text of its own for the tokenizer."""
+    import random
+
+    enc, plain = PieceEncoder(catalog.vocabulary()), encoder(catalog.vocabulary()).tokenizer
+    given = []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    enc.tokenizer = Watched()
+    r = random.Random(4)
+    text = " ".join("".join(r.choices("abcdefghij", k=9)) for _ in range(3000))
+    assert enc.encode([text]) == [struct.pack(f"<{len(i)}I", *i) for i in [plain.encode(text, add_special_tokens=False).ids]]
+    assert len(given) < 40
+    odd = ["a", "B", "é", "e\u0301", "\u0301", "7", ".", "!?", "'s", "'", " ", " ", " ", "\n", "\n", "\t", "\r\n", "\xa0", "\x85", "\x1c", "\u180e", "\u200b",
+           "\u2028", "\u3000", "語", "😀", "\0", "Ġ", "Ċ", "<|endoftext|>", "Ⅷ", "²", "_", "-"]
+    texts = ["".join(r.choices(odd, k=r.randrange(60))) for _ in range(1500)]
+    texts += [" ".join("".join(r.choices([x for x in odd if x.strip()], k=5)) for _ in range(9)) for _ in range(1500)]
+    for t, got in zip(texts, enc.encode(texts)):
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert got == struct.pack(f"<{len(ids)}I", *ids), t
+
+
 def test_token_files_of_nothing(spark, docs):
     assert arrow_output.token_files(docs.limit(0), catalog.vocabulary()).count() == 0
 
