@@ -58,6 +58,20 @@ def spelling(word: bytes) -> int:
     return (base or word or b"\0")[-1]
 
 
+def column_tokens(texts):
+    """Tokens of all texts of a binary Arrow array end to end, as ``tokens`` gives them, and how many each text has."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = texts.cast(pa.binary()).fill_null(b"")
+    as_string = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), texts.null_count, texts.offset)
+    bare = pc.ascii_trim_whitespace(pc.ascii_lower(as_string))
+    # a blank after the last word leaves an empty one behind it, as an empty text is one: the end
+    closed = pc.binary_join_element_wise(bare, pc.if_else(pc.equal(bare, ""), "", " "), "")
+    lists = pc.ascii_split_whitespace(closed)
+    return lists.flatten().cast(pa.binary()), pc.list_value_length(lists).to_numpy()
+
+
 def token_counts(docs: DataFrame) -> DataFrame:
     """word, n over all rows of ``docs``."""
     import pyarrow as pa
@@ -65,18 +79,23 @@ def token_counts(docs: DataFrame) -> DataFrame:
     schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
 
     def count(batches):
-        from collections import Counter
-
-        from .common import records
-
-        n = Counter()
-        for _, texts in slices(batches):
-            for t in texts:
-                n.update(tokens(t))
-            if len(n) > COUNTED:
-                yield records(schema, {"word": list(n), "n": list(n.values())})
-                n.clear()
-        yield records(schema, {"word": list(n), "n": list(n.values())})
+        held, rows = [], 0
+
+        def merged():
+            t = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return pa.table([t.column("word"), t.column("n_sum")], schema=schema)
+
+        for part, _ in slices(batches):
+            found = column_tokens(part.column(0))[0].value_counts()
+            held.append(pa.table([found.field(0), found.field(1)], schema=schema))
+            rows += len(found)
+            if rows > 2 * COUNTED:
+                held = [merged()]
+                if held[0].num_rows > COUNTED:
+                    yield from held.pop().to_batches()
+                rows = sum(t.num_rows for t in held)
+        if held:
+            yield from merged().to_batches()
 
     return docs.select(F.col("text").cast("binary").alias("text")).mapInArrow(count, "word binary, n long").groupBy("word").agg(
         F.sum("n").alias("n"))
@@ -88,7 +107,7 @@ class Vocabulary:
 
     total: int  # N
     distinct: int  # V
-    place: dict[bytes, int]  # token -> row of the two arrays
+    words: object  # the dictionary's tokens, an Arrow array; their rows of the two arrays below
     ids: object  # int16 per dictionary token
     log_count: object  # log10(c + 0.5) per dictionary token
     spellings: dict[int, int]  # key -> class of spelling; the last one is for all other keys
@@ -111,6 +130,19 @@ class Vocabulary:
     def rare_id(self, word: bytes) -> int:
         return self.head + self.spellings.get(spelling(word), len(self.log_mass) - 1)
 
+    def look_up(self, words):
+        """Row in the dictionary (or -1) and id of each word of an Arrow array."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        rows = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy()
+        ids = np.append(self.ids, np.int16(0))[rows]
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            other = words.take(new).dictionary_encode()
+            ids[new] = np.array([self.rare_id(w) for w in other.dictionary.to_pylist()], np.int16)[other.indices.to_numpy()]
+        return rows, ids
+
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
     import numpy as np
@@ -158,7 +190,7 @@ def vocabulary(counts: DataFrame) -> Vocabulary:
         class_mass[c] = head_mass[words].sum()
     all_mass = np.concatenate([class_mass, smoothed])
     ids = np.array([*range(len(head)), *(len(head) + spellings.get(spelling(w), classes - 1) for w, _ in tail)], np.int16)
-    return Vocabulary(total, distinct, {w: i for i, (w, _) in enumerate(found)}, ids,
+    return Vocabulary(total, distinct, pa.array([w for w, _ in found], pa.binary()), ids,
                       np.log10(np.array([n for _, n in found], float) + 0.5), spellings, len(head), head_class, head_place,
                       class_words, np.log(all_mass / all_mass.sum()),
                       np.log(head_mass / class_mass[head_class]) if len(head) else head_mass, np.log10(smoothed))
@@ -422,22 +454,21 @@ def training_segments(docs: DataFrame, shared) -> DataFrame:
     def cut(batches):
         from zlib import crc32
 
-        import numpy as np
-
         from .common import records
 
         voc = shared.value
-        get, ids, rare = voc.place.get, voc.ids.tolist(), voc.rare_id
-        for part, texts in slices(batches):
+        for part, _ in slices(batches):
             turns, owners, starts, out = [], [], [], []
-            for doc_id, t in zip(part.column(0).to_pylist(), texts):
-                words = tokens(t)
-                for i in range(0, len(words), SEGMENT):
+            words, sizes = column_tokens(part.column(1))
+            ids = voc.look_up(words)[1]
+            at = 0
+            for doc_id, size in zip(part.column(0).to_pylist(), sizes.tolist()):
+                for i in range(0, size, SEGMENT):
                     turns.append(crc32(f"{doc_id}:{i}".encode()) % ROUNDS)
                     owners.append(doc_id)
                     starts.append(i)
-                    out.append(np.array([rare(w) if (k := get(w)) is None else ids[k] for w in words[i : i + SEGMENT]],
-                                        np.int16).tobytes())
+                    out.append(ids[at + i : at + min(size, i + SEGMENT)].tobytes())
+                at += size
             yield records(schema, {"turn": turns, "doc_id": owners, "start": starts, "ids": out})
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
@@ -572,49 +603,41 @@ def scores(docs: DataFrame, net: Network, shared) -> DataFrame:
                         ("rare_counts", pa.float64()), ("network", pa.float64()), ("unknown", pa.list_(pa.binary()))])
 
     def run(batches):
-        from itertools import repeat
         from math import log
 
         import numpy as np
 
-        from .common import records
-
         voc = shared.value
         own = Network(voc).load(flat)
-        get, rare = voc.place.get, voc.rare_id
-        table, logs = np.append(voc.ids, np.int16(0)), np.append(voc.log_count, 0.0)
-        rows = {k: [] for k in schema.names}
-        waiting, held = [], 0
+        logs, masses = np.append(voc.log_count, 0.0), np.concatenate([np.zeros(voc.head), voc.log_mass])
+        waiting, parts, held = [], [], 0
 
         def flush():
-            nonlocal waiting, held, rows
+            nonlocal waiting, parts, held
             with np.errstate(over="ignore"):
-                total = run_streams(own, waiting)
-            for i, p in enumerate(total):
-                rows["network"][i] += p / log(10)
-            out = records(schema, rows)
-            rows, waiting, held = {k: [] for k in schema.names}, [], 0
-            return out
-
-        for part, texts in slices(batches):
-            for doc_id, t in zip(part.column(0).to_pylist(), texts):
-                words = tokens(t)
-                k = np.fromiter(map(get, words, repeat(-1)), np.int32, len(words))
-                ids, log_c = table[k], logs[k]
-                new = np.flatnonzero(k < 0)
-                unknown = [words[i] for i in new]
-                ids[new] = [rare(w) for w in unknown]
-                tail = ids >= voc.head
-                for name, x in zip(schema.names, (doc_id, len(words), len(words) - len(new), float(log_c.sum()),
-                                                  float(log_c[tail].sum()),
-                                                  -float(voc.log_mass[ids[tail] - voc.head].sum()), unknown)):
-                    rows[name].append(x)
-                waiting.append(ids)
-                held += len(ids)
-                if held >= HELD:
-                    yield flush()
+                network = run_streams(own, waiting) / log(10)
+            at = 0
+            for doc_ids, n, known, log_c, rare, mass, unknown in parts:
+                yield pa.RecordBatch.from_arrays([doc_ids, *(pa.array(x) for x in (n, known, log_c, rare, network[at : at + len(n)] - mass)),
+                                                  unknown], schema=schema)
+                at += len(n)
+            waiting, parts, held = [], [], 0
+
+        for part, _ in slices(batches):
+            words, sizes = column_tokens(part.column(1))
+            rows, ids = voc.look_up(words)
+            ends = np.cumsum(sizes, dtype=np.int64)
+            first, log_c = ends - sizes, logs[rows]
+            new = np.concatenate([[0], np.cumsum(rows < 0)])[np.append(first, ends[-1])]
+            parts.append((part.column(0), sizes.astype(np.int64), sizes - np.diff(new), np.add.reduceat(log_c, first),
+                          np.add.reduceat(np.where(ids >= voc.head, log_c, 0.0), first), np.add.reduceat(masses[ids], first),
+                          pa.ListArray.from_arrays(pa.array(new, pa.int32()), words.filter(pa.array(rows < 0)))))
+            waiting += np.split(ids, ends[:-1])
+            held += len(ids)
+            if held >= HELD:
+                yield from flush()
         if waiting:
-            yield flush()
+            yield from flush()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(
         run, SCORED)

@@ -508,3 +508,13 @@ def test_streams_carry_state_over_windows():
             want += float(net.log_probs(h, np.array([x]))[0])
             h = net.step(h, net.p["inputs"][[x]])
         assert abs(want - p) < 1e-3 * max(1, abs(want))
+
+
+def test_tokens_of_a_column_are_those_of_its_texts():
+    import pyarrow as pa
+
+    texts = [None, b"", b" ", b"A", b" \x0bA\x0c\r\nb  C\t", b"a\x1cB\x00c\x85 d\xa0", "É x ſ　K".encode(), b"\xff\xfe Q", *(prose(R.choice([1, 50])).encode() for _ in range(20))]
+    array = pa.array([b"before", *texts, b"after"], pa.binary()).slice(1, len(texts))
+    words, sizes = language_model.column_tokens(array)
+    want = [language_model.tokens(t) for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and words.to_pylist() == [w for x in want for w in x]
