@@ -151,3 +151,24 @@ def test_shards(spark, docs):
     sizes = sorted((r["doc_id"] or 0, r["size"], r["text_crc32"]) for r in got)
     assert sizes == sorted((d or 0, len((t or "").encode()) + 16, crc32((t or "").encode())) for d, t, _ in ROWS)
     assert sharding.shard_documents(docs.limit(0), 3).count() == 0
+
+
+def test_pieces_are_held_for_few_texts_at_a_time(monkeypatch):
+    """Pieces of a whole slice of texts were held at once, and the memory was only bounded between slices."""
+    from marketloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED", 100)
+    monkeypatch.setattr(tokens, "CUT", 1000, raising=False)
+    enc, plain, held = PieceEncoder(catalog.vocabulary()), encoder(catalog.vocabulary()).tokenizer, []
+    learn = enc._learn
+
+    def watched(new):
+        learn(new)
+        held.append(len(enc.known))
+
+    enc._learn = watched
+    texts = ["", *(" ".join(f"word{i}x{k}" for k in range(20)) for i in range(200)), "", "long " * 900, "end"]
+    for t, got in zip(texts, enc.encode(texts), strict=True):
+        ids = plain.encode(t, add_special_tokens=False).ids
+        assert got == struct.pack(f"<{len(ids)}I", *ids), t
+    assert max(held) < 300 and enc.encode([]) == []
