@@ -87,3 +87,34 @@ def test_pairs_are_bounded():
     assert 50_000 < len(v.possible) < 1_000_000
     a, b = divmod(int(v.possible[1234]), len(v.b_bytes))
     assert v.a_bytes[a].endswith(v.b_bytes[b]) or v.b_bytes[b].endswith(v.a_bytes[a])
+
+
+def test_new_parts_are_tokenised_many_at_a_time_and_documents_aligned_together():
+    """Each new part was a text of its own for the byte-level side, and each new window a walk of its own."""
+    tool, r = alignment.Aligner(catalog.vocabulary(), catalog.vocabulary(catalog.PIECES)), random.Random(5)
+    plain, given = tool.v.a, []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **how):
+            given.extend(texts)
+            return plain.encode_batch_fast(texts, **how)
+
+        def __getattr__(self, name):
+            return getattr(plain, name)
+
+    tool.v.a = Watched()
+    if hasattr(tool.v, "encoder"):
+        tool.v.encoder.tokenizer = tool.v.a
+    words = " ".join("".join(r.choices("abcdefghij", k=9)) for _ in range(3000))
+    rows = [(0, words), *((i, t) for i, (_, t) in enumerate(ROWS, 1) if t)]
+    tool.tokens([words])
+    assert len(given) < 40
+    found = [(row, x) for row, x in zip(rows, tool.tokens([t for _, t in rows])) if x]
+    *of_rows, kinds, pairs, times = tool.align_many([x for _, x in found])
+    want, at = {row[0]: row for row in naive(rows)}, 0
+    for (doc_id, _), x, n_a, n_b, n_groups, digest, k in zip(*zip(*found), *of_rows, kinds, strict=True):
+        assert (n_a, n_b, n_groups, digest) == tuple(want[doc_id][i] for i in (1, 2, 3, 7))
+        alone = Counter(tool.align(*x)[3].tolist())
+        assert dict(zip(pairs[at : at + k].tolist(), times[at : at + k].tolist())) == alone
+        at += k
+    assert at == len(pairs) == len(times)
