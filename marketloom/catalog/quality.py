@@ -298,7 +298,9 @@ for _method, _sql in {
     least(greatest(value, mu - 3 * sd), mu + 3 * sd) ELSE value END AS value
     FROM feature_long JOIN {_ROW} USING (event_id)""")
 def _feature_clip(m):
-    d = cl.clip_feature_outliers(feature_rows(m), z=3.0)
+    # as in the SQL, an event without a single finite feature has no statistics and no rows
+    rows = feature_rows(m).filter(F.exists(F.map_values("features"), lambda x: F.abs(x) < float("inf")))
+    d = cl.clip_feature_outliers(rows, z=3.0)
     d = d.select("event_id", F.explode("features").alias("name", "value"))
     return d.withColumn("value", F.when(~F.isnan("value"), col("value")))
 
