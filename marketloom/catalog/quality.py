@@ -127,7 +127,7 @@ def feature_rows(m):
     v, k = col("price"), col("qty")
     t = m.ticks()
     names = [F.lit(f"f{i}") for i in range(10)]
-    pairs = [x for i, n in enumerate(names) for x in (n, F.pmod(k * (i + 3), F.lit(11.0)) + 0.5)]
+    pairs = [x for i, n in enumerate(names) for x in (n, (k * (i + 3)) % 11.0 + 0.5)]
     far = F.when(k % 9 == 0, v * 1e7).when(k % 9 == 1, F.lit(float("inf"))).when(k % 9 == 2, F.lit(None)).otherwise(v)
     return t.select("event_id", "symbol", F.create_map(
         *pairs, F.lit("far"), far, F.lit("bad name"), F.when(k % 4 == 0, F.lit(float("nan"))).otherwise(k))
