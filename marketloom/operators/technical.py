@@ -80,7 +80,7 @@ def rsi(b, s=S, periods=RSI_PERIODS):
     b = ewm_scan(b, terms, s)
     out = {}
     for n in periods:
-        v = 100 * div(f"u{n}", c(f"u{n}") + c(f"d{n}"))
+        v = div(100 * c(f"u{n}"), c(f"u{n}") + c(f"d{n}"))
         out |= {f"rsi_{n}": v, f"rsi_{n}_high": flag(v > 70), f"rsi_{n}_low": flag(v < 30)}
     return b.select(*keep, *[e.alias(k) for k, e in out.items()])
 
@@ -97,7 +97,7 @@ def macd(b, s=S, fast=12, slow=26, signal=9, seeded=True):
 def stochastic(b, s=S, n=14, slow_k=3, slow_d=3):
     keep = b.columns
     lo, hi = s.min("low", n), s.max("high", n)
-    b = b.withColumn("_k", 100 * div(c("close") - lo, hi - lo))
+    b = b.withColumn("_k", div(100 * (c("close") - lo), hi - lo))
     b = b.withColumn("stoch_k", s.mean("_k", slow_k))
     b = b.withColumn("stoch_d", s.mean("stoch_k", slow_d))
     return b.select(*keep, "stoch_k", "stoch_d", flag(c("stoch_k") > 80).alias("stoch_high"),
@@ -106,7 +106,7 @@ def stochastic(b, s=S, n=14, slow_k=3, slow_d=3):
 
 def williams_r(b, s=S, n=14):
     hh, ll = s.max("high", n), s.min("low", n)
-    return b.withColumn("williams_r", -100 * div(hh - c("close"), hh - ll))
+    return b.withColumn("williams_r", div(-100 * (hh - c("close")), hh - ll))
 
 
 def cci(b, s=S, n=20):
@@ -141,8 +141,7 @@ def atr(b, s=S, n=14):
 def bollinger(b, s=S, n=20, k=2.0):
     b = b.withColumns({"bb_mid": s.mean("close", n), "_sd": s.pstd("close", n)})
     b = b.withColumns({"bb_up": c("bb_mid") + k * c("_sd"), "bb_low": c("bb_mid") - k * c("_sd")})
-    width = c("bb_up") - c("bb_low")
-    b = b.withColumn("_w", width)
+    b = b.withColumn("_w", 2 * k * c("_sd"))
     return b.withColumns({"bb_pos": div(c("close") - c("bb_low"), "_w"),
                           "bb_squeeze": flag(c("_w") < F.avg("_w").over(s.rows(1 - n)))}).drop("_w", "_sd")
 
@@ -182,8 +181,7 @@ def trix_volume(b, s=S, n=10):
 
 
 def _flow_volume():
-    return F.coalesce(div((c("close") - c("low")) - (c("high") - c("close")), c("high") - c("low")),
-                      F.lit(0.0)) * c("volume")
+    return F.coalesce(div(2 * c("close") - c("low") - c("high"), c("high") - c("low")), F.lit(0.0)) * c("volume")
 
 
 def ad_line(b, s=S):
@@ -212,10 +210,10 @@ def adx(b, s=S, n=14):
     d = (n - 1) / n
     b = ewm_scan(b, [Ewm(f"s_{x}", x, d, 1.0, n - 1, seed_sum=True) for x in ("tr", "pdm", "mdm")], s)
     ready = s.row() > n
-    b = b.withColumns({"plus_di": F.when(ready, 100 * div("s_pdm", "s_tr")),
-                       "minus_di": F.when(ready, 100 * div("s_mdm", "s_tr"))})
+    b = b.withColumns({"plus_di": F.when(ready, div(100 * c("s_pdm"), "s_tr")),
+                       "minus_di": F.when(ready, div(100 * c("s_mdm"), "s_tr"))})
     b = b.withColumn("dx", F.when(c("plus_di").isNotNull(), F.coalesce(
-        100 * div(F.abs(c("plus_di") - c("minus_di")), c("plus_di") + c("minus_di")), F.lit(0.0))))
+        div(100 * F.abs(c("plus_di") - c("minus_di")), c("plus_di") + c("minus_di")), F.lit(0.0))))
     b = ewm_scan(b, [wilder("adx", "dx", n)], s)
     return b.select(*keep, "plus_di", "minus_di", "adx", flag(c("adx") > 25).alias("adx_strong"),
                     F.signum(c("plus_di") - c("minus_di")).alias("di_side"))
